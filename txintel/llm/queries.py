@@ -5,15 +5,19 @@ from __future__ import annotations
 from txintel.llm.bpe import op4_bpe
 from txintel.llm.langid import op6_langid
 from txintel.llm.licenses import op9_licenses
+from txintel.llm.mixing import OP5_SQL, op5_mixing
 from txintel.llm.quality import op10_quality
 from txintel.llm.simhash import op7_simhash
 
 QUERIES = {
     "op4_bpe": op4_bpe,
+    "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": OP5_SQL,
+}
