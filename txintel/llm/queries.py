@@ -7,9 +7,11 @@ from txintel.llm.langid import op6_langid
 from txintel.llm.licenses import op9_licenses
 from txintel.llm.mixing import OP5_SQL, op5_mixing
 from txintel.llm.quality import op10_quality
+from txintel.llm.sharding import op2_sharding
 from txintel.llm.simhash import op7_simhash
 
 QUERIES = {
+    "op2_sharding": op2_sharding,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
