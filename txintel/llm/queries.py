@@ -5,6 +5,7 @@ from __future__ import annotations
 from txintel.llm.bpe import op4_bpe
 from txintel.llm.langid import op6_langid
 from txintel.llm.licenses import op9_licenses
+from txintel.llm.lm import op3_lm
 from txintel.llm.mixing import OP5_SQL, op5_mixing
 from txintel.llm.quality import op10_quality
 from txintel.llm.sharding import op2_sharding
@@ -12,6 +13,7 @@ from txintel.llm.simhash import op7_simhash
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op3_lm": op3_lm,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
