@@ -10,8 +10,10 @@ from txintel.llm.mixing import OP5_SQL, op5_mixing
 from txintel.llm.quality import op10_quality
 from txintel.llm.sharding import op2_sharding
 from txintel.llm.simhash import op7_simhash
+from txintel.llm.topk import OP1_SQL, op1_topk
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_sharding": op2_sharding,
     "op3_lm": op3_lm,
     "op4_bpe": op4_bpe,
@@ -23,5 +25,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_topk": OP1_SQL,
     "op5_mixing": OP5_SQL,
 }
