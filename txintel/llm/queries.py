@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from txintel.llm.ann import op8_ann
 from txintel.llm.bpe import op4_bpe
 from txintel.llm.langid import op6_langid
 from txintel.llm.licenses import op9_licenses
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
+    "op8_ann": op8_ann,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
 }
