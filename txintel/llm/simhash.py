@@ -170,7 +170,8 @@ def hamming_links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, keep..., fp, component_id) for every row; component_id is the least id reachable over links.
+    """(id, keep..., fp, root, component_id) for every row; component_id is the least id reachable over links, root the
+    component's least fingerprint.
 
     Equal fingerprints share one node, so a group of copies of any size is one row to the search. A null text has no words
     (fingerprint zero); rows with a null id get a component but can't name it unless all of it is null; repeated rows stay.
@@ -180,11 +181,31 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = hamming_links(nodes, radius)
     member = connected_components(links, "a", "b").withColumnRenamed("node", "fp")
     linked = nodes.join(member, "fp")
-    named = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
-    label = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    named = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component", "component_id")
+    found = F.col("component").isNotNull()
+    label = nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), F.when(found, F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
     return prints.join(label, "fp", "left")
 
 
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs' rows without all but one of each component: the one of least id, nulls last, and of rows that share it the one of
+    least hash over all columns."""
+    keyed = docs.withColumn("__key", F.xxhash64(*docs.columns))
+    found = simhash_components(keyed, id_col, text_col, keep=("__key",)).withColumn("__id", F.col(id_col))
+    alike = found.groupBy("root", "__id", "__key").agg(F.count("*").alias("copies"))
+    first = alike.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("last"), "__id", "__key", "copies")).alias("x"))
+    kept = checkpoint(first.select("x.__id", "x.__key", "x.copies"))
+
+    def rows(some: DataFrame) -> DataFrame:
+        some = some.withColumnsRenamed({"__id": "__kept_id", "__key": "__kept_key"})
+        return keyed.join(some, (F.col("__key") == F.col("__kept_key")) & F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+
+    out = rows(kept.filter("copies = 1"))
+    if kept.filter("copies > 1").head(1):
+        out = out.unionByName(rows(kept.filter("copies > 1")).dropDuplicates(["__key"]))
+    return out.select(*docs.columns)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
