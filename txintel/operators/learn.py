@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txintel.runtime import ship_package
@@ -210,7 +210,7 @@ def graph_net_gradient(p: list[np.ndarray], z: np.ndarray, src: np.ndarray, dst:
         h = np.maximum(a, 0)
     logit = h @ p[8] + p[9][0]
     prob = 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
-    loss = float(-(weight * (y * np.log(prob + 1e-12) + (1 - y) * np.log(1 - prob + 1e-12))).sum()) + 0.5 * l2 * sum(float((w * w).sum()) for w in p if w.ndim == 2) + 0.5 * l2 * float((p[8] ** 2).sum())
+    loss = float((weight * (np.logaddexp(0, logit) - y * logit)).sum()) + 0.5 * l2 * sum(float((w * w).sum()) for w in p if w.ndim == 2) + 0.5 * l2 * float((p[8] ** 2).sum())
     d = weight * (prob - y)
     g: list[np.ndarray] = [np.zeros_like(a) for a in p]
     g[8], g[9] = h.T @ d + l2 * p[8], np.array([d.sum()])
@@ -225,6 +225,11 @@ def graph_net_gradient(p: list[np.ndarray], z: np.ndarray, src: np.ndarray, dst:
     return loss, g
 
 
+def _logit(p: Column) -> Column:
+    held = F.greatest(F.least(p, F.lit(1 - 1e-12)), F.lit(1e-12))
+    return F.log(held / (1 - held))
+
+
 def occlusion(net: GraphNet, rows: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, feature, drop): how far the log-odds fall when one standardised feature is zero everywhere.
 
@@ -236,7 +241,7 @@ def occlusion(net: GraphNet, rows: DataFrame, edges: DataFrame) -> DataFrame:
     left = rows.select("id", "x", every).withColumn("x", F.transform("x", lambda v, k: F.when(k == F.col("f"), means[k]).otherwise(v)))
     keyed = left.select(F.struct("id", "f").alias("id"), "x")
     links = edges.select("src", "dst", every).select(F.struct(F.col("src").alias("id"), "f").alias("src"), F.struct(F.col("dst").alias("id"), "f").alias("dst"))
-    p = net.scores(keyed, links).select(F.col("id.id").alias("id"), F.col("id.f").alias("f"), F.log(F.col("gnn_prob") / (1 - F.col("gnn_prob"))).alias("z"))
+    p = net.scores(keyed, links).select(F.col("id.id").alias("id"), F.col("id.f").alias("f"), _logit(F.col("gnn_prob")).alias("z"))
     full = p.filter("f = -1").select("id", F.col("z").alias("z0"))
     return p.filter("f >= 0").join(full, "id").select("id", F.col("f").alias("feature"), (F.col("z0") - F.col("z")).alias("drop"))
 
