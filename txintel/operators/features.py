@@ -86,3 +86,15 @@ def factors(names: list[str], top: int | None = None) -> Column:
     order = lambda a, b: F.when(F.abs(a["shap"]) > F.abs(b["shap"]), -1).when(F.abs(a["shap"]) < F.abs(b["shap"]), 1).when(a["key"] < b["key"], -1).otherwise(1)
     out = F.array_sort(items, order)
     return F.slice(out, 1, top) if top else out
+
+
+def what_if(weights: dict[str, float], bias: float, changed: dict[str, Column | float], least_hops: int | None = None) -> Column:
+    """Risk with some signals replaced; with least_hops, shorter chains count as none."""
+    z = F.lit(bias)
+    for name, w in weights.items():
+        x = changed.get(name, F.col(name))
+        x = F.lit(x) if not isinstance(x, Column) else x
+        if name == "peel_chain" and least_hops is not None:
+            x = F.when(F.col("peel_hops") >= least_hops, x).otherwise(0.0)
+        z = z + x * w
+    return 100.0 * sigmoid(z)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txintel.runtime import ship_package
@@ -167,6 +167,20 @@ class GraphNet:
         return _mapped(h, ["x"], lambda x: 1 / (1 + np.exp(-np.clip(x @ w + b, -60, 60))), "gnn_prob", "double", ["id"])
 
 
+def save_net(spark: SparkSession, net: GraphNet, path: str) -> None:
+    """The network's arrays as a Parquet table (name, shape, cells)."""
+    arrays = {f"layer{k}_{n}": w for k, layer in enumerate(net.layers) for n, w in zip(("self", "in", "out", "bias"), layer, strict=True)}
+    arrays |= {"head": net.head[0], "head_bias": np.array([net.head[1]]), "mean": net.mean, "std": net.std, "clip": np.array([net.clip])}
+    rows = [(n, list(a.shape), a.astype(float).ravel().tolist()) for n, a in arrays.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, cells array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_net(spark: SparkSession, path: str) -> GraphNet:
+    a = {r.name: np.array(r.cells).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
+    layers = [tuple(a[f"layer{k}_{n}"] for n in ("self", "in", "out", "bias")) for k in range(2)]
+    return GraphNet(layers, (a["head"], float(a["head_bias"][0])), a["mean"], a["std"], float(a["clip"][0]))
+
+
 def _mean_of(h: np.ndarray, src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     total, count = np.zeros((n, h.shape[1])), np.bincount(dst, minlength=n).astype(float)
     np.add.at(total, dst, h[src])

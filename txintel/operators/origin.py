@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txintel.functions.expressions import sigmoid
+from txintel.operators.learn import fit_logistic
 
 RESOLVED, PROPAGATION_MS = 0.5, 250.0
 
@@ -55,16 +56,31 @@ def relay_ratio(obs: DataFrame, first: DataFrame) -> DataFrame:
     return joined.withColumn("relay_ratio", F.round(1 - F.col("first_announced") / F.col("announced"), 3))
 
 
-def confidence(calibration: tuple[float, list[float]] | None = None) -> Column:
-    """Confidence in an origin, from lead_ms, sensor_agreement, sensor_count, relay_ratio and announcer_count as rounded."""
-    single = F.col("announcer_count") <= 1
+def signals() -> dict[str, Column]:
+    """The four signals of an attribution, from lead_ms, sensor_agreement, sensor_count, relay_ratio and announcer_count as rounded."""
     lead = F.when(F.col("lead_ms").isNull(), 0.0).otherwise(1 - F.exp(-F.greatest(F.col("lead_ms"), F.lit(0.0)) / PROPAGATION_MS))
     agree = F.when(F.col("sensor_count") <= 1, 0.0).otherwise(F.col("sensor_agreement"))
+    return {"lead": lead, "agreement": agree, "relay": F.col("relay_ratio"), "single": (F.col("announcer_count") <= 1).cast("double")}
+
+
+def confidence(calibration: tuple[float, list[float]] | None = None) -> Column:
+    """Confidence in an origin: calibrated (bias and a weight a signal), or by a rule of thumb."""
+    s = signals()
     if calibration:
-        bias, w = calibration
-        return F.round(sigmoid(F.lit(bias) + w[0] * lead + w[1] * agree + w[2] * F.col("relay_ratio") + w[3] * single.cast("double")), 3)
-    many = (0.10 + 0.45 * lead + 0.45 * agree) * (1 - 0.5 * F.col("relay_ratio"))
-    return F.round(F.when(single, 0.30).otherwise(F.least(F.lit(0.99), many)), 3)
+        z = F.lit(calibration[0])
+        for w, x in zip(calibration[1], s.values(), strict=True):
+            z = z + w * x
+        return F.round(sigmoid(z), 3)
+    many = (0.10 + 0.45 * s["lead"] + 0.45 * s["agreement"]) * (1 - 0.5 * s["relay"])
+    return F.round(F.when(F.col("announcer_count") <= 1, 0.30).otherwise(F.least(F.lit(0.99), many)), 3)
+
+
+def calibrate(attributed: DataFrame, truth: DataFrame, l2: float = 0.1) -> tuple[float, list[float]]:
+    """Bias and weights of the signals from attributions whose true origin (txid, true_ip) is known."""
+    known = attributed.join(truth, "txid")
+    rows = known.select(F.array(*signals().values()).alias("x"), (F.col("origin_ip") == F.col("true_ip")).cast("int").alias("y"))
+    w, b = fit_logistic(rows, l2, balanced=False)
+    return b, w.tolist()
 
 
 def attribute(obs: DataFrame, calibration: tuple[float, list[float]] | None = None) -> DataFrame:
