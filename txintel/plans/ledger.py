@@ -176,7 +176,19 @@ SHAP_SQL = f"WITH {_EV_SQL}, mean AS (SELECT {', '.join(f'avg({n}) AS mean_{n}'
 def explained_factors(spark: SparkSession, sf: str) -> DataFrame:
     """Every transaction's three strongest factors, one row each."""
     top = _explained(spark, sf).select("txid", F.posexplode(X.factors(list(WEIGHTS), 3)).alias("place", "f"))
-    return top.select("txid", "place", "f.key", "f.label", "f.value", "f.shap", "f.share_pct", "f.impact")
+    return top.select("txid", "place", "f.key", "f.label", "f.value", "f.shap", "f.share_pct")
+
+
+def _said(n: str) -> str:
+    there, absent = X.EVIDENCE[n]
+    return f"CASE WHEN {n} < 0.5 THEN '{absent}' ELSE '{there}' END" if absent else f"'{there}'"
+
+
+FACTORS_SQL = f"""WITH {_EV_SQL}, mean AS (SELECT {', '.join(f'avg({n}) AS mean_{n}' for n in WEIGHTS)} FROM ev),
+u AS (SELECT txid, unnest([{', '.join(f"{{'key': '{n}', 'label': {_said(n)}, 'v': {n}, 's': {w}::DOUBLE * ({n} - mean_{n})}}" for n, w in WEIGHTS.items())}]) AS f FROM ev, mean),
+t AS (SELECT txid, f.key AS key, f.label AS label, round(f.v, 4) AS value, round(f.s, 4) AS shap, f.s AS s, sum(greatest(f.s, 0)) OVER (PARTITION BY txid) AS rising FROM u)
+SELECT txid, place::INT AS place, key, label, value, shap, share_pct FROM (SELECT *, round(100.0::DOUBLE * greatest(s, 0) / CASE WHEN rising = 0 THEN 1 ELSE rising END, 1) AS share_pct,
+row_number() OVER (PARTITION BY txid ORDER BY abs(shap) DESC, key) - 1 AS place FROM t) WHERE place < 3"""
 
 
 def _cases(spark: SparkSession, sf: str):
@@ -258,6 +270,13 @@ def case_narratives(spark: SparkSession, sf: str) -> DataFrame:
     return cases(spark, sf).select("case_id", C.narrative().alias("narrative"))
 
 
+NARRATIVES_SQL = f"""WITH {_CASE_SQL} SELECT 'CASE-' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS case_id,
+concat_ws(' ', printf('%d linked transaction%s carrying %.4f BTC over %s.', tx_count, CASE WHEN tx_count = 1 THEN '' ELSE 's' END, inflow, duration),
+CASE WHEN typology LIKE '%CoinJoin%' THEN 'An equal-output mixing round breaks the link between senders and receivers.' END,
+CASE WHEN typology LIKE '%Peeling%' THEN printf('A %d-hop peeling chain splits off %.4f BTC in small outputs while forwarding the remainder each hop.', peel_hops, peeled) END,
+CASE WHEN typology LIKE '%Fan-out%' THEN 'Funds are fanned out into near-equal parts, moved one hop each and re-aggregated.' END,
+CASE WHEN typology LIKE '%Consolidation%' THEN 'Outputs from earlier hops are swept together into a single address.' END) AS narrative FROM named"""
+
 QUERIES = {
     "spend_links": spend_links, "flow_edges": flow_edges, "hetero_graph_counts": hetero_graph_counts, "respend_delays": respend_delays, "tx_degrees": tx_degrees, "peel_shaped": peel_shaped,
     "peel_chains": peel_chains, "coinjoin_score": coinjoin_score, "entity_clusters": entity_clusters, "tx_features": tx_features, "evidence_matrix": evidence_matrix, "risk_score": risk_score,
@@ -271,5 +290,5 @@ ORACLE_SQL = {
     "peel_shaped": PEEL_SQL, "peel_chains": CHAINS_SQL, "coinjoin_score": COINJOIN_SQL, "entity_clusters": ENTITY_SQL, "tx_features": FEATURES_SQL,
     "evidence_matrix": f"WITH {_EV_SQL} SELECT txid, {', '.join(f'round({n}, 6) AS {n}' for n in WEIGHTS)} FROM ev",
     "risk_score": f"WITH {_EV_SQL} SELECT txid, round(risk, 4) AS risk, {severity_sql('risk')} AS severity FROM scored",
-    "shap_values": SHAP_SQL, "cases": CASES_SQL, "case_flow": f"WITH {_CASE_SQL} SELECT * FROM cflow", "case_terminals": TERMINALS_SQL, "case_origins": ORIGINS_SQL, "typologies": TYPOLOGIES_SQL,
+    "shap_values": SHAP_SQL, "explained_factors": FACTORS_SQL, "case_narratives": NARRATIVES_SQL, "cases": CASES_SQL, "case_flow": f"WITH {_CASE_SQL} SELECT * FROM cflow", "case_terminals": TERMINALS_SQL, "case_origins": ORIGINS_SQL, "typologies": TYPOLOGIES_SQL,
 }
