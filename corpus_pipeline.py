@@ -27,8 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier, learned from labels of documents still here, rejects."""
     model = quality.fit(quality.with_statistics(docs, ("doc_id",)), table(spark, sf_dir, "labels"))
-    scored = quality.scored(quality.with_statistics(docs, tuple(docs.columns)), model, "__score")
-    return scored.filter(F.col("__score") >= GOOD).select(*docs.columns)
+    return quality.classify(docs, model, tuple(docs.columns), "__score").filter(F.col("__score") >= GOOD).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txintel.llm.text import slices
+from txintel.llm.text import remembered, slices
 from txintel.runtime import ship_package, table
 
 #: The pattern that cuts a text into words before merging.
@@ -28,7 +28,7 @@ _WORDS = regex.compile(PATTERN)
 _LOOSE = regex.compile(r" (?:[\s\x1c-\x1f]|\Z)")
 NONE = np.iinfo(np.int64).max
 #: Remembered words and bytes at most, and cells in one array of trees.
-REMEMBERED, REMEMBERED_BYTES, CELLS = 500_000, 48 << 20, 1 << 19
+REMEMBERED, REMEMBERED_BYTES, CELLS = 250_000, 24 << 20, 1 << 18
 
 
 def byte_letters() -> list[str]:
@@ -186,15 +186,6 @@ def decode(vocab: Vocabulary, ids: bytes) -> str:
     return b"".join(map(vocab.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(path: str, shared) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(shared.value)
-    return _ENCODERS[path]
-
-
 def _schema(df: DataFrame, more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), more])
 
@@ -211,7 +202,7 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[s
     rest = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, shared)
+        encoder = remembered(("bpe", path), lambda: Encoder(shared.value))
         for part, texts in slices(batches, text_col):
             ids = encoder.encode([(t or b"").decode() for t in texts])
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
@@ -236,6 +227,23 @@ def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids", keep: tuple[
     return encoded.select(*rest, ids_col).mapInArrow(run, _schema(encoded.select(*rest), "decoded string"))
 
 
+def bpe_round_trip(docs: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keep..., n_tokens, ids, decoded): bpe_encode and bpe_decode in one pass, so that one worker a task is enough."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(Vocabulary.load(path))
+    rest = list(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = remembered(("bpe", path), lambda: Encoder(shared.value))
+        for part, texts in slices(batches, text_col):
+            ids = encoder.encode([(t or b"").decode() for t in texts])
+            counts, back = pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([decode(encoder.vocab, x) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), counts, pa.array(ids, pa.binary()), back], names=[*rest, "n_tokens", "ids", "decoded"])
+
+    return docs.select(*rest, text_col).mapInArrow(run, _schema(docs.select(*rest), "n_tokens bigint, ids binary, decoded string"))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -244,9 +252,8 @@ def vocabulary_path() -> str:
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """The contract's columns: n_tokens and the digests of ids and of the text decoded from them."""
-    encoded = bpe_encode(docs, path).withColumn("ids_sha256", F.sha2("ids", 256))
-    decoded = bpe_decode(encoded, path, keep=("doc_id", "n_tokens", "ids_sha256"))
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    both = bpe_round_trip(docs, path)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,20 @@ def scored(rows: DataFrame, model: Discriminant, score_col: str = "score", name:
     return rows.mapInArrow(run, _schema(rows.select(*rest), f"`{score_col}` double"))
 
 
+def classify(docs: DataFrame, model: Discriminant, keep: tuple[str, ...], score_col: str = "score", text_col: str = "text") -> DataFrame:
+    """(keep..., score_col): statistics and posterior of every row in one pass over the texts."""
+    ship_package(docs.sparkSession)
+    rest = list(keep)
+    both = rest if text_col in rest else [*rest, text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, text_col):
+            score = model.score(np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS)))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(score)], names=[*rest, score_col])
+
+    return docs.select(*both).mapInArrow(run, _schema(docs.select(*rest), f"`{score_col}` double"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = checkpoint(with_statistics(table(spark, sf_dir, "documents"), ("doc_id",)))
     model = fit(rows, table(spark, sf_dir, "labels"))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 
@@ -36,3 +37,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = 256) -> Ite
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield part, part.column(text).cast(pa.binary()).to_pylist()
+
+
+_REMEMBERED: dict[Hashable, Any] = {}
+
+
+def remembered(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker keeps between tasks under the key. It keeps one thing at a time: a worker serves many operators in turn,
+    and their memories would add up."""
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
