@@ -8,6 +8,7 @@ of least cross-entropy per character wins; thresholds set on other labelled rows
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,14 +20,16 @@ from pyspark.sql import functions as F
 
 from txintel.llm.bpe import _schema
 from txintel.llm.quality import held_out
-from txintel.llm.text import chunks, slices
+from txintel.llm.text import chunks, remembered, slices
 from txintel.runtime import ship_package, table
 
 ORDER = 4
 #: Rows of each language that the models learn from, and further rows that set its threshold, in expectation.
 FIT_ROWS, CALIBRATION_ROWS = 2000, 1000
+#: Of a language with fewer rows, the share that its model learns from; the rest sets its threshold.
+FIT_SHARE = 0.67
 #: Share of a language's own texts beyond its threshold before the safety factor.
-TAIL, SAFETY = 0.002, 2.0
+TAIL, SAFETY = 0.002, 3.0
 _LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -145,8 +148,8 @@ class Models:
 class Identifier:
     """Scores whole texts; remembers words, in tables of bounded size, for as long as the worker lives."""
 
-    def __init__(self, models: Models, remembered: int = 200_000):
-        self.models, self.size = models, max(1000, min(remembered, (32 << 20) // (4 * max(1, len(models.langs)))))
+    def __init__(self, models: Models, most: int = 100_000):
+        self.models, self.size = models, max(1000, min(most, (32 << 20) // (4 * max(1, len(models.langs)))))
         self.known: dict[bytes, int] = {}
         self.scores = np.zeros((self.size, len(models.langs)), np.float32)
         self.chars = np.zeros(self.size, np.int64)
@@ -174,7 +177,7 @@ class Identifier:
         rows = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         return np.add.reduceat(self.scores[rows], starts, axis=0, dtype=np.float64), np.add.reduceat(self.chars[rows], starts)
 
-    def totals(self, texts: list[bytes | None], most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    def totals(self, texts: list[bytes | None], most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
         """For each text: log-probability under each language, and characters (0: no letter)."""
         scores, chars = np.zeros((len(texts), len(self.models.langs))), np.zeros(len(texts), np.int64)
         words: list[bytes] = []
@@ -206,7 +209,7 @@ class Identifier:
         n = np.maximum(chars, 1)
         if not m.langs:
             nothing = np.zeros(len(texts))
-            return ["und"] * len(texts), nothing, chars > 0, nothing, chars
+            return ["und"] * len(texts), nothing, np.ones(len(texts), bool), nothing, chars
         entropy = -scores / n[:, None]
         best = entropy.argmin(axis=1)
         least = entropy[np.arange(len(texts)), best]
@@ -217,22 +220,12 @@ class Identifier:
         return langs, score, (chars == 0) | beyond | (score < 0.5), np.where(chars > 0, least, 0.0), chars
 
 
-_IDENTIFIERS: dict[int, Identifier] = {}
-
-
-def _identifier(shared) -> Identifier:
-    if shared.id not in _IDENTIFIERS:
-        _IDENTIFIERS.clear()
-        _IDENTIFIERS[shared.id] = Identifier(shared.value)
-    return _IDENTIFIERS[shared.id]
-
-
 class Shared:
     """A broadcast of models and a name for them; their size is bounded by the sample they learned from."""
 
     def __init__(self, spark: SparkSession, models: Models):
         self.broadcast = spark.sparkContext.broadcast(models)
-        self.id = id(models) ^ hash((len(models.keys), tuple(models.langs), float(models.own.sum())))
+        self.id = uuid.uuid4().hex  # workers keep models under it, so no two states of them may share one
 
     @property
     def value(self) -> Models:
@@ -250,7 +243,8 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
         return Shared(spark, Models.learn({}, order))
     dice = F.pmod(F.xxhash64(F.col("id"), F.lit("langid")), F.lit(1 << 40)) / float(1 << 40)
     number = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(float(n)))))
-    sample = rows.withColumn("rank", dice * number[F.col("lang")]).filter(F.col("rank") < fit_rows + calibration_rows)
+    fitted = F.least(F.lit(float(fit_rows)), number[F.col("lang")] * FIT_SHARE)
+    sample = rows.withColumn("rank", dice * number[F.col("lang")]).withColumn("fit", F.col("rank") < fitted).filter(F.col("fit") | (F.col("rank") < fitted + calibration_rows))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -261,7 +255,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
         for lang, c in counts.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 
-    told = sample.filter(F.col("rank") < fit_rows).select("lang", "text").mapInArrow(tally, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    told = sample.filter("fit").select("lang", "text").mapInArrow(tally, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, dict[str, int]] = {k: {} for k in sizes}
     for lang, word, n in zip(told["lang"].to_pylist(), told["word"].to_pylist(), told["n"].to_pylist(), strict=True):
         s = letters_of(word)
@@ -269,22 +263,25 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
             counts[lang][s] = counts[lang].get(s, 0) + n
     models = Models.learn({k: c for k, c in counts.items() if c}, order)
     first = Shared(spark, models)
-    judged = identify(sample.filter(F.col("rank") >= fit_rows).select("lang", "text"), first, keep=("lang",), prefix="")
+    judged = identify(sample.filter("not fit").select("lang", "text"), first, keep=("lang",), prefix="")
     seen = judged.filter("chars > 0 and lang_pred = lang").select("lang", "entropy", "chars").toPandas()
     _calibrate(models, seen)
     return Shared(spark, models)
 
 
 def _calibrate(models: Models, seen) -> None:
-    """Centres and limits of each language's cross-entropy from rows that the models haven't learned from."""
-    spread = []
+    """Centres and limits of each language's cross-entropy from rows that the models haven't learned from; a language with
+    few of them takes the limit, and with fewest the centre, of all."""
+    if not len(seen):
+        return
+    beyond, middle = [], float(seen["entropy"].median())
     for k, lang in enumerate(models.langs):
         own = seen[seen["lang"] == lang]
-        if len(own) >= 20:
-            models.centre[k] = own["entropy"].median()
-            beyond = (own["entropy"] - models.centre[k]) * np.sqrt(own["chars"].clip(upper=2000))
-            models.limit[k] = SAFETY * max(float(beyond.quantile(1 - TAIL)), 1.0)
-            spread.append(models.limit[k])
+        models.centre[k] = own["entropy"].median() if len(own) >= 5 else middle
+        beyond.append((own["entropy"] - models.centre[k]) * np.sqrt(own["chars"].clip(upper=2000)))
+    every = np.concatenate(beyond)
+    for k, b in enumerate(beyond):
+        models.limit[k] = SAFETY * max(float(np.quantile(b if len(b) >= 50 else every, 1 - TAIL)), 1.0)
 
 
 def identify(docs: DataFrame, shared: Shared, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
@@ -298,7 +295,7 @@ def identify(docs: DataFrame, shared: Shared, text_col: str = "text", keep: tupl
     names = [prefix + c for c in ("lang_pred", "score", "rejected", "entropy", "chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _identifier(shared)
+        known = remembered(("langid", shared.id), lambda: Identifier(shared.value))
         for part, texts in slices(batches, text_col, 512):
             langs, score, rejected, entropy, chars = known.identify(texts)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(langs, pa.string()), pa.array(score), pa.array(rejected), pa.array(entropy), pa.array(chars)], names=[*rest, *names])
