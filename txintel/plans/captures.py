@@ -2,7 +2,7 @@
 
 V_OBS reads order lines as announcements, V_NET user events as announcements of addresses, V_IO orders as transactions that
 spend and pay parts, V_WALLET a customer's orders as a wallet's successive payments, V_MIX a supplier's month as one
-transaction, V_COSPEND lines of an order as addresses spent together.
+transaction, V_COSPEND orders of one part, supplier and status as addresses spent together.
 """
 
 from __future__ import annotations
@@ -127,6 +127,6 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cospends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V_COSPEND: (txid, address)."""
-    t = table(spark, sf_dir, "lineitem").filter((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "R") & (F.col("l_linenumber") <= 2))
-    return t.select(F.col("l_orderkey").alias("txid"), F.col("l_partkey").alias("address"))
+    """V_COSPEND: (txid, address), lines of one part, supplier and status as a transaction that spends from their orders."""
+    t = table(spark, sf_dir, "lineitem")
+    return t.select(F.concat_ws("-", "l_partkey", "l_suppkey", "l_linestatus").alias("txid"), F.col("l_orderkey").alias("address"))

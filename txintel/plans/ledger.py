@@ -102,7 +102,7 @@ def entity_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CC = """{name} AS (SELECT n, min(l) AS root FROM (WITH RECURSIVE walk(n, l) AS (SELECT a, a FROM {edges} UNION SELECT e.b, w.l FROM walk w JOIN {edges} e ON e.a = w.n) SELECT * FROM walk) GROUP BY n)"""
-ENTITY_SQL = f"""WITH s AS (SELECT DISTINCT l_orderkey AS txid, l_partkey AS address FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'R' AND l_linenumber <= 2),
+ENTITY_SQL = f"""WITH s AS (SELECT DISTINCT l_partkey || '-' || l_suppkey || '-' || l_linestatus AS txid, l_orderkey AS address FROM lineitem),
 p AS (SELECT a.address AS a, b.address AS b FROM s a JOIN s b ON a.txid = b.txid AND a.address <> b.address), {_CC.format(name='cc', edges='p')},
 z AS (SELECT root, count(*) AS size FROM cc GROUP BY root), r AS (SELECT *, row_number() OVER (ORDER BY size DESC, root) AS k FROM z)
 SELECT n AS address, r.root AS entity, 'ENTITY_' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS entity_id, size FROM cc JOIN r ON r.root = cc.root"""

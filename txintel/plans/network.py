@@ -49,18 +49,17 @@ def origin_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def layer_join_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Announcements (of the first half of each month) against orders: how many match, on either side."""
-    obs = V.observations(spark, sf).filter(F.col("timestamp") % 5184000 < 2592000)
-    tx = table(spark, sf, "orders").select(F.col("o_orderkey").alias("txid")).filter("txid % 3 <> 0")
+    """Announcements against orders: how many match, on either side."""
+    obs = V.observations(spark, sf)
+    tx = table(spark, sf, "orders").select(F.col("o_orderkey").alias("txid"))
     first = origin.first_seen(obs)
     joined = tx.join(first, "txid", "left").agg(F.count("*").alias("transactions"), F.count("origin_ip").alias("observed"), F.count(F.when(F.col("origin_ip").isNull(), 1)).alias("unobserved"))
     lone = obs.join(tx, "txid", "left_anti").agg(F.count("*").alias("uncorrelated"))
     return joined.crossJoin(lone)
 
 
-LAYER_SQL = f"""WITH {V.OBS_SQL}, o AS (SELECT * FROM obs WHERE timestamp % 5184000 < 2592000), t AS (SELECT o_orderkey AS txid FROM orders WHERE o_orderkey % 3 <> 0)
-SELECT count(*) AS transactions, count(f.txid) AS observed, count(*) FILTER (f.txid IS NULL) AS unobserved, (SELECT count(*) FROM o WHERE txid NOT IN (SELECT txid FROM t)) AS uncorrelated
-FROM t LEFT JOIN (SELECT DISTINCT txid FROM o) f ON f.txid = t.txid"""
+LAYER_SQL = f"""WITH {V.OBS_SQL} SELECT count(*) AS transactions, count(f.txid) AS observed, count(*) FILTER (f.txid IS NULL) AS unobserved,
+(SELECT count(*) FROM obs WHERE txid NOT IN (SELECT o_orderkey FROM orders)) AS uncorrelated FROM orders LEFT JOIN (SELECT DISTINCT txid FROM obs) f ON f.txid = o_orderkey"""
 
 
 def _enriched(spark: SparkSession, sf: str) -> DataFrame:
