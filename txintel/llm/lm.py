@@ -56,13 +56,18 @@ def load_pieces(path: str) -> tuple[list[bytes], np.ndarray]:
 class Lattice:
     """Forward and backward sums over all segmentations, for many words at a time."""
 
-    def __init__(self, pieces: list[bytes], log_p: np.ndarray):
-        keys = np.array([self._hash_one(p) for p in pieces], np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.ids, self.log_p = keys[order], order, log_p
+    def __init__(self, index: tuple[np.ndarray, np.ndarray, int], log_p: np.ndarray):
+        self.keys, self.ids, self.longest = index
+        self.log_p = log_p
         self.there = np.zeros(1 << 20, bool)
-        self.there[keys >> np.uint64(44)] = True
-        self.longest = max(map(len, pieces))
+        self.there[self.keys >> np.uint64(44)] = True
+
+    @classmethod
+    def index(cls, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+        """Sorted hashes of the pieces, the pieces' places, and the longest piece's bytes; made once and broadcast."""
+        keys = np.array([cls._hash_one(p) for p in pieces], np.uint64)
+        order = np.argsort(keys)
+        return keys[order], order, max(map(len, pieces))
 
     @staticmethod
     def _next(h: np.ndarray, byte: np.ndarray) -> np.ndarray:
@@ -187,12 +192,12 @@ def count_words(docs: DataFrame, text_col: str = "text", train_col: str = "train
     return docs.select(text_col, train_col).mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit(counted: DataFrame, pieces: list[bytes], weights: np.ndarray, ends: int, passes: int = PASSES) -> tuple[np.ndarray, float]:
+def fit(counted: DataFrame, index: tuple[np.ndarray, np.ndarray, int], weights: np.ndarray, ends: int, passes: int = PASSES) -> tuple[np.ndarray, float]:
     """Log-probabilities of the pieces and the end, from all training words, each once. What reaches the driver is one number a piece."""
     log_p, log_end = _probabilities(weights, float(weights.sum()) / 500)
     spark = counted.sparkSession
     for _ in range(passes):
-        shared = spark.sparkContext.broadcast((pieces, log_p))
+        shared = spark.sparkContext.broadcast((index, log_p))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice, total = Lattice(*shared.value), 0.0
@@ -202,7 +207,7 @@ def fit(counted: DataFrame, pieces: list[bytes], weights: np.ndarray, ends: int,
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["piece", "uses"])
 
         found = counted.filter("c > 0").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
-        uses = np.full(len(pieces), EXTRA)
+        uses = np.full(len(weights), EXTRA)
         uses[found["piece"].to_numpy(np.int64)] += found["uses"].to_numpy(np.float64)
         log_p, log_end = _probabilities(uses, ends + EXTRA)
     return log_p, log_end
@@ -226,9 +231,10 @@ def lattice_scores(docs: DataFrame, path: str, folds: int = 7, fold: int = 2, id
     below = float(tokens + 1 * (kinds + 1))
     by_pieces = discount * (kinds - (ends > 0)) / tokens if tokens and kinds > 1 else 1.0
     pieces, weights = load_pieces(path)
-    log_p, log_end = fit(counted, pieces, weights, ends)
+    index = Lattice.index(pieces)
+    log_p, log_end = fit(counted, index, weights, ends)
     log_end = float(np.log(ends / tokens)) if ends else log_end
-    model = spark.sparkContext.broadcast((pieces, log_p))
+    model = spark.sparkContext.broadcast((index, log_p))
 
     def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*model.value)
