@@ -270,6 +270,23 @@ def case_narratives(spark: SparkSession, sf: str) -> DataFrame:
     return cases(spark, sf).select("case_id", C.narrative().alias("narrative"))
 
 
+def case_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every case's factors, strongest first: means of signals and contributions over its flagged transactions."""
+    tx, links = _flow(spark, sf)
+    edges = G.flow_edges(links)
+    rows = checkpoint(_evidence(tx, edges).withColumn("risk", X.risk(WEIGHTS, BIAS)).select("txid", "risk", *WEIGHTS))
+    core = C.members(rows, edges).filter("core").join(rows, "txid")
+    means = F.broadcast(rows.agg(*(F.avg(n).alias(f"mean_{n}") for n in WEIGHTS)))
+    per = core.groupBy("case_root").agg(*(F.avg(n).alias(n) for n in WEIGHTS)).crossJoin(means).withColumns(X.shap(WEIGHTS, {n: F.col(f"mean_{n}") for n in WEIGHTS}))
+    each = per.select("case_root", F.posexplode(X.factors(list(WEIGHTS))).alias("place", "f"))
+    return each.select("case_root", "place", "f.key", "f.label", "f.value", "f.shap")
+
+
+CASE_FACTORS_SQL = f"""WITH {_CASE_SQL}, mean AS (SELECT {', '.join(f'avg({n}) AS mean_{n}' for n in WEIGHTS)} FROM ev),
+pc AS (SELECT case_root, {', '.join(f'avg({n}) AS {n}' for n in WEIGHTS)} FROM m JOIN ev ON ev.txid = m.txid WHERE core GROUP BY case_root),
+u AS (SELECT case_root, unnest([{', '.join(f"{{'key': '{n}', 'label': {_said(n)}, 'v': {n}, 's': {w}::DOUBLE * ({n} - mean_{n})}}" for n, w in WEIGHTS.items())}]) AS f FROM pc, mean)
+SELECT case_root, (row_number() OVER (PARTITION BY case_root ORDER BY abs(round(f.s, 4)) DESC, f.key) - 1)::INT AS place, f.key AS key, f.label AS label, round(f.v, 4) AS value, round(f.s, 4) AS shap FROM u"""
+
 NARRATIVES_SQL = f"""WITH {_CASE_SQL} SELECT 'CASE-' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS case_id,
 concat_ws(' ', printf('%d linked transaction%s carrying %.4f BTC over %s.', tx_count, CASE WHEN tx_count = 1 THEN '' ELSE 's' END, inflow, duration),
 CASE WHEN typology LIKE '%CoinJoin%' THEN 'An equal-output mixing round breaks the link between senders and receivers.' END,
@@ -281,7 +298,7 @@ QUERIES = {
     "spend_links": spend_links, "flow_edges": flow_edges, "hetero_graph_counts": hetero_graph_counts, "respend_delays": respend_delays, "tx_degrees": tx_degrees, "peel_shaped": peel_shaped,
     "peel_chains": peel_chains, "coinjoin_score": coinjoin_score, "entity_clusters": entity_clusters, "tx_features": tx_features, "evidence_matrix": evidence_matrix, "risk_score": risk_score,
     "shap_values": shap_values, "explained_factors": explained_factors, "cases": cases, "case_flow": case_flow, "case_terminals": case_terminals, "case_origins": case_origins, "typologies": typologies,
-    "case_narratives": case_narratives,
+    "case_narratives": case_narratives, "case_factors": case_factors,
 }
 ORACLE_SQL = {
     "spend_links": f"WITH {V.IO_SQL}, {V.LINKS_SQL} SELECT * FROM links", "flow_edges": f"WITH {V.IO_SQL}, {V.LINKS_SQL} SELECT * FROM edges", "hetero_graph_counts": HETERO_SQL,
@@ -290,5 +307,5 @@ ORACLE_SQL = {
     "peel_shaped": PEEL_SQL, "peel_chains": CHAINS_SQL, "coinjoin_score": COINJOIN_SQL, "entity_clusters": ENTITY_SQL, "tx_features": FEATURES_SQL,
     "evidence_matrix": f"WITH {_EV_SQL} SELECT txid, {', '.join(f'round({n}, 6) AS {n}' for n in WEIGHTS)} FROM ev",
     "risk_score": f"WITH {_EV_SQL} SELECT txid, round(risk, 4) AS risk, {severity_sql('risk')} AS severity FROM scored",
-    "shap_values": SHAP_SQL, "explained_factors": FACTORS_SQL, "case_narratives": NARRATIVES_SQL, "cases": CASES_SQL, "case_flow": f"WITH {_CASE_SQL} SELECT * FROM cflow", "case_terminals": TERMINALS_SQL, "case_origins": ORIGINS_SQL, "typologies": TYPOLOGIES_SQL,
+    "shap_values": SHAP_SQL, "explained_factors": FACTORS_SQL, "case_narratives": NARRATIVES_SQL, "case_factors": CASE_FACTORS_SQL, "cases": CASES_SQL, "case_flow": f"WITH {_CASE_SQL} SELECT * FROM cflow", "case_terminals": TERMINALS_SQL, "case_origins": ORIGINS_SQL, "typologies": TYPOLOGIES_SQL,
 }
