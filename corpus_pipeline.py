@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txintel.llm import bpe, langid, mixing, quality, simhash
+from txintel.llm import bpe, langid, mixing, neardup, quality
 from txintel.runtime import ensure_checkpoint_dir, table
 
 #: A document stays if its quality score is at least this.
@@ -31,8 +31,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, that of least doc_id."""
-    return simhash.near_dedup(docs)
+    """Keeps one document of each group of near duplicates (five-word shingles, Jaccard 0.8 or more), that of least doc_id."""
+    return neardup.near_dedup(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -188,10 +188,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' rows without all but one of each component: the one of least id, nulls last, and of rows that share it the one of
-    least hash over all columns."""
+    """docs' rows without all but one of each component of simhash_components; first_of_each says which one stays."""
     keyed = docs.withColumn("__key", F.xxhash64(*docs.columns))
-    found = simhash_components(keyed, id_col, text_col, keep=("__key",)).withColumn("__id", F.col(id_col))
+    return first_of_each(keyed, simhash_components(keyed, id_col, text_col, keep=("__key",)), id_col).select(*docs.columns)
+
+
+def first_of_each(keyed: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """keyed's rows without all but one of each root: the one of least id, nulls last, and of rows that share it the one of
+    least __key. found: (id, __key, root) for every row."""
+    found = found.withColumn("__id", F.col(id_col))
     alike = found.groupBy("root", "__id", "__key").agg(F.count("*").alias("copies"))
     first = alike.groupBy("root").agg(F.min(F.struct(F.col("__id").isNull().alias("last"), "__id", "__key", "copies")).alias("x"))
     kept = checkpoint(first.select("x.__id", "x.__key", "x.copies"))
@@ -203,7 +208,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     out = rows(kept.filter("copies = 1"))
     if kept.filter("copies > 1").head(1):
         out = out.unionByName(rows(kept.filter("copies > 1")).dropDuplicates(["__key"]))
-    return out.select(*docs.columns)
+    return out
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
