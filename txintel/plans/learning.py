@@ -96,17 +96,43 @@ def isolation_forest(spark, sf):
     return L.isolation_scores(rows, *L.fit_isolation_forest(rows)).withColumn("anomaly", F.round("anomaly", 6))
 
 
+def bounded_graph(rows: DataFrame, edges: DataFrame, targets: int, most: int = L.TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(x, src, dst, label, mask): at most targets rows by hash, which mask marks, with all that two layers see of them.
+
+    All edges of the targets and of their neighbours are there, so both layers' means are those of the whole graph wherever a
+    target's score depends on them. Where that makes over most nodes there are fewer targets, never fewer neighbours.
+    """
+    ids = rows.select("id")
+    both = edges.join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi").select("src", "dst")
+    both = checkpoint(both)
+
+    def touching(some: DataFrame) -> DataFrame:
+        return both.join(some.toDF("src"), "src", "left_semi").select("src", "dst").unionByName(both.join(some.toDF("dst"), "dst", "left_semi").select("src", "dst")).distinct()
+
+    def with_ends(some: DataFrame, met: DataFrame) -> DataFrame:
+        return some.unionByName(met.select(F.col("src").alias("id"))).unionByName(met.select(F.col("dst").alias("id"))).distinct()
+
+    while True:
+        chosen = checkpoint(ids.orderBy(F.xxhash64("id"), "id").limit(targets))
+        near = checkpoint(with_ends(chosen, touching(chosen)))
+        met = checkpoint(touching(near))
+        nodes = checkpoint(with_ends(near, met))
+        if targets == 1 or nodes.count() <= most:
+            break
+        targets = max(1, targets // 2)
+    data = rows.join(nodes, "id", "left_semi").orderBy("id").toPandas()
+    place = {int(k): n for n, k in enumerate(data["id"])}
+    some = met.orderBy("src", "dst").toPandas()
+    src, dst = (some[c].map(place).to_numpy(np.int64) for c in ("src", "dst"))
+    mask = data["id"].isin(chosen.toPandas()["id"]).to_numpy()
+    return np.array(data["x"].tolist()), src, dst, data["label"].to_numpy(), mask
+
+
 def graphsage_score(spark, sf):
-    """A network trained on a bounded sample of the vectors (label 0 against the rest), applied to all of them."""
+    """A network trained on a bounded sample of the vectors (label 0 against the rest) and all their neighbours, applied to all."""
     rows, edges = checkpoint(_vectors(spark, sf)), checkpoint(_vector_edges(spark, sf))
-    few = checkpoint(rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS))
-    data = few.orderBy("id").toPandas()
-    place = {int(k): n for n, k in enumerate(data["id"])}
-    ids = few.select("id")
-    inside = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    some = inside.orderBy("src", "dst").toPandas()
-    src, dst = (some[c].map(place).to_numpy() for c in ("src", "dst"))
-    net = L.train_graph_net(np.array(data["x"].tolist()), src, dst, (data["label"] == 0).to_numpy().astype(float), hidden=16, epochs=40)
+    x, src, dst, label, mask = bounded_graph(rows, edges, FIT_ROWS)
+    net = L.train_graph_net(x, src, dst, (label == 0).astype(float), hidden=16, epochs=40, mask=mask)
     return net.scores(rows.select("id", "x"), edges).withColumn("gnn_prob", F.round("gnn_prob", 6))
 
 
