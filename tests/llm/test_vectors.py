@@ -49,6 +49,13 @@ def test_topk_repeats_large_values_and_empty(spark):
     assert topk.top_k(frame(spark, [])).count() == 0
 
 
+def test_topk_query_alone_in_its_length(spark):
+    rows = [(k, [float(k), 1.0]) for k in range(50)]
+    for alone in (-20, 60):
+        got = topk.top_k(frame(spark, [*rows, (alone, [1.0, 2.0, 3.0])]), k=3).collect()
+        assert sorted(r.query_id for r in got) == [0] * 3 + [20] * 3 + [40] * 3
+
+
 def test_ann_recall_and_exact_scores(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     rows = [(r.vec_id, list(map(float, r.embedding))) for r in v.collect()]

@@ -47,6 +47,8 @@ def _histogram(k: int, width: int, before: int):
         for i, own in enumerate(q_ids.tolist()):
             s = scores[i][c_ids != own]
             if state:
+                if at[i] == len(state["query_id"]) or state["query_id"][at[i]] != own:
+                    continue
                 s = s[s // before == state["bin"][at[i]]]
             if len(s) > k:  # below the block's own kth score lies nothing that counts
                 s = s[s // width >= np.partition(s, len(s) - k)[len(s) - k] // width]
@@ -59,12 +61,14 @@ def _histogram(k: int, width: int, before: int):
 
 
 def _choice(k: int):
-    """Rows above the kth score, and those of the smallest ids that equal it."""
+    """Rows above the kth score, and those of the smallest ids that equal it. A query that met no other row has no state."""
 
     def found(q_ids, q, c_ids, c, state) -> Iterator[pa.RecordBatch]:
         scores, at = inner_products(q, c), np.searchsorted(state["query_id"], q_ids)
         ids, vecs, got = [], [], []
         for i, own in enumerate(q_ids.tolist()):
+            if at[i] == len(state["query_id"]) or state["query_id"][at[i]] != own:
+                continue
             s, kth = scores[i], state["bin"][at[i]]
             others = c_ids != own
             equal = np.flatnonzero((s == kth) & others)[: k - int(state["above"][at[i]])]  # a block's ids ascend
