@@ -1,9 +1,12 @@
 """Exact and approximate search against brute force."""
 
+from collections import Counter, defaultdict
+
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tests.llm.util import SF
 from txintel.llm import ann, topk
 
 
@@ -21,60 +24,132 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS score", "2 AS rank", "3 AS block", "4 AS dim")
 
 
-def fine(rows, zero=True):
-    return [(k, v) for k, v in rows if k is not None and v and all(a is not None and np.isfinite(a) for a in v) and (zero or any(v))]
+def fine(rows, empty=True, zero=True):
+    return [(k, v) for k, v in rows if k is not None and v is not None and (v or empty) and all(a is not None and np.isfinite(a) for a in v) and (zero or any(v))]
+
+
+def brute(rows, every, k, score, empty=True, zero=True):
+    """(query id, rank, id, score) of every query row, each row being a candidate of all others."""
+    rows = fine(rows, empty, zero)
+    out = Counter()
+    for n, (q, a) in enumerate(rows):
+        if q % every == 0:
+            found = sorted((-score(a, b), i) for m, (i, b) in enumerate(rows) if m != n and len(a) == len(b))[:k]
+            out.update((q, r + 1, i, -s) for r, (s, i) in enumerate(found))
+    return out
+
 
+dot = lambda a, b: max(topk.LEAST, min(topk.MOST, sum(int(np.floor(64 * x)) * int(np.floor(64 * y)) for x, y in zip(a, b))))
+cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
 
-def brute(rows, every, k, score, zero=True):
-    rows = fine(rows, zero)
-    return {q: sorted(((-score(a, b), i) for i, b in rows if i != q and len(a) == len(b)))[:k] for q, a in rows if q % every == 0}
+
+def told(df):
+    return Counter((r.query_id, r.rank, r.vec_id, r.score) for r in df.collect())
 
 
 @pytest.mark.parametrize("k", [3, 20, 2000])
 def test_topk_exact(spark, k):
     rows = table(spark) + ODD
-    got = topk.top_k(frame(spark, rows), k=k).collect()
-    dot = lambda a, b: int(sum(np.floor(64 * x) * np.floor(64 * y) for x, y in zip(a, b)))
-    want = {(q, r + 1, i, -s) for q, found in brute(rows, 20, k, dot).items() for r, (s, i) in enumerate(found)}
-    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == want and len(got) == len(want)
-
-
-def test_topk_repeats_large_values_and_empty(spark):
-    rows = [(0, [1e9, -1e9]), (0, [2e9, 1.0]), (1, [1e9, 1e9]), (2, [-1e9, 5.0]), (20, [0.25, 0.5]), (20, [0.25, 0.5])]
-    got = {(r.query_id, r.vec_id): r.score for r in topk.top_k(frame(spark, rows)).collect()}
-    f = lambda v: [int(np.floor(64 * x)) for x in v]
-    dot = lambda a, b: max(topk.LEAST, min(topk.MOST, sum(x * y for x, y in zip(f(a), f(b)))))
-    least = {0: [1e9, -1e9], 1: [1e9, 1e9], 2: [-1e9, 5.0], 20: [0.25, 0.5]}
-    assert got == {(q, i): dot(least[q], least[i]) for q in (0, 20) for i in least if i != q}
+    assert told(topk.top_k(frame(spark, rows), k=k)) == brute(rows, 20, k, dot)
+
+
+def test_topk_repeated_ids_large_values_and_empty(spark):
+    rows = [(0, [1e9, -1e9]), (0, [2e9, 1.0]), (1, [1e9, 1e9]), (2, [-1e9, 5.0]), (20, [0.25, 0.5]), (20, [0.25, 0.5]), (40, []), (41, []), (41, [])]
+    assert told(topk.top_k(frame(spark, rows))) == brute(rows, 20, 20, dot)
+    assert told(topk.top_k(frame(spark, [(0, [0.0, 1.0]), (1, [0.0, 1.0]), (1, [9.0, 0.0]), (2, [24.0, 24.0])]))) == Counter({(0, 1, 2, 64 * 64 * 24): 1, (0, 2, 1, 4096): 1, (0, 3, 1, 0): 1})
     assert topk.top_k(frame(spark, [])).count() == 0
 
 
 def test_topk_query_alone_in_its_length(spark):
     rows = [(k, [float(k), 1.0]) for k in range(50)]
-    for alone in (-20, 60):
+    for alone in (-20, 30 * 20, 60):
         got = topk.top_k(frame(spark, [*rows, (alone, [1.0, 2.0, 3.0])]), k=3).collect()
         assert sorted(r.query_id for r in got) == [0] * 3 + [20] * 3 + [40] * 3
 
 
-def test_ann_recall_and_exact_scores(spark):
-    v = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+def test_topk_sql_agrees_on_odd_rows(spark):
+    rows = [*table(spark, 380), *ODD, (20, [1.0] * 8), (20, [2.0] * 8), (7, [3.0] * 8), (7, [3.0] * 8)]
+    c = duckdb.connect()
+    c.register("given", pa.table({"vec_id": pa.array([k for k, _ in rows], pa.int64()), "embedding": pa.array([v for _, v in rows], pa.list_(pa.float64()))}))
+    c.sql("CREATE VIEW embeddings AS SELECT * FROM given")
+    assert Counter(c.sql(topk.OP1_SQL).fetchall()) == told(topk.top_k(frame(spark, rows)))
+
+
+def test_topk_many_blocks(spark, monkeypatch):
+    for name, value in (("CANDIDATES", 90), ("QUERIES", 3)):
+        monkeypatch.setattr(topk, name, value)
+    rows = table(spark) + [(20, [5.0] * 8)]
+    assert told(topk.top_k(frame(spark, rows), k=7)) == brute(rows, 20, 7, dot)
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+def test_ann_recall_and_exact_scores(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     rows = [(r.vec_id, list(map(float, r.embedding))) for r in v.collect()]
-    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
-    for share, enough, least in ((0.5, 4000, 0.9), (0.05, 50, 0.2)):
-        got = ann.nearest(v, share=share, enough=enough).collect()
-        want = brute(rows, 50, 5, cos)
-        found = {q: {r.vec_id for r in got if r.query_id == q} for q in want}
-        assert np.mean([len(found[q] & {i for _, i in w}) / len(w) for q, w in want.items()]) >= least
+    got = ann.nearest(v).collect()
+    found = defaultdict(set)
+    for r in got:
+        found[r.query_id].add(r.vec_id)
     by = dict(rows)
+    ids, x = np.array([k for k, _ in rows]), np.array([v for _, v in rows])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    recalls = []
+    for q in ids[ids % 50 == 0]:
+        near = unit @ unit[ids == q][0]
+        near[ids == q] = -2
+        recalls.append(len(found[q] & set(ids[np.argsort(-near)[:5]].tolist())) / 5)
+    assert np.mean(recalls) >= 0.93
     assert all(abs(r.score - cos(by[r.query_id], by[r.vec_id])) < 1e-12 for r in got)
 
 
+@pytest.mark.parametrize("n", [500, 2000, 50_000])
+def test_forest_verifies_an_eighth_and_finds_nine_tenths(n):
+    """Near-uniform vectors, the hardest: recall at 5 over all blocks, and the share of rows verified in each."""
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    queries = np.arange(0, n, max(4, n // 120))
+    best: dict = {q: [] for q in queries.tolist()}
+    for at in np.array_split(np.arange(n), -(-n // ann.CANDIDATES)):
+        forest = ann.Forest(at, at, x[at])
+        for i, found, s, cost in ann.search(forest, queries, x[queries], 5):
+            assert cost <= max(6, 0.12 * len(at) + 1)
+            best[int(queries[i])] += zip(s.tolist(), at[found].tolist())
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q, got in best.items():
+        near = unit @ unit[q]
+        near[q] = -2
+        hits += len({k for _, k in sorted(got, reverse=True)[:5]} & set(np.argsort(-near)[:5].tolist()))
+    assert hits / (5 * len(queries)) >= 0.9
+
+
+def test_forest_slices_are_prefix_matches_and_longest_is_the_longest():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 8))
+    x[250:] = x[3]
+    f = ann.Forest(np.arange(300), np.arange(300), x, trees=16, bits=20, pool=64)
+    q = np.vstack([rng.normal(size=(20, 8)), x[3]])
+    own, all_ = ann.codes(q, f.pool, 16, 20), ann.codes(x, f.pool, 16, 20)
+    for d in (1, 5, 12, 13, 20):
+        a, b = f.slices(own, d)
+        for t in range(16):
+            for i in range(len(q)):
+                assert set(f.order[t, a[t, i] : b[t, i]]) == set(np.flatnonzero(all_[t] >> (20 - d) == own[t, i] >> (20 - d)))
+    shared = lambda u, v: 20 - int(u ^ v).bit_length()
+    assert f.longest(own).tolist() == [max(shared(all_[t, r], own[t, i]) for t in range(16) for r in range(300)) for i in range(len(q))]
+    low, high, depth = f.ascend(q, 2.0)
+    for i in range(len(q)):
+        at = lambda d, i=i: sum(int((all_[t] >> (20 - d) == own[t, i] >> (20 - d)).sum()) for t in range(16))
+        want = max((d for d in range(1, 21) if at(d) >= 600), default=0)
+        assert depth[i] == want and (high[:, i] - low[:, i]).sum() == (at(want) if want else 16 * 300)
+
+
 def test_ann_ties_and_odd_rows(spark):
-    rows = table(spark) + ODD
+    rows = table(spark) + ODD + [(50, [1.0] * 8), (51, [1.0] * 8), (51, [-1.0] * 8)]
     got = ann.nearest(frame(spark, rows), every=50).collect()
     same = [r for r in got if r.query_id == 150]
     assert [r.vec_id for r in sorted(same, key=lambda r: r.rank)] == [100, 101, 102, 103, 104]
-    assert {r.query_id for r in got} == {q for q, _ in fine(rows, False) if q % 50 == 0}
+    assert Counter(r.query_id for r in got) == Counter({q: n * min(5, len(rows)) for q, n in Counter(q for q, _ in fine(rows, False, False) if q % 50 == 0).items()})
+    assert any(r.query_id == 50 and r.rank == 1 and r.vec_id == 51 and abs(r.score - 1) < 1e-12 for r in got)
     small = ann.nearest(frame(spark, [(0, [1.0, 0.0]), (1, [2.0, 1.0]), (2, [0.0, 0.0])]), every=50).collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in small] == [(0, 1, 1)]
     assert ann.nearest(frame(spark, [])).count() == 0

@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by a forest of hash prefixes.
 
-Every tree is a sorted array of long bit strings, one a row, from the signs of random projections. A query descends in all
-trees of a block of candidates to its longest prefix match, then ascends in all of them together, a bit at a time, until the
-rows under its prefixes are enough; those are verified by their exact cosine. Each block of candidates has its own forest, all
-blocks are searched, and the best of all blocks are kept, so no forest outgrows one task.
+Every tree is a sorted array of long bit strings, one a row, from the signs of random projections: each tree takes its bits in
+an order of its own from one pool of directions. A query descends in all trees of a block of candidates to its longest prefix
+match, then ascends in all of them together, a bit at a time, until the rows under its prefixes, counted once a tree, are so
+many times the block's. The rows that most trees hold there are its candidates, a fixed share of the block, and these alone are
+verified by their exact cosine. Each block of candidates has its own forest, built once for many queries; all blocks are
+searched, and the best of all are kept, so no forest outgrows one task.
 """
 
 from __future__ import annotations
@@ -15,60 +17,100 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from txintel.llm.vectors import CANDIDATES, QUERIES, block_count, blocks, is_query, over_pairs, usable
+from txintel.llm.vectors import CANDIDATES, QUERIES, block_count, blocks, is_query, past_blocks, usable
 from txintel.runtime import checkpoint, table
 
-TREES, BITS, SEED = 64, 20, 20
-#: A query ascends until the rows under its prefixes, over all trees, are this share of a block's rows and this many.
-SHARE, ENOUGH = 0.5, 4000
+TREES, BITS, POOL, SEED = 512, 24, 2048, 20
+#: An ascent ends when the slices of all trees together hold this many times the block's rows.
+TOUCHED = 8.0
+#: Of a block's rows, the share that is verified.
+SHARE = 0.12
+#: First bits whose slices are looked up in a table; beyond them they are searched for.
+_TABLE = 12
 
 
-def projections(dim: int, trees: int = TREES, bits: int = BITS) -> np.ndarray:
-    """Random directions, the same wherever they are drawn."""
-    return np.random.default_rng([SEED, dim]).standard_normal((dim, trees * bits)).astype(np.float32)
+def directions(dim: int, pool: int = POOL) -> np.ndarray:
+    """Random directions, the same wherever they are drawn, orthogonal by groups of dim."""
+    rng = np.random.default_rng([SEED, dim])
+    return np.hstack([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-pool // dim))])[:, :pool].astype(np.float32)
 
 
-def codes(x: np.ndarray, directions: np.ndarray, bits: int = BITS) -> np.ndarray:
+def codes(x: np.ndarray, pool: np.ndarray, trees: int = TREES, bits: int = BITS) -> np.ndarray:
     """One row a tree: each vector's bit string as an integer, first bit highest."""
+    rng = np.random.default_rng(SEED)
+    order = np.stack([rng.permutation(pool.shape[1])[:bits] for _ in range(trees)])
     unit = (x / np.abs(x).max(axis=1, keepdims=True)).astype(np.float32)
-    signs = (unit @ directions > 0).reshape(len(x), -1, bits)
-    return np.ascontiguousarray((signs @ (1 << np.arange(bits - 1, -1, -1))).T)
+    signs = np.ascontiguousarray((unit @ pool > 0).T)
+    out = np.zeros((trees, len(x)), np.uint32)
+    for k in range(bits):
+        out <<= np.uint32(1)
+        out |= signs[order[:, k]]
+    return out
 
 
 class Forest:
     """Sorted arrays of one block of candidates."""
 
-    def __init__(self, x: np.ndarray, trees: int = TREES, bits: int = BITS):
-        self.x, self.bits, self.directions = x, bits, projections(x.shape[1], trees, bits)
-        found = codes(x, self.directions, bits)
-        self.order = np.argsort(found, axis=1, kind="stable")
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray, trees: int = TREES, bits: int = BITS, pool: int = POOL):
+        self.rows, self.ids, self.x, self.bits = rows, ids, x, bits
+        self.pool = directions(x.shape[1], pool)
+        found = codes(x, self.pool, trees, bits)
+        self.order = np.argsort(found, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(found, self.order, axis=1)
-
-    def ranges(self, q: np.ndarray, share: float, enough: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each tree and query, the slice of the sorted array under the query's prefix where its ascent ends."""
-        own = codes(q, self.directions, self.bits)
-        want = max(share * len(self.x), enough)
-        low, high = np.zeros(own.shape, np.int64), np.full(own.shape, len(self.x))
+        self.table = min(_TABLE, bits)
+        first = (self.sorted >> np.uint32(bits - self.table)).astype(np.int64)
+        counts = np.bincount(((np.arange(trees) * ((1 << self.table) + 1))[:, None] + first + 1).ravel(), minlength=trees * ((1 << self.table) + 1))
+        self.starts = counts.reshape(trees, -1).cumsum(axis=1).astype(np.int32)
+
+    def longest(self, own: np.ndarray) -> np.ndarray:
+        """For each query, the length of the longest prefix that it shares with a row in some tree."""
+        best = np.zeros(own.shape[1], np.int64)
+        for s, c in zip(self.sorted, own, strict=True):
+            at = np.searchsorted(s, c)
+            apart = np.minimum(s[np.minimum(at, len(s) - 1)] ^ c, s[np.maximum(at - 1, 0)] ^ c)
+            best = np.maximum(best, self.bits - np.frexp(apart.astype(np.float64))[1])
+        return best
+
+    def slices(self, own: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each tree and query, the slice of the sorted array under the query's prefix of depth bits."""
+        if depth <= self.table:
+            prefix = (own >> np.uint32(self.bits - depth)).astype(np.int64) << (self.table - depth)
+            return np.take_along_axis(self.starts, prefix, axis=1), np.take_along_axis(self.starts, prefix + (1 << (self.table - depth)), axis=1)
+        cut = np.uint32(self.bits - depth)
+        low = own >> cut << cut
+        high = low + np.uint32((1 << (self.bits - depth)) - 1)
+        return (np.stack([np.searchsorted(s, v, side) for s, v in zip(self.sorted, x, strict=True)]) for x, side in ((low, "left"), (high, "right")))
+
+    def ascend(self, q: np.ndarray, touched: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slices of each tree and query where the query's ascent ends, and the depth there."""
+        own = codes(q, self.pool, len(self.sorted), self.bits)
+        want = touched * len(self.x)
+        low, high, ends = np.zeros(own.shape, np.int64), np.full(own.shape, len(self.x)), np.zeros(own.shape[1], np.int64)
+        depth = self.longest(own)
+        # a shorter prefix has all rows of a longer one: who hasn't enough at the table's depth needs no search below it
+        a, b = self.slices(own, self.table)
+        depth = np.where((b - a).sum(axis=0) < want, np.minimum(depth, self.table), depth)
         open_ = np.arange(own.shape[1])
-        # prefixes longer than this tell apart what shorter ones of a block of this size already do
-        for depth in range(min(self.bits, len(self.x).bit_length() + 2), 0, -1):
-            if not len(open_):
-                break
-            cut = self.bits - depth
-            first = own[:, open_] >> cut << cut
-            a = np.stack([np.searchsorted(s, f) for s, f in zip(self.sorted, first, strict=True)])
-            b = np.stack([np.searchsorted(s, f + (1 << cut)) for s, f in zip(self.sorted, first, strict=True)])
+        for d in range(int(depth.max(initial=0)), 0, -1):
+            at = open_[depth[open_] >= d]
+            if not len(at):
+                continue
+            a, b = self.slices(own[:, at], d)
             full = (b - a).sum(axis=0) >= want
-            low[:, open_[full]], high[:, open_[full]] = a[:, full], b[:, full]
-            open_ = open_[~full]
-        return low, high
-
-    def candidates(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Rows in any of the slices of one query."""
-        mask = np.zeros(len(self.x), bool)
-        for rows, a, b in zip(self.order, low.tolist(), high.tolist(), strict=True):
-            mask[rows[a:b]] = True
-        return np.flatnonzero(mask)
+            low[:, at[full]], high[:, at[full]], ends[at[full]] = a[:, full], b[:, full], d
+            open_ = np.setdiff1d(open_, at[full])
+        return low, high, ends
+
+    def candidates(self, low: np.ndarray, high: np.ndarray, most: int) -> np.ndarray:
+        """The most rows that are in the most slices of one query; of those in as many, the first."""
+        sizes = high - low
+        flat = np.arange(sizes.sum()) + np.repeat(low + np.arange(len(low)) * len(self.x) - np.cumsum(sizes) + sizes, sizes)
+        votes = np.bincount(self.order.ravel()[flat], minlength=len(self.x))
+        if most >= len(votes):
+            return np.arange(len(votes))
+        cut = np.partition(votes, len(votes) - most)[len(votes) - most]
+        above = np.flatnonzero(votes > cut)
+        return np.sort(np.concatenate((above, np.flatnonzero(votes == cut)[: most - len(above)])))
 
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -78,34 +120,44 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (b * a).sum(axis=1) / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum(axis=1)))
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", share: float = SHARE, enough: int = ENOUGH) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query, an id divisible by every, the k nearest found among the other rows.
+def search(forest: Forest, q_rows: np.ndarray, q: np.ndarray, k: int, touched: float = TOUCHED, share: float = SHARE) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(place of the query, rows found, their cosines, rows verified) for each query; at most k rows, nearest first."""
+    low, high, _ = forest.ascend(q, touched)
+    most = max(k + 1, int(np.ceil(share * len(forest.x))))
+    for i, own in enumerate(q_rows.tolist()):
+        found = forest.candidates(low[:, i], high[:, i], most)
+        s = cosines(q[i], forest.x[found])
+        s[forest.rows[found] == own] = -np.inf
+        best = np.lexsort((forest.ids[found], -s))[:k]
+        best = best[s[best] > -np.inf]
+        yield i, found[best], s[best], len(found)
+
+
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", touched: float = TOUCHED, share: float = SHARE) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query, a row whose id is divisible by every, the k nearest found among all rows
+    but itself.
 
-    Nearness is the largest cosine, ties go to the smaller id. Vectors null, empty, zero or with null or non-finite components,
-    null ids and, of rows with one id, all but the least vector take no part; vectors meet only those of their own length. All
-    rows are indexed. With fewer than k candidates all are returned; an empty table gives no rows.
+    Nearness is the largest cosine, ties go to the smaller id. Vectors null, empty, zero or with null or non-finite components
+    and rows with a null id take no part; rows that share an id are rows like others, each query row with ranks of its own.
+    Vectors meet only those of their own length. All rows are indexed. With fewer than k candidates all are returned; an empty
+    table gives no rows.
     """
     rows = usable(vectors, id_col, vec_col).filter(F.exists("vec", lambda x: x != 0))
     n, m = rows.agg(F.count("*"), F.count(F.when(is_query(every), 1))).first()
     c_number, q_number = block_count(n, CANDIDATES), block_count(m, QUERIES)
 
-    def search(q_ids, q, c_ids, c, state) -> Iterator[pa.RecordBatch]:
-        forest = Forest(c)
-        low, high = forest.ranges(q, share, enough)
-        ids, vecs, got = [], [], []
-        for i, own in enumerate(q_ids.tolist()):
-            found = forest.candidates(low[:, i], high[:, i])
-            found = found[c_ids[found] != own]
-            s = cosines(q[i], c[found])
-            best = np.lexsort((c_ids[found], -s))[:k]
-            ids.append(np.full(len(best), own)), vecs.append(c_ids[found[best]]), got.append(s[best])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, vecs, got)], names=["query_id", "vec_id", "score"])
+    def found(forest, q_rows, q_ids, q, state) -> Iterator[pa.RecordBatch]:
+        queries, ids, vecs, got = [], [], [], []
+        for i, at, s, _ in search(forest, q_rows, q, k, touched, share):
+            queries.append(np.full(len(at), q_rows[i])), ids.append(np.full(len(at), q_ids[i])), vecs.append(forest.ids[at]), got.append(s)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (queries, ids, vecs, got)], names=["query_row", "query_id", "vec_id", "score"])
 
     c, q = checkpoint(blocks(rows, c_number)), checkpoint(blocks(rows.filter(is_query(every)), q_number))
-    found = over_pairs(c, q, c_number, q_number, search, "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    every_best = past_blocks(c, q, c_number, q_number, Forest, found, "query_row bigint, query_id bigint, vec_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
+    return every_best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's 5 nearest found over the whole table of vectors; nearest says what odd rows give."""
     return nearest(table(spark, sf_dir, "embeddings"))
