@@ -138,6 +138,29 @@ def test_targets_words_and_bounds(spark, sources):
         assert abs(taken[s] - target[s]) <= 50
 
 
+@pytest.mark.parametrize("key", [5, None])
+def test_rows_of_one_id_are_drawn_one_by_one(spark, key):
+    """A source whose rows all share an id, and one whose rows are all equal, come as near to their targets as any."""
+    rows = [(key, f"word{k} " * 10, "a") for k in range(1000)] + [(9, "all the same words here", "b")] * 1000 + [(10_000 + k, "w " * 20, "c") for k in range(1000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.size] += r.taken
+        target[r.size] = r.target
+    assert len(got) == len(rows) and set(taken) == {10, 5, 20}
+    assert all(abs(taken[s] - target[s]) <= s for s in taken)
+
+
+def test_mix_of_repeated_rows_matches_sql(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    both = docs.union(docs.limit(40)).union(docs.limit(40)).union(docs.filter("doc_id < 30").selectExpr("1 AS doc_id", "text", "source"))
+    c = duckdb.connect()
+    c.register("given", both.toPandas())
+    c.sql("CREATE VIEW documents AS SELECT * FROM given")
+    got = mixing.mix(both).drop("copies")
+    assert Counter(c.sql(queries.ORACLE_SQL["op5_mixing"]).fetchall()) == Counter(tuple(r) for r in got.collect())
+
+
 def test_mixed_rows_repeat_whole_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
@@ -148,7 +171,7 @@ def test_mixed_rows_repeat_whole_documents(spark):
 
 
 def test_shards(spark):
-    docs = odd_docs(spark).filter("doc_id is null or doc_id > -3 or doc_id < -6")
+    docs = odd_docs(spark).filter("doc_id is null or doc_id not in (-3, -6)")  # texts larger than a shard of this small table
     got = sharding.shard(docs, shards=8).collect()
     rows = docs.select("doc_id", "text").collect()
     assert Counter((r.doc_id, r.size, r.crc) for r in got) == Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in rows)
@@ -166,16 +189,59 @@ def test_shards(spark):
     assert sharding.shard(empty_docs(spark)).count() == 0
 
 
-def test_shards_split_a_huge_group_evenly_and_keep_small_ones(spark):
-    rows = [(k, "the very same text " * 5) for k in range(4000)] + [(10_000 + k, f"text number {k % 1500} " * (1 + k % 7)) for k in range(3000)]
-    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=24).collect()
+def shard_sizes(got):
     sums, homes = defaultdict(int), defaultdict(set)
     for r in got:
         sums[r.shard] += r.size
         homes[r.hash].add(r.shard)
+    return sums, homes
+
+
+def test_shards_split_a_huge_group_evenly_and_keep_others_whole(spark):
+    rows = [(k, "the very same text " * 5) for k in range(4000)] + [(10_000 + k, f"text number {k % 1500} " * (1 + k % 7)) for k in range(3000)]
+    rows += [(20_000 + k, f"a group of middle size, number {k % 6}") for k in range(600)]
+    sums, homes = shard_sizes(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=24).collect())
+    mean = sum(sums.values()) / 24
+    assert len(sums) == 24 and all(abs(s - mean) < 0.05 * mean for s in sums.values())
+    assert sum(len(h) > 1 for h in homes.values()) == 1
+
+
+@pytest.mark.parametrize("key", [7, None])
+def test_shards_of_repeated_rows(spark, key):
+    rows = [(key, "again and again")] * 3000 + [(10_000 + k, f"text number {k} " * (1 + k % 3)) for k in range(1500)]
+    sums, _ = shard_sizes(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     mean = sum(sums.values()) / 24
     assert len(sums) == 24 and all(abs(s - mean) < 0.05 * mean for s in sums.values())
-    assert sum(len(h) > 1 for h in homes.values()) <= 25
+
+
+def test_cuts_are_exact_weighted_medians(spark):
+    """Levels of the tree against sorting: each cut divides its node's weight as its goals divide, along the widest dimension."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(rng.randrange(1 << 20), rng.randrange(1 << 12), rng.randrange(1 << 32), rng.randrange(1, 90)) for _ in range(800)]
+    goals = [3.0, 1.0, 2.0, 2.0, 4.0]
+    levels = sharding.kd_tree(spark.createDataFrame(rows, "a long, b long, tie long, w long"), ["a", "b"], "w", goals, near=0.0)
+    spans = [max(r[k] for r in rows) - min(r[k] for r in rows) for k in (0, 1)]
+
+    def check(own, level, node, n):
+        if n == 1:
+            return
+        cut = levels[level][node]
+        widths = [(max(r[k] for r in own) - min(r[k] for r in own)) / spans[k] for k in (0, 1)]
+        assert cut.dim == "ab"[widths.index(max(widths))]
+        key = lambda r: r["ab".index(cut.dim)] * (1 << 32) + r[2]
+        goal = sum(r[3] for r in own) * sum(goals[node : node + n // 2]) / sum(goals[node : node + n])
+        below, nearest = 0, abs(goal)
+        for r in sorted(own, key=key):
+            below += r[3]
+            nearest = min(nearest, abs(below - goal))
+        left, right = [r for r in own if key(r) < cut.cut], [r for r in own if key(r) >= cut.cut]
+        assert abs(sum(r[3] for r in left) - goal) == pytest.approx(nearest)
+        check(left, level + 1, cut.left, n // 2)
+        check(right, level + 1, cut.right, n - n // 2)
+
+    check(rows, 0, 0, len(goals))
 
 
 def test_few_documents(spark):
