@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline as P
 from tests.llm.util import SF, odd_docs, words
 from txintel.llm import neardup as N
@@ -58,13 +61,34 @@ def test_stage_finds_all_planted_copies(spark):
     assert len(got) < simhash.near_dedup(docs).count()
 
 
-def test_common_shingles_change_no_result(spark, monkeypatch):
+def test_crowded_buckets_change_no_result(spark, monkeypatch):
     rows = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(N, "OFTEN", 10**6)
+    monkeypatch.setattr(N, "crowd", lambda *_: 2.0)
     assert sorted(r.doc_id for r in N.near_dedup(docs).collect()) == sorted(min(g) for g in brute_groups(rows))
 
 
+@pytest.mark.parametrize("similar, least", [(0.8, 0.99), (0.85, 0.998), (0.9, 0.999)])
+def test_pairs_at_the_threshold_are_found(similar, least):
+    """Recall of the plan on pairs of sets of just that similarity, and that no such pair is dropped by fingerprints."""
+    rng = np.random.default_rng(7)
+    bits, other, word_ok, all_ok = [], [], 0, 0
+    for _ in range(1500):
+        n = int(rng.integers(20, 600))
+        both = round(2 * n * similar / (1 + similar))
+        h = rng.integers(0, 2**63, 2 * n - both).astype(np.uint64)
+        a, b = (np.unpackbits(np.frombuffer(N.wide_fingerprint(x), np.uint8)) for x in (h[:n], h[n - both :]))
+        word_ok += (a[:64] != b[:64]).sum() <= N.most_apart(64, 80, 3.5)
+        all_ok += (a != b).sum() <= N.most_apart(len(a), 80)
+        bits.append(a), other.append(b)
+    a, b = np.array(bits), np.array(other)
+    parts, limits = N.plan_parts(a[:1000].astype(np.float32), 150_000, 80)
+    found = np.zeros(len(a), bool)
+    for part, t in zip(parts, limits, strict=True):
+        found |= (a[:, part] != b[:, part]).sum(axis=1) <= t
+    assert found.mean() >= least and word_ok >= 0.998 * len(a) and all_ok == len(a)
+
+
 def test_odd_rows_on_the_table(spark):
     docs = odd_docs(spark)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]

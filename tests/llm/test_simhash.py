@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from txintel.llm import simhash as S
@@ -47,8 +48,34 @@ def test_fingerprint_matches_definition():
     assert [S.fingerprint(None if t is None else t.encode()) for t in texts] == [brute_fingerprint(t) for t in texts]
 
 
-def test_every_plan_keeps_all_links(spark):
-    rng = random.Random(3)
+def signed(x):
+    return int(np.uint64(x).view(np.int64))
+
+
+def linked(spark, fps, radius=4):
+    got = S.hamming_links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), radius).collect()
+    return {(r.a & (2**64 - 1), r.b & (2**64 - 1)) for r in got}, len(got)
+
+
+def groups(nodes, links):
+    """Components of all nodes as a set of frozensets."""
+    parent = {x: x for x in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        parent[root(a)] = root(b)
+    out = {}
+    for x in nodes:
+        out.setdefault(root(x), set()).add(x)
+    return {frozenset(g) for g in out.values()}
+
+
+def some_fingerprints(seed=3):
+    rng = random.Random(seed)
     base = [rng.getrandbits(64) for _ in range(40)]
     fps = set(base)
     for b in base:
@@ -57,12 +84,40 @@ def test_every_plan_keeps_all_links(spark):
             for k in rng.sample(range(64), r):
                 x ^= 1 << k
             fps.add(x)
-    fps = sorted(fps)
-    want = {frozenset((a, b)) for i, a in enumerate(fps) for b in fps[:i] if bin(a ^ b).count("1") <= 4}
-    df = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
-    got = S.hamming_links(df, 4).collect()
-    assert len(got) == len(want)
-    assert {frozenset((r.a & (2**64 - 1), r.b & (2**64 - 1))) for r in got} == want
+    return sorted(fps)
+
+
+@pytest.mark.parametrize("crowded", [None, 2.0])
+def test_links_are_links_and_make_all_components(spark, monkeypatch, crowded):
+    """Every pair given is a link, and no link between components is lost, whether buckets count as crowded or not."""
+    if crowded:
+        monkeypatch.setattr(S, "crowd", lambda *_: crowded)
+    fps = some_fingerprints()
+    want = {(a, b) for i, a in enumerate(fps) for b in fps[:i] if bin(a ^ b).count("1") <= 4}
+    got, n = linked(spark, fps)
+    assert n == len(got) and got <= want | {(b, a) for a, b in want}
+    assert groups(fps, got) == groups(fps, want)
+
+
+def test_dense_groups_cost_stars_not_pairs(spark):
+    """Mutually near fingerprints: links grow with their number, not with its square, and components equal brute force."""
+    rng = random.Random(9)
+    for n in (500, 1000, 2000):
+        base = rng.getrandbits(64)
+        near = [base] + [base ^ 1 << i for i in range(64)] + [base ^ 1 << i ^ 1 << j for i in range(64) for j in range(i)]
+        rng.shuffle(near)
+        got, k = linked(spark, sorted(near[:n]))
+        assert groups(near[:n], got) == {frozenset(near[:n])} and k <= 6 * n
+
+
+def test_thresholds_that_probe_find_the_same(spark, monkeypatch):
+    """A plan with balls of values to probe, as a large table would get."""
+    fps = some_fingerprints(4)
+    small = S.plan_probes
+    monkeypatch.setattr(S, "plan_probes", lambda sample, n, radius: small(sample, 10**8, radius))
+    want = {(a, b) for i, a in enumerate(fps) for b in fps[:i] if bin(a ^ b).count("1") <= 4}
+    got, _ = linked(spark, fps)
+    assert got <= want | {(b, a) for a, b in want} and groups(fps, got) == groups(fps, want)
 
 
 def test_plans_obey_the_pigeonhole_sum():

@@ -1,33 +1,37 @@
-"""Near duplicates by exact Jaccard similarity of word shingle sets: prefix filtering, then stars before pairs.
-
-Put every set in one common order, rarest shingles first: two sets of Jaccard similarity s or more share a shingle among the
-first n - ceil(s n) + 1 of each, n being the set's own size. So only those prefixes are indexed, and pairs that share too few
-of them are ruled out; the order decides the work only, and is found on a bounded sample. Each indexed shingle's sets are first
-held against one of them; what that links is one component, and then only pairs across components are compared, so a large
-group of near copies costs a star and not all its pairs. A shingle counts as its 64-bit XXH64, a set as that of its shingles.
+"""Near duplicates by Jaccard similarity of word shingle sets, found by wide SimHash fingerprints.
+
+Each set gets a fingerprint of many bits. Two sets of Jaccard similarity s have a cosine of at least 2 s / (1 + s), so each bit
+differs with a known chance; a part of the bits lies within a threshold with a chance that follows from it. As for narrow
+fingerprints, correlated bits share a part, and a dynamic program allocates thresholds to parts by estimated candidate counts,
+here such that a pair of just that similarity is missed by all parts with a chance of MISSED at most. Pairs that meet in a part
+are held against one word of the fingerprint, then against all of it, and what is left against the sets themselves: every link
+is exact. A shingle counts as its 64-bit XXH64, a set as that of its shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, comb, log, pi
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txintel.llm.simhash import first_of_each
+from txintel.llm.simhash import _small, allocate, bucket_links, bucket_rows, crowd, first_of_each, part_costs, parts_by_correlation
 from txintel.llm.text import slices, words
 from txintel.operators.components import connected_components
 from txintel.runtime import checkpoint, ship_package
 
 #: Words of a shingle, and the similarity that links, in percent.
 SHINGLE, SIMILAR = 5, 80
-#: Rows of the sample that finds common shingles, rows there that make one common, and how many are put last at most.
-SAMPLE, OFTEN, COMMON = 5_000, 3, 50_000
-#: Rows broadcast at most.
-BROADCAST = 200_000
+#: 64-bit words of a fingerprint, the chance that a pair at the threshold is missed, and the widths tried for its parts.
+WORDS, MISSED, WIDTHS = 16, 0.002, (12, 14, 16, 18, 20)
+#: Fingerprints in the sample behind the cost estimates.
+SAMPLE = 1000
+#: Bits in which links may differ beyond what is expected of a pair at the threshold, in standard deviations.
+SLACK = 4.5
 
 
 def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -45,133 +49,139 @@ def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def _lists(sets: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+def wide_fingerprint(own: np.ndarray, size: int = WORDS) -> bytes:
+    """64 * size bits: each 1 if set in over half of the set's hashes, which are mixed anew for each word; 0 for an empty set."""
+    words_, counts = np.arange(size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.zeros(64 * size, np.int64)
+    for at in range(0, len(own), 255):  # a byte counts up to 255
+        x = own[at : at + 255, None] + words_
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        ones = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8).reshape(len(x), -1), axis=1)
+        counts += np.add.reduce(ones.view(np.uint64), axis=0).view(np.uint8)
+    return np.packbits(2 * counts > len(own)).tobytes()
+
+
+def chance_apart(percent: int) -> float:
+    """The chance that a bit differs between sets of equal size and that Jaccard similarity; for unequal sizes it is less."""
+    s = percent / 100
+    return acos(2 * s / (1 + s)) / pi
+
+
+def most_apart(bits: int, percent: int, slack: float = SLACK) -> int:
+    """Bits in which fingerprints of linked sets differ at most, but for a chance that slack makes as small as wanted. Sets of
+    few shingles differ a quarter more, as halves of an even number count as zeros."""
+    p = 1.25 * chance_apart(percent)
+    return min(bits, ceil(bits * p + slack * (bits * p * (1 - p)) ** 0.5))
+
+
+def plan_parts(bits: np.ndarray, n: int, percent: int, missed: float = MISSED) -> tuple[list[list[int]], list[int]]:
+    """Parts and thresholds (-1: left out) of least estimated cost for n sets, such that the chance to miss a pair of that
+    similarity is at most missed. bits: those of a sample, one row a fingerprint."""
+    p, step, best = chance_apart(percent), 0.01, None
+    need = ceil(-log(missed) / step)
+    for width in WIDTHS:
+        m = bits.shape[1] // width
+        parts = parts_by_correlation(bits, m)
+        units = [[0] for _ in parts]
+        for unit, part in zip(units, parts, strict=True):
+            for t in (0, 1, 2):
+                found = sum(comb(len(part), k) * p**k * (1 - p) ** (len(part) - k) for k in range(t + 1))
+                unit.append(int(-log(1 - found) / step))
+        cost, limits = allocate(part_costs(bits, parts, n, 2), units, need)
+        if limits and (best is None or cost < best[0]):
+            best = (cost, parts, limits)
+    assert best is not None, "no plan misses so little"
+    return best[1], best[2]
 
 
 def _node(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes())
 
 
-def _common(docs: DataFrame, text_col: str, key_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of several rows of a sample, ascending, and the number of those rows."""
-    step = max(1, docs.count() // SAMPLE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches, text_col):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, shingle) for t in texts]).view(np.int64))], names=["h"])
-
-    some = docs.filter(F.pmod(F.xxhash64(key_col), F.lit(step)) == 0).select(text_col)
-    met = some.mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
-    found = met.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
-    h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
-    """The set's first shingles in the common order: those not in common by hash, then the others by rows."""
-    h, rows = common
-    often = np.zeros(len(own), np.int64)
-    if len(h):
-        at = np.minimum(np.searchsorted(h, own), len(h) - 1)
-        often = np.where(h[at] == own, rows[at], 0)
-    return own[np.lexsort((own, often))[: len(own) + 1 + -len(own) * percent // 100]]
-
-
-def _alike(m: Column, n: Column, percent: int) -> Column:
-    """Whether sets of m and n shingles can be similar enough."""
-    return F.least(m, n) * 100 >= F.greatest(m, n) * percent
-
-
-def _possible(c: Column, m: Column, n: Column, percent: int) -> Column:
-    """Whether sets of m and n shingles whose prefixes share c can be similar enough.
-
-    Of the two prefixes let one end first in the common order: what the sets share up to there is in both prefixes, the rest is
-    beyond that set's own, in its last ceil(percent n) - 1 shingles.
-    """
-    rest = F.ceil(F.greatest(m, n) * percent / 100) - 1
-    return (c + rest) * (100 + percent) >= (m + n) * percent
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
 
 
-def _counted(pairs: DataFrame, percent: int) -> DataFrame:
-    """Possible pairs (a < b) from rows (x, m, y, n), one for each shared token."""
-    turned = F.col("x") < F.col("y")
-    ends = [F.when(turned, F.col(p)).otherwise(F.col(q)).alias(c) for c, p, q in (("a", "x", "y"), ("b", "y", "x"), ("m", "m", "n"), ("n", "n", "m"))]
-    met = pairs.filter(_alike(F.col("m"), F.col("n"), percent)).select(*ends).groupBy("a", "b", "m", "n").agg(F.count("*").alias("c"))
-    return met.filter(_possible(F.col("c"), F.col("m"), F.col("n"), percent)).select("a", "b")
+def _bits(prints: list[bytes]) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1), axis=1)
 
 
-def jaccard_links(nodes: DataFrame, docs: DataFrame, text_col: str, key_col: str, shingle: int = SHINGLE, percent: int = SIMILAR) -> DataFrame:
-    """Pairs (a < b) of nodes whose sets' similarity is percent or more: enough of them that the components are those of all.
+def jaccard_links(nodes: DataFrame, docs: DataFrame, text_col: str, key_col: str, shingle: int = SHINGLE, percent: int = SIMILAR, missed: float = MISSED) -> DataFrame:
+    """Pairs (a < b) of nodes whose sets' similarity is percent or more: enough of them that the components are those of all
+    that are found.
 
-    nodes: (node, size, prefix, row), one row a set; row is the key of a row of docs that has the set.
+    nodes: (node, size, fp, row), one row a set; row is the key of a row of docs that has the set.
     """
-    postings = nodes.select("node", "size", F.explode("prefix").alias("token"))
-    several = postings.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("token")
-    shared = checkpoint(postings.join(several, "token"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sample = [r.fp for r in nodes.select("fp").orderBy("node").limit(SAMPLE).collect()]
+    if len(sample) < 2:
+        return nodes.sparkSession.createDataFrame([], "a bigint, b bigint")
+    n, width = nodes.count(), 8 * len(sample[0])
+    parts, limits = plan_parts(_bits(sample).astype(np.float32), n, percent, missed)
+
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
+                bits = _bits(some.column("fp").to_pylist())
+                word = pa.array(np.ascontiguousarray(np.packbits(bits[:, :64], axis=1)).view(np.int64).ravel())
+                for key, own in bucket_rows(bits, parts, limits):
+                    yield pa.RecordBatch.from_arrays([pa.array(key), some.column("node"), pa.array(np.full(len(key), own)), some.column("size"), word], names=["key", "node", "own", "size", "word"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices(batches, text_col):
             own = [shingle_set(t, shingle) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([_node(x) for x in own], np.uint64).view(np.int64)), _lists(own)], names=["node", "cells"])
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        """The pairs that are links, by their whole sets."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node")
-        wanted = checkpoint(wanted.select(F.col("row").alias("__row")))
-        few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
-        again = docs.join(few, F.col(key_col) == F.col("__row"), "left_semi").select(text_col)
-        sets = checkpoint(again.mapInArrow(run, "node bigint, cells array<bigint>").dropDuplicates(["node"]))
-        met = pairs.join(sets.toDF("a", "p"), "a").join(sets.toDF("b", "q"), "b")
-        both = met.withColumn("both", F.size(F.array_intersect("p", "q")))
-        return checkpoint(both.filter(F.col("both") * 100 >= (F.size("p") + F.size("q") - F.col("both")) * percent).select("a", "b"))
-
-    # a star pair counts only the tokens that have this centre: some are missed here, and compared below
-    centre = shared.groupBy("token").agg(F.min(F.struct("node", "size")).alias("c")).select("token", F.col("c.node").alias("y"), F.col("c.size").alias("n"))
-    star = shared.withColumnsRenamed({"node": "x", "size": "m"}).join(centre, "token").filter("x <> y")
-    stars = checkpoint(_counted(star, percent))
-    links = checked(stars)
-
-    part = connected_components(links, "a", "b")
-    member = shared.join(part, "node", "left").select("token", "node", "size", F.coalesce("component", "node").alias("part"))
-    apart = member.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token")
-    left = checkpoint(member.join(apart, "token"))
-    parts = left.select("token", "part").distinct()
-    across = parts.withColumnRenamed("part", "u").join(parts.withColumnRenamed("part", "v"), "token").filter("u < v")
-    one = left.select("token", F.col("node").alias("x"), F.col("size").alias("m"), F.col("part").alias("u"))
-    two = left.select("token", F.col("node").alias("y"), F.col("size").alias("n"), F.col("part").alias("v"))
-    rest = _counted(across.join(one, ["token", "u"]).join(two, ["token", "v"]), percent)
-    return links.unionByName(checked(checkpoint(rest.join(stars, ["a", "b"], "left_anti"))))
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                off = np.bitwise_xor(*(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8) for c in ("p", "q"))).reshape(batch.num_rows, -1)
+                near = np.unpackbits(off, axis=1).sum(axis=1, dtype=np.int64) <= most_apart(width, percent)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """The pairs that are links: by their whole fingerprints first, then by their sets."""
+        prints = nodes.select("node", "fp")
+        near = checkpoint(pairs.join(prints.toDF("a", "p"), "a").join(prints.toDF("b", "q"), "b").mapInArrow(apart, "a bigint, b bigint"))
+        wanted = checkpoint(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node").select(F.col("row").alias("__row")))
+        again = docs.join(_small(wanted), F.col(key_col) == F.col("__row"), "left_semi").select(text_col)
+        sets = checkpoint(again.mapInArrow(whole, "node bigint, cells array<bigint>").dropDuplicates(["node"]))
+        met = near.join(sets.toDF("a", "p"), "a").join(sets.toDF("b", "q"), "b").withColumn("both", F.size(F.array_intersect("p", "q")))
+        return checkpoint(met.filter(F.col("both") * 100 >= (F.size("p") + F.size("q") - F.col("both")) * percent).select("a", "b"))
+
+    def near(p: str, q: str):
+        m, k = F.col(p + "size"), F.col(q + "size")
+        return (F.least(m, k) * 100 >= F.greatest(m, k) * percent) & (F.bit_count(F.col(p + "word").bitwiseXOR(F.col(q + "word"))) <= most_apart(64, percent, 3.5))
+
+    rows = nodes.select("node", "size", "fp").mapInArrow(indexed, "key bigint, node bigint, own boolean, size int, word bigint")
+    return bucket_links(rows, ("size", "word"), near, crowd(parts, limits, n), verify)
 
 
 def jaccard_components(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILAR) -> DataFrame:
     """(id, key, root) for every row; rows share a root if their sets are linked, directly or over other rows' sets.
 
-    Rows of equal sets are one node, texts without words (nulls too) among them.
+    Rows of equal sets are one node, texts without words (nulls too) among them. key_col: a bigint column, equal only in equal
+    rows.
     """
     ship_package(docs.sparkSession)
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col, key_col, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, texts in slices(batches, text_col):
             own = [shingle_set(t, shingle) for t in texts]
             node = np.array([_node(x) for x in own], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [some.column(id_col), some.column(key_col), pa.array(node), pa.array(list(map(len, own)), pa.int32()), _lists([prefix(x, common.value, percent) for x in own])],
-                names=[id_col, key_col, "node", "size", "prefix"],
-            )
+            yield pa.RecordBatch.from_arrays([some.column(id_col), some.column(key_col), pa.array(node), pa.array(list(map(len, own)), pa.int32()), pa.array([wide_fingerprint(x) for x in own], pa.binary())], names=[id_col, key_col, "node", "size", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    prints = checkpoint(docs.select(id_col, key_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, `{key_col}` bigint, node bigint, size int, prefix array<bigint>"))
-    nodes = checkpoint(prints.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min(key_col).alias("row")))
-    part = connected_components(jaccard_links(nodes, docs, text_col, key_col, shingle, percent), "a", "b")
-    return prints.select(id_col, key_col, "node").join(part, "node", "left").select(id_col, key_col, F.coalesce("component", "node").alias("root"))
+    prints = checkpoint(docs.select(id_col, key_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, `{key_col}` bigint, node bigint, size int, fp binary"))
+    nodes = checkpoint(prints.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.min(key_col).alias("row")))
+    part = checkpoint(connected_components(jaccard_links(nodes, docs, text_col, key_col, shingle, percent), "a", "b"))
+    return prints.select(id_col, key_col, "node").join(_small(part), "node", "left").select(id_col, key_col, F.coalesce("component", "node").alias("root"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' rows without all but one of each component of near duplicates, which are rows linked by Jaccard similarity 0.8 or
-    more of their sets of five-word shingles; first_of_each says which one stays."""
+    more of their sets of five-word shingles; first_of_each says which one stays. Null and empty texts are equal; an empty
+    table gives no rows."""
     keyed = docs.withColumn("__key", F.xxhash64(*docs.columns))
     return first_of_each(keyed, jaccard_components(keyed, "__key", id_col, text_col), id_col).select(*docs.columns)

@@ -3,18 +3,22 @@
 The 64 bits are dealt into m parts, correlated bits together. With thresholds T_i of sum r - m + 1, two fingerprints at
 distance r or less differ in at most T_i bits of some part i. Every fingerprint is indexed under its value of each part and
 probes, in part i, all values within T_i of its own. A dynamic program picks m and the T_i that cost least, from candidate
-counts estimated on a bounded sample; the plan decides the work only, every plan finds the same links.
+counts estimated on a bounded sample; the plan decides the work only, every plan finds the same components.
+
+Not all links are listed: a crowded bucket first links its rows to one of them, and then only fingerprints that these links
+leave in different components are compared. So a large group of near copies costs a star and not all its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txintel.llm.text import slices, words
@@ -24,6 +28,8 @@ from txintel.runtime import checkpoint, ship_package, table
 BITS = 64
 #: Fingerprints in the sample behind the cost estimates, and the cost of a probe row against comparing one candidate.
 SAMPLE, PROBE_COST, CANDIDATE_COST = 3000, 1.0, 0.03
+#: Rows broadcast at most, always counted before.
+BROADCAST = 200_000
 _ROWS = 1 << 14
 
 
@@ -74,99 +80,149 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def parts_by_correlation(bits: np.ndarray, m: int) -> list[list[int]]:
     """Deals bit positions into m parts of near-equal size, each grown from a free bit by those most correlated with it."""
-    spread = bits.std(axis=0)
+    spread, width = bits.std(axis=0), bits.shape[1]
     z = (bits - bits.mean(axis=0)) / np.where(spread > 0, spread, 1)
     c = np.abs(z.T @ z) / max(1, len(bits))
-    free, parts = set(range(bits.shape[1])), []
+    free, parts = np.ones(width, bool), []
     for k in range(m):
-        size = (bits.shape[1] * (k + 1)) // m - (bits.shape[1] * k) // m
-        grown = [min(free)]
-        free.discard(grown[0])
-        while len(grown) < size:
-            best = max(sorted(free), key=lambda b: c[b, grown].sum())
-            grown.append(best)
-            free.discard(best)
+        grown, near = [int(np.argmax(free))], np.zeros(width)
+        free[grown[0]] = False
+        while len(grown) < (width * (k + 1)) // m - (width * k) // m:
+            near += c[:, grown[-1]]
+            grown.append(int(np.argmax(np.where(free, near, -1.0))))
+            free[grown[-1]] = False
         parts.append(sorted(grown))
     return parts
 
 
 def _ball(n: int, t: int) -> int:
     """Values within t bits of an n-bit value."""
-    total, term = 0, 1
-    for k in range(t + 1):
-        total += term
-        term = term * (n - k) // (k + 1)
-    return total
+    return sum(comb(n, k) for k in range(t + 1))
+
+
+def part_costs(bits: np.ndarray, parts: list[list[int]], n: int, most: int) -> list[list[float]]:
+    """For each part, the cost of n fingerprints at thresholds -1 (left out, free), 0, ... most: rows that probe, and
+    candidates as estimated from the sample's pairs."""
+    pairs, out = max(1, len(bits) * (len(bits) - 1) // 2), []
+    upper = np.triu_indices(len(bits), 1)
+    for part in parts:
+        own = bits[:, part]
+        apart = own @ (1 - own.T)
+        seen = np.bincount((apart + apart.T)[upper].astype(np.int64), minlength=len(part) + 1).cumsum() if len(bits) > 1 else np.zeros(len(part) + 1)
+        row = [0.0]
+        for t in range(most + 1):
+            ball = _ball(len(part), t)
+            share = (seen[min(t, len(part))] + ball / 2.0 ** len(part)) / (pairs + 1)
+            row.append(PROBE_COST * n * (ball + 1) + CANDIDATE_COST * n * n * share if t <= len(part) else float("inf"))
+        out.append(row)
+    return out
+
+
+def allocate(costs: list[list[float]], units: list[list[int]], need: int) -> tuple[float, list[int]]:
+    """The least cost, and each part's threshold for it, such that the units of the thresholds chosen reach need. costs and
+    units: for each part, at thresholds -1, 0, ..."""
+    least: list[tuple[float, list[int]]] = [(0.0, [])] + [(float("inf"), [])] * need
+    for cost, unit in zip(costs, units, strict=True):
+        new: list[tuple[float, list[int]]] = [(float("inf"), [])] * (need + 1)
+        for s, (so_far, chosen) in enumerate(least):
+            if so_far < float("inf"):
+                for t, (c, u) in enumerate(zip(cost, unit, strict=True)):
+                    at = min(need, s + u)
+                    if so_far + c < new[at][0]:
+                        new[at] = (so_far + c, [*chosen, t - 1])
+        least = new
+    return least[need]
 
 
 def plan_probes(sample: np.ndarray, n: int, radius: int) -> tuple[list[list[int]], list[int]]:
-    """Parts and thresholds of least estimated cost for n fingerprints; -1 leaves a part out."""
+    """Parts and thresholds of least estimated cost for n fingerprints; -1 leaves a part out. Thresholds and 1 each sum to
+    radius + 1, so no pair within the radius exceeds all of them."""
     bits = ((sample[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
-    pairs = max(1, len(sample) * (len(sample) - 1) // 2)
     best: tuple[float, list[list[int]], list[int]] | None = None
     for m in range(1, radius + 2):
         if (BITS + m - 1) // m > 40 and m < radius + 1 and m > 1 or m == 1 and radius > 2:
             continue  # balls of so many values in one part never pay
         parts = parts_by_correlation(bits, m)
-        cost = []
-        for part in parts:
-            own = bits[:, part]
-            apart = own @ (1 - own.T)
-            apart = apart + apart.T
-            seen = np.bincount(apart[np.triu_indices(len(sample), 1)].astype(np.int64), minlength=BITS + 1).cumsum() if len(sample) > 1 else np.zeros(BITS + 1)
-            row = [0.0]
-            for t in range(radius + 1):
-                if t > len(part):
-                    row.append(float("inf"))
-                    continue
-                ball = _ball(len(part), t)
-                share = (seen[t] + ball / 2.0 ** len(part)) / (pairs + 1)
-                row.append(PROBE_COST * n * (ball + 1) + CANDIDATE_COST * n * n * share)
-            cost.append(row)
-        # least[s]: the least cost of the parts so far whose T_i + 1 sum to s
-        least: list[tuple[float, list[int]]] = [(0.0, [])] + [(float("inf"), [])] * (radius + 1)
-        for row in cost:
-            least = [min(((least[s - k][0] + row[k], [*least[s - k][1], k - 1]) for k in range(s + 1)), key=lambda x: x[0]) for s in range(radius + 2)]
-        if best is None or least[radius + 1][0] < best[0]:
-            best = (least[radius + 1][0], parts, least[radius + 1][1])
+        cost, limits = allocate(part_costs(bits, parts, n, radius), [list(range(radius + 2))] * m, radius + 1)
+        if best is None or cost < best[0]:
+            best = (cost, parts, limits)
     assert best is not None
     return best[1], best[2]
 
 
-def _values(fp: np.ndarray, part: list[int]) -> np.ndarray:
-    out = np.zeros(len(fp), np.int64)
-    for k, b in enumerate(part):
-        out |= (((fp >> np.uint64(b)) & np.uint64(1)) << np.uint64(k)).astype(np.int64)
-    return out
+def part_values(bits: np.ndarray, part: list[int]) -> np.ndarray:
+    """Each row's bits of the part as one integer. bits: one column a bit, 0 or 1."""
+    return bits[:, part].astype(np.int64) @ (1 << np.arange(len(part), dtype=np.int64))
 
 
-def _signatures(fps: DataFrame, parts: list[list[int]], limits: list[int], probing: bool) -> DataFrame:
-    """(part, value, fp): each part's own value, or when probing all values within the part's threshold."""
-    plan = [(i, part, t if probing else min(t, 0)) for i, (part, t) in enumerate(zip(parts, limits, strict=True)) if t >= 0]
+def bucket_rows(bits: np.ndarray, parts: list[list[int]], limits: list[int]) -> Iterator[tuple[np.ndarray, bool]]:
+    """(bucket of each row, whether it is the row's own value) for each part and each of the values it probes."""
+    for i, (part, t) in enumerate(zip(parts, limits, strict=True)):
+        own = part_values(bits, part) + (i << 48) if t >= 0 else None
+        for r in range(t + 1):
+            for some in combinations(range(len(part)), r):
+                yield own ^ sum(1 << b for b in some), r == 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column("fp").to_numpy().view(np.uint64)
-            for i, part, t in plan:
-                own = _values(fp, part)
-                for r in range(t + 1):
-                    for some in combinations(range(len(part)), r):
-                        value = own ^ sum(1 << b for b in some)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int32)), pa.array(value), batch.column("fp")], names=["part", "value", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "part int, value bigint, fp bigint")
+def crowd(parts: list[list[int]], limits: list[int], n: int) -> float:
+    """Nodes with one value of a part beyond which its bucket is crowded: many more than chance would bring."""
+    return 32 + 8 * max((n / 2.0 ** len(p) for p, t in zip(parts, limits, strict=True) if t >= 0), default=0.0)
+
+
+def bucket_links(rows: DataFrame, payload: tuple[str, ...], near: Callable[[str, str], Column], crowded: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a < b) of nodes that are links: enough of them that the components are those of all links.
+
+    rows: (key, node, own, payload...), a node's own buckets and those it probes; near(p, q): a condition on the columns of two
+    rows, named with these prefixes, that every link fulfils; verify: keeps the links of a checkpointed table of pairs (a, b).
+    """
+    cols = ("node", *payload)
+    side = lambda df, p, *more: df.select("key", *(F.col(c).alias(p + c) for c in (*cols, *more)))
+    pair = [F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")]
+    homes = rows.filter("own")
+    of = homes.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(*cols)).alias("c"))
+    centres = checkpoint(of.filter(F.col("n") > crowded).select("key", *(F.col("c")[c].alias("q_" + c) for c in cols)))
+    stars = side(homes, "p_").join(_small(centres), "key").filter((F.col("p_node") != F.col("q_node")) & near("p_", "q_"))
+    links = verify(checkpoint(stars.select(*pair).distinct()))
+
+    part = checkpoint(connected_components(links, "a", "b"))
+    told = rows.join(_small(part), "node", "left").withColumn("grouped", F.col("component").isNotNull())
+    # left: all that a node probes, right: own buckets only; a pair within reach meets in either direction
+    right = side(told.filter("own and not grouped"), "q_")
+    one = side(told, "p_", "grouped").join(right, "key").filter((F.col("p_grouped") | (F.col("p_node") < F.col("q_node"))) & near("p_", "q_")).select(*pair)
+    several = told.filter("grouped")
+    mine, theirs = several.select("key", F.col("component").alias("u")).distinct(), several.filter("own").select("key", F.col("component").alias("v")).distinct()
+    across = mine.join(theirs, "key").filter("u < v")
+    members = side(several, "p_", "component").withColumnRenamed("p_component", "u")
+    others = side(several.filter("own"), "q_", "component").withColumnRenamed("q_component", "v")
+    two = across.join(members, ["key", "u"]).join(others, ["key", "v"]).filter(near("p_", "q_")).select(*pair)
+    return links.unionByName(verify(checkpoint(one.unionByName(two).distinct())))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A checkpointed table, broadcast if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
 def hamming_links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """Distinct pairs (a < b, signed order) of different fingerprints at most radius bits apart. fps: one row each in column fp."""
+    """Pairs (a < b, signed order) of different fingerprints at most radius bits apart, enough of them that the components are
+    those of all. fps: one row each in column fp. Fewer than two fingerprints have no links."""
+    ship_package(fps.sparkSession)
     sample = np.array([r.fp for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     if len(sample) < 2:
         return fps.sparkSession.createDataFrame([], "a bigint, b bigint")
-    parts, limits = plan_probes(sample, fps.count(), radius)
-    index = _signatures(fps, parts, limits, False).withColumnRenamed("fp", "b")
-    probes = _signatures(fps, parts, limits, True).withColumnRenamed("fp", "a")
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    return probes.join(index, (probes.part == index.part) & (probes.value == index.value) & near).select("a", "b").distinct()
+    n = fps.count()
+    parts, limits = plan_probes(sample, n, radius)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column("fp").to_numpy().view(np.uint64)
+            bits = ((fp[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+            for key, own in bucket_rows(bits, parts, limits):
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("fp"), pa.array(np.full(len(key), own))], names=["key", "node", "own"])
+
+    near = lambda p, q: F.bit_count(F.col(p + "node").bitwiseXOR(F.col(q + "node"))) <= radius
+    rows = fps.select("fp").mapInArrow(run, "key bigint, node bigint, own boolean")
+    return bucket_links(rows, (), near, crowd(parts, limits, n), lambda pairs: pairs)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -183,7 +239,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = nodes.join(member, "fp")
     named = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component", "component_id")
     found = F.col("component").isNotNull()
-    label = nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), F.when(found, F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    # a table of its own, so that the join below can split the rows of a very common fingerprint
+    label = checkpoint(nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), F.when(found, F.col("component_id")).otherwise(F.col("least")).alias("component_id")))
     return prints.join(label, "fp", "left")
 
 
@@ -212,5 +269,6 @@ def first_of_each(keyed: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document of the whole table; simhash_components says what odd rows give."""
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
