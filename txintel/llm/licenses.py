@@ -1,40 +1,46 @@
 """License scans by a generalised suffix automaton of licence texts.
 
 The automaton accepts every run of tokens of every template. A file streams through it once: for each token it gives the
-length of the longest run ending there that some template holds (the matching statistic) and, from the state, templates and
-places of that run. Long runs become matches; matches of one template that follow each other in file and template are
-chained, and the chain's tokens over the template's are its coverage.
+length of the longest run ending there that some template holds (the matching statistic) and, from the state and its suffix
+links, all templates and places where that run or a shorter end of it stands. Runs that can't be longer become matches; of
+each template, the matches that follow each other in file and template and cover most tokens are chained, and the chain's
+tokens over the template's are its coverage.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txintel.llm.bpe import _schema
-from txintel.llm.text import slices
+from txintel.llm.text import remembered, slices
 from txintel.runtime import ship_package, table
 
 # Phrases of the contract and the labels they give.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Public licence notices, by label. Numbers of versions are tokens like any other.
+#: Whole texts of common public licences, a file each; a file's name up to its first hyphen or full stop is the label.
+TEXTS = Path(__file__).parent / "license_texts"
+#: Words of a file that a chain may take, as a multiple of its template's.
+STRETCH = 2
+
+# Short public licence notices, by label. Numbers of versions are tokens like any other.
 TEMPLATES = [
     ("mit", "Released under the MIT License."),
     ("mit", "This project is licensed under the terms of the MIT license. See the LICENSE file for details."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("apache", "Licensed under the Apache License, Version 2.0."),
     ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
@@ -44,6 +50,12 @@ TEMPLATES = [
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
 ]
 
+
+def templates() -> list[tuple[str, str]]:
+    """(label, text) of the short notices and of the whole texts."""
+    return [*TEMPLATES, *((re.split(r"[-.]", f.name)[0], f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt")))]
+
+
 #: A-Z to a-z, what else is ASCII and neither digit nor letter to a space; words then are what bytes.split() finds.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 _CHUNK = 1 << 20
@@ -63,18 +75,18 @@ def license_words(text: bytes | None) -> Iterator[list[bytes]]:
 
 @dataclass
 class Automaton:
-    """Generalised suffix automaton over token ids. ends: for each state, (template, end) of one run per template."""
+    """Generalised suffix automaton over token ids. ends: for each state, (template, end) of every place of its runs."""
 
     step: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    ends: list[dict[int, int]] = field(default_factory=lambda: [{}])
+    ends: list[list[tuple[int, int]]] = field(default_factory=lambda: [[]])
 
     def _state(self, length: int, step: dict[int, int], link: int) -> int:
         self.step.append(step)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append({})
+        self.ends.append([])
         return len(self.link) - 1
 
     def _split(self, p: int, token: int, q: int) -> int:
@@ -103,14 +115,14 @@ class Automaton:
         last = 0
         for at, token in enumerate(tokens):
             last = self.extend(last, token)
-            self.ends[last].setdefault(template, at + 1)
+            self.ends[last].append((template, at + 1))
 
-    def finish(self) -> None:
-        """Hands places up the suffix links: a shorter run ends wherever a longer one that it closes does."""
+    def finish(self, shortest: int) -> None:
+        """Hands places up the suffix links: a shorter run ends wherever a longer one that it closes does. Runs under shortest
+        tokens make no matches and get none."""
         for s in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
-            for template, at in self.ends[s].items():
-                if self.link[s] > 0:
-                    self.ends[self.link[s]].setdefault(template, at)
+            if self.length[self.link[s]] >= shortest:
+                self.ends[self.link[s]] += self.ends[s]
 
     def statistics(self, tokens: list[int]) -> Iterator[tuple[int, int]]:
         """(state, length of the longest run ending here) for each token."""
@@ -130,44 +142,85 @@ class Scanner:
     def __init__(self, templates: list[tuple[str, str]], phrases: dict[str, str], shortest: int, covered: float):
         self.labels, self.shortest, self.covered = [x for x, _ in templates], shortest, covered
         cut = [list(chain.from_iterable(license_words(t.encode()))) for _, t in templates]
-        self.sizes = [len(c) for c in cut]
         self.ids = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(cut)), 1)}
+        self.tokens = [[self.ids[w] for w in c] for c in cut]
+        self.sizes = [len(c) for c in cut]
+        self.least = min(shortest, *self.sizes)
         self.automaton = Automaton()
-        for k, c in enumerate(cut):
-            self.automaton.add(k, [self.ids[w] for w in c])
-        self.automaton.finish()
+        for k, c in enumerate(self.tokens):
+            self.automaton.add(k, c)
+        self.automaton.finish(self.least)
         self.phrases = [(p.encode().split(), label) for p, label in phrases.items()]
         self.lasts = {p[-1] for p, _ in self.phrases}
         self.before = max(len(p) for p, _ in self.phrases) - 1
 
     def matches(self, tokens: list[int], at: int) -> Iterator[tuple[int, int, int, int]]:
-        """(template, start in file, start in template, tokens) of the maximal runs of known tokens that start at place at."""
-        found = [*self.automaton.statistics(tokens), (0, 0)]
-        for k in range(len(tokens)):
-            state, length = found[k]
-            if found[k + 1][1] <= length and length >= min(self.shortest, *self.sizes):
-                for template, end in self.automaton.ends[state].items():
-                    if length >= min(self.shortest, self.sizes[template]):
-                        yield template, at + k + 1 - length, end - length, length
+        """(template, start in file, start in template, tokens) of all runs of tokens, from place at on, that stand in a template
+        and can be made longer there at neither end."""
+        a = self.automaton
+        for k, (state, length) in enumerate(a.statistics(tokens)):
+            after, seen = tokens[k + 1] if k + 1 < len(tokens) else 0, set()
+            while length >= self.least:
+                for place in a.ends[state]:
+                    if place not in seen:
+                        seen.add(place)
+                        template, end = place
+                        size = self.sizes[template]
+                        if length >= min(self.shortest, size) and (end == size or self.tokens[template][end] != after):
+                            yield template, at + k + 1 - length, end - length, length
+                state = a.link[state]
+                length = a.length[state]
 
     def chains(self, found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """(template, first word, last word, coverage) of chains of matches that cover enough of their template."""
+        """(template, first word, last word, coverage) of chains of matches that cover enough of their template.
+
+        A match follows one that starts before it in file and template, what they share counting once, and a chain takes at most
+        STRETCH times its template's words of the file. Of each template the chains that cover most come first; others that
+        share words of the file with them are left out.
+        """
         out = []
-        for template in dict.fromkeys(m[0] for m in found):
-            open_: list[list[int]] = []  # start, end in file, end in template, tokens covered
-            for _, start, there, n in sorted(m for m in found if m[0] == template):
-                last = open_[-1] if open_ else None
-                skip = max(0, last[2] - there, last[1] - start) if last else 0
-                if last and n > skip and start + skip - last[1] <= self.sizes[template] and start >= last[0]:
-                    last[1:] = [start + n, there + n, last[3] + n - skip]
-                else:
-                    open_.append([start, start + n, there + n, n])
-            out += [(template, a, b - 1, min(1.0, n / self.sizes[template])) for a, b, _, n in open_ if n >= self.covered * self.sizes[template]]
-        return out
+        by: dict[int, list] = {}
+        for template, *match in found:
+            by.setdefault(template, []).append(match)
+        for template, matches in by.items():
+            size = self.sizes[template]
+            start, there, n = np.array(sorted(matches), np.int64).T
+            best, first = n.copy(), start.copy()
+            low = 0
+            for i in range(1, len(n)):
+                while start[i] - start[low] > STRETCH * size:
+                    low += 1
+                w = slice(low, i)
+                skip = np.maximum(0, np.maximum(there[w] + n[w] - there[i], start[w] + n[w] - start[i]))
+                gain = np.where((there[w] < there[i]) & (start[w] < start[i]) & (skip < n[i]) & (start[i] + n[i] - first[w] <= STRETCH * size), best[w] + n[i] - skip, 0)
+                if len(gain):
+                    top = gain.max()
+                    if top > best[i]:
+                        k = low + int(np.argmax(np.where(gain == top, first[w], -1)))  # the shortest such chain
+                        best[i], first[i] = top, first[k]
+            taken: list[tuple[int, int]] = []
+            for i in np.lexsort((start, -best)).tolist():
+                a, b = int(first[i]), int(start[i] + n[i])
+                if best[i] < self.covered * size:
+                    break
+                if all(b <= x or a >= y for x, y in taken):
+                    taken.append((a, b))
+                    out.append((template, a, b - 1, min(1.0, float(best[i]) / size)))
+        return sorted(out)
 
     def scan(self, text: bytes | None) -> dict:
         """Words, phrase places (label, first word) and covered template spans (label, first, last, coverage) of one text."""
-        n, places, found, held, run, run_at = 0, [], [], [], [], 0
+        n, places, found, spans, held, run, run_at = 0, [], [], [], [], [], 0
+        apart = STRETCH * max(self.sizes)
+
+        def closed(tokens: list[int], at: int) -> None:
+            """Matches of a run of known tokens; chains of what lies too far back to be chained with them."""
+            nonlocal found
+            if found and at - found[-1][1] > apart:
+                spans.extend(self.chains(found))
+                found = []
+            found += self.matches(tokens, at)
+
         for some in license_words(text):
             ids = np.fromiter((self.ids.get(w, 0) for w in some), np.int64, len(some))
             if not self.lasts.isdisjoint(some):
@@ -180,30 +233,32 @@ class Scanner:
                 if a == 0 and run and run_at + len(run) == n:
                     run += ids[a:b].tolist()
                 else:
-                    if len(run) >= min(self.shortest, *self.sizes):
-                        found += self.matches(run, run_at)
+                    if len(run) >= self.least:
+                        closed(run, run_at)
                     run, run_at = ids[a:b].tolist(), n + a
-                if b < len(ids) and len(run) < min(self.shortest, *self.sizes):
+                if b < len(ids) and len(run) < self.least:
                     run = []
             n += len(some)
             held = (held + some)[-self.before :] if self.before else []
-        if len(run) >= min(self.shortest, *self.sizes):
-            found += self.matches(run, run_at)
-        return {"n_words": n, "places": places, "spans": [(self.labels[t], a, b, c) for t, a, b, c in self.chains(found)] if found else []}
+        if len(run) >= self.least:
+            closed(run, run_at)
+        spans += self.chains(found)
+        return {"n_words": n, "places": places, "spans": [(self.labels[t], a, b, c) for t, a, b, c in spans]}
 
 
-def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, shortest: int = 4, covered: float = 0.8, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def license_scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, shortest: int = 4, covered: float = 0.8, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep..., n_words, places, spans) for every row.
 
-    places: (label, word) of every phrase, where its words stand consecutively; spans: (label, first_word, last_word,
-    coverage) of chains of runs of at least shortest tokens (or a whole shorter template) that cover at least the share
-    covered of a template. A null or empty text has no words, places or spans. Rows keep their number and repeats.
+    known: (label, text) of the templates, by default the notices and whole texts here. places: (label, word) of every phrase,
+    where its words stand consecutively; spans: (label, first_word, last_word, coverage) of chains of runs of at least shortest
+    tokens (or a whole shorter template) that cover at least the share covered of a template. A null or empty text has no words, places or spans. Rows keep their number and repeats.
     """
     ship_package(docs.sparkSession)
-    known, said, rest = templates or TEMPLATES, phrases or PHRASES, list(keep)
+    rest, said = list(keep), tuple((phrases or PHRASES).items())
+    shared = docs.sparkSession.sparkContext.broadcast((tuple(map(tuple, known or templates())), said))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(known, said, shortest, covered)
+        scanner = remembered(("licenses", *shared.value, shortest, covered), lambda: Scanner(list(shared.value[0]), dict(shared.value[1]), shortest, covered))
         place_type = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
         span_type = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("coverage", pa.float64())]))
         for part, texts in slices(batches, text_col):
@@ -233,4 +288,5 @@ def license_report(docs: DataFrame) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and covered licences in every document of the whole table; license_scan says what odd rows give."""
     return license_report(table(spark, sf_dir, "documents"))
