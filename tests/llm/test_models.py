@@ -140,6 +140,78 @@ def test_lattice_sums_all_segmentations(pieces):
     assert np.isfinite(lattice.scores([b"long" * 500])).all()
 
 
+def test_long_words_go_in_windows(pieces, monkeypatch):
+    """The same sums whatever the window, and memory that a word's length doesn't change."""
+    import random
+    import tracemalloc
+
+    names, weights = pieces
+    log_p, _ = lm._probabilities(weights, 1.0)
+    lattice, rng = lm.Lattice(lm.Lattice.index(names), log_p), random.Random(1)
+    some = [bytes(rng.choice(b"theanrsi_-=.") for _ in range(n)) for n in (1, 2, 24, 25, 26, 100, 700)]
+    want = lattice.scores(some)
+    for window in (1, 3, 50):
+        monkeypatch.setattr(lm, "LONG", window)
+        assert np.allclose([lattice._long(b" " + w) for w in some], want)
+    monkeypatch.setattr(lm, "LONG", 4096)
+    word = bytes(rng.choice(b"ABCDEFGHabcdefgh0123") for _ in range(300_000))
+    tracemalloc.start()
+    found = lattice.scores([word, word[:3000]])
+    uses = lattice.expected([word[:50_000]], np.ones(1))
+    assert tracemalloc.get_traced_memory()[1] < 100e6 and np.isfinite(found).all() and found[0] < found[1]
+    tracemalloc.stop()
+    assert sum(u * len(n) for u, n in zip(uses, names, strict=True)) == pytest.approx(50_000 + 13)  # a mark starts each part
+
+
+def test_scores_are_those_of_a_plain_model(spark, monkeypatch):
+    """The whole model on a small vocabulary: counts, re-estimation by enumerated segmentations, both scores."""
+    vocabulary = [bytes([b]) for b in b" abc"] + [b" a", b"ab", b"bc", b"abc", b" abc"]
+    first = np.array([3.0, 1, 2, 1, 2, 1, 3, 1, 1])
+    monkeypatch.setattr(lm, "load_pieces", lambda path: (vocabulary, first))
+    docs = [(k, t) for k, t in enumerate(["abc ab abc c", "A b\tab cab", "", "abcabc c c c", "bca abc ab", None, "cc bb aa abc", "ab ab ca ca", "bbb"])]
+    train = [words(t) for k, t in docs if crc(k, 7) != 2]
+    counts = Counter(w for t in train for w in t)
+    ends, total = len(train), sum(counts.values()) + len(train)
+
+    def paths(w):
+        return [[]] if not w else [[p, *rest] for p in vocabulary if w.startswith(p) for rest in paths(w[len(p) :])]
+
+    weight = dict(zip(vocabulary, first, strict=True))
+    ends_weight = first.sum() / 500
+    for _ in range(lm.PASSES):
+        z = sum(weight.values()) + ends_weight
+        new = dict.fromkeys(vocabulary, lm.EXTRA)
+        for w, c in counts.items():
+            all_ = [(math.prod(weight[p] / z for p in path), path) for path in paths(b" " + w.encode())]
+            whole = sum(x for x, _ in all_)
+            for x, path in all_:
+                for p in path:
+                    new[p] += c * x / whole
+        weight, ends_weight = new, ends + lm.EXTRA
+    z = sum(weight.values()) + ends_weight
+    once, twice = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+    discount = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
+    word = lambda w: sum(math.prod(weight[p] / z for p in path) for path in paths(b" " + w.encode()))
+    mixed = lambda w: max(counts[w] - discount, 0) / total + discount * len(counts) / total * word(w)
+    want = {k: (math.log10(ends_weight / z) + sum(math.log10(word(w)) for w in words(t)), math.log10(ends / total) + sum(math.log10(mixed(w)) for w in words(t))) for k, t in docs}
+    got = lm.lattice_scores(spark.createDataFrame(docs, "doc_id long, text string"), "unused").collect()
+    assert len(got) == len(docs) and {r.doc_id for r in got if r.held_out} == {k for k, _ in docs if crc(k, 7) == 2}
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id][0], rel=1e-9) and r.word_score == pytest.approx(want[r.doc_id][1], rel=1e-9)
+
+
+def test_re_estimation_and_words_gain_on_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+    def per_token(passes):
+        rows = [r for r in lm.lattice_scores(docs, lm.vocabulary_path(), passes=passes).collect() if r.held_out]
+        return [sum(r[c] for r in rows) / sum(r.n_tokens for r in rows) for c in ("score", "word_score")]
+
+    (learned, by_words), (first, _) = per_token(lm.PASSES), per_token(0)
+    print(by_words, learned, first)
+    assert by_words > learned > first + 0.3
+
+
 def test_lm_base_and_scores(spark):
     docs = odd_docs(spark)
     rows = docs.select("doc_id", "text").collect()
