@@ -1,7 +1,7 @@
 """Language ID, quality and language model: held-out accuracy, definitions and odd rows."""
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -52,6 +52,94 @@ def test_models_are_distributions():
     assert own[0, 0] > own[0, 1] and own[1, 1] > own[1, 0]
 
 
+def plain_kneser_ney(counts, order, floor):
+    """Log-probability of a word and its end, by dictionaries."""
+    raw, more = [Counter() for _ in range(order + 1)], [defaultdict(set) for _ in range(order + 1)]
+    for w, c in counts.items():
+        s = f" {w} "
+        for i in range(1, len(s)):
+            for n in range(1, min(i + 1, order) + 1):
+                raw[n][s[i - n + 1 : i + 1]] += c
+                if n < min(i + 1, order):
+                    more[n][s[i - n + 1 : i + 1]].add(s[i - n])
+    own, below = {}, {}
+    for n in range(1, order + 1):
+        count = {g: c if n == order or n > 1 and g[0] == " " or not more[n][g] else len(more[n][g]) for g, c in raw[n].items()}
+        ones, twos = (sum(c == k for c in count.values()) for k in (1, 2))
+        d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.1
+        total, kinds = Counter(), Counter()
+        for g, c in count.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        own |= {(n, g): max(c - d, 0) / total[g[:-1]] for g, c in count.items()}
+        below |= {(n, h): d * kinds[h] / total[h] for h in total}
+
+    def score(w):
+        s, out = f" {w} ", 0.0
+        for i in range(1, len(s)):
+            p = floor
+            for n in range(1, min(i + 1, order) + 1):
+                g = s[i - n + 1 : i + 1]
+                if (n, g[:-1]) in below:
+                    p = p * below[n, g[:-1]] + own.get((n, g), 0.0)
+            out += math.log(p)
+        return out
+
+    return score
+
+
+def test_models_are_interpolated_kneser_ney():
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 8)))
+    counts = {lang: {word(): rng.randint(1, 4) for _ in range(120)} for lang in ("x", "y")}
+    letters = {c for ws in counts.values() for w in ws for c in w}
+    for order in (1, 2, 4):
+        m = langid.Models.learn(counts, order)
+        asked = [*list(counts["x"])[:40], *[word() for _ in range(40)], "zzz", "q"]
+        got = m.word_scores(asked)
+        for k, lang in enumerate(m.langs):
+            plain = plain_kneser_ney(counts[lang], order, 1 / (len(letters) + 2))
+            assert np.allclose(got[:, k], [plain(w) for w in asked], rtol=1e-4)
+
+
+def test_a_language_of_one_row_is_learned(spark):
+    rows = [(k, "the cat sat on the mat and the dog ran away " * 3, "en") for k in range(40)] + [(1000 + k, f"{w} gaktu vorni plazi kremo duntar", lang) for k, (lang, w) in enumerate((f"l{n}", "zz" * (n + 1)) for n in range(6)) if crc(1000 + k, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(langid.train(docs).value.langs) == {r[2] for r in rows if crc(r[0], 5)}
+
+
+def test_long_words_and_many_words_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "FIT_WORDS", 30)
+    rows = [(k, " ".join(f"{a}{b}" for a in "abcdefgh" for b in "ijklmnop") + " " + "é" * 5000, "en") for k in range(30)]
+    got = langid.identify(docs := spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.train(docs)).collect()
+    assert {r.lang_pred for r in got} == {"en"} and not any(r.rejected for r in got)
+
+
+def plain_statistics(text):
+    """The fourteen statistics from their definitions, over the whole text's bytes and words."""
+    b = (text or "").encode()
+    ws = b.split()
+    n, size = len(ws), len(b)
+    count = lambda f: sum(map(f, b))
+    upper, letters = count(lambda c: 65 <= c <= 90), count(lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128)
+    share = lambda k, of: math.log((k + 0.5) / (of + 50))
+    p = [c / size for c in Counter(b).values()]
+    return [
+        math.log1p(n), math.log1p(sum(map(len, ws)) / max(1, n)), share(upper, letters), share(count(lambda c: 48 <= c <= 57), size),
+        share(count(lambda c: c in b".,;:?'\"()-"), size), share(count(lambda c: c in b"#$%&*+/<=>@[\\]^_`{}~"), size), share(b.count(b"|"), size), share(b.count(b"!"), size),
+        share(b.count(b"\n"), size), share(count(lambda c: c >= 128), size), share(sum(x == y for x, y in zip(ws, ws[1:])), n),
+        math.log((len(set(ws)) + 1) / (n + 1)), math.sqrt(sum(len(w) < 4 for w in ws) / max(1, n)), -sum(x * math.log(x) for x in p),
+    ]
+
+
+def test_statistics_are_their_definitions(spark):
+    texts = [r.text for r in odd_docs(spark).select("text").collect()]
+    for t in texts:
+        assert np.allclose(quality.statistics(None if t is None else t.encode()), plain_statistics(t))
+
+
 def test_word_scores_do_not_depend_on_company():
     m = langid.Models.learn({"x": {"house": 3, "mouse": 2, "us": 1}}, 4)
     alone = [m.word_scores([w])[0, 0] for w in ("house", "zebra", "u")]

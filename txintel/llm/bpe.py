@@ -257,4 +257,5 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document of the whole table, encoded and decoded; bpe_encode says what odd rows give."""
     return token_digests(table(spark, sf_dir, "documents"), vocabulary_path())

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txintel.llm.bpe import _schema
@@ -26,8 +26,11 @@ from txintel.runtime import ship_package, table
 ORDER = 4
 #: Rows of each language that the models learn from, and further rows that set its threshold, in expectation.
 FIT_ROWS, CALIBRATION_ROWS = 2000, 1000
-#: Of a language with fewer rows, the share that its model learns from; the rest sets its threshold.
-FIT_SHARE = 0.67
+#: Of a language with fewer rows, the share that its model learns from; the rest sets its threshold. Of one with no more than FEW
+#: the model learns from all, and the threshold is that of all languages.
+FIT_SHARE, FEW = 0.67, 20
+#: Bounds on what the fit brings to the driver: distinct words of a language, the most frequent, and characters of one.
+FIT_WORDS, FIT_CHARS = 100_000, 64
 #: Share of a language's own texts beyond its threshold before the safety factor.
 TAIL, SAFETY = 0.002, 3.0
 _LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -75,6 +78,7 @@ class Models:
     floor: np.ndarray
     centre: np.ndarray
     limit: np.ndarray
+    sure: float = 0.5
 
     @classmethod
     def learn(cls, counts: dict[str, dict[str, int]], order: int = ORDER) -> Models:
@@ -217,7 +221,7 @@ class Identifier:
         score = np.where(chars > 0, 1.0 / odds, 0.0)
         beyond = (least - m.centre[best]) * np.sqrt(np.minimum(n, 2000)) > m.limit[best]
         langs = [m.langs[b] if c else "und" for b, c in zip(best.tolist(), chars.tolist(), strict=True)]
-        return langs, score, (chars == 0) | beyond | (score < 0.5), np.where(chars > 0, least, 0.0), chars
+        return langs, score, (chars == 0) | beyond | (score < m.sure), np.where(chars > 0, least, 0.0), chars
 
 
 class Shared:
@@ -233,8 +237,9 @@ class Shared:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Shared:
-    """Models and thresholds from labelled rows that aren't held out: about fit_rows and calibration_rows of each language,
-    by a hash of the id; their number bounds what the driver and the executors hold."""
+    """Models and thresholds from labelled rows that aren't held out: about fit_rows and calibration_rows of each language, by
+    a hash of the id. Of the words of those, each language's FIT_WORDS most frequent count, longer ones in parts of FIT_CHARS;
+    these numbers bound what the driver and the executors hold."""
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -243,19 +248,27 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
         return Shared(spark, Models.learn({}, order))
     dice = F.pmod(F.xxhash64(F.col("id"), F.lit("langid")), F.lit(1 << 40)) / float(1 << 40)
     number = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(float(n)))))
-    fitted = F.least(F.lit(float(fit_rows)), number[F.col("lang")] * FIT_SHARE)
+    many = number[F.col("lang")]
+    fitted = F.when(many <= FEW, many).otherwise(F.least(F.lit(float(fit_rows)), many * FIT_SHARE))
     sample = rows.withColumn("rank", dice * number[F.col("lang")]).withColumn("fit", F.col("rank") < fitted).filter(F.col("fit") | (F.col("rank") < fitted + calibration_rows))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
         for part, texts in slices(batches, "text"):
             for lang, t in zip(part.column("lang").to_pylist(), texts, strict=True):
+                own = counts.setdefault(lang, Counter())
                 for some in letter_words(t):
-                    counts.setdefault(lang, Counter()).update(some)
+                    own.update(some)
+                    for w in [w for w in set(some) if len(w) > FIT_CHARS]:
+                        times, whole = own.pop(w), w.decode()
+                        for at in range(0, len(whole), FIT_CHARS):
+                            own[whole[at : at + FIT_CHARS].encode()] += times
         for lang, c in counts.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 
-    told = sample.filter("fit").select("lang", "text").mapInArrow(tally, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    tallied = sample.filter("fit").select("lang", "text").mapInArrow(tally, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    told = tallied.withColumn("turn", turn).filter(F.col("turn") <= FIT_WORDS).select("lang", "word", "n").toArrow()
     counts: dict[str, dict[str, int]] = {k: {} for k in sizes}
     for lang, word, n in zip(told["lang"].to_pylist(), told["word"].to_pylist(), told["n"].to_pylist(), strict=True):
         s = letters_of(word)
@@ -264,14 +277,15 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     models = Models.learn({k: c for k, c in counts.items() if c}, order)
     first = Shared(spark, models)
     judged = identify(sample.filter("not fit").select("lang", "text"), first, keep=("lang",), prefix="")
-    seen = judged.filter("chars > 0 and lang_pred = lang").select("lang", "entropy", "chars").toPandas()
+    seen = judged.filter("chars > 0 and lang_pred = lang").select("lang", "entropy", "chars", "score").toPandas()
     _calibrate(models, seen)
     return Shared(spark, models)
 
 
 def _calibrate(models: Models, seen) -> None:
     """Centres and limits of each language's cross-entropy from rows that the models haven't learned from; a language with
-    few of them takes the limit, and with fewest the centre, of all."""
+    few of them takes the limit, and with fewest the centre, of all. sure: the least score that isn't rejected, a half or what
+    nearly all of these rows reach, whichever is less."""
     if not len(seen):
         return
     beyond, middle = [], float(seen["entropy"].median())
@@ -279,6 +293,7 @@ def _calibrate(models: Models, seen) -> None:
         own = seen[seen["lang"] == lang]
         models.centre[k] = own["entropy"].median() if len(own) >= 5 else middle
         beyond.append((own["entropy"] - models.centre[k]) * np.sqrt(own["chars"].clip(upper=2000)))
+    models.sure = min(0.5, float(seen["score"].quantile(TAIL)))
     every = np.concatenate(beyond)
     for k, b in enumerate(beyond):
         models.limit[k] = SAFETY * max(float(np.quantile(b if len(b) >= 50 else every, 1 - TAIL)), 1.0)
@@ -287,7 +302,9 @@ def _calibrate(models: Models, seen) -> None:
 def identify(docs: DataFrame, shared: Shared, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """(keep..., lang_pred, score, rejected, entropy, chars), the new names after prefix, for every row.
 
-    A null text or one without letters is `und`, score 0, and rejected, as is everything if there are no models.
+    A null text or one without letters is `und`, score 0, and rejected, as is everything if there are no models. Rejected too is
+    a text whose cross-entropy lies beyond its language's calibrated limit, or whose score, the language's share among all, is
+    below the calibrated least.
     """
     ship_package(docs.sparkSession)
     rest = list(keep)
@@ -309,5 +326,6 @@ def held_out_column() -> Column:
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document of the whole table; identify says what odd rows give."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs)).select("doc_id", held_out_column(), "lang_pred", "score", "rejected")

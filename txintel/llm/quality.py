@@ -58,7 +58,7 @@ def statistics(text: bytes | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text", name: str = X) -> DataFrame:
-    """(keep..., name): each row's statistics as array<double>."""
+    """(keep..., name): each row's statistics as array<double>; a null text is an empty one, whose statistics are finite too."""
     ship_package(docs.sparkSession)
     rest = list(keep)
     both = rest if text_col in rest else [*rest, text_col]
@@ -113,7 +113,9 @@ def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
 
 
 def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", name: str = X) -> Discriminant:
-    """Learns from the rows that aren't held out and have a label of 0 or 1; a row counts once for each of its labels."""
+    """Learns from the rows that aren't held out and have a label of 0 or 1; a row counts once for each of its labels. Null ids
+    have no label; without labels, or with those of one class only, priors alone tell the classes apart."""
+    ship_package(rows.sparkSession)
     size = len(STATISTICS)
     said = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter("__y in (0, 1)")
     train = rows.filter(~held_out(id_col)).join(said, F.col(id_col) == F.col("__id")).select("__y", name)
@@ -138,7 +140,8 @@ def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
 
 
 def scored(rows: DataFrame, model: Discriminant, score_col: str = "score", name: str = X) -> DataFrame:
-    """rows with their statistics replaced by the posterior of class 1."""
+    """rows with their statistics replaced by the posterior of class 1, between 0 and 1 for every row."""
+    ship_package(rows.sparkSession)
     rest = [c for c in rows.columns if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +153,8 @@ def scored(rows: DataFrame, model: Discriminant, score_col: str = "score", name:
 
 
 def classify(docs: DataFrame, model: Discriminant, keep: tuple[str, ...], score_col: str = "score", text_col: str = "text") -> DataFrame:
-    """(keep..., score_col): statistics and posterior of every row in one pass over the texts."""
+    """(keep..., score_col): statistics and posterior of every row in one pass over the texts; null and empty texts get a score,
+    repeated rows stay, an empty table gives no rows."""
     ship_package(docs.sparkSession)
     rest = list(keep)
     both = rest if text_col in rest else [*rest, text_col]
@@ -164,6 +168,7 @@ def classify(docs: DataFrame, model: Discriminant, keep: tuple[str, ...], score_
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document of the whole table, learned from its labels; classify says what odd rows give."""
     rows = checkpoint(with_statistics(table(spark, sf_dir, "documents"), ("doc_id",)))
     model = fit(rows, table(spark, sf_dir, "labels"))
     return scored(rows, model).select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
