@@ -41,6 +41,25 @@ def test_bpe_words_of_many_shapes():
         assert list(struct.unpack(f"<{len(got) // 4}I", got)) == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_bpe_long_words(monkeypatch):
+    """A tree of its own gives what the library gives, for short words too; a long one takes seconds."""
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    tok, vocab = Tokenizer.from_file(bpe.vocabulary_path()), bpe.Vocabulary.load(bpe.vocabulary_path())
+    rng = random.Random(3)
+    assert vocab.in_order
+    some = ["a" * n for n in range(1, 40)] + ["".join(rng.choice(a) for _ in range(rng.randint(1, 300))) for a in ("ab", "aaab", "etaoinshrdlu", "éßa") for _ in range(60)]
+    for w in [*some, "".join(rng.choice("etaoinshrdlucm") for _ in range(30_000))]:
+        ids = tok.encode(w, add_special_tokens=False).ids
+        assert list(struct.unpack(f"<{len(ids)}I", bpe._merge_long(vocab, w.encode()))) == ids
+    began = time.time()
+    ids = bpe.Encoder(vocab).encode(["".join(rng.choice("ABCDEFGHabcdefghxyz") for _ in range(400_000))])[0]
+    assert time.time() - began < 30 and len(ids) // 4 < 400_000
+
+
 WORD = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

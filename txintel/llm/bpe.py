@@ -3,7 +3,8 @@
 Merging keeps a segment tree over the ranks of adjacent pairs: a leaf holds (rank, place) of the pair that starts there, an
 inner node the least of its two children, so the root is the leftmost pair of lowest rank. A merge changes three leaves;
 their paths to the root are renewed, until the root holds no mergeable pair. The trees of many words are rows of one
-array and advance together. Words once encoded are remembered, in a table of bounded size, for as long as the worker lives.
+array and advance together. A long word has a tree of its own, and all its pairs of the root's rank merge in one step: what a
+merge makes can only merge at a later rank, as the vocabulary made it later. Words once encoded are remembered, in a table of bounded size, for as long as the worker lives.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ _WORDS = regex.compile(PATTERN)
 #: A space that white space or the end follows; texts without one can be cut at their spaces.
 _LOOSE = regex.compile(r" (?:[\s\x1c-\x1f]|\Z)")
 NONE = np.iinfo(np.int64).max
+#: Bytes of a word beyond which it has a tree of its own.
+LONG = 4096
 #: Remembered words and bytes at most, and cells in one array of trees.
 REMEMBERED, REMEMBERED_BYTES, CELLS = 250_000, 24 << 20, 1 << 18
 
@@ -48,6 +51,8 @@ class Vocabulary:
     merged: np.ndarray
     pieces: list[bytes]
     special: dict[str, int]
+    #: Whether every merge's parts were made by earlier ranks.
+    in_order: bool = True
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -64,7 +69,9 @@ class Vocabulary:
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         keys = np.array([ids[a] << 20 | ids[b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
-        return cls(np.array([ids[c] for c in letters], np.int64), keys[order], order.astype(np.int64), np.array([ids[a + b] for a, b in merges], np.int64), pieces, special)
+        made = {a + b: k for k, (a, b) in reversed(list(enumerate(merges)))}
+        in_order = all(made.get(x, -1) < k for k, pair in enumerate(merges) for x in pair)
+        return cls(np.array([ids[c] for c in letters], np.int64), keys[order], order.astype(np.int64), np.array([ids[a + b] for a, b in merges], np.int64), pieces, special, in_order)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
@@ -118,11 +125,65 @@ def _merge(vocab: Vocabulary, seqs: list[bytes], width: int) -> list[bytes]:
     return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
+def _merge_long(vocab: Vocabulary, word: bytes) -> bytes:
+    """Ids of one byte string: the tree holds ranks, and all pairs of the root's rank, of those that overlap every other one
+    from the left, merge together."""
+    n, none = len(word), np.iinfo(np.int32).max
+    width = 1 << max(1, (n - 1).bit_length())
+    sym = vocab.first[np.frombuffer(word, np.uint8)].astype(np.int32)
+    nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    alive = np.ones(n, bool)
+
+    def ranks(at: np.ndarray) -> np.ndarray:
+        """Rank of the pair that starts at each place."""
+        out = np.full(len(at), none, np.int32)
+        has = np.flatnonzero(nxt[at] < n)
+        found = vocab.rank(sym[at[has]].astype(np.int64), sym[nxt[at[has]]].astype(np.int64))
+        out[has] = np.where(found < NONE, found, none)
+        return out
+
+    tree = np.full(2 * width, none, np.int32)
+    for a in range(0, n, 1 << 20):
+        some = np.arange(a, min(n, a + (1 << 20)))
+        tree[width + some] = ranks(some)
+    low = width >> 1
+    while low:
+        tree[low : 2 * low] = np.minimum(tree[2 * low : 4 * low : 2], tree[2 * low + 1 : 4 * low : 2])
+        low >>= 1
+    while tree[1] < none:
+        rank, i = tree[1], np.ones(1, np.int64)
+        while i[0] < width:
+            i = (2 * i[:, None] + np.arange(2)).ravel()
+            i = i[tree[i] == rank]
+        i -= width
+        joined = np.concatenate(([False], nxt[i[:-1]] == i[1:]))  # shares a symbol with the one before
+        turn = np.arange(len(i)) - np.maximum.accumulate(np.where(joined, 0, np.arange(len(i))))
+        i = i[turn % 2 == 0]
+        j = nxt[i]
+        sym[i], alive[j] = vocab.merged[rank], False
+        nxt[i] = nxt[j]
+        after = nxt[i]
+        prv[after[after < n]] = i[after < n]
+        h = prv[i]
+        again = np.unique(np.concatenate((i, h[h >= 0])))
+        tree[width + j] = none
+        tree[width + again] = ranks(again)
+        nodes = np.unique(np.concatenate((again, j)) + width) >> 1
+        while nodes[0]:
+            nodes = nodes[np.concatenate(([True], nodes[1:] != nodes[:-1]))]
+            tree[nodes] = np.minimum(tree[2 * nodes], tree[2 * nodes + 1])
+            nodes = nodes >> 1
+    return sym[alive].astype("<u4").tobytes()
+
+
 def merge_words(vocab: Vocabulary, seqs: list[bytes]) -> list[bytes]:
     """Ids of each byte string by itself."""
     out: list[bytes] = [b""] * len(seqs)
     by_width: dict[int, list[int]] = {}
     for k, s in enumerate(seqs):
+        if len(s) > LONG and vocab.in_order:
+            out[k] = _merge_long(vocab, s)
+            continue
         by_width.setdefault(1 << max(1, (len(s) - 1).bit_length()), []).append(k)
     for width, some in by_width.items():
         step = max(1, CELLS // width)
