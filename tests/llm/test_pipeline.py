@@ -43,6 +43,34 @@ def test_dedup_with_repeated_rows_and_null_ids(spark):
     assert Counter(r.doc_id for r in kept)[-5] == 1
 
 
+def test_stages_of_odd_rows_keep_their_columns(spark):
+    """Nulls in every column, repeats, long and empty texts, and extra columns with names that the stages use themselves."""
+    docs = odd_docs(spark).selectExpr("*", "1 AS __key", "2 AS __id", "'x' AS __score", "3 AS __words", "4 AS c0_", "true AS __rejected", "5 AS __u", "6 AS __digest")
+    before = Counter(tuple(r) for r in docs.collect())
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        after = Counter(tuple(r) for r in out.collect())
+        assert set(after) <= set(before) and after, name
+        if name != "source_mix":
+            assert after <= before, name
+    last = P.STAGES[-1][1](spark, docs, SF)
+    assert Counter(r.doc_id for r in last.collect()) == Counter(r[0] for r in before.elements())
+
+
+def test_empty_tables(spark, tmp_path):
+    """Every stage and the whole run over tables without rows, and over documents that are all rejected."""
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    empty = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in P.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+    assert P.run(spark, str(tmp_path)).count() == 0
+    one = spark.createDataFrame([(None, None, None, None, None)], empty.schema)
+    for name, stage in P.STAGES[2:]:
+        assert stage(spark, one, SF).count() == (name != "source_mix"), name
+
+
 def test_language_stage_rejects_what_the_operator_rejects(spark):
     docs = odd_docs(spark)
     judged = langid.identify(docs, langid.train(docs), prefix="p_").filter("not p_rejected")

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from txintel.llm.text import neutral
 from txintel.runtime import checkpoint, table
 
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -179,10 +180,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs' rows, each as often as the mix takes it; mix says what nulls, empty texts and repeats give."""
-    sizes = with_chance(docs, id_col, source_col, text_col).withColumn("__words", word_count(F.col(text_col)))
-    plan = plan_mix(checkpoint(sizes.select("__u", source_col, "__words")), "__u", source_col, "__words")
-    counted = with_copies(sizes, plan, "__u", source_col, "__words", "__")
-    return counted.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    plain, (row_id, source, text), named = neutral(docs, id_col, source_col, text_col)
+    sizes = with_chance(plain, row_id, source, text).withColumn("__words", word_count(F.col(text)))
+    plan = plan_mix(checkpoint(sizes.select("__u", source, "__words")), "__u", source, "__words")
+    counted = with_copies(sizes, plan, "__u", source, "__words", "__")
+    return named(counted.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txintel.llm.simhash import _small, allocate, bucket_links, bucket_rows, crowd, first_of_each, part_costs, parts_by_correlation
-from txintel.llm.text import slices, words
+from txintel.llm.text import neutral, slices, words
 from txintel.operators.components import connected_components
 from txintel.runtime import checkpoint, ship_package
 
@@ -183,5 +183,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs' rows without all but one of each component of near duplicates, which are rows linked by Jaccard similarity 0.8 or
     more of their sets of five-word shingles; first_of_each says which one stays. Null and empty texts are equal; an empty
     table gives no rows."""
-    keyed = docs.withColumn("__key", F.xxhash64(*docs.columns))
-    return first_of_each(keyed, jaccard_components(keyed, "__key", id_col, text_col), id_col).select(*docs.columns)
+    plain, (row_id, text), named = neutral(docs, id_col, text_col)
+    keyed = plain.withColumn("__key", F.xxhash64(*plain.columns))
+    return named(first_of_each(keyed, jaccard_components(keyed, "__key", row_id, text), row_id))

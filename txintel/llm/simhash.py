@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txintel.llm.text import slices, words
+from txintel.llm.text import neutral, slices, words
 from txintel.operators.components import connected_components
 from txintel.runtime import checkpoint, ship_package, table
 
@@ -246,8 +246,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' rows without all but one of each component of simhash_components; first_of_each says which one stays."""
-    keyed = docs.withColumn("__key", F.xxhash64(*docs.columns))
-    return first_of_each(keyed, simhash_components(keyed, id_col, text_col, keep=("__key",)), id_col).select(*docs.columns)
+    plain, (row_id, text), named = neutral(docs, id_col, text_col)
+    keyed = plain.withColumn("__key", F.xxhash64(*plain.columns))
+    return named(first_of_each(keyed, simhash_components(keyed, row_id, text, keep=("__key",)), row_id))
 
 
 def first_of_each(keyed: DataFrame, found: DataFrame, id_col: str) -> DataFrame:

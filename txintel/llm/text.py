@@ -7,6 +7,7 @@ from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: White space of the contracts, [\x20\x09-\x0D]; bytes.split() cuts at exactly these.
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -39,6 +40,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = 256) -> Ite
             yield part, part.column(text).cast(pa.binary()).to_pylist()
 
 
+def neutral(docs: DataFrame, *cols: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """docs with column names that clash with nothing, the new names of cols, and what gives such rows their names back."""
+    names = [f"c{k}_" for k in range(len(docs.columns))]
+    return docs.toDF(*names), [names[docs.columns.index(c)] for c in cols], lambda rows: rows.select(*names).toDF(*docs.columns)
+
+
 _REMEMBERED: dict[Hashable, Any] = {}
 
 
