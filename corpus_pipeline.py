@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txintel.llm import bpe, langid, mixing, neardup, quality
+from txintel.llm.text import neutral
 from txintel.runtime import ensure_checkpoint_dir, table
 
 #: A document stays if its quality score is at least this.
@@ -19,29 +20,37 @@ GOOD = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that language identification rejects: no letters, or no known language explains them."""
-    judged = langid.identify(docs, langid.train(docs), keep=tuple(docs.columns), prefix="__")
-    return judged.filter(~F.col("__rejected")).select(*docs.columns)
+    """Drops the documents that language identification rejects: those without letters (null and empty texts too), those that no
+    learned language explains within its calibrated limit, and those whose best language's share is below the calibrated least.
+    Repeated rows are judged alike; nulls in other columns change nothing; without labelled rows everything is rejected."""
+    plain, (text, lang, doc_id), named = neutral(docs, "text", "lang", "doc_id")
+    models = langid.train(plain, lang_col=lang, id_col=doc_id, text_col=text)
+    return named(langid.identify(plain, models, text_col=text, keep=tuple(plain.columns)).filter(~F.col("rejected")))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier, learned from labels of documents still here, rejects."""
+    """Drops the documents that the quality classifier, learned from labels of documents still here, scores below GOOD. Null and
+    empty texts and rows with a null id are scored like others; without labels the score is the prior, a half, and all stay."""
+    plain, (text, _), named = neutral(docs, "text", "doc_id")
     model = quality.fit(quality.with_statistics(docs, ("doc_id",)), table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model, tuple(docs.columns), "__score").filter(F.col("__score") >= GOOD).select(*docs.columns)
+    return named(quality.classify(plain, model, tuple(plain.columns), text_col=text).filter(F.col("score") >= GOOD))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates (five-word shingles, Jaccard 0.8 or more), that of least doc_id."""
+    """Keeps one document of each group of near duplicates, that of least doc_id: groups are linked by Jaccard similarity 0.8 or
+    more of their sets of five-word shingles, found by SimHash fingerprints. Null and empty texts are equal to each other; of
+    repeated rows one stays; a row with a null id stays only where its whole group has null ids."""
     return neardup.near_dedup(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and samples documents until each source has its share of the words."""
+    """Repeats and samples documents until each source has its share of the words; documents without words go, a null source is
+    a source, repeated rows are drawn each by itself."""
     return mixing.mixed_rows(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document of the mix, repeats included."""
+    """Token counts and digests of every document of the mix, repeats included; a null text is an empty one, of no tokens."""
     return bpe.token_digests(docs, bpe.vocabulary_path())
 
 
