@@ -5,21 +5,22 @@ differs with a known chance; a part of the bits lies within a threshold with a c
 fingerprints, correlated bits share a part, and a dynamic program allocates thresholds to parts by estimated candidate counts,
 here such that a pair of just that similarity is missed by all parts with a chance of MISSED at most. Pairs that meet in a part
 are held against one word of the fingerprint, then against all of it, and what is left against the sets themselves: every link
-is exact. A shingle counts as its 64-bit XXH64, a set as that of its shingles.
+is exact. In a bucket crowded by near copies, blocks of fingerprints are compared as arrays, as most such pairs are no links.
+A shingle counts as its 64-bit XXH64, a set as that of its shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import acos, ceil, comb, log, pi
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txintel.llm.simhash import _small, allocate, bucket_links, bucket_rows, crowd, first_of_each, part_costs, parts_by_correlation
+from txintel.llm.simhash import _small, allocate, bucket_links, bucket_rows, crowd, first_of_each, part_costs, part_values, parts_by_correlation
 from txintel.llm.text import neutral, slices, words
 from txintel.operators.components import connected_components
 from txintel.runtime import checkpoint, ship_package
@@ -30,8 +31,11 @@ SHINGLE, SIMILAR = 5, 80
 WORDS, MISSED, WIDTHS = 16, 0.002, (12, 14, 16, 18, 20)
 #: Fingerprints in the sample behind the cost estimates.
 SAMPLE = 1000
-#: Bits in which links may differ beyond what is expected of a pair at the threshold, in standard deviations.
-SLACK = 4.5
+#: Bits in which links may differ beyond what is expected of a pair at the threshold, in standard deviations: for all bits and
+#: for one word. Sets of fewer than FEW shingles differ in up to a quarter more bits, as halves of even numbers count as zeros.
+SLACK, WORD_SLACK, FEW = 4.0, 3.5, 24
+#: Nodes of a block in a crowded bucket, and bounds of a block of verification: bytes of its sets, and pairs.
+BLOCK, CELL_BYTES, BLOCK_PAIRS = 1024, 32 << 20, 250_000
 
 
 def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -67,10 +71,9 @@ def chance_apart(percent: int) -> float:
     return acos(2 * s / (1 + s)) / pi
 
 
-def most_apart(bits: int, percent: int, slack: float = SLACK) -> int:
-    """Bits in which fingerprints of linked sets differ at most, but for a chance that slack makes as small as wanted. Sets of
-    few shingles differ a quarter more, as halves of an even number count as zeros."""
-    p = 1.25 * chance_apart(percent)
+def most_apart(bits: int, percent: int, slack: float, few: bool) -> int:
+    """Bits in which fingerprints of linked sets differ at most, but for a chance that slack makes as small as wanted."""
+    p = (1.25 if few else 1.0) * chance_apart(percent)
     return min(bits, ceil(bits * p + slack * (bits * p * (1 - p)) ** 0.5))
 
 
@@ -98,15 +101,49 @@ def _node(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes())
 
 
-def _lists(sets: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-
-
 def _bits(prints: list[bytes]) -> np.ndarray:
     return np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1), axis=1)
 
 
+def _numbers(prints: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
+
+
+def _apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Bits in which fingerprints differ, given as 64-bit numbers in the last axis."""
+    out = np.zeros(np.broadcast_shapes(p.shape, q.shape)[:-1], np.uint16)
+    for k in range(p.shape[-1]):
+        out += np.bitwise_count(p[..., k] ^ q[..., k])
+    return out
+
+
+def _possible(off: np.ndarray, m: np.ndarray, n: np.ndarray, width: int, percent: int) -> np.ndarray:
+    """Whether sets of m and n shingles, whose fingerprints are off bits apart, can be linked."""
+    limit = np.where(np.minimum(m, n) < FEW, most_apart(width, percent, SLACK, True), most_apart(width, percent, SLACK, False))
+    return (off <= limit) & (np.minimum(m, n).astype(np.int64) * 100 >= np.maximum(m, n).astype(np.int64) * percent)
+
+
+def kept_pairs(pairs: DataFrame, cells: DataFrame, size: int, keep: Callable[[dict[str, pa.Array], int, int], bool]) -> DataFrame:
+    """The pairs (a, b) that keep accepts, given the cells' columns and both nodes' places there. cells: (node, ...), about size bytes in all.
+
+    Nodes are dealt into blocks; each pair of blocks gets its pairs and, once each, the cells that they need. So a node's cells
+    travel at most once a block, however many pairs it has.
+    """
+    number = max(8, ceil(size / CELL_BYTES), ceil((pairs.count() / BLOCK_PAIRS) ** 0.5))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(number)).cast("int")
+    dealt = pairs.select(F.least(block("a"), block("b")).alias("i"), F.greatest(block("a"), block("b")).alias("j"), "a", "b")
+    need = _small(checkpoint(dealt.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()))
+
+    def run(here: pa.Table, there: pa.Table) -> pa.Table:
+        own = {x: k for k, x in enumerate(there.column("node").to_pylist())}
+        held = {c: there.column(c).combine_chunks() for c in there.column_names if c not in ("i", "j", "node")}
+        a, b = here.column("a").to_pylist(), here.column("b").to_pylist()
+        mask = [x in own and y in own and keep(held, own[x], own[y]) for x, y in zip(a, b, strict=True)]
+        return here.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
+
+    return dealt.groupBy("i", "j").cogroup(cells.join(need, "node").groupBy("i", "j")).applyInArrow(run, "a bigint, b bigint")
+
+
 def jaccard_links(nodes: DataFrame, docs: DataFrame, text_col: str, key_col: str, shingle: int = SHINGLE, percent: int = SIMILAR, missed: float = MISSED) -> DataFrame:
     """Pairs (a < b) of nodes whose sets' similarity is percent or more: enough of them that the components are those of all
     that are found.
@@ -131,31 +168,76 @@ def jaccard_links(nodes: DataFrame, docs: DataFrame, text_col: str, key_col: str
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices(batches, text_col):
             own = [shingle_set(t, shingle) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([_node(x) for x in own], np.uint64).view(np.int64)), _lists(own)], names=["node", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([_node(x) for x in own], np.uint64).view(np.int64)), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "cells"])
 
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                off = np.bitwise_xor(*(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8) for c in ("p", "q"))).reshape(batch.num_rows, -1)
-                near = np.unpackbits(off, axis=1).sum(axis=1, dtype=np.int64) <= most_apart(width, percent)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near))
+    def near_prints(held: dict[str, pa.Array], a: int, b: int) -> bool:
+        off = _apart(*(np.frombuffer(held["fp"][k].as_py(), np.uint64) for k in (a, b)))
+        return bool(_possible(off, held["size"][a].as_py(), held["size"][b].as_py(), width, percent))
+
+    def near_sets(held: dict[str, pa.Array], a: int, b: int) -> bool:
+        p, q = (np.frombuffer(held["cells"][k].as_py(), np.uint64) for k in (a, b))
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        return both * 100 >= (len(p) + len(q) - both) * percent
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The pairs that are links: by their whole fingerprints first, then by their sets."""
-        prints = nodes.select("node", "fp")
-        near = checkpoint(pairs.join(prints.toDF("a", "p"), "a").join(prints.toDF("b", "q"), "b").mapInArrow(apart, "a bigint, b bigint"))
-        wanted = checkpoint(near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row"), "node").select(F.col("row").alias("__row")))
-        again = docs.join(_small(wanted), F.col(key_col) == F.col("__row"), "left_semi").select(text_col)
-        sets = checkpoint(again.mapInArrow(whole, "node bigint, cells array<bigint>").dropDuplicates(["node"]))
-        met = near.join(sets.toDF("a", "p"), "a").join(sets.toDF("b", "q"), "b").withColumn("both", F.size(F.array_intersect("p", "q")))
-        return checkpoint(met.filter(F.col("both") * 100 >= (F.size("p") + F.size("q") - F.col("both")) * percent).select("a", "b"))
-
-    def near(p: str, q: str):
+        maybe = checkpoint(kept_pairs(pairs, nodes.select("node", "fp", "size"), n * width // 8, near_prints))
+        wanted = checkpoint(maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row", "size"), "node"))
+        again = docs.join(_small(wanted.select(F.col("row").alias("__row"))), F.col(key_col) == F.col("__row"), "left_semi").select(text_col)
+        bytes_ = 8 * (wanted.agg(F.sum("size")).first()[0] or 0)
+        return checkpoint(kept_pairs(maybe, again.mapInArrow(whole, "node bigint, cells binary"), bytes_, near_sets))
+
+    def crowds(rows: DataFrame) -> DataFrame:
+        """Possible pairs of different components in crowded buckets. A bucket's rows are dealt into blocks, and each pair of
+        blocks is compared as arrays; a pair that shares the values of an earlier part too is left to that part's bucket."""
+        own = rows.select("key", "node", "component").distinct()
+        deal = own.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("number"))
+        dealt = own.join(_small(checkpoint(deal)), "key").withColumn("at", F.pmod(F.xxhash64("node"), F.col("number")).cast("int"))
+        met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("number") - 1)))
+        placed = met.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "node", "component")
+        full = placed.join(nodes.select("node", "size", "fp"), "node")
+        used = [(k, part) for k, (part, t) in enumerate(zip(parts, limits, strict=True)) if t >= 0]
+
+        def compare(key: tuple, some: pa.Table) -> pa.Table:
+            bucket, i, j = (k.as_py() for k in key)
+            node, component, at, sizes = (some.column(c).to_numpy() for c in ("node", "component", "at", "size"))
+            prints = some.column("fp").to_pylist()
+            words_ = _numbers(prints)
+            group, members = np.unique(component, return_counts=True)
+            largest = group[members.argmax()]
+            a_side, b_side = np.flatnonzero(component != largest), np.arange(len(node))
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            for p in np.array_split(a_side, max(1, len(a_side) // 256)):
+                if not len(p):
+                    continue
+                good = _possible(_apart(words_[p][:, None], words_[None]), sizes[p][:, None], sizes[None], width, percent)
+                good &= component[p][:, None] != component[None]
+                good &= (component[None] == largest) | (node[p][:, None] < node[None])
+                if i != j:  # pairs within one block meet where that block is compared with itself
+                    good &= at[p][:, None] != at[None]
+                x, y = np.nonzero(good)
+                out.append((p[x], b_side[y]))
+            x, y = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+            fresh = np.ones(len(x), bool)
+            if len(x):
+                bits = _bits(prints)
+                for k, part in used:
+                    if k == bucket >> 48:
+                        break
+                    value = part_values(bits, part)
+                    fresh &= value[x] != value[y]
+            u, v = node[x[fresh]], node[y[fresh]]
+            return pa.table({"a": pa.array(np.minimum(u, v)), "b": pa.array(np.maximum(u, v))})
+
+        return full.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+    def near(p: str, q: str) -> Column:
         m, k = F.col(p + "size"), F.col(q + "size")
-        return (F.least(m, k) * 100 >= F.greatest(m, k) * percent) & (F.bit_count(F.col(p + "word").bitwiseXOR(F.col(q + "word"))) <= most_apart(64, percent, 3.5))
+        limit = F.when(F.least(m, k) < FEW, most_apart(64, percent, WORD_SLACK, True)).otherwise(most_apart(64, percent, WORD_SLACK, False))
+        return (F.least(m, k) * 100 >= F.greatest(m, k) * percent) & (F.bit_count(F.col(p + "word").bitwiseXOR(F.col(q + "word"))) <= limit)
 
     rows = nodes.select("node", "size", "fp").mapInArrow(indexed, "key bigint, node bigint, own boolean, size int, word bigint")
-    return bucket_links(rows, ("size", "word"), near, crowd(parts, limits, n), verify)
+    return bucket_links(rows, ("size", "word"), near, crowd(parts, limits, n), verify, crowds)
 
 
 def jaccard_components(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILAR) -> DataFrame:

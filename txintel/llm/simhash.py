@@ -169,23 +169,30 @@ def crowd(parts: list[list[int]], limits: list[int], n: int) -> float:
     return 32 + 8 * max((n / 2.0 ** len(p) for p, t in zip(parts, limits, strict=True) if t >= 0), default=0.0)
 
 
-def bucket_links(rows: DataFrame, payload: tuple[str, ...], near: Callable[[str, str], Column], crowded: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bucket_links(rows: DataFrame, payload: tuple[str, ...], near: Callable[[str, str], Column], crowded: float, verify: Callable[[DataFrame], DataFrame], crowds: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Pairs (a < b) of nodes that are links: enough of them that the components are those of all links.
 
     rows: (key, node, own, payload...), a node's own buckets and those it probes; near(p, q): a condition on the columns of two
     rows, named with these prefixes, that every link fulfils; verify: keeps the links of a checkpointed table of pairs (a, b).
+    crowds: where given, finds the possible pairs of different components in crowded buckets, from rows with their component and
+    whether others share it; else they are joined like those of other buckets.
     """
     cols = ("node", *payload)
     side = lambda df, p, *more: df.select("key", *(F.col(c).alias(p + c) for c in (*cols, *more)))
     pair = [F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")]
     homes = rows.filter("own")
-    of = homes.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(*cols)).alias("c"))
-    centres = checkpoint(of.filter(F.col("n") > crowded).select("key", *(F.col("c")[c].alias("q_" + c) for c in cols)))
-    stars = side(homes, "p_").join(_small(centres), "key").filter((F.col("p_node") != F.col("q_node")) & near("p_", "q_"))
+    keys = _small(checkpoint(homes.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select("key")))
+    inside = checkpoint(homes.join(keys, "key"))
+    # the centre of a bucket is its node that most crowded buckets hold: near copies gather around what they copy
+    often = inside.groupBy("node").agg(F.count("*").alias("w"))
+    centre = inside.join(often, "node").groupBy("key").agg(F.max(F.struct("w", *cols)).alias("c"))
+    centres = checkpoint(centre.select("key", *(F.col("c")[c].alias("q_" + c) for c in cols)))
+    stars = side(inside, "p_").join(_small(centres), "key").filter((F.col("p_node") != F.col("q_node")) & near("p_", "q_"))
     links = verify(checkpoint(stars.select(*pair).distinct()))
 
-    part = checkpoint(connected_components(links, "a", "b"))
-    told = rows.join(_small(part), "node", "left").withColumn("grouped", F.col("component").isNotNull())
+    part = _small(checkpoint(connected_components(links, "a", "b")))
+    label = lambda df: df.join(part, "node", "left").withColumn("grouped", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "node"))
+    told = label(rows if crowds is None else rows.join(keys, "key", "left_anti"))
     # left: all that a node probes, right: own buckets only; a pair within reach meets in either direction
     right = side(told.filter("own and not grouped"), "q_")
     one = side(told, "p_", "grouped").join(right, "key").filter((F.col("p_grouped") | (F.col("p_node") < F.col("q_node"))) & near("p_", "q_")).select(*pair)
@@ -195,7 +202,10 @@ def bucket_links(rows: DataFrame, payload: tuple[str, ...], near: Callable[[str,
     members = side(several, "p_", "component").withColumnRenamed("p_component", "u")
     others = side(several.filter("own"), "q_", "component").withColumnRenamed("q_component", "v")
     two = across.join(members, ["key", "u"]).join(others, ["key", "v"]).filter(near("p_", "q_")).select(*pair)
-    return links.unionByName(verify(checkpoint(one.unionByName(two).distinct())))
+    found = one.unionByName(two)
+    if crowds is not None:
+        found = found.unionByName(crowds(label(rows.join(keys, "key", "left_semi"))))
+    return links.unionByName(verify(checkpoint(found.distinct())))
 
 
 def _small(df: DataFrame) -> DataFrame:
