@@ -78,7 +78,7 @@ def test_pairs_at_the_threshold_are_found(similar, least):
         both = round(2 * n * similar / (1 + similar))
         h = rng.integers(0, 2**63, 2 * n - both).astype(np.uint64)
         a, b = (np.unpackbits(np.frombuffer(N.wide_fingerprint(x), np.uint8)) for x in (h[:n], h[n - both :]))
-        word_ok += (a[:64] != b[:64]).sum() <= N.most_apart(64, 80, N.WORD_SLACK, n < N.FEW)
+        word_ok += (a[: 64 * N.CHECKED] != b[: 64 * N.CHECKED]).sum() <= N.most_apart(64 * N.CHECKED, 80, N.WORD_SLACK, n < N.FEW)
         all_ok += (a != b).sum() <= N.most_apart(len(a), 80, N.SLACK, n < N.FEW)
         bits.append(a), other.append(b)
     a, b = np.array(bits), np.array(other)

@@ -4,7 +4,7 @@ Each set gets a fingerprint of many bits. Two sets of Jaccard similarity s have
 differs with a known chance; a part of the bits lies within a threshold with a chance that follows from it. As for narrow
 fingerprints, correlated bits share a part, and a dynamic program allocates thresholds to parts by estimated candidate counts,
 here such that a pair of just that similarity is missed by all parts with a chance of MISSED at most. Pairs that meet in a part
-are held against one word of the fingerprint, then against all of it, and what is left against the sets themselves: every link
+are held against two words of the fingerprint, then against all of it, and what is left against the sets themselves: every link
 is exact. In a bucket crowded by near copies, blocks of fingerprints are compared as arrays, as most such pairs are no links.
 A shingle counts as its 64-bit XXH64, a set as that of its shingles.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txintel.llm.simhash import _small, allocate, bucket_links, bucket_rows, crowd, first_of_each, part_costs, part_values, parts_by_correlation
-from txintel.llm.text import neutral, slices, words
+from txintel.llm.text import forget, give_back, neutral, slices, words
 from txintel.operators.components import connected_components
 from txintel.runtime import checkpoint, ship_package
 
@@ -32,8 +32,8 @@ WORDS, MISSED, WIDTHS = 16, 0.002, (12, 14, 16, 18, 20)
 #: Fingerprints in the sample behind the cost estimates.
 SAMPLE = 1000
 #: Bits in which links may differ beyond what is expected of a pair at the threshold, in standard deviations: for all bits and
-#: for one word. Sets of fewer than FEW shingles differ in up to a quarter more bits, as halves of even numbers count as zeros.
-SLACK, WORD_SLACK, FEW = 4.0, 3.5, 24
+#: for the CHECKED words that meet first. Sets of fewer than FEW shingles differ in up to a quarter more bits, as halves of even numbers count as zeros.
+SLACK, WORD_SLACK, FEW, CHECKED = 4.0, 3.5, 24, 2
 #: Nodes of a block in a crowded bucket, and bounds of a block of verification: bytes of its sets, and pairs.
 BLOCK, CELL_BYTES, BLOCK_PAIRS = 1024, 32 << 20, 250_000
 
@@ -139,6 +139,8 @@ def kept_pairs(pairs: DataFrame, cells: DataFrame, size: int, keep: Callable[[di
         held = {c: there.column(c).combine_chunks() for c in there.column_names if c not in ("i", "j", "node")}
         a, b = here.column("a").to_pylist(), here.column("b").to_pylist()
         mask = [x in own and y in own and keep(held, own[x], own[y]) for x, y in zip(a, b, strict=True)]
+        del held, own
+        give_back()
         return here.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
     return dealt.groupBy("i", "j").cogroup(cells.join(need, "node").groupBy("i", "j")).applyInArrow(run, "a bigint, b bigint")
@@ -153,7 +155,7 @@ def jaccard_links(nodes: DataFrame, docs: DataFrame, text_col: str, key_col: str
     sample = [r.fp for r in nodes.select("fp").orderBy("node").limit(SAMPLE).collect()]
     if len(sample) < 2:
         return nodes.sparkSession.createDataFrame([], "a bigint, b bigint")
-    n, width = nodes.count(), 8 * len(sample[0])
+    n, width, word = nodes.count(), 8 * len(sample[0]), [f"word{k}" for k in range(CHECKED)]
     parts, limits = plan_parts(_bits(sample).astype(np.float32), n, percent, missed)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,9 +163,9 @@ def jaccard_links(nodes: DataFrame, docs: DataFrame, text_col: str, key_col: str
             for at in range(0, batch.num_rows, 2048):
                 some = batch.slice(at, 2048)
                 bits = _bits(some.column("fp").to_pylist())
-                word = pa.array(np.ascontiguousarray(np.packbits(bits[:, :64], axis=1)).view(np.int64).ravel())
+                checked = [pa.array(np.ascontiguousarray(np.packbits(bits[:, 64 * k : 64 * k + 64], axis=1)).view(np.int64).ravel()) for k in range(CHECKED)]
                 for key, own in bucket_rows(bits, parts, limits):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), some.column("node"), pa.array(np.full(len(key), own)), some.column("size"), word], names=["key", "node", "own", "size", "word"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), some.column("node"), pa.array(np.full(len(key), own)), some.column("size"), *checked], names=["key", "node", "own", "size", *word])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices(batches, text_col):
@@ -233,11 +235,12 @@ def jaccard_links(nodes: DataFrame, docs: DataFrame, text_col: str, key_col: str
 
     def near(p: str, q: str) -> Column:
         m, k = F.col(p + "size"), F.col(q + "size")
-        limit = F.when(F.least(m, k) < FEW, most_apart(64, percent, WORD_SLACK, True)).otherwise(most_apart(64, percent, WORD_SLACK, False))
-        return (F.least(m, k) * 100 >= F.greatest(m, k) * percent) & (F.bit_count(F.col(p + "word").bitwiseXOR(F.col(q + "word"))) <= limit)
+        limit = F.when(F.least(m, k) < FEW, most_apart(64 * CHECKED, percent, WORD_SLACK, True)).otherwise(most_apart(64 * CHECKED, percent, WORD_SLACK, False))
+        off = sum((F.bit_count(F.col(p + w).bitwiseXOR(F.col(q + w))) for w in word), F.lit(0))
+        return (F.least(m, k) * 100 >= F.greatest(m, k) * percent) & (off <= limit)
 
-    rows = nodes.select("node", "size", "fp").mapInArrow(indexed, "key bigint, node bigint, own boolean, size int, word bigint")
-    return bucket_links(rows, ("size", "word"), near, crowd(parts, limits, n), verify, crowds)
+    rows = nodes.select("node", "size", "fp").mapInArrow(indexed, "key bigint, node bigint, own boolean, size int, " + ", ".join(f"{w} bigint" for w in word))
+    return bucket_links(rows, ("size", *word), near, crowd(parts, limits, n), verify, crowds)
 
 
 def jaccard_components(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILAR) -> DataFrame:
@@ -249,6 +252,7 @@ def jaccard_components(docs: DataFrame, key_col: str, id_col: str = "doc_id", te
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for some, texts in slices(batches, text_col):
             own = [shingle_set(t, shingle) for t in texts]
             node = np.array([_node(x) for x in own], np.uint64).view(np.int64)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txintel.llm.bpe import _schema
-from txintel.llm.text import chunks, slices
+from txintel.llm.text import chunks, forget, slices
 from txintel.runtime import checkpoint, ship_package, table
 
 STATISTICS = ("words", "word_bytes", "upper", "digits", "marks", "symbols", "bars", "shouts", "lines", "beyond_ascii", "repeats", "variety", "short_words", "entropy")
@@ -160,6 +160,7 @@ def classify(docs: DataFrame, model: Discriminant, keep: tuple[str, ...], score_
     both = rest if text_col in rest else [*rest, text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for part, texts in slices(batches, text_col):
             score = model.score(np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS)))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(score)], names=[*rest, score_col])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
@@ -33,11 +35,20 @@ def words(text: bytes | None) -> Iterator[list[bytes]]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Parts of the batches with their texts as UTF-8 bytes."""
+    """Parts of the batches with their texts as UTF-8 bytes. After the last one the worker, which waits for other tasks then,
+    gives back what memory it can."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield part, part.column(text).cast(pa.binary()).to_pylist()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, which the allocators of Arrow and C would keep for this process."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def neutral(docs: DataFrame, *cols: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
@@ -51,8 +62,12 @@ _REMEMBERED: dict[Hashable, Any] = {}
 
 def remembered(key: Hashable, make: Callable[[], Any]) -> Any:
     """What a worker keeps between tasks under the key. It keeps one thing at a time: a worker serves many operators in turn,
-    and their memories would add up."""
+    and their memories would add up. Those that keep nothing call forget()."""
     if key not in _REMEMBERED:
         _REMEMBERED.clear()
         _REMEMBERED[key] = make()
     return _REMEMBERED[key]
+
+
+def forget() -> None:
+    _REMEMBERED.clear()
