@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import ipaddress
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Risk bands from the top, and display names of network categories.
@@ -15,8 +18,8 @@ CATEGORY_LABELS = {
     "mobile": "Mobile carrier",
     "exchange": "Exchange infrastructure",
     "sensor": "Monitoring sensor",
-    "unknown": "Unknown network",
-    "unresolved": "Unresolved origin",
+    "unknown": "Unclassified network",
+    "unresolved": "Origin unresolved",
 }
 HIGH_RISK_CATEGORIES = ("tor_exit", "vpn")
 
@@ -69,21 +72,66 @@ def whole_number(text: Column | str) -> Column:
     return F.when(F.trim(c) == "", None).otherwise(c).cast("double").cast("int")
 
 
-def ipv4(text: Column | str) -> Column:
-    """An IPv4 address as a number; null if it is none."""
-    c = F.trim(F.col(text) if isinstance(text, str) else text)
-    octets = F.transform(F.split(c, r"\."), lambda x: x.cast("bigint"))
-    valid = c.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
-    return F.when(valid, F.aggregate(octets, F.lit(0).cast("bigint"), lambda a, x: a * 256 + x))
+IP_TYPE = "struct<version:int,hi:bigint,lo:bigint>"
+
+
+def _ip_v6(texts: pd.Series) -> pd.DataFrame:
+    """Version, upper and lower 64 bits of IPv6 addresses, as signed numbers; nulls for what is none."""
+
+    def parts(text: str) -> tuple[int | None, int | None, int | None]:
+        try:
+            n = int(ipaddress.IPv6Address(text))
+        except ValueError:
+            return None, None, None
+        return 6, *(x - (x >> 63 << 64) for x in (n >> 64, n & (1 << 64) - 1))
+
+    return pd.DataFrame([parts(t) for t in texts], columns=["version", "hi", "lo"], dtype="Int64")
+
+
+def with_ip_number(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows with name: the address as struct (version, hi, lo), the upper and lower 64 bits of an IPv6 address, 0 and the number of
+    an IPv4 one; null if it is neither. Give it distinct addresses: those with a colon go through a helper in Python."""
+    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    c = F.trim(text)
+    v4 = F.aggregate(F.split(c, r"\."), F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 8).bitwiseOR(x.cast("bigint")))
+    colon = F.coalesce(F.col(text).contains(":"), F.lit(False))
+    four = rows.filter(~colon).withColumn(name, F.when(c.rlike(rf"^{octet}(\.{octet}){{3}}$"), F.struct(F.lit(4).alias("version"), F.lit(0).cast("bigint").alias("hi"), v4.alias("lo"))))
+    six = rows.filter(colon).withColumn("__six", F.pandas_udf(_ip_v6, IP_TYPE)(c)).withColumn(name, F.when(F.col("__six.version").isNotNull(), F.col("__six"))).drop("__six")
+    return four.unionByName(six)
+
+
+def ip_masked(number: Column, prefix: Column) -> Column:
+    """The address with all bits after its first prefix ones at 0."""
+    keep = lambda bits, x: F.when(bits <= 0, F.lit(0).cast("bigint")).when(bits >= 64, x).otherwise(x.bitwiseAND(F.call_function("shiftleft", F.lit(-1).cast("bigint"), (64 - bits).cast("int"))))
+    low = F.when(number["version"] == 4, prefix + 32).otherwise(prefix - 64)
+    return F.struct(number["version"].alias("version"), keep(prefix, number["hi"]).alias("hi"), keep(low, number["lo"]).alias("lo"))
 
 
 def duration_text(seconds: Column | str) -> Column:
-    s = F.col(seconds) if isinstance(seconds, str) else seconds
-    return F.when(s < 60, F.format_string("%.0f s", s)).when(s < 3600, F.format_string("%.0f min", s / 60)).otherwise(F.format_string("%.1f h", s / 3600))
+    """Whole seconds as 59 s, 59 min 59 s or 5 h 59 min."""
+    s = F.bround(F.col(seconds) if isinstance(seconds, str) else seconds, 0).cast("bigint")
+    whole = lambda n: F.floor(s / n).cast("bigint")
+    return F.when(s < 60, F.format_string("%d s", s)).when(s < 3600, F.format_string("%d min %d s", whole(60), s % 60)).otherwise(F.format_string("%d h %d min", whole(3600), F.floor(s % 3600 / 60).cast("bigint")))
+
+
+def fixed(number: Column | str, places: int) -> Column:
+    """A number with so many decimals, rounded by its exact value, as text."""
+    return F.replace(F.format_number(number, places), F.lit(","), F.lit(""))
 
 
 def same_amounts(amounts: Column) -> Column:
-    """How often the most frequent amount, to 8 places, occurs; 0 for none."""
-    rounded = F.transform(amounts, lambda x: F.round(x, 8))
-    times = F.transform(F.array_distinct(rounded), lambda x: F.size(F.filter(rounded, lambda y: y == x)))
-    return F.coalesce(F.array_max(times), F.lit(0))
+    """How often the most frequent amount, to 8 places, occurs; 0 for none. One pass over the sorted amounts."""
+    rounded = F.array_sort(F.transform(amounts, lambda x: F.round(x, 8)))
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(a: Column, x: Column) -> Column:
+        run = F.when(a["last"] == x, a["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["most"], run).alias("most"))
+
+    return F.coalesce(F.aggregate(rounded, start, step, lambda a: a["most"]), F.lit(0))
+
+
+def exact_sum(amount: Column | str) -> Column:
+    """The sum of amounts to 8 places, the same in whatever order they are added."""
+    c = F.col(amount) if isinstance(amount, str) else amount
+    return F.coalesce(F.sum(c.cast("decimal(28,8)")).cast("double"), F.lit(0.0))

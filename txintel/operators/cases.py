@@ -5,12 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txintel.functions.expressions import duration_text, severity
+from txintel.functions.expressions import duration_text, exact_sum, fixed, severity
 from txintel.operators.components import connected_components
 from txintel.operators.entities import MIXED, PEEL_HOPS
+from txintel.operators.ordered import numbered
+from txintel.operators.origin import RESOLVED
 from txintel.runtime import checkpoint
 
 FLAGGED = 40.0
+#: Transactions of a case that has a document of its own at most, and cases up to which their numbers are broadcast.
+DOCUMENT_ROWS, BROADCAST = 100_000, 200_000
+
+# Typology tags, and the sentences of a case's narrative.
+TAGS = {"mix": "CoinJoin mixing", "peel": "Peeling chain", "fan": "Fan-out / fan-in structuring", "sweep": "Consolidation sweep", "none": "Anomalous flow"}
+SENTENCES = {
+    "lead": "%d linked transaction%s carrying %s BTC over %s.",
+    "mix": "An equal-output mixing round breaks the link between senders and receivers.",
+    "peel": "A %d-hop peeling chain splits off %s BTC in small outputs while forwarding the remainder each hop.",
+    "fan": "Funds are fanned out into near-equal parts, moved one hop each and re-aggregated.",
+    "sweep": "Outputs from earlier hops are swept together into a single address.",
+    "origin": "The origin was resolved to %d IP address%s; most frequent is %s (%s, %s, %s) with mean attribution confidence %s.",
+    "tor": "A Tor exit identifies the relay, not the sender.",
+    "lost": "For %d transaction%s the origin could not be resolved: only relays were seen announcing.",
+    "out": "Largest onward output: %s BTC at %s (%s).",
+}
 
 
 def members(scored: DataFrame, edges: DataFrame) -> DataFrame:
@@ -49,7 +67,8 @@ def terminals(member: DataFrame, outputs: DataFrame, links: DataFrame, top: int
 
 
 def case_table(member: DataFrame, scored: DataFrame, links: DataFrame) -> DataFrame:
-    """One row a case, ranked. scored: txid, ts, risk, inflow (sum of inputs), n_out, least_out, coinjoin, peel_hops."""
+    """One row a case, ranked. scored: txid, ts, risk, inflow (sum of inputs), n_out (addresses), least_out, coinjoin, peel_hops.
+    Amounts are sums to 8 places."""
     rows = member.join(scored, "txid")
     flow = case_flow(member, links)
     parents = flow.groupBy(F.col("child").alias("txid")).agg(F.count("*").alias("n_parents"))
@@ -62,40 +81,76 @@ def case_table(member: DataFrame, scored: DataFrame, links: DataFrame) -> DataFr
         F.avg(F.when(core, F.col("risk"))).alias("mean"),
         F.count("*").alias("tx_count"),
         F.count(F.when(~core, 1)).alias("bridges"),
-        F.sum(F.when(F.col("n_parents") == 0, F.col("inflow")).otherwise(0.0)).alias("inflow"),
+        exact_sum(F.when(F.col("n_parents") == 0, F.col("inflow"))).alias("inflow"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
         F.max("peel_hops").alias("peel_hops"),
-        F.sum(F.when(F.col("peel_hops") >= PEEL_HOPS, F.coalesce("least_out", F.lit(0.0))).otherwise(0.0)).alias("peeled"),
+        exact_sum(F.when(F.col("peel_hops") >= PEEL_HOPS, F.col("least_out"))).alias("peeled"),
         any_(F.col("coinjoin") >= MIXED).alias("mix"),
         any_((F.col("n_children") >= 4) & (F.col("coinjoin") < MIXED)).alias("fan"),
         any_((F.col("n_parents") >= 2) & (F.col("n_out") == 1)).alias("sweep"),
     )
-    tags = F.array_compact(F.array(F.when(F.col("mix"), "CoinJoin mixing"), F.when(F.col("peel_hops") >= PEEL_HOPS, "Peeling chain"), F.when(F.col("fan"), "Fan-out / fan-in structuring"), F.when(F.col("sweep") & ~F.col("fan"), "Consolidation sweep")))
-    named = agg.withColumn("tags", F.when(F.size(tags) == 0, F.array(F.lit("Anomalous flow"))).otherwise(tags))
+    said = [F.when(F.col("mix"), TAGS["mix"]), F.when(F.col("peel_hops") >= PEEL_HOPS, TAGS["peel"]), F.when(F.col("fan"), TAGS["fan"]), F.when(F.col("sweep") & ~F.col("fan"), TAGS["sweep"])]
+    tags = F.array_compact(F.array(*said))
+    named = agg.withColumn("tags", F.when(F.size(tags) == 0, F.array(F.lit(TAGS["none"]))).otherwise(tags))
     done = named.select(
         "case_root", F.round("peak", 1).alias("risk_score"), F.round("mean", 1).alias("mean_risk"), severity("peak").alias("severity"), F.array_join("tags", " + ").alias("typology"), "tx_count", "bridges",
-        F.round("inflow", 2).alias("inflow"), "peel_hops", F.round("peeled", 2).alias("peeled"), "first_ts", "last_ts", duration_text(F.col("last_ts") - F.col("first_ts")).alias("duration"),
+        F.round("inflow", 8).alias("inflow"), "peel_hops", F.round("peeled", 8).alias("peeled"), "first_ts", "last_ts", duration_text(F.col("last_ts") - F.col("first_ts")).alias("duration"),
     )
-    place = F.row_number().over(Window.orderBy(F.desc("risk_score"), F.desc("inflow"), "first_ts", "case_root"))
-    return done.withColumn("case_id", F.format_string("CASE-%03d", place))
+    ranked = numbered(done, [F.desc("risk_score"), F.desc("inflow"), F.col("first_ts"), F.col("case_root")], "k")
+    return ranked.withColumn("case_id", F.format_string("CASE-%03d", "k")).drop("k")
 
 
 def typologies(cases: DataFrame) -> DataFrame:
     one = cases.withColumn("tag", F.explode(F.split("typology", r" \+ ")))
-    return one.groupBy("tag").agg(F.count("*").alias("cases"), F.sum("tx_count").alias("transactions"), F.round(F.sum("inflow"), 2).alias("inflow"))
+    return one.groupBy("tag").agg(F.count("*").alias("cases"), F.sum("tx_count").alias("transactions"), exact_sum("inflow").alias("inflow"))
+
+
+def origins(member: DataFrame, located: DataFrame) -> DataFrame:
+    """(case_root, ip, transactions, country, asn, org, category, category_label, mean_confidence, resolved) for each address that
+    announced first in a case. located: txid, origin_ip, its network and the confidence; below the threshold the first announcer
+    is more likely a relay than the origin."""
+    rows = member.select("txid", "case_root").join(located.filter("origin_ip is not null"), "txid")
+    per = rows.groupBy("case_root", F.col("origin_ip").alias("ip")).agg(
+        F.count("*").alias("transactions"), *(F.min(c).alias(c) for c in ("country", "asn", "org", "category", "category_label")),
+        F.round(F.avg("confidence"), 3).alias("mean_confidence"),
+    )
+    return per.withColumn("resolved", F.col("mean_confidence") >= RESOLVED)
 
 
 def narrative() -> Column:
-    """A case's sentence, from the columns of case_table."""
-    has = lambda tag: F.col("typology").contains(tag)
-    lead = F.format_string("%d linked transaction%s carrying %.4f BTC over %s.", "tx_count", F.when(F.col("tx_count") == 1, "").otherwise("s"), "inflow", "duration")
-    peel = F.format_string("A %d-hop peeling chain splits off %.4f BTC in small outputs while forwarding the remainder each hop.", "peel_hops", "peeled")
+    """A case's sentences, from the columns of case_table and, where there are any, origins (best first) and terminal_outputs."""
+    has = lambda tag: F.col("typology").contains(TAGS[tag])
+    plural = lambda n, one, many: F.when(n == 1, one).otherwise(many)
+    good = F.filter("origins", lambda o: o["resolved"])
+    lost = F.aggregate(F.filter("origins", lambda o: ~o["resolved"]), F.lit(0).cast("bigint"), lambda a, o: a + o["transactions"])
+    top, out = F.try_element_at(good, F.lit(1)), F.try_element_at("terminal_outputs", F.lit(1))
+    tor = F.exists(good, lambda o: o["category"] == "tor_exit")
     return F.concat_ws(
         " ",
-        lead,
-        F.when(has("CoinJoin"), "An equal-output mixing round breaks the link between senders and receivers."),
-        F.when(has("Peeling"), peel),
-        F.when(has("Fan-out"), "Funds are fanned out into near-equal parts, moved one hop each and re-aggregated."),
-        F.when(has("Consolidation"), "Outputs from earlier hops are swept together into a single address."),
+        F.format_string(SENTENCES["lead"], "tx_count", plural(F.col("tx_count"), "", "s"), fixed("inflow", 4), "duration"),
+        F.when(has("mix"), SENTENCES["mix"]),
+        F.when(has("peel"), F.format_string(SENTENCES["peel"], "peel_hops", fixed("peeled", 4))),
+        F.when(has("fan"), SENTENCES["fan"]),
+        F.when(has("sweep"), SENTENCES["sweep"]),
+        F.when(F.size(good) > 0, F.format_string(SENTENCES["origin"], F.size(good), plural(F.size(good), "", "es"), top["ip"].cast("string"), top["category_label"], top["country"], top["asn"], fixed(top["mean_confidence"], 2))),
+        F.when((F.size(good) > 0) & tor, SENTENCES["tor"]),
+        F.when(lost > 0, F.format_string(SENTENCES["lost"], lost, plural(lost, "", "s"))),
+        F.when(F.size("terminal_outputs") > 0, F.format_string(SENTENCES["out"], fixed(out["amount"], 4), out["address"].cast("string"), out["status"])),
     )
+
+
+def documents(cases: DataFrame, member: DataFrame, parts: dict[str, tuple[DataFrame, list[Column], list[str]]], most: int = DOCUMENT_ROWS) -> DataFrame:
+    """cases with an array of structs for each part, its name: (rows with case_root, order, fields).
+
+    A document is one row, so parts are gathered for cases of at most `most` transactions; beyond, their arrays are null and the
+    parts' own tables, which have every case, take their place.
+    """
+    fit = F.broadcast(cases.filter(F.col("tx_count") <= most).select("case_root")) if cases.count() <= BROADCAST else cases.filter(F.col("tx_count") <= most).select("case_root")
+    out = cases
+    for name, (rows, order, fields) in parts.items():
+        keyed = rows.join(fit, "case_root").select("case_root", F.struct(F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order))).alias("at"), F.struct(*fields).alias("item")).alias("x"))
+        gathered = keyed.groupBy("case_root").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["item"]).alias(name))
+        empty = F.array().cast(gathered.schema[name].dataType)
+        out = out.join(gathered, "case_root", "left").withColumn(name, F.when(F.col("tx_count") <= most, F.coalesce(name, empty)))
+    return out

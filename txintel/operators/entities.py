@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txintel.functions.expressions import same_amounts
+from txintel.functions.expressions import exact_sum, same_amounts
 from txintel.operators.components import connected_components
+from txintel.operators.ordered import numbered
 from txintel.runtime import checkpoint
 
 MIX_INPUTS, MIX_OUTPUTS, MIXED = 3, 3, 0.5
@@ -44,7 +45,7 @@ def entities(spends: DataFrame, skip: DataFrame | None = None) -> DataFrame:
     edges = used.join(least, "txid").filter("address <> hub").select(F.col("hub").alias("src"), F.col("address").alias("dst"))
     member = connected_components(edges).withColumnsRenamed({"node": "address", "component": "entity"})
     sizes = member.groupBy("entity").agg(F.count("*").alias("size"))
-    ranked = sizes.withColumn("entity_id", F.format_string("ENTITY_%03d", F.row_number().over(Window.orderBy(F.desc("size"), "entity"))))
+    ranked = numbered(sizes, [F.desc("size"), F.col("entity")], "k").select("entity", "size", F.format_string("ENTITY_%03d", "k").alias("entity_id"))
     return member.join(ranked, "entity").select("address", "entity", "entity_id", "size")
 
 
@@ -75,3 +76,13 @@ def chains(hops: DataFrame, order: DataFrame, least_hops: int = PEEL_HOPS) -> Da
             break
     sized = reach.withColumn("hops", F.count("*").over(Window.partitionBy("start")))
     return sized.filter(F.col("hops") >= least_hops).join(order.select(F.col("txid").alias("start"), F.col("ts").alias("start_ts")), "start")
+
+
+def chain_table(steps: DataFrame, tx: DataFrame) -> DataFrame:
+    """One row a chain of chains(): chain_id by time of its start, hops, amounts to 8 places and its txids in order."""
+    rows = steps.join(tx.select("txid", "ts", F.array_min("output_amounts").alias("least"), F.aggregate("input_amounts", F.lit(0.0), lambda a, x: a + x).alias("spent"), F.array_max("output_amounts").alias("most")), "txid")
+    per = rows.groupBy("start", "hops").agg(
+        exact_sum("least").alias("peeled_total"), F.round(F.min_by("spent", "step"), 8).alias("start_amount"), F.round(F.max_by("most", "step"), 8).alias("remainder"),
+        (F.max("ts") - F.min("ts")).alias("duration_s"), F.min("ts").alias("start_ts"), F.transform(F.array_sort(F.collect_list(F.struct("step", "txid"))), lambda x: x["txid"]).alias("txids"),
+    )
+    return numbered(per, ["start_ts", "start"], "k").withColumn("chain_id", F.format_string("PEEL_%03d", "k")).drop("k")

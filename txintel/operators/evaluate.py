@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txintel.operators.ordered import running
@@ -24,8 +24,7 @@ def roc_auc(rows: DataFrame) -> DataFrame:
     """(roc_auc): rank-sum statistic with average ranks of ties; null if a class is empty. Scores are counted before they are
     ranked, so the ordered pass has one row a distinct score."""
     per = rows.groupBy("score").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn("rank", before + (F.col("n") + 1) / 2)
+    ranked = running(per, ["score"], {"upto": F.col("n")}).withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     s = ranked.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"))
     return s.select(F.round(F.try_divide(F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2, (F.col("pos") * F.col("neg")).cast("double")), 6).alias("roc_auc"))
 

@@ -9,6 +9,19 @@ from txintel.functions.expressions import same_amounts, sigmoid
 from txintel.operators.flow import NEVER_S
 
 FEATURES = ("log_value", "log_inputs", "log_outputs", "log_fee_rate", "output_ratio", "equal_out_frac", "log_respend", "log_next_spend", "log_in_degree", "log_out_degree")
+# What the features are called in reports.
+FEATURE_LABELS = {
+    "log_value": "transaction value",
+    "log_inputs": "number of inputs",
+    "log_outputs": "number of outputs",
+    "log_fee_rate": "fee relative to value",
+    "output_ratio": "small-to-large output ratio",
+    "equal_out_frac": "share of equal-valued outputs",
+    "log_respend": "time since the funding transaction",
+    "log_next_spend": "time until the outputs were re-spent",
+    "log_in_degree": "number of funding transactions",
+    "log_out_degree": "number of spending transactions",
+}
 # The evidence signals with their wordings, present and absent.
 EVIDENCE = {
     "gnn_prob": ("Graph neural network: laundering-topology probability", None),

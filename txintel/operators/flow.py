@@ -8,7 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from txintel.operators.ordered import one_before
+
 NEVER_S = 604800.0
+#: Events of one address up to which a window by address serves; with more, rows are dealt by range.
+HOT = 2_000_000
 
 
 def inputs(tx: DataFrame) -> DataFrame:
@@ -22,17 +26,23 @@ def outputs(tx: DataFrame) -> DataFrame:
     return tx.select("txid", "ts", F.posexplode(pairs).alias("pos", "o")).select("txid", "ts", "pos", F.col("o.output_addresses").alias("address"), F.col("o.output_amounts").alias("amount"))
 
 
-def spend_links(tx_inputs: DataFrame, tx_outputs: DataFrame) -> DataFrame:
+def spend_links(tx_inputs: DataFrame, tx_outputs: DataFrame, hot: int = HOT) -> DataFrame:
     """(parent, child, address, amount): a spend links to the payment just before it on its address, if nothing spent it yet.
 
     In the order of (ts, txid), a transaction's inputs before its outputs, a spend has a link if and only if the event before
-    it on the address is a payment: one window by address over narrow rows.
+    it on the address is a payment: one window by address over narrow rows, or where an address has more than hot events, an
+    order by ranges that no address has to fit into.
     """
     events = tx_inputs.select("address", "ts", "txid", F.lit(0).alias("kind"), "pos", F.lit(None).cast("double").alias("amount")).unionByName(
         tx_outputs.select("address", "ts", "txid", F.lit(1).alias("kind"), "pos", "amount")
     )
-    before = F.lag(F.struct("kind", "txid", "amount")).over(Window.partitionBy("address").orderBy("ts", "txid", "kind", "pos"))
-    linked = events.withColumn("before", before).filter("kind = 0 and before.kind = 1")
+    order, value = ["ts", "txid", "kind", "pos"], F.struct("kind", "txid", "amount")
+    most = events.groupBy("address").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= hot:
+        placed = events.withColumn("before", F.lag(value).over(Window.partitionBy("address").orderBy(*order)))
+    else:
+        placed = one_before(events, "address", order, value, "before")
+    linked = placed.filter("kind = 0 and before.kind = 1")
     return linked.select(F.col("before.txid").alias("parent"), F.col("txid").alias("child"), "address", F.col("before.amount").alias("amount"))
 
 

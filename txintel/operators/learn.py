@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from txintel.runtime import ship_package
 
 TREES, SAMPLE, FEWEST = 128, 256, 8
-#: Rows of the bounded graph that a network is trained on at most.
+#: Numbers in the feature table of the graph that a network is trained on at most, 400 MB; larger graphs need a bounded subgraph.
+TRAIN_CELLS = 50_000_000
+#: Nodes of a bounded subgraph at most.
 TRAIN_ROWS = 50_000
 
 
@@ -84,7 +86,7 @@ def grow_tree(x: np.ndarray, seed: int, height: int) -> list[tuple[int, float, i
     todo = [(0, np.arange(len(x)), 0)]
     while todo:
         at, rows, depth = todo.pop()
-        low, high = x[rows].min(axis=0), x[rows].max(axis=0)
+        low, high = x[rows].min(axis=0, initial=np.inf), x[rows].max(axis=0, initial=-np.inf)
         free = np.flatnonzero(high > low)
         if depth >= height or len(rows) <= 1 or not len(free):
             nodes[at] = (-1, 0.0, 0, 0, depth + path_norm(len(rows)))
@@ -167,36 +169,79 @@ class GraphNet:
         return _mapped(h, ["x"], lambda x: 1 / (1 + np.exp(-np.clip(x @ w + b, -60, 60))), "gnn_prob", "double", ["id"])
 
 
-def save_net(spark: SparkSession, net: GraphNet, path: str) -> None:
-    """The network's arrays as a Parquet table (name, shape, cells)."""
-    arrays = {f"layer{k}_{n}": w for k, layer in enumerate(net.layers) for n, w in zip(("self", "in", "out", "bias"), layer, strict=True)}
-    arrays |= {"head": net.head[0], "head_bias": np.array([net.head[1]]), "mean": net.mean, "std": net.std, "clip": np.array([net.clip])}
+def save_arrays(spark: SparkSession, arrays: dict[str, np.ndarray], path: str) -> None:
+    """Named arrays as a Parquet table (name, shape, cells)."""
     rows = [(n, list(a.shape), a.astype(float).ravel().tolist()) for n, a in arrays.items()]
     spark.createDataFrame(rows, "name string, shape array<int>, cells array<double>").coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def load_net(spark: SparkSession, path: str) -> GraphNet:
-    a = {r.name: np.array(r.cells).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
+def load_arrays(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    return {r.name: np.array(r.cells).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
+
+
+def net_arrays(net: GraphNet) -> dict[str, np.ndarray]:
+    arrays = {f"layer{k}_{n}": w for k, layer in enumerate(net.layers) for n, w in zip(("self", "in", "out", "bias"), layer, strict=True)}
+    return arrays | {"head": net.head[0], "head_bias": np.array([net.head[1]]), "mean": net.mean, "std": net.std, "clip": np.array([net.clip])}
+
+
+def net_of(a: dict[str, np.ndarray]) -> GraphNet:
     layers = [tuple(a[f"layer{k}_{n}"] for n in ("self", "in", "out", "bias")) for k in range(2)]
     return GraphNet(layers, (a["head"], float(a["head_bias"][0])), a["mean"], a["std"], float(a["clip"][0]))
 
 
-def _mean_of(h: np.ndarray, src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    total, count = np.zeros((n, h.shape[1])), np.bincount(dst, minlength=n).astype(float)
-    np.add.at(total, dst, h[src])
-    scale = 1 / np.maximum(count, 1)
-    return total * scale[:, None], scale
+def save_net(spark: SparkSession, net: GraphNet, path: str) -> None:
+    save_arrays(spark, net_arrays(net), path)
+
+
+def load_net(spark: SparkSession, path: str) -> GraphNet:
+    return net_of(load_arrays(spark, path))
+
 
+def _summed(values: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    """Rows of values added up by where they go."""
+    total = np.zeros((n, values.shape[1]))
+    if len(to):
+        order = np.argsort(to, kind="stable")
+        own, first = np.unique(to[order], return_index=True)
+        total[own] = np.add.reduceat(values[order], first, axis=0)
+    return total
 
-def train_graph_net(x: np.ndarray, src: np.ndarray, dst: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 200, lr: float = 0.01, l2: float = 5e-4, seed: int = 0, mask: np.ndarray | None = None, callback=None) -> GraphNet:
-    """Full-batch Adam on class-balanced cross-entropy with L2 on weights, for a graph of at most TRAIN_ROWS nodes."""
-    if len(x) > TRAIN_ROWS:
-        raise ValueError(f"train on at most {TRAIN_ROWS} nodes; draw a bounded subgraph first")
+
+def _mean_of(h: np.ndarray, src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    scale = 1 / np.maximum(np.bincount(dst, minlength=n).astype(float), 1)
+    return _summed(h[src], dst, n) * scale[:, None], scale
+
+
+def local_scores(net: GraphNet, x: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """A network's scores over a graph that fits the driver, as training looks at them between steps."""
+    h = np.clip((x - net.mean) / net.std, -net.clip, net.clip)
+    for own, into, out, bias in net.layers:
+        h = np.maximum(h @ own + _mean_of(h, src, dst, len(h))[0] @ into + _mean_of(h, dst, src, len(h))[0] @ out + bias, 0)
+    return 1 / (1 + np.exp(-np.clip(h @ net.head[0] + net.head[1], -60, 60)))
+
+
+def local_graph(rows: DataFrame, edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(x, src, dst, y) of a graph (id, x, y), (src, dst) in order of its ids, on the driver; refused beyond TRAIN_CELLS."""
+    n, d = rows.agg(F.count("*"), F.max(F.size("x"))).first()
+    if n * (d or 0) > TRAIN_CELLS:
+        raise ValueError(f"{n} nodes of {d} features exceed {TRAIN_CELLS} values; draw a bounded subgraph first")
+    data = rows.select("id", "x", "y").orderBy("id").toPandas()
+    place = {k: i for i, k in enumerate(data["id"])}
+    ends = edges.select("src", "dst").orderBy("src", "dst").toPandas()
+    src, dst = (ends[c].map(place).to_numpy(np.int64) for c in ("src", "dst"))
+    return np.array(data["x"].tolist()).reshape(len(data), -1), src, dst, data["y"].to_numpy(float, na_value=np.nan)
+
+
+def train_graph_net(x: np.ndarray, src: np.ndarray, dst: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 300, lr: float = 0.01, l2: float = 1e-4, seed: int = 0, mask: np.ndarray | None = None, callback=None, clip: float = 8.0) -> GraphNet:
+    """Full-batch Adam on class-balanced cross-entropy with L2 on weights, for a graph whose features are at most TRAIN_CELLS
+    numbers. callback(step, loss, net) ends the training by returning true."""
+    if x.size > TRAIN_CELLS:
+        raise ValueError(f"train on at most {TRAIN_CELLS} feature values; draw a bounded subgraph first")
     rng, n = np.random.default_rng(seed), len(x)
     mask = np.ones(n, bool) if mask is None else mask
     mean, std = x.mean(axis=0), x.std(axis=0)
     std = np.where(std < 1e-9, 1.0, std)
-    z = np.clip((x - mean) / std, -8, 8)
+    z = np.clip((x - mean) / std, -clip, clip)
     dims = [x.shape[1], hidden, hidden]
     p = [rng.normal(0, np.sqrt(2 / (3 * dims[k])), (dims[k], dims[k + 1])) if j < 3 else np.zeros(dims[k + 1]) for k in range(2) for j in range(4)] + [rng.normal(0, 0.1, hidden), np.zeros(1)]
     pos = max(1, int(y[mask].sum()))
@@ -208,9 +253,9 @@ def train_graph_net(x: np.ndarray, src: np.ndarray, dst: np.ndarray, y: np.ndarr
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
             p[k] = p[k] - lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        if callback and callback(step, loss, p):
+        if callback and callback(step, loss, GraphNet([tuple(p[0:4]), tuple(p[4:8])], (p[8], float(p[9][0])), mean, std, clip)):
             break
-    return GraphNet([tuple(p[0:4]), tuple(p[4:8])], (p[8], float(p[9][0])), mean, std)
+    return GraphNet([tuple(p[0:4]), tuple(p[4:8])], (p[8], float(p[9][0])), mean, std, clip)
 
 
 def graph_net_gradient(p: list[np.ndarray], z: np.ndarray, src: np.ndarray, dst: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float) -> tuple[float, list[np.ndarray]]:
@@ -233,8 +278,7 @@ def graph_net_gradient(p: list[np.ndarray], z: np.ndarray, src: np.ndarray, dst:
         back = back * (a > 0)
         g[k], g[k + 1], g[k + 2], g[k + 3] = h0.T @ back + l2 * p[k], i.T @ back + l2 * p[k + 1], o.T @ back + l2 * p[k + 2], back.sum(axis=0)
         down = back @ p[k].T
-        np.add.at(down, src, (back @ p[k + 1].T * i_scale[:, None])[dst])
-        np.add.at(down, dst, (back @ p[k + 2].T * o_scale[:, None])[src])
+        down += _summed((back @ p[k + 1].T * i_scale[:, None])[dst], src, n) + _summed((back @ p[k + 2].T * o_scale[:, None])[src], dst, n)
         back = down
     return loss, g
 

@@ -23,3 +23,25 @@ def running(rows: DataFrame, order: list[Column | str], totals: dict[str, Column
     offsets = sums.select("__range", *(F.coalesce(F.sum(f"__s_{k}").over(before), F.lit(0)).alias(f"__o_{k}") for k in totals))
     out = dealt.join(F.broadcast(offsets), "__range")  # as many rows as ranges
     return out.withColumns({k: F.col(f"__o_{k}") + F.sum(f"__{k}").over(w) for k in totals}).select(*rows.columns, *totals)
+
+
+def numbered(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """rows with their number in the order, from 1."""
+    return running(rows, order, {name: F.lit(1).cast("bigint")})
+
+
+def one_before(rows: DataFrame, key: str, order: list[str], value: Column, name: str, partitions: int | None = None) -> DataFrame:
+    """rows with name: the value of the row before in the order among those of the same key, null for the first.
+
+    Rows are dealt by range of (key, order), so a key with very many rows is dealt over several ranges; the last row of the
+    range before, one row each, stands before the first of a range. An order without ties makes the result unique.
+    """
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    valued = rows.withColumn("__value", F.struct(F.col(key).alias("k"), value.alias("v")))
+    dealt = checkpoint(valued.repartitionByRange(n, key, *order).withColumn("__range", F.spark_partition_id()))
+    within = Window.partitionBy("__range").orderBy(key, *order)
+    last = dealt.groupBy("__range").agg(F.max_by("__value", F.struct(key, *order)).alias("__last"))
+    ends = last.select("__range", F.lag("__last").over(Window.orderBy("__range")).alias("__end"))  # as many rows as ranges
+    met = dealt.withColumn("__before", F.lag("__value").over(within)).join(F.broadcast(ends), "__range")
+    before = F.coalesce("__before", "__end")
+    return met.withColumn(name, F.when(before["k"].eqNullSafe(F.col(key)), before["v"])).select(*rows.columns, name)

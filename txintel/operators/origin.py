@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from txintel.functions.expressions import sigmoid
 from txintel.operators.learn import fit_logistic
+from txintel.runtime import checkpoint
 
 RESOLVED, PROPAGATION_MS = 0.5, 250.0
 
@@ -17,35 +18,30 @@ RESOLVED, PROPAGATION_MS = 0.5, 250.0
 def first_seen(obs: DataFrame) -> DataFrame:
     """(txid, origin_ip, first_ts, runner_up_ip, lead_ms): who announced first, and by how much ahead of anyone else.
 
-    One shuffle by txid serves the window and the aggregation.
+    Each address's first announcement, then the two first of those: both steps are pre-aggregated before the shuffle, so a
+    transaction that everybody announces is no more than two rows a task.
     """
-    order = F.struct("timestamp", "seq")
-    marked = obs.withColumn("origin_ip", F.first("src_ip").over(Window.partitionBy("txid").orderBy("timestamp", "seq")))
-    found = marked.groupBy("txid").agg(
-        F.first("origin_ip").alias("origin_ip"),
-        F.min("timestamp").alias("first_ts"),
-        F.min_by(F.struct("src_ip", "timestamp"), F.when(F.col("src_ip") != F.col("origin_ip"), order)).alias("next"),
-    )
-    return found.select("txid", "origin_ip", "first_ts", F.col("next.src_ip").alias("runner_up_ip"), F.round((F.col("next.timestamp") - F.col("first_ts")) * 1000, 1).alias("lead_ms"))
-
-
-def sensor_agreement(obs: DataFrame) -> DataFrame:
-    """(txid, origin_ip, sensor_agreement, sensor_count, announcer_count, peer_hop_count)."""
-    seen = obs.withColumn("dst_ip", F.coalesce(F.col("dst_ip").cast("string"), F.lit("sensor")))
-    marked = seen.withColumn("origin_ip", F.first("src_ip").over(Window.partitionBy("txid").orderBy("timestamp", "seq")))
-    by_sensor = marked.groupBy("txid", "dst_ip").agg(
-        F.first("origin_ip").alias("origin_ip"),
-        F.min_by("src_ip", F.struct("timestamp", "seq")).alias("heard"),
-        F.collect_set("src_ip").alias("ips"),
-        F.count("*").alias("hops"),
-    )
-    return by_sensor.groupBy("txid").agg(
+    own = obs.groupBy("txid", "src_ip").agg(F.min(F.struct("timestamp", "seq")).alias("at"))
+    turn = F.row_number().over(Window.partitionBy("txid").orderBy("at", "src_ip"))
+    two = own.withColumn("turn", turn).filter("turn <= 2").select("txid", "turn", F.struct("src_ip", "at.timestamp").alias("a"))
+    found = two.groupBy("txid").agg(*(F.max(F.when(F.col("turn") == k, F.col("a"))).alias(n) for k, n in ((1, "first"), (2, "next"))))
+    lead = F.round((F.col("next.timestamp") - F.col("first.timestamp")) * 1000, 1)
+    return found.select("txid", F.col("first.src_ip").alias("origin_ip"), F.col("first.timestamp").alias("first_ts"), F.col("next.src_ip").alias("runner_up_ip"), lead.alias("lead_ms"))
+
+
+def sensor_agreement(obs: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """(txid, origin_ip, sensor_agreement, sensor_count, announcer_count, peer_hop_count). first: first_seen(obs), if there."""
+    origins = (first if first is not None else first_seen(obs)).select("txid", "origin_ip")
+    sensor = F.coalesce(F.col("dst_ip").cast("string"), F.lit("sensor"))
+    heard = obs.groupBy("txid", sensor.alias("dst_ip")).agg(F.min_by("src_ip", F.struct("timestamp", "seq")).alias("heard"), F.count("*").alias("hops"))
+    agreed = heard.join(origins, "txid").groupBy("txid").agg(
         F.first("origin_ip").alias("origin_ip"),
         F.round(F.avg((F.col("heard") == F.col("origin_ip")).cast("double")), 3).alias("sensor_agreement"),
         F.count("*").alias("sensor_count"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("ips")))).cast("bigint").alias("announcer_count"),
         F.sum("hops").alias("peer_hop_count"),
     )
+    announcers = obs.groupBy("txid", "src_ip").agg(F.lit(1)).groupBy("txid").agg(F.count("*").alias("announcer_count"))
+    return agreed.join(announcers, "txid").select("txid", "origin_ip", "sensor_agreement", "sensor_count", "announcer_count", "peer_hop_count")
 
 
 def relay_ratio(obs: DataFrame, first: DataFrame) -> DataFrame:
@@ -85,8 +81,8 @@ def calibrate(attributed: DataFrame, truth: DataFrame, l2: float = 0.1) -> tuple
 
 def attribute(obs: DataFrame, calibration: tuple[float, list[float]] | None = None) -> DataFrame:
     """One row a txid with every signal, the confidence, and whether it suffices."""
-    first = first_seen(obs)
+    first = checkpoint(first_seen(obs))
     rated = relay_ratio(obs, first).select("origin_ip", "relay_ratio")
-    agreed = sensor_agreement(obs).drop("origin_ip")
+    agreed = sensor_agreement(obs, first).drop("origin_ip")
     out = first.join(agreed, "txid").join(rated, "origin_ip").withColumn("confidence", confidence(calibration))
     return out.withColumn("resolved", F.col("confidence") >= RESOLVED)

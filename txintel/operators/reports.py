@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txintel.functions.expressions import SEVERITIES, category_label, severity
+from txintel.operators.ordered import running
+from txintel.runtime import checkpoint
 
 FLAGGED, BINS, BURST_S = 40.0, 36, 600.0
+#: Rows of one address up to which a window by address serves.
+HOT = 1_000_000
 
 
 def _flagged():
@@ -16,8 +20,8 @@ def _flagged():
 
 def origin_table(rows: DataFrame, limit: int = 40) -> DataFrame:
     """The addresses with most flagged transactions; the limit is the report's."""
-    per = rows.groupBy("ip", "country", "asn", "category").agg(F.count("*").alias("txs"), _flagged(), F.max("risk").alias("max_risk"))
-    return per.orderBy(F.desc("flagged"), F.desc("max_risk"), F.desc("txs"), "ip").limit(limit)
+    per = rows.groupBy("ip", "country", "asn", "org", "category", "category_label").agg(F.count("*").alias("transactions"), _flagged(), F.round(F.max("risk"), 1).alias("max_risk"), F.round(F.avg("confidence"), 3).alias("mean_confidence"))
+    return per.orderBy(F.desc("flagged"), F.desc("max_risk"), F.desc("transactions"), "ip").limit(limit)
 
 
 def timeline(rows: DataFrame, bins: int = BINS) -> DataFrame:
@@ -42,9 +46,23 @@ def severity_counts(rows: DataFrame) -> DataFrame:
     return every.join(counts, "severity", "left").fillna(0, ["transactions"])
 
 
-def origin_burst(rows: DataFrame, window: float = BURST_S) -> DataFrame:
-    """rows with burst, the other transactions of the address within the window either way, and its signal."""
-    counted = rows.withColumn("burst", F.when(F.col("ip").isNull(), F.lit(0).cast("bigint")).otherwise(F.expr(f"count(*) over (partition by ip order by ts range between {window}D preceding and {window}D following)") - 1))
+def origin_burst(rows: DataFrame, window: float = BURST_S, hot: int = HOT) -> DataFrame:
+    """rows with burst, the other transactions of the address within the window either way, and its signal; 0 without address.
+
+    A window by address counts them; where an address has more than hot rows, they are counted as a difference of two running
+    totals over the order of all addresses and times, which no address has to fit into.
+    """
+    most = rows.filter("ip is not null").groupBy("ip").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= hot:
+        within = F.expr(f"count(*) over (partition by ip order by ts range between {window}D preceding and {window}D following)")
+        counted = rows.withColumn("burst", F.when(F.col("ip").isNull(), F.lit(0).cast("bigint")).otherwise(within - 1))
+    else:
+        held = checkpoint(rows.withColumn("__row", F.monotonically_increasing_id()))
+        point = lambda shift, kind: held.filter("ip is not null").select("ip", (F.col("ts") + F.lit(shift)).alias("t"), F.lit(kind).alias("kind"), "__row")
+        points = point(-window, 0).unionAll(point(0.0, 1)).unionAll(point(window, 2))
+        upto = running(points, ["ip", "t", "kind", "__row"], {"n": (F.col("kind") == 1).cast("bigint")})
+        ends = upto.filter("kind <> 1").groupBy("__row").agg((F.max("n") - F.min("n") - 1).alias("burst"))
+        counted = held.join(ends, "__row", "left").fillna(0, ["burst"]).drop("__row")
     return counted.withColumn("origin_burst", F.least(F.lit(1.0), F.log2(1.0 + F.greatest("burst", F.lit(0))) / 4))
 
 

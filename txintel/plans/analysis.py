@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from txintel.functions.expressions import severity
+from txintel.functions.expressions import category_label, severity
 from txintel.operators import cases as C
 from txintel.operators import entities as E
 from txintel.operators import features as X
@@ -19,21 +18,56 @@ from txintel.plans.ledger import BIAS, WEIGHTS
 from txintel.runtime import checkpoint
 from txintel.sources.files import Capture, load
 
+LISTS = {"input_addresses": "array<string>", "output_addresses": "array<string>", "input_amounts": "array<double>", "output_amounts": "array<double>"}
+
+
+LEADS, DRIVERS = 25, 4
+SEEN = 0.01
+
 
 @dataclass
 class Settings:
-    """What an analysis can be given: a fusion model, an origin calibration, a network table and a trained graph network."""
+    """What an analysis can be given: a fusion model, an origin calibration, a network table, a trained graph network and the means
+    of the evidence that explanations start from (those of the capture where there are none)."""
 
     weights: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
     bias: float = BIAS
     calibration: tuple[float, list[float]] | None = None
     networks: DataFrame | None = None
     graph_net: learn.GraphNet | None = None
+    means: dict[str, float] | None = None
+
+
+@dataclass
+class Prepared:
+    """A capture correlated and linked, before any model. tx: placed transactions with their origins; rows: (id, x) features."""
+
+    observations: DataFrame
+    transactions: DataFrame
+    attributed: DataFrame
+    tx: DataFrame
+    inputs: DataFrame
+    outputs: DataFrame
+    links: DataFrame
+    edges: DataFrame
+    entities: DataFrame
+    chains: DataFrame
+    chain_steps: DataFrame
+    delays: DataFrame
+    features: DataFrame
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.features.select(F.col("txid").alias("id"), F.array(*X.FEATURES).alias("x"))
+
+    @property
+    def graph(self) -> DataFrame:
+        return self.edges.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
 
 
 @dataclass
 class Result:
-    """stats, transactions (scored), cases, leads, origins, timeline, networks, entities, chains; all DataFrames."""
+    """Tables by name, all DataFrames; see analyse."""
 
     tables: dict[str, DataFrame]
 
@@ -41,62 +75,155 @@ class Result:
         return self.tables[name]
 
 
-def analyse(spark: SparkSession, capture: Capture | str | list[str], settings: Settings | None = None) -> Result:
-    """Correlates, enriches, links, scores and groups a capture (or the files of one)."""
-    s = settings or Settings()
-    c = capture if isinstance(capture, Capture) else load(spark, capture)
-    obs = checkpoint(c.observations)
-    attributed = origin.attribute(obs, s.calibration)
-    located = geo.enrich(attributed, geo.networks(s.networks if s.networks is not None else network_table(spark)), "origin_ip")
-    sided = c.transactions.withColumns({n: F.coalesce(n, F.array().cast("array<string>" if "addresses" in n else "array<double>")) for n in ("input_addresses", "output_addresses", "input_amounts", "output_amounts")})
-    joined = checkpoint(sided.join(located, "txid", "left"))
-    tx = joined.filter("first_ts is not null").withColumn("ts", F.col("first_ts"))
-    tx = checkpoint(tx.withColumn("origin_category", F.when(F.col("resolved"), F.col("category")).otherwise("unresolved")).withColumn("coinjoin", E.coinjoin_score()))
+def prepare(spark: SparkSession, capture: Capture, networks: DataFrame | None = None, calibration: tuple[float, list[float]] | None = None, locate: Column | None = None) -> Prepared:
+    """Correlates both layers and builds links, entities, chains and features. locate: the address of an origin_ip that is none."""
+    obs = checkpoint(capture.observations)
+    attributed = origin.attribute(obs, calibration).withColumn("address", locate if locate is not None else F.col("origin_ip"))
+    located = geo.enrich(attributed, geo.networks(networks if networks is not None else network_table(spark)), "address")
+    known = capture.transactions
+    sided = known.withColumns({n: F.coalesce(n, F.array().cast(known.schema[n].dataType)) for n in LISTS})
+    joined = sided.drop("ts").join(located, "txid").withColumn("ts", F.col("first_ts"))  # what nobody announced has no time
+    category = F.when(F.col("resolved"), F.col("category")).otherwise("unresolved")
+    tx = checkpoint(joined.withColumns({"origin_category": category, "coinjoin": E.coinjoin_score()}))
     inputs, outputs = flow.inputs(tx), flow.outputs(tx)
     links = checkpoint(flow.spend_links(inputs, outputs))
     edges = checkpoint(flow.flow_edges(links))
-    mixes = tx.filter(F.col("coinjoin") >= E.MIXED)
-    entities = checkpoint(E.entities(inputs, mixes))
-    chains = checkpoint(E.chains(E.remainder_hops(tx, links, E.peel_shaped()), tx))
-    hops = chains.groupBy("txid").agg(F.max_by("hops", F.struct("start_ts", "start")).alias("peel_hops"))
-    delays = flow.delays(tx, edges)
+    entities = checkpoint(E.entities(inputs, tx.filter(F.col("coinjoin") >= E.MIXED)))
+    steps = checkpoint(E.chains(E.remainder_hops(tx, links, E.peel_shaped()), tx))
+    delays = checkpoint(flow.delays(tx, edges))
     feats = checkpoint(X.tx_features(tx, flow.degrees(edges), delays))
-    rows = feats.select(F.col("txid").alias("id"), F.array(*X.FEATURES).alias("x"))
-    anomaly = learn.isolation_scores(rows, *learn.fit_isolation_forest(rows)).withColumnRenamed("id", "txid")
-    if s.graph_net is not None:
-        net = s.graph_net.scores(rows, edges.select(F.col("parent").alias("src"), F.col("child").alias("dst"))).withColumnRenamed("id", "txid")
+    return Prepared(obs, known, attributed, tx, inputs, outputs, links, edges, entities, checkpoint(E.chain_table(steps, tx)), steps, delays, feats)
+
+
+def evidence(p: Prepared, net: learn.GraphNet | None = None, anomaly: bool = True) -> DataFrame:
+    """tx with the ten signals. Without a network gnn_prob is 0; without anomaly, that is."""
+    hops = p.chain_steps.groupBy("txid").agg(F.max_by("hops", F.struct("start_ts", "start")).alias("peel_hops"))
+    burst = reports.origin_burst(p.tx.select("txid", "ts", F.col("origin_ip").alias("ip"))).select("txid", "burst")
+    full = p.tx.join(hops, "txid", "left").join(p.delays, "txid").join(burst, "txid").fillna(0, ["peel_hops"])
+    scores = {
+        "anomaly": learn.isolation_scores(p.rows, *learn.fit_isolation_forest(p.rows)) if anomaly else None,
+        "gnn_prob": net.scores(p.rows, p.graph) if net is not None else None,
+    }
+    for name, found in scores.items():
+        full = full.withColumn(name, F.lit(0.0)) if found is None else full.join(found.withColumnRenamed("id", "txid"), "txid")
+    return checkpoint(X.evidence(full))
+
+
+def counters(p: Prepared, risk: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row: what the capture holds and what was found in it."""
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    nodes, edges = flow.hetero_graph(p.tx.select("txid", F.col("origin_ip").alias("src_ip")), p.inputs, p.outputs)
+    kinds = nodes.agg(*(F.count(F.when(F.col("type") == k, 1)).alias(n) for k, n in (("WALLET", "wallet_addresses"), ("IP", "origin_ips"))), F.count("*").alias("graph_nodes"))
+    observed = p.observations.select("txid").distinct()
+    tx = p.tx.agg(
+        F.count("*").alias("transactions"), F.count(F.when(F.col("resolved"), 1)).alias("origin_attributed"), F.count(F.when(~F.col("resolved"), 1)).alias("origin_unresolved"),
+        F.count(F.when(F.col("coinjoin") >= E.MIXED, 1)).alias("coinjoin_transactions"), F.min("ts").alias("capture_start"), F.max("ts").alias("capture_end"),
+    )
+    parts = [
+        tx, one(p.observations, "observations"), one(p.transactions.join(observed, "txid", "left_anti"), "unobserved_transactions"), one(p.observations.join(p.transactions, "txid", "left_anti"), "uncorrelated_observations"),
+        one(observed, "observed_txids"), kinds, one(edges.distinct(), "graph_edges"), one(p.edges, "flow_edges"), one(p.entities.select("entity").distinct(), "entities"), one(p.chains, "peel_chains"),
+        risk.agg(F.count(F.when(F.col("risk") >= C.FLAGGED, 1)).alias("flagged_transactions")), one(cases, "cases"),
+    ]
+    out = parts[0]
+    for x in parts[1:]:  # one row each
+        out = out.crossJoin(F.broadcast(x))
+    return out
+
+
+def documents(p: Prepared, scored: DataFrame, shap: DataFrame, member: DataFrame, weights: dict[str, float], drops: DataFrame | None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Cases as documents, and the tables behind their arrays. shap: scored with mean_ and shap_ columns."""
+    value = F.aggregate("input_amounts", F.lit(0.0), lambda a, x: a + x)
+    plain = checkpoint(scored.select("txid", "ts", "risk", value.alias("inflow"), F.size("output_addresses").alias("n_out"), F.array_min("output_amounts").alias("least_out"), "coinjoin", "peel_hops"))
+    table = checkpoint(C.case_table(member, plain, p.links))
+    names = list(weights)
+    core = member.filter("core").select("txid", "case_root")
+    means = shap.join(core, "txid").groupBy("case_root").agg(*(F.avg(n).alias(n) for n in names), *(F.avg(f"shap_{n}").alias(f"shap_{n}") for n in names))
+    factors = means.select("case_root", F.posexplode(X.factors(names)).alias("place", "f")).select("case_root", "place", "f.*")
+    flows, terminals = C.case_flow(member, p.links), C.terminals(member, p.outputs, p.links)
+    owned = p.inputs.join(member.select("txid", "case_root"), "txid").join(p.entities, "address").select("case_root", "entity_id", "size").distinct()
+    rows = shap.join(member, "txid").select(
+        "case_root", "txid", "ts", F.round("risk", 1).alias("risk_score"), severity("risk").alias("severity"), (~F.col("core")).alias("bridge"), F.size("input_addresses").alias("inputs"), F.size("output_addresses").alias("outputs"),
+        F.round(value, 8).alias("value"), "fee", "origin_ip", F.col("confidence").alias("origin_confidence"), F.col("lead_ms").alias("origin_lead_ms"), F.col("country").alias("origin_country"), F.col("category").alias("origin_category"),
+        F.round("gnn_prob", 4).alias("gnn_prob"), F.round("anomaly", 4).alias("anomaly"), F.array(*(F.round(n, 3) for n in names)).alias("evidence"), F.array(*(F.round(f"shap_{n}", 3) for n in names)).alias("shap"),
+    )
+    parts = {
+        "origins": (C.origins(member, p.tx), [~F.col("resolved"), -F.col("transactions"), F.col("ip")], ["ip", "transactions", "country", "asn", "org", "category", "category_label", "mean_confidence", "resolved"]),
+        "entities": (owned, [F.col("entity_id")], ["entity_id", "size"]),
+        "terminal_outputs": (terminals, [F.col("place")], ["address", "amount", "status"]),
+        "factors": (factors, [F.col("place")], ["key", "label", "value", "shap", "share_pct", "impact"]),
+        "transactions": (rows, [F.col("ts"), F.col("txid")], [c for c in rows.columns if c != "case_root"]),
+        "edges": (flows, [F.col("parent"), F.col("child")], ["parent", "child", "amount"]),
+    }
+    if drops is not None:
+        mean = drops.join(core, drops.id == core.txid).groupBy("case_root", "feature").agg(F.round(F.avg("drop"), 3).alias("log_odds_drop"))
+        turn = F.row_number().over(C.Window.partitionBy("case_root").orderBy(F.desc(F.abs("log_odds_drop")), "feature"))
+        named = F.array(*map(F.lit, X.FEATURES))[F.col("feature")]
+        top = mean.withColumns({"place": turn, "feature": named, "label": F.create_map(*(F.lit(x) for kv in X.FEATURE_LABELS.items() for x in kv))[named]}).filter(F.col("place") <= DRIVERS)
+        parts["gnn_drivers"] = (top, [F.col("place")], ["feature", "label", "log_odds_drop"])
+    counts = terminals.groupBy("case_root").agg(F.first("terminal_outputs").alias("terminal_output_count"))
+    told = C.documents(table.join(counts, "case_root", "left").fillna(0, ["terminal_output_count"]), member, parts)
+    return sealed(told.withColumn("narrative", C.narrative())), {f"case_{n}": x[0] for n, x in parts.items()} | {"case_table": table}
+
+
+def analyse(spark: SparkSession, capture: Capture | str | list[str], settings: Settings | None = None, anomaly: bool = True, locate: Column | None = None) -> Result:
+    """Correlates, enriches, links, scores and groups a capture (or the files of one).
+
+    stats, sources, transactions (with evidence, risk, contributions and factors), cases (documents), case_* (what their arrays
+    hold, for all cases), members, leads (dossiers), origins, timeline, networks, severities, case_severities, typologies,
+    stream, entities, chains.
+    """
+    s = settings or Settings()
+    c = capture if isinstance(capture, Capture) else load(spark, capture)
+    p = prepare(spark, c, s.networks, s.calibration, locate)
+    scored = checkpoint(evidence(p, s.graph_net, anomaly).withColumn("risk", X.risk(s.weights, s.bias)).withColumn("severity", severity("risk")))
+    if s.means:
+        both = scored.withColumns({f"mean_{n}": F.lit(s.means[n]) for n in s.weights})
     else:
-        net = feats.select("txid", F.lit(0.0).alias("gnn_prob"))
-    burst = reports.origin_burst(tx.select("txid", "ts", F.col("origin_ip").alias("ip"))).select("txid", "burst")
-    full = tx.join(hops, "txid", "left").join(delays, "txid").join(anomaly, "txid").join(net, "txid").join(burst, "txid").fillna(0, ["peel_hops"])
-    evidence = checkpoint(X.evidence(full).withColumn("risk", X.risk(s.weights, s.bias)).withColumn("severity", severity("risk")))
-    means = F.broadcast(evidence.agg(*(F.avg(n).alias(f"mean_{n}") for n in s.weights)))
-    explained = evidence.crossJoin(means).withColumns(X.shap(s.weights, {n: F.col(f"mean_{n}") for n in s.weights})).withColumn("factors", X.factors(list(s.weights)))
-    member = checkpoint(C.members(evidence, edges))
-    scored = evidence.select("txid", "ts", "risk", F.aggregate("input_amounts", F.lit(0.0), lambda a, x: a + x).alias("inflow"), F.size("output_amounts").alias("n_out"), F.array_min("output_amounts").alias("least_out"), "coinjoin", "peel_hops")
-    table = C.case_table(member, scored, links).withColumn("narrative", C.narrative())
-    ranked = evidence.select("txid", "ts", "risk", "severity", F.col("origin_ip").alias("ip"), "country", "asn", "category", "confidence")
-    stats = joined.agg(F.count("*").alias("transactions"), F.count("first_ts").alias("observed"), F.count(F.when(F.col("resolved"), 1)).alias("resolved")).crossJoin(obs.agg(F.count("*").alias("observations")))
-    return Result({
-        "stats": stats, "sources": c.sources, "transactions": explained.drop(*(f"mean_{n}" for n in s.weights)), "cases": sealed(table), "members": member,
-        "terminals": C.terminals(member, outputs, links), "case_flow": C.case_flow(member, links),
-        "leads": explained.orderBy(F.desc("risk"), "txid").limit(25).filter(F.col("risk") >= C.FLAGGED).select("txid", "risk", "severity", "origin_ip", "factors"),
-        "origins": reports.origin_table(ranked), "timeline": reports.timeline(ranked), "networks": reports.networks(ranked), "severities": reports.severity_counts(ranked), "entities": entities, "chains": chains,
+        both = scored.crossJoin(F.broadcast(scored.agg(*(F.avg(n).alias(f"mean_{n}") for n in s.weights))))  # one row
+    shap = checkpoint(both.withColumns(X.shap(s.weights, {n: F.col(f"mean_{n}") for n in s.weights})))
+    member = checkpoint(C.members(scored, p.edges))
+    drops = learn.occlusion(s.graph_net, p.rows, p.graph) if s.graph_net is not None else None
+    told, tables = documents(p, scored, shap, member, s.weights, drops)
+    told = checkpoint(told)
+    explained = shap.withColumn("factors", X.factors(list(s.weights)))
+    base = s.bias
+    for n in s.weights:
+        base = base + F.col(f"mean_{n}") * s.weights[n]
+    value = F.round(F.aggregate("input_amounts", F.lit(0.0), lambda a, x: a + x), 8)
+    leads = explained.orderBy(F.desc("risk"), "txid").limit(LEADS).filter(F.col("risk") >= C.FLAGGED).select(
+        "txid", "ts", F.round("risk", 1).alias("risk_score"), "severity", value.alias("value"), "origin_ip", F.col("confidence").alias("origin_confidence"), F.col("country").alias("origin_country"), F.col("asn").alias("origin_asn"),
+        F.col("category_label").alias("origin_network"), F.round(base, 4).alias("base_value_log_odds"), F.filter("factors", lambda f: F.abs(f["shap"]) >= SEEN).alias("factors"),
+    )
+    ranked = scored.select("txid", "ts", "risk", "severity", F.col("origin_ip").alias("ip"), "country", "asn", "org", "category", "category_label", "confidence")
+    label = category_label("origin_category")
+    stream = scored.join(member.select("txid", "case_root"), "txid", "left").join(tables["case_table"].select("case_root", "case_id"), "case_root", "left").select(
+        F.col("ts").alias("t"), F.substring(F.col("txid").cast("string"), 1, 12).alias("id"), F.round(value, 4).alias("v"), F.round("risk", 1).alias("r"), label.alias("n"), F.when(F.col("resolved"), F.col("origin_ip")).alias("ip"), F.col("peer_hop_count").alias("o"), F.col("case_id").alias("c"),
+    )
+    return Result(tables | {
+        "stats": counters(p, scored, tables["case_table"]), "sources": c.sources, "transactions": explained.drop(*(f"mean_{n}" for n in s.weights)), "cases": told, "members": member, "leads": leads,
+        "origins": reports.origin_table(ranked), "timeline": reports.timeline(ranked), "networks": reports.networks(ranked.drop("category").join(scored.select("txid", F.col("origin_category").alias("category")), "txid")),
+        "severities": reports.severity_counts(ranked), "case_severities": tables["case_table"].groupBy("severity").agg(F.count("*").alias("cases")), "typologies": C.typologies(tables["case_table"]),
+        "stream": stream, "entities": p.entities, "chains": p.chains,
     })
 
 
-def canonical_hash(text: str | None) -> str | None:
-    """SHA-256 of a JSON document with sorted keys and no spaces."""
-    return None if text is None else hashlib.sha256(json.dumps(json.loads(text), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+def _in_order(c: Column, kind: T.DataType) -> Column:
+    """The value with its structs' fields in order of their names, whatever order they came in."""
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*(_in_order(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name))))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _in_order(x, kind.elementType))
+    return c
 
 
 def sealed(rows: DataFrame) -> DataFrame:
-    """rows with evidence_hash over all their columns."""
-    seal = F.pandas_udf(lambda s: s.map(canonical_hash), "string")
-    return rows.withColumn("evidence_hash", seal(F.to_json(F.struct(*rows.columns))))
+    """rows with evidence_hash: SHA-256 of the JSON of all their columns, names in order, nulls written out."""
+    fields = sorted(rows.schema.fields, key=lambda f: f.name)
+    whole = F.struct(*(_in_order(F.col(f.name), f.dataType).alias(f.name) for f in fields))
+    return rows.withColumn("evidence_hash", F.sha2(F.to_json(whole, {"ignoreNullFields": "false"}), 256))
 
 
-REPORTS = ("stats", "sources", "cases", "leads", "origins", "timeline", "networks", "severities")
+REPORTS = ("stats", "sources", "cases", "leads", "origins", "timeline", "networks", "severities", "case_severities", "typologies", "stream")
 
 
 def write(result: Result, folder: str, tables: tuple[str, ...] = REPORTS) -> None:

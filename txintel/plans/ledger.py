@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txintel.functions.expressions import severity, severity_sql
+from txintel.functions.expressions import category_label, severity, severity_sql
 from txintel.operators import cases as C
 from txintel.operators import entities as E
 from txintel.operators import features as X
@@ -69,20 +69,14 @@ def peel_chains(spark: SparkSession, sf: str) -> DataFrame:
     tx = checkpoint(V.wallets(spark, sf))
     links = G.spend_links(G.inputs(tx), G.outputs(tx))
     found = E.chains(E.remainder_hops(tx, links, E.peel_shaped(ratio=0.5), DAYS180), tx)
-    rows = found.join(tx.select("txid", "ts", F.array_min("output_amounts").alias("least"), F.col("input_amounts")[0].alias("spent"), F.array_max("output_amounts").alias("most")), "txid")
-    per = rows.groupBy("start", "hops").agg(
-        F.round(F.sum(F.col("least").cast("decimal(20,5)")), 2).cast("double").alias("peeled_total"), F.round(F.min_by("spent", "step"), 2).alias("start_amount"), F.round(F.max_by("most", "step"), 2).alias("remainder"),
-        (F.max("ts") - F.min("ts")).alias("duration_s"), F.min("ts").alias("start_ts"),
-    )
-    number = F.row_number().over(Window.orderBy("start_ts", "start"))
-    return per.withColumn("chain_id", F.format_string("PEEL_%03d", number)).drop("start_ts")
+    return E.chain_table(found, tx).select("start", "hops", "peeled_total", "start_amount", "remainder", "duration_s", "chain_id")
 
 
 CHAINS_SQL = f"""WITH {V.WALLET_SQL},
 ok AS (SELECT * FROM hops WHERE ratio <= 0.5 AND total > 0),
 isl AS (SELECT *, CASE WHEN lag(k) OVER w = k - 1 AND ts - lag(ts) OVER w <= {DAYS180} THEN 0 ELSE 1 END AS fresh FROM ok WINDOW w AS (PARTITION BY o_custkey ORDER BY k)),
 grp AS (SELECT *, sum(fresh) OVER (PARTITION BY o_custkey ORDER BY k) AS g FROM isl),
-ch AS (SELECT o_custkey, g, min_by(o_orderkey, k) AS start, count(*) AS hops, round(sum((total * ratio)::DECIMAL(20, 5)), 2)::DOUBLE AS peeled_total, round(min_by(total, k), 2) AS start_amount, round(max_by(total, k), 2) AS remainder,
+ch AS (SELECT o_custkey, g, min_by(o_orderkey, k) AS start, count(*) AS hops, sum((total * ratio)::DECIMAL(28, 8))::DOUBLE AS peeled_total, round(min_by(total, k), 8) AS start_amount, round(max_by(total, k), 8) AS remainder,
   max(ts) - min(ts) AS duration_s, min(ts) AS start_ts FROM grp GROUP BY o_custkey, g HAVING count(*) >= 3)
 SELECT start, hops, peeled_total, start_amount, remainder, duration_s, 'PEEL_' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS chain_id FROM (SELECT *, row_number() OVER (ORDER BY start_ts, start) AS n FROM ch)"""
 
@@ -196,7 +190,7 @@ def _cases(spark: SparkSession, sf: str):
     edges = G.flow_edges(links)
     scored = checkpoint(
         _evidence(tx, edges).withColumn("risk", X.risk(WEIGHTS, BIAS)).select(
-            "txid", "ts", "risk", F.aggregate("input_amounts", F.lit(0.0), lambda a, x: a + x).alias("inflow"), F.size("output_amounts").alias("n_out"), F.array_min("output_amounts").alias("least_out"), "coinjoin", "peel_hops", "origin_category",
+            "txid", "ts", "risk", F.aggregate("input_amounts", F.lit(0.0), lambda a, x: a + x).alias("inflow"), F.size("output_addresses").alias("n_out"), F.array_min("output_amounts").alias("least_out"), "coinjoin", "peel_hops", "origin_category",
         )
     )
     return tx, links, scored, checkpoint(C.members(scored, edges))
@@ -218,11 +212,11 @@ cflow AS (SELECT p.case_root, parent, child, round(sum(amount), 8) AS amount FRO
 r AS (SELECT m.*, s.* EXCLUDE (txid), s.txid % 6 AS peel_hops, coalesce(np.n, 0) AS n_parents, coalesce(nc.n, 0) AS n_children FROM m JOIN scored s ON s.txid = m.txid
   LEFT JOIN (SELECT child, count(*) AS n FROM cflow GROUP BY child) np ON np.child = m.txid LEFT JOIN (SELECT parent, count(*) AS n FROM cflow GROUP BY parent) nc ON nc.parent = m.txid),
 agg AS (SELECT case_root, max(risk) FILTER (core) AS peak, avg(risk) FILTER (core) AS mean, count(*) AS tx_count, count(*) FILTER (NOT core) AS bridges,
-  sum(CASE WHEN n_parents = 0 THEN total_in ELSE 0.0::DOUBLE END) AS inflow, min(ts) AS first_ts, max(ts) AS last_ts, max(peel_hops)::INT AS peel_hops,
-  sum(CASE WHEN peel_hops >= 3 THEN coalesce(least_out, 0) ELSE 0.0::DOUBLE END) AS peeled, bool_or(coinjoin >= 0.5) AS mix, bool_or(n_children >= 4 AND coinjoin < 0.5) AS fan, bool_or(n_parents >= 2 AND n_out = 1) AS sweep FROM r GROUP BY case_root),
+  coalesce(sum(CASE WHEN n_parents = 0 THEN total_in::DECIMAL(28, 8) END)::DOUBLE, 0.0::DOUBLE) AS inflow, min(ts) AS first_ts, max(ts) AS last_ts, max(peel_hops)::INT AS peel_hops,
+  coalesce(sum(CASE WHEN peel_hops >= 3 THEN least_out::DECIMAL(28, 8) END)::DOUBLE, 0.0::DOUBLE) AS peeled, bool_or(coinjoin >= 0.5) AS mix, bool_or(n_children >= 4 AND coinjoin < 0.5) AS fan, bool_or(n_parents >= 2 AND n_out = 1) AS sweep FROM r GROUP BY case_root),
 tagged AS (SELECT *, list_filter([CASE WHEN mix THEN 'CoinJoin mixing' END, CASE WHEN peel_hops >= 3 THEN 'Peeling chain' END, CASE WHEN fan THEN 'Fan-out / fan-in structuring' END, CASE WHEN sweep AND NOT fan THEN 'Consolidation sweep' END], lambda x: x IS NOT NULL) AS tags FROM agg),
-cases AS (SELECT case_root, round(peak, 1) AS risk_score, round(mean, 1) AS mean_risk, {severity_sql('peak')} AS severity, CASE WHEN len(tags) = 0 THEN 'Anomalous flow' ELSE array_to_string(tags, ' + ') END AS typology, tx_count, bridges, round(inflow, 2) AS inflow, peel_hops, round(peeled, 2) AS peeled, first_ts, last_ts,
-  CASE WHEN last_ts - first_ts < 60 THEN printf('%.0f s', last_ts - first_ts) WHEN last_ts - first_ts < 3600 THEN printf('%.0f min', (last_ts - first_ts) / 60) ELSE printf('%.1f h', (last_ts - first_ts) / 3600) END AS duration FROM tagged),
+cases AS (SELECT case_root, round(peak, 1) AS risk_score, round(mean, 1) AS mean_risk, {severity_sql('peak')} AS severity, CASE WHEN len(tags) = 0 THEN 'Anomalous flow' ELSE array_to_string(tags, ' + ') END AS typology, tx_count, bridges, round(inflow, 8) AS inflow, peel_hops, round(peeled, 8) AS peeled, first_ts, last_ts,
+  CASE WHEN d < 60 THEN printf('%d s', d) WHEN d < 3600 THEN printf('%d min %d s', d // 60, d % 60) ELSE printf('%d h %d min', d // 3600, d % 3600 // 60) END AS duration FROM (SELECT *, round_even(last_ts - first_ts, 0)::BIGINT AS d FROM tagged)),
 named AS (SELECT *, row_number() OVER (ORDER BY risk_score DESC, inflow DESC, first_ts, case_root) AS k FROM cases)"""
 CASES_SQL = f"WITH {_CASE_SQL} SELECT * EXCLUDE (k), 'CASE-' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS case_id FROM named"
 
@@ -237,13 +231,12 @@ def case_terminals(spark: SparkSession, sf: str) -> DataFrame:
     return C.terminals(member, G.outputs(tx), links)
 
 
-TERMINALS_SQL = f"""WITH {_CASE_SQL},
-o AS (SELECT outs.txid, address, sum(amount) AS amount, case_root FROM outs JOIN m ON m.txid = outs.txid GROUP BY ALL),
+_TERMINALS_SQL = """o AS (SELECT outs.txid, address, sum(amount) AS amount, case_root FROM outs JOIN m ON m.txid = outs.txid GROUP BY ALL),
 sp AS (SELECT DISTINCT parent, address, child, m.case_root AS spender_root FROM links LEFT JOIN m ON m.txid = child),
 t AS (SELECT o.case_root, o.txid, o.address, o.amount, CASE WHEN child IS NULL THEN 'unspent at end of capture' ELSE 'spent outside this case' END AS status
-  FROM o LEFT JOIN sp ON sp.parent = o.txid AND sp.address = o.address WHERE spender_root IS NULL OR spender_root <> o.case_root)
-SELECT case_root, txid, address, round(amount, 8) AS amount, status, place::INT AS place, terminal_outputs FROM (
-SELECT *, row_number() OVER (PARTITION BY case_root ORDER BY amount DESC, txid, address) AS place, count(*) OVER (PARTITION BY case_root) AS terminal_outputs FROM t) WHERE place <= 6"""
+  FROM o LEFT JOIN sp ON sp.parent = o.txid AND sp.address = o.address WHERE spender_root IS NULL OR spender_root <> o.case_root),
+placed AS (SELECT *, row_number() OVER (PARTITION BY case_root ORDER BY amount DESC, txid, address) AS place, count(*) OVER (PARTITION BY case_root) AS terminal_outputs FROM t)"""
+TERMINALS_SQL = f"WITH {_CASE_SQL}, {_TERMINALS_SQL} SELECT case_root, txid, address, round(amount, 8) AS amount, status, place::INT AS place, terminal_outputs FROM placed WHERE place <= 6"
 
 
 def case_origins(spark: SparkSession, sf: str) -> DataFrame:
@@ -262,12 +255,36 @@ def typologies(spark: SparkSession, sf: str) -> DataFrame:
     return C.typologies(cases(spark, sf))
 
 
-TYPOLOGIES_SQL = f"WITH {_CASE_SQL}, u AS (SELECT *, unnest(string_split(typology, ' + ')) AS tag FROM named) SELECT tag, count(*) AS cases, sum(tx_count)::BIGINT AS transactions, round(sum(inflow), 2) AS inflow FROM u GROUP BY tag"
+TYPOLOGIES_SQL = f"WITH {_CASE_SQL}, u AS (SELECT *, unnest(string_split(typology, ' + ')) AS tag FROM named) SELECT tag, count(*) AS cases, sum(tx_count)::BIGINT AS transactions, sum(inflow::DECIMAL(28, 8))::DOUBLE AS inflow FROM u GROUP BY tag"
+
+
+def _located(tx: DataFrame) -> DataFrame:
+    """Origins dealt by transaction number, as _evidence deals categories."""
+    k = F.col("txid")
+    category = F.element_at(F.array(*(F.lit(c) for c in CATEGORIES)), (k * 11 % len(CATEGORIES) + 1).cast("int"))
+    rows = tx.select("txid", F.concat(F.lit("ip-"), (k % 91).cast("string")).alias("origin_ip"), F.lit("XX").alias("country"), F.lit("AS1").alias("asn"), F.lit("org").alias("org"), category.alias("category"), (k * 29 % 83 / 83.0).alias("confidence"))
+    return rows.withColumn("category_label", category_label("category"))
+
+
+def _told(spark: SparkSession, sf: str) -> DataFrame:
+    tx, links, scored, member = _cases(spark, sf)
+    outs = C.terminals(member, G.outputs(tx), links)
+    parts = {
+        "origins": (C.origins(member, _located(tx)), [~F.col("resolved"), -F.col("transactions"), F.col("ip")], ["ip", "transactions", "country", "asn", "category", "category_label", "mean_confidence", "resolved"]),
+        "terminal_outputs": (outs, [F.col("place")], ["address", "amount", "status"]),
+    }
+    return C.documents(checkpoint(C.case_table(member, scored, links)), member, parts)
 
 
 def case_narratives(spark: SparkSession, sf: str) -> DataFrame:
-    """Every case's sentence."""
-    return cases(spark, sf).select("case_id", C.narrative().alias("narrative"))
+    """Every case's sentences: its flow, its typologies, its origins and its largest onward output."""
+    return _told(spark, sf).select("case_id", C.narrative().alias("narrative"))
+
+
+def case_origin_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    """Per case and first announcer: transactions, network and mean confidence."""
+    tx, _, _, member = _cases(spark, sf)
+    return C.origins(member, _located(tx))
 
 
 def case_factors(spark: SparkSession, sf: str) -> DataFrame:
@@ -287,18 +304,33 @@ pc AS (SELECT case_root, {', '.join(f'avg({n}) AS {n}' for n in WEIGHTS)} FROM m
 u AS (SELECT case_root, unnest([{', '.join(f"{{'key': '{n}', 'label': {_said(n)}, 'v': {n}, 's': {w}::DOUBLE * ({n} - mean_{n})}}" for n, w in WEIGHTS.items())}]) AS f FROM pc, mean)
 SELECT case_root, (row_number() OVER (PARTITION BY case_root ORDER BY abs(round(f.s, 4)) DESC, f.key) - 1)::INT AS place, f.key AS key, f.label AS label, round(f.v, 4) AS value, round(f.s, 4) AS shap FROM u"""
 
-NARRATIVES_SQL = f"""WITH {_CASE_SQL} SELECT 'CASE-' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS case_id,
+# What the sentences and labels have to be, written out here and not taken from the operators.
+_ORIGINS_SQL = f"""og AS (SELECT case_root, 'ip-' || (m.txid % 91) AS ip, ['{"', '".join(CATEGORIES)}'][(m.txid * 11 % 7) + 1] AS category, (m.txid * 29 % 83) / 83.0::DOUBLE AS confidence FROM m),
+oi AS (SELECT case_root, ip, count(*) AS transactions, min(category) AS category, min(CASE category WHEN 'tor_exit' THEN 'Tor exit relay' WHEN 'vpn' THEN 'Commercial VPN' WHEN 'hosting' THEN 'Datacentre / hosting'
+  WHEN 'exchange' THEN 'Exchange infrastructure' WHEN 'residential' THEN 'Residential ISP' WHEN 'mobile' THEN 'Mobile carrier' WHEN 'unresolved' THEN 'Origin unresolved' END) AS category_label,
+  round(avg(confidence), 3) AS mean_confidence, round(avg(confidence), 3) >= 0.5 AS resolved FROM og GROUP BY case_root, ip)"""
+ADDRESSES_SQL = f"WITH {_CASE_SQL}, {_ORIGINS_SQL} SELECT case_root, ip, transactions, 'XX' AS country, 'AS1' AS asn, 'org' AS org, category, category_label, mean_confidence, resolved FROM oi"
+NARRATIVES_SQL = f"""WITH {_CASE_SQL}, {_ORIGINS_SQL}, {_TERMINALS_SQL},
+good AS (SELECT case_root, count(*) AS n, arg_min({{'ip': ip, 'label': category_label, 'mean': mean_confidence}}, (-transactions, ip)) AS top, bool_or(category = 'tor_exit') AS tor FROM oi WHERE resolved GROUP BY case_root),
+lost AS (SELECT case_root, sum(transactions)::BIGINT AS n FROM oi WHERE NOT resolved GROUP BY case_root),
+onward AS (SELECT * FROM placed WHERE place = 1)
+SELECT 'CASE-' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS case_id,
 concat_ws(' ', printf('%d linked transaction%s carrying %.4f BTC over %s.', tx_count, CASE WHEN tx_count = 1 THEN '' ELSE 's' END, inflow, duration),
 CASE WHEN typology LIKE '%CoinJoin%' THEN 'An equal-output mixing round breaks the link between senders and receivers.' END,
 CASE WHEN typology LIKE '%Peeling%' THEN printf('A %d-hop peeling chain splits off %.4f BTC in small outputs while forwarding the remainder each hop.', peel_hops, peeled) END,
 CASE WHEN typology LIKE '%Fan-out%' THEN 'Funds are fanned out into near-equal parts, moved one hop each and re-aggregated.' END,
-CASE WHEN typology LIKE '%Consolidation%' THEN 'Outputs from earlier hops are swept together into a single address.' END) AS narrative FROM named"""
+CASE WHEN typology LIKE '%Consolidation%' THEN 'Outputs from earlier hops are swept together into a single address.' END,
+CASE WHEN good.n > 0 THEN printf('The origin was resolved to %d IP address%s; most frequent is %s (%s, XX, AS1) with mean attribution confidence %.2f.', good.n, CASE WHEN good.n = 1 THEN '' ELSE 'es' END, top.ip, top.label, top.mean) END,
+CASE WHEN good.tor THEN 'A Tor exit identifies the relay, not the sender.' END,
+CASE WHEN lost.n > 0 THEN printf('For %d transaction%s the origin could not be resolved: only relays were seen announcing.', lost.n, CASE WHEN lost.n = 1 THEN '' ELSE 's' END) END,
+CASE WHEN onward.amount IS NOT NULL THEN printf('Largest onward output: %.4f BTC at %s (%s).', round(onward.amount, 8), onward.address::VARCHAR, onward.status) END) AS narrative
+FROM named LEFT JOIN good USING (case_root) LEFT JOIN lost USING (case_root) LEFT JOIN onward USING (case_root)"""
 
 QUERIES = {
     "spend_links": spend_links, "flow_edges": flow_edges, "hetero_graph_counts": hetero_graph_counts, "respend_delays": respend_delays, "tx_degrees": tx_degrees, "peel_shaped": peel_shaped,
     "peel_chains": peel_chains, "coinjoin_score": coinjoin_score, "entity_clusters": entity_clusters, "tx_features": tx_features, "evidence_matrix": evidence_matrix, "risk_score": risk_score,
     "shap_values": shap_values, "explained_factors": explained_factors, "cases": cases, "case_flow": case_flow, "case_terminals": case_terminals, "case_origins": case_origins, "typologies": typologies,
-    "case_narratives": case_narratives, "case_factors": case_factors,
+    "case_narratives": case_narratives, "case_origin_addresses": case_origin_addresses, "case_factors": case_factors,
 }
 ORACLE_SQL = {
     "spend_links": f"WITH {V.IO_SQL}, {V.LINKS_SQL} SELECT * FROM links", "flow_edges": f"WITH {V.IO_SQL}, {V.LINKS_SQL} SELECT * FROM edges", "hetero_graph_counts": HETERO_SQL,
@@ -307,5 +339,5 @@ ORACLE_SQL = {
     "peel_shaped": PEEL_SQL, "peel_chains": CHAINS_SQL, "coinjoin_score": COINJOIN_SQL, "entity_clusters": ENTITY_SQL, "tx_features": FEATURES_SQL,
     "evidence_matrix": f"WITH {_EV_SQL} SELECT txid, {', '.join(f'round({n}, 6) AS {n}' for n in WEIGHTS)} FROM ev",
     "risk_score": f"WITH {_EV_SQL} SELECT txid, round(risk, 4) AS risk, {severity_sql('risk')} AS severity FROM scored",
-    "shap_values": SHAP_SQL, "explained_factors": FACTORS_SQL, "case_narratives": NARRATIVES_SQL, "case_factors": CASE_FACTORS_SQL, "cases": CASES_SQL, "case_flow": f"WITH {_CASE_SQL} SELECT * FROM cflow", "case_terminals": TERMINALS_SQL, "case_origins": ORIGINS_SQL, "typologies": TYPOLOGIES_SQL,
+    "shap_values": SHAP_SQL, "explained_factors": FACTORS_SQL, "case_narratives": NARRATIVES_SQL, "case_origin_addresses": ADDRESSES_SQL, "case_factors": CASE_FACTORS_SQL, "cases": CASES_SQL, "case_flow": f"WITH {_CASE_SQL} SELECT * FROM cflow", "case_terminals": TERMINALS_SQL, "case_origins": ORIGINS_SQL, "typologies": TYPOLOGIES_SQL,
 }

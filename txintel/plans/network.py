@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txintel.functions.expressions import CATEGORY_LABELS, list_items, severity, severity_sql, whole_number
+from txintel.functions.expressions import list_items, severity, severity_sql, whole_number
 from txintel.operators import geo, origin, reports
 from txintel.operators.ordered import running
 from txintel.plans import captures as V
@@ -66,7 +66,9 @@ def _enriched(spark: SparkSession, sf: str) -> DataFrame:
     return geo.enrich(V.network_events(spark, sf), geo.networks(V.network_table(spark)))
 
 
-_LABELS_SQL = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CATEGORY_LABELS.items()) + " ELSE category END"
+# What the labels have to be, written out here and not taken from the operators.
+_LABELS_SQL = """CASE category WHEN 'tor_exit' THEN 'Tor exit relay' WHEN 'vpn' THEN 'Commercial VPN' WHEN 'hosting' THEN 'Datacentre / hosting' WHEN 'residential' THEN 'Residential ISP' WHEN 'mobile' THEN 'Mobile carrier'
+WHEN 'exchange' THEN 'Exchange infrastructure' WHEN 'sensor' THEN 'Monitoring sensor' WHEN 'unknown' THEN 'Unclassified network' WHEN 'unresolved' THEN 'Origin unresolved' ELSE category END"""
 _GEO_SQL = f"""{V.NET_SQL}, {V.NETS_SQL},
 num AS (SELECT *, split_part(cidr, '/', 2)::INT AS prefix, list_reduce(list_transform(string_split(split_part(cidr, '/', 1), '.'), lambda x: x::BIGINT), lambda a, b: a * 256 + b) AS low FROM nets),
 ips AS (SELECT DISTINCT ip, list_reduce(list_transform(string_split(ip, '.'), lambda x: x::BIGINT), lambda a, b: a * 256 + b) AS n FROM net),
@@ -90,11 +92,12 @@ def _risky(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def origin_table(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.origin_table(_risky(spark, sf))
+    """Over V_NET, with confidences dealt by event number."""
+    return reports.origin_table(_risky(spark, sf).withColumn("confidence", F.col("txid") * 29 % 83 / 83.0))
 
 
-ORIGIN_TABLE_SQL = f"""WITH {_GEO_SQL} SELECT ip, country, asn, category, count(*) AS txs, count(*) FILTER (risk >= 40) AS flagged, max(risk) AS max_risk
-FROM risk GROUP BY ip, country, asn, category ORDER BY flagged DESC, max_risk DESC, txs DESC, ip LIMIT 40"""
+ORIGIN_TABLE_SQL = f"""WITH {_GEO_SQL} SELECT ip, country, asn, org, category, {_LABELS_SQL} AS category_label, count(*) AS transactions, count(*) FILTER (risk >= 40) AS flagged, round(max(risk), 1) AS max_risk,
+round(avg((txid * 29 % 83) / 83.0::DOUBLE), 3) AS mean_confidence FROM risk GROUP BY ip, country, asn, org, category ORDER BY flagged DESC, max_risk DESC, transactions DESC, ip LIMIT 40"""
 
 
 def timeline(spark: SparkSession, sf: str) -> DataFrame:

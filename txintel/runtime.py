@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder that the session names in spark.checkpoint.dir; makes one of its own only where none is set."""
+    """Uses the folder that the session names in spark.checkpoint.dir. Where none is set, a local session gets one of its own, and
+    a cluster, whose executors couldn't share it, an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="txintel-checkpoint-"))
 
 

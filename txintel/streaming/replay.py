@@ -6,9 +6,12 @@ events: event_time (timestamp), ts, ip, risk and case_id; sources name columns a
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from txintel.operators.reports import FLAGGED
 from txintel.runtime import ensure_checkpoint_dir
@@ -41,21 +44,49 @@ def alert_state(events: DataFrame) -> DataFrame:
     return events.filter(F.col("risk") >= FLAGGED).groupBy("case_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"), F.max("risk").alias("peak"))
 
 
-def first_seen(observations: DataFrame, window: str = "10 minutes", late: str = "1 minute") -> DataFrame:
-    """(txid, origin_ip, first_time) once the watermark has passed a transaction's window; later announcements are dropped."""
-    marked = observations.withWatermark("event_time", late)
-    per = marked.groupBy("txid", F.window("event_time", window).alias("w")).agg(F.min(F.struct("event_time", "seq", "src_ip")).alias("f"))
-    return per.select("txid", F.col("f.src_ip").alias("origin_ip"), F.col("f.event_time").alias("first_time"))
+def first_seen(observations: DataFrame, window: str = "10 minutes", late: str = "1 minute", silent: str = "1 day") -> DataFrame:
+    """(txid, origin_ip, first_time), once for each transaction: its first announcement (event_time, seq, src_ip) among those
+    within the window of it, as soon as the watermark has passed the window's end.
+
+    The window starts with the transaction's first announcement, wherever that falls. Announcements after it are dropped, and
+    the transaction's state is kept for as long as `silent` so that they start no second one. seq: bigint.
+    """
+    span, quiet = (int(pd.Timedelta(x) / pd.Timedelta("1ms")) for x in (window, silent))
+    marked = observations.select(F.col("txid").cast("string").alias("txid"), "event_time", F.col("seq").cast("bigint").alias("seq"), F.col("src_ip").cast("string").alias("src_ip")).withWatermark("event_time", late)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, at, seq, ip = state.get if state.exists else (False, None, None, None)
+        if state.hasTimedOut:
+            if done:
+                state.remove()
+                return
+            yield pd.DataFrame({"txid": [key[0]], "origin_ip": [ip], "first_time": [pd.Timestamp(at, unit="us")]})
+            state.update((True, at, seq, ip))
+            state.setTimeoutTimestamp(max(at // 1000 + span + quiet, state.getCurrentWatermarkMs() + 1))
+            return
+        for some in batches:
+            for t, q, who in zip(some["event_time"], some["seq"], some["src_ip"], strict=True):
+                mine = (int(t.value // 1000), int(q), who)
+                if not done and (at is None or mine[:2] < (at, seq)):
+                    at, seq, ip = mine
+        state.update((done, at, seq, ip))
+        state.setTimeoutTimestamp(max(at // 1000 + span + (quiet if done else 0), state.getCurrentWatermarkMs() + 1))
+
+    return marked.groupBy("txid").applyInPandasWithState(step, "txid string, origin_ip string, first_time timestamp", "done boolean, at bigint, seq bigint, ip string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """The stream's result after all that is there now: micro-batches into the shared checkpoint folder, read back as a table."""
+    """The stream's result after all that is there now: micro-batches into the shared checkpoint folder, read back as a table.
+
+    A batch goes to a folder of its own, which a repeated batch writes anew, so none counts twice; in complete mode the last one
+    is the result.
+    """
     spark = stream.sparkSession
     ensure_checkpoint_dir(spark)
     top = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{top}/out")
+        batch.write.mode("overwrite").parquet(f"{top}/out/" + ("all" if mode == "complete" else f"batch-{number}"))
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{top}/out")
+    return spark.read.schema(stream.schema).parquet(f"{top}/out/*")
