@@ -309,64 +309,64 @@ def lattice_scores(docs: DataFrame, path: str, folds: int = 7, fold: int = 2, id
     keyed = rows.withColumn("key", F.xxhash64("id", "text"))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each other word of a text, with its times; and one for the text itself, under a word that no text has, with
+        its tokens and what its hot words add up to."""
         known = hot.value
         keys: list[int] = []
         sizes: list[int] = []
         ws: list[bytes] = []
         ns: list[int] = []
+        sums: list[float] = []
+        at: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, np.int64), sizes)), word_ids(ws), pa.array(ns, pa.int32())], names=["key", "word", "n"])
-            keys.clear(), sizes.clear(), ws.clear(), ns.clear()
+            lengths = np.zeros(len(ws) + 1, np.int32)
+            lengths[np.array(at, np.int64) + 1] = 5
+            own = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), pa.array(sums, pa.float64()))
+            batch = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, np.int64), sizes)), word_ids(ws), pa.array(ns, pa.int32()), own], names=["key", "word", "n", "own"])
+            for held in (keys, sizes, ws, ns, sums, at):
+                held.clear()
             return batch
 
         for part, texts in slices(batches, "text"):
             for key, t in zip(part.column("key").to_pylist(), texts, strict=True):
-                own = [(b" " + key.to_bytes(8, "little", signed=True), 1)]  # no word has a space; counts the rows of this key
+                size, k, b, s, v = 1, int(ends > 0), float(np.log10((ends + 1) / below)), log_end / _LN10, word_end / _LN10
                 for some in words(t):
-                    own += [x for x in Counter(some).items() if x[0] not in known]
-                    keys.append(key), sizes.append(len(own))
-                    a, b = zip(*own, strict=True) if own else ((), ())
-                    ws.extend(a), ns.extend(b)
-                    own = []
+                    size += len(some)
+                    before = len(ws)
+                    for w, times in Counter(some).items():
+                        x = known.get(w)
+                        if x is None:
+                            ws.append(w), ns.append(times)
+                        else:
+                            k, b, s, v = k + times, b + times * x[1], s + times * x[2], v + times * x[3]
+                    keys.append(key), sizes.append(len(ws) - before)
                     if len(ws) > _PAIRS:
                         yield flush()
+                at.append(len(ws)), ws.append(b" " + key.to_bytes(8, "little", signed=True)), ns.append(1)
+                keys.append(key), sizes.append(1)
+                sums += [float(size), float(k), b, s, v]
         yield flush()
 
-    def hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot.value
-        for part, texts in slices(batches, "text"):
-            n, seen, base, score, score_w = [], [], [], [], []
-            for t in texts:
-                size, k, b, s, v = 1, int(ends > 0), float(np.log10((ends + 1) / below)), log_end / _LN10, word_end / _LN10
-                for some in words(t):
-                    size += len(some)
-                    for w, times in Counter(filter(known.__contains__, some)).items():
-                        x = known[w]
-                        k, b, s, v = k + times, b + times * x[1], s + times * x[2], v + times * x[3]
-                n.append(size), seen.append(k), base.append(b), score.append(s), score_w.append(v)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "id", "held_out")), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), *(pa.array(x, pa.float64()) for x in (base, score, score_w))], names=["key", "id", "held_out", "n_tokens", "seen", "base", "s", "sw"])
-
-    met = keyed.select("key", "text").mapInArrow(pairs, "key bigint, word bigint, n int").join(scored.select("word", "c", "p", "pw"), "word", "left")
+    met = keyed.select("key", "text").mapInArrow(pairs, "key bigint, word bigint, n int, own array<double>").join(scored.select("word", "c", "p", "pw"), "word", "left")
     sums = met.groupBy("key").agg(
         F.sum(F.when(F.col("c").isNull(), F.col("n"))).alias("times"),
+        F.max("own").alias("own"),
         F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("k"),
         F.sum(F.col("n") * F.log10((F.col("c") + 1) / below)).alias("b"),
-        F.sum(F.col("n") * F.col("p")).alias("s_cold"),
-        F.sum(F.col("n") * F.col("pw")).alias("sw_cold"),
+        F.sum(F.col("n") * F.col("p")).alias("s"),
+        F.sum(F.col("n") * F.col("pw")).alias("v"),
     )
-    kind = dict(rows.dtypes)["id"]
-    base = keyed.select("key", "id", "held_out", "text").mapInArrow(hot_sums, f"key bigint, id {kind}, held_out boolean, n_tokens bigint, seen bigint, base double, s double, sw double")
-    part = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("times")
-    return base.join(sums, "key").select(
+    own, part = lambda k: F.col("own")[k], lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("times")
+    return keyed.select("key", "id", "held_out").join(sums, "key").select(
         F.col("id").alias(id_col),
         "held_out",
-        "n_tokens",
-        (F.col("seen") + part("k")).cast("bigint").alias("n_known"),
+        own(0).cast("bigint").alias("n_tokens"),
+        F.round(own(1) + part("k")).cast("bigint").alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
-        (F.col("base") + part("b")).alias("base_score"),
-        (F.col("s") + part("s_cold")).alias("score"),
-        (F.col("sw") + part("sw_cold")).alias("word_score"),
+        (own(2) + part("b")).alias("base_score"),
+        (own(3) + part("s")).alias("score"),
+        (own(4) + part("v")).alias("word_score"),
     )
 
 
