@@ -47,9 +47,10 @@ def _jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
-    """A header names the fields; empty cells count as absent."""
-    rows = spark.read.csv(path, header=True, multiLine=True, mode="FAILFAST")
-    known = [F.col(n) if n in rows.columns else F.lit(None).cast("string").alias(n) for n in RAW.names]
+    """A header names the fields. A record is a line, so large files are read by many tasks; a field of the header is there in
+    every record, with an empty cell as an empty text."""
+    rows = spark.read.csv(path, header=True, mode="FAILFAST")
+    known = [F.coalesce(F.col(n), F.lit("")).alias(n) if n in rows.columns else F.lit(None).cast("string").alias(n) for n in RAW.names]
     return rows.select(*known).withColumn("_row", F.monotonically_increasing_id())
 
 
