@@ -132,7 +132,8 @@ def kept_pairs(pairs: DataFrame, cells: DataFrame, size: int, keep: Callable[[di
     number = max(8, ceil(size / CELL_BYTES), ceil((pairs.count() / BLOCK_PAIRS) ** 0.5))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(number)).cast("int")
     dealt = pairs.select(F.least(block("a"), block("b")).alias("i"), F.greatest(block("a"), block("b")).alias("j"), "a", "b")
-    need = _small(checkpoint(dealt.select("i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()))
+    ends = [dealt.select("i", "j", F.col(c).alias("node")).distinct() for c in ("a", "b")]
+    need = _small(checkpoint(ends[0].unionByName(ends[1]).distinct()))
 
     def run(here: pa.Table, there: pa.Table) -> pa.Table:
         own = {x: k for k, x in enumerate(there.column("node").to_pylist())}
@@ -184,7 +185,8 @@ def jaccard_links(nodes: DataFrame, docs: DataFrame, text_col: str, key_col: str
     def verify(pairs: DataFrame) -> DataFrame:
         """The pairs that are links: by their whole fingerprints first, then by their sets."""
         maybe = checkpoint(kept_pairs(pairs, nodes.select("node", "fp", "size"), n * width // 8, near_prints))
-        wanted = checkpoint(maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "row", "size"), "node"))
+        met = maybe.select(F.col("a").alias("node")).distinct().unionByName(maybe.select(F.col("b").alias("node")).distinct()).distinct()
+        wanted = checkpoint(met.join(nodes.select("node", "row", "size"), "node"))
         again = docs.join(_small(wanted.select(F.col("row").alias("__row"))), F.col(key_col) == F.col("__row"), "left_semi").select(text_col)
         bytes_ = 8 * (wanted.agg(F.sum("size")).first()[0] or 0)
         return checkpoint(kept_pairs(maybe, again.mapInArrow(whole, "node bigint, cells binary"), bytes_, near_sets))
