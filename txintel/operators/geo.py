@@ -32,7 +32,7 @@ def networks(cidrs: DataFrame) -> DataFrame:
     last = F.row_number().over(Window.partitionBy("prefix", "net").orderBy(F.desc("seq")))
     by_asn = ordered.groupBy(F.col("asn").alias("_asn")).agg(F.min_by("category", "seq").alias("asn_category"))
     kept = strict.withColumn("_turn", last).filter("_turn = 1").join(by_asn, F.col("asn") == F.col("_asn"), "left")
-    return kept.select("prefix", "net", *FIELDS, "asn_category")
+    return checkpoint(kept.select("prefix", "net", *FIELDS, "asn_category"))  # read several times by each lookup
 
 
 def enrich(ips: DataFrame, nets: DataFrame, ip_col: str = "ip", asn_col: str | None = None) -> DataFrame:

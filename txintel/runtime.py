@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -21,10 +22,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="txintel-checkpoint-"))
 
 
+#: Checkpoints between two collections of garbage.
+COLLECT = 6
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and cuts its lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes df to the shared checkpoint folder and cuts its lineage there.
+
+    Spark removes shuffle files, and where it is told to checkpoints, of tables that nobody refers to any more once the driver
+    has collected its garbage, which a driver with little to do seldom does. Loops make many tables, so every few checkpoints
+    ask for it, and disks hold what is in use only.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    sc = spark.sparkContext
+    sc._txintel_checkpoints = getattr(sc, "_txintel_checkpoints", 0) + 1
+    if sc._txintel_checkpoints % COLLECT == 0:
+        gc.collect()
+        spark._jvm.System.gc()
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
