@@ -9,9 +9,11 @@ from txintel.llm.licenses import op9_licenses
 from txintel.llm.lm import op3_lm
 from txintel.llm.mixing import OP5_SQL, op5_mixing
 from txintel.llm.quality import op10_quality
+from txintel.llm.resampling import OP13_SQL, op13_resampling
 from txintel.llm.sharding import op2_sharding
 from txintel.llm.simhash import op7_simhash
 from txintel.llm.topk import OP1_SQL, op1_topk
+from txintel.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_topk": op1_topk,
@@ -24,9 +26,12 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
+    "op12_whitening": op12_whitening,
+    "op13_resampling": op13_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": OP1_SQL,
     "op5_mixing": OP5_SQL,
+    "op13_resampling": OP13_SQL,
 }

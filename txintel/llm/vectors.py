@@ -18,14 +18,18 @@ CANDIDATES, QUERIES, STREAM = 8192, 1024, 16
 MOST_PARTITIONS = 20_000
 
 
+def finite(v: Column) -> Column:
+    """Whether a vector is there and has no null or non-finite component."""
+    return v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+
 def usable(rows: DataFrame, id_col: str, vec_col: str, empty: bool = False) -> DataFrame:
     """(row, id, vec) of every row whose vector has no null or non-finite component; row tells rows of one id apart.
 
     Null vectors, rows with a null id and, unless asked for, empty vectors are left out; repeated ids and repeated rows stay.
     The rows are written to the checkpoint folder, so their numbers hold for all that reads them.
     """
-    v = F.col(vec_col)
-    fine = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.col(id_col).isNotNull()
+    fine = finite(F.col(vec_col)) & F.col(id_col).isNotNull()
     if not empty:
         fine &= F.size(v) > 0
     return checkpoint(rows.filter(fine).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.transform(v, lambda x: x.cast("double")).alias("vec")))
