@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txintel.runtime import checkpoint
+from txintel.runtime import checkpoint, release
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -36,14 +36,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Alternates large-star and small-star steps until every node hangs directly on the least node of its component;
     each step is a grouped minimum and an equi-join, so hubs pre-aggregate and skewed joins can be split. Rows with a null
-    end and self-loops connect nothing; a node that only has a self-loop is its own component.
+    end and self-loops connect nothing; a node that only has a self-loop is its own component. The result is checkpointed, and
+    no round before it is left in the checkpoint folder.
     """
     named = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
     named = checkpoint(named)
     work = named.filter("u <> v").distinct()
     before = None
     for _ in range(max_rounds):
-        work = checkpoint(_small_star(_large_star(work)))
+        last, work = work, checkpoint(_small_star(_large_star(work)))
+        release(last)
         now = _state(work)
         if now == before:
             break
@@ -53,4 +55,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     roots = work.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     members = work.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
     alone = named.filter("u = v").select(F.col("u").alias("node")).distinct().join(members, "node", "left_anti")
-    return members.unionAll(alone.select("node", F.col("node").alias("component")))
+    found = checkpoint(members.unionAll(alone.select("node", F.col("node").alias("component"))))
+    release(named, work)
+    return found

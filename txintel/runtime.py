@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import zipfile
@@ -22,26 +21,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="txintel-checkpoint-"))
 
 
-#: Checkpoints between two collections of garbage.
-COLLECT = 6
+#: Has Spark remove the shuffle files of a query once it has ended; read when a DataFrame is made.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and cuts its lineage there.
 
-    Spark removes shuffle files, and where it is told to checkpoints, of tables that nobody refers to any more once the driver
-    has collected its garbage, which a driver with little to do seldom does. Loops make many tables, so every few checkpoints
-    ask for it, and disks hold what is in use only.
+    The shuffle files behind it go once it is written, as nothing reads them again. What loops have written and nobody reads any
+    more goes by release(); so disks hold what is in use only, with no need for the driver's garbage to be collected.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    out = df.checkpoint(eager=True)
-    sc = spark.sparkContext
-    sc._txintel_checkpoints = getattr(sc, "_txintel_checkpoints", 0) + 1
-    if sc._txintel_checkpoints % COLLECT == 0:
-        gc.collect()
-        spark._jvm.System.gc()
-    return out
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of checkpointed tables, which nothing may read afterwards; other tables are left alone."""
+    for df in tables:
+        plan = df._jdf.queryExecution().logical()
+        if plan.getClass().getSimpleName() != "LogicalRDD":
+            continue
+        path = plan.rdd().getCheckpointFile()
+        if path.isDefined():
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path.get())
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
