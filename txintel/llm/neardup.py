@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from txintel.llm.simhash import _small, allocate, bucket_links, bucket_rows, crowd, first_of_each, part_costs, part_values, parts_by_correlation
 from txintel.llm.text import forget, give_back, neutral, slices, words
 from txintel.operators.components import connected_components
-from txintel.runtime import checkpoint, ship_package
+from txintel.runtime import checkpoint, release, ship_package
 
 #: Words of a shingle, and the similarity that links, in percent.
 SHINGLE, SIMILAR = 5, 80
@@ -123,28 +123,64 @@ def _possible(off: np.ndarray, m: np.ndarray, n: np.ndarray, width: int, percent
     return (off <= limit) & (np.minimum(m, n).astype(np.int64) * 100 >= np.maximum(m, n).astype(np.int64) * percent)
 
 
-def kept_pairs(pairs: DataFrame, cells: DataFrame, size: int, keep: Callable[[dict[str, pa.Array], int, int], bool]) -> DataFrame:
+def kept_pairs(pairs: DataFrame, cells: DataFrame, size: int, keep: Callable[[dict[str, pa.Array], np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """The pairs (a, b) that keep accepts, given the cells' columns and both nodes' places there. cells: (node, ...), about size bytes in all.
 
     Nodes are dealt into blocks; each pair of blocks gets its pairs and, once each, the cells that they need. So a node's cells
-    travel at most once a block, however many pairs it has.
+    travel at most once a block, however many pairs it has. Pairs come to keep in order of a.
     """
     number = max(8, ceil(size / CELL_BYTES), ceil((pairs.count() / BLOCK_PAIRS) ** 0.5))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(number)).cast("int")
     dealt = pairs.select(F.least(block("a"), block("b")).alias("i"), F.greatest(block("a"), block("b")).alias("j"), "a", "b")
     ends = [dealt.select("i", "j", F.col(c).alias("node")).distinct() for c in ("a", "b")]
-    need = _small(checkpoint(ends[0].unionByName(ends[1]).distinct()))
+    need = checkpoint(ends[0].unionByName(ends[1]).distinct())
 
     def run(here: pa.Table, there: pa.Table) -> pa.Table:
-        own = {x: k for k, x in enumerate(there.column("node").to_pylist())}
+        node = there.column("node").to_numpy()
+        order = np.argsort(node, kind="stable")
         held = {c: there.column(c).combine_chunks() for c in there.column_names if c not in ("i", "j", "node")}
-        a, b = here.column("a").to_pylist(), here.column("b").to_pylist()
-        mask = [x in own and y in own and keep(held, own[x], own[y]) for x, y in zip(a, b, strict=True)]
-        del held, own
+        here = here.select(["a", "b"]).sort_by("a")
+        ends, there_ = [here.column(c).to_numpy() for c in ("a", "b")], np.ones(here.num_rows, bool)
+        at = []
+        for x in ends:
+            k = order[np.minimum(np.searchsorted(node[order], x), len(node) - 1)] if len(node) else np.zeros(len(x), np.int64)
+            there_ &= node[k] == x if len(node) else False
+            at.append(k)
+        mask = np.zeros(here.num_rows, bool)
+        mask[there_] = keep(held, at[0][there_], at[1][there_]) if there_.any() else False
+        del held
         give_back()
-        return here.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
-
-    return dealt.groupBy("i", "j").cogroup(cells.join(need, "node").groupBy("i", "j")).applyInArrow(run, "a bigint, b bigint")
+        return here.filter(pa.array(mask, pa.bool_()))
+
+    kept = checkpoint(dealt.groupBy("i", "j").cogroup(cells.join(_small(need), "node").groupBy("i", "j")).applyInArrow(run, "a bigint, b bigint"))
+    release(need)
+    return kept
+
+
+def near_sets(percent: int) -> Callable[[dict[str, pa.Array], np.ndarray, np.ndarray], np.ndarray]:
+    """Whether the sets of pairs, ascending 64-bit numbers in the column cells, are that similar. The pairs of one a are looked
+    up in its set together."""
+
+    def near(held: dict[str, pa.Array], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        cells = held["cells"]
+        starts = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1] // 8
+        flat = np.frombuffer(cells.buffers()[2] or b"", np.uint64)
+        out = np.zeros(len(a), bool)
+        edges = [0, *(np.flatnonzero(np.diff(a)) + 1).tolist(), len(a)]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            own = flat[starts[a[x]] : starts[a[x] + 1]]
+            for u in range(x, y, 256):
+                some = b[u : min(y, u + 256)]
+                sizes = starts[some + 1] - starts[some]
+                if not len(own) or not sizes.all():
+                    continue  # an empty set is linked with nothing
+                theirs = np.concatenate([flat[p:q] for p, q in zip(starts[some].tolist(), starts[some + 1].tolist(), strict=True)])
+                hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+                both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+                out[u : u + len(some)] = both * 100 >= (len(own) + sizes - both) * percent
+        return out
+
+    return near
 
 
 def jaccard_links(nodes: DataFrame, docs: DataFrame, text_col: str, key_col: str, shingle: int = SHINGLE, percent: int = SIMILAR, missed: float = MISSED) -> DataFrame:
@@ -173,23 +209,23 @@ def jaccard_links(nodes: DataFrame, docs: DataFrame, text_col: str, key_col: str
             own = [shingle_set(t, shingle) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([_node(x) for x in own], np.uint64).view(np.int64)), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "cells"])
 
-    def near_prints(held: dict[str, pa.Array], a: int, b: int) -> bool:
-        off = _apart(*(np.frombuffer(held["fp"][k].as_py(), np.uint64) for k in (a, b)))
-        return bool(_possible(off, held["size"][a].as_py(), held["size"][b].as_py(), width, percent))
-
-    def near_sets(held: dict[str, pa.Array], a: int, b: int) -> bool:
-        p, q = (np.frombuffer(held["cells"][k].as_py(), np.uint64) for k in (a, b))
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        return both * 100 >= (len(p) + len(q) - both) * percent
+    def near_prints(held: dict[str, pa.Array], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        fp, sizes, out = _numbers(held["fp"].to_pylist()), held["size"].to_numpy(), np.zeros(len(a), bool)
+        for x in range(0, len(a), 1 << 16):
+            p, q = a[x : x + (1 << 16)], b[x : x + (1 << 16)]
+            out[x : x + len(p)] = _possible(_apart(fp[p], fp[q]), sizes[p], sizes[q], width, percent)
+        return out
 
     def verify(pairs: DataFrame) -> DataFrame:
         """The pairs that are links: by their whole fingerprints first, then by their sets."""
-        maybe = checkpoint(kept_pairs(pairs, nodes.select("node", "fp", "size"), n * width // 8, near_prints))
+        maybe = kept_pairs(pairs, nodes.select("node", "fp", "size"), n * width // 8, near_prints)
         met = maybe.select(F.col("a").alias("node")).distinct().unionByName(maybe.select(F.col("b").alias("node")).distinct()).distinct()
         wanted = checkpoint(met.join(nodes.select("node", "row", "size"), "node"))
         again = docs.join(_small(wanted.select(F.col("row").alias("__row"))), F.col(key_col) == F.col("__row"), "left_semi").select(text_col)
         bytes_ = 8 * (wanted.agg(F.sum("size")).first()[0] or 0)
-        return checkpoint(kept_pairs(maybe, again.mapInArrow(whole, "node bigint, cells binary"), bytes_, near_sets))
+        out = kept_pairs(maybe, again.mapInArrow(whole, "node bigint, cells binary"), bytes_, near_sets(percent))
+        release(pairs, maybe, wanted)
+        return out
 
     def crowds(rows: DataFrame) -> DataFrame:
         """Possible pairs of different components in crowded buckets. A bucket's rows are dealt into blocks, and each pair of
@@ -263,7 +299,7 @@ def jaccard_components(docs: DataFrame, key_col: str, id_col: str = "doc_id", te
     kind = docs.schema[id_col].dataType.simpleString()
     prints = checkpoint(docs.select(id_col, key_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, `{key_col}` bigint, node bigint, size int, fp binary"))
     nodes = checkpoint(prints.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.min(key_col).alias("row")))
-    part = checkpoint(connected_components(jaccard_links(nodes, docs, text_col, key_col, shingle, percent), "a", "b"))
+    part = connected_components(jaccard_links(nodes, docs, text_col, key_col, shingle, percent), "a", "b")
     return prints.select(id_col, key_col, "node").join(_small(part), "node", "left").select(id_col, key_col, F.coalesce("component", "node").alias("root"))
 
 

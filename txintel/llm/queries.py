@@ -7,6 +7,7 @@ from txintel.llm.bpe import op4_bpe
 from txintel.llm.langid import op6_langid
 from txintel.llm.licenses import op9_licenses
 from txintel.llm.lm import op3_lm
+from txintel.llm.minhash import OP11_SQL, op11_minhash
 from txintel.llm.mixing import OP5_SQL, op5_mixing
 from txintel.llm.quality import op10_quality
 from txintel.llm.resampling import OP13_SQL, op13_resampling
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
+    "op11_minhash": op11_minhash,
     "op12_whitening": op12_whitening,
     "op13_resampling": op13_resampling,
 }
@@ -33,5 +35,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": OP1_SQL,
     "op5_mixing": OP5_SQL,
+    "op11_minhash": OP11_SQL,
     "op13_resampling": OP13_SQL,
 }

@@ -195,9 +195,9 @@ WITH crc AS (
 ), cut AS (
   SELECT side, row, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM said
 ), every AS (
-  SELECT side, row, doc_id, unnest(w || list_transform(range(1, len(w)), lambda k : w[k] || ' ' || w[k + 1])) AS f FROM cut
+  SELECT side, row, doc_id, unnest(w || list_transform(list_zip(w[1 : len(w) - 1], w[2 :]), lambda z : z[1] || ' ' || z[2])) AS f FROM cut
 ), feature AS (
-  SELECT f, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(strlen(f)), lambda k : (instr('123456789ABCDEF', hex(encode(f))[2 * k + 1]) * 16 + instr('123456789ABCDEF', hex(encode(f))[2 * k + 2]))::BIGINT), lambda c, b : xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+  SELECT f, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda h : ('0x' || h)::BIGINT), lambda c, b : xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
   FROM (SELECT DISTINCT f FROM every), crc
 ), counted AS (
   SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM every JOIN feature USING (f) GROUP BY bucket

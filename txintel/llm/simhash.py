@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from txintel.llm.text import neutral, slices, words
 from txintel.operators.components import connected_components
-from txintel.runtime import checkpoint, ship_package, table
+from txintel.runtime import checkpoint, release, ship_package, table
 
 BITS = 64
 #: Fingerprints in the sample behind the cost estimates, and the cost of a probe row against comparing one candidate.
@@ -181,7 +181,8 @@ def bucket_links(rows: DataFrame, payload: tuple[str, ...], near: Callable[[str,
     side = lambda df, p, *more: df.select("key", *(F.col(c).alias(p + c) for c in (*cols, *more)))
     pair = [F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")]
     homes = rows.filter("own")
-    keys = _small(checkpoint(homes.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select("key")))
+    many = checkpoint(homes.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select("key"))
+    keys = _small(many)
     inside = checkpoint(homes.join(keys, "key"))
     # the centre of a bucket is its node that most crowded buckets hold: near copies gather around what they copy
     often = inside.groupBy("node").agg(F.count("*").alias("w"))
@@ -189,8 +190,10 @@ def bucket_links(rows: DataFrame, payload: tuple[str, ...], near: Callable[[str,
     centres = checkpoint(centre.select("key", *(F.col("c")[c].alias("q_" + c) for c in cols)))
     stars = side(inside, "p_").join(_small(centres), "key").filter((F.col("p_node") != F.col("q_node")) & near("p_", "q_"))
     links = verify(checkpoint(stars.select(*pair).distinct()))
+    release(inside, centres)
 
-    part = _small(checkpoint(connected_components(links, "a", "b")))
+    parts = connected_components(links, "a", "b")
+    part = _small(parts)
     label = lambda df: df.join(part, "node", "left").withColumn("grouped", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "node"))
     told = label(rows if crowds is None else rows.join(keys, "key", "left_anti"))
     # left: all that a node probes, right: own buckets only; a pair within reach meets in either direction
@@ -205,7 +208,9 @@ def bucket_links(rows: DataFrame, payload: tuple[str, ...], near: Callable[[str,
     found = one.unionByName(two)
     if crowds is not None:
         found = found.unionByName(crowds(label(rows.join(keys, "key", "left_semi"))))
-    return links.unionByName(verify(checkpoint(found.distinct())))
+    out = links.unionByName(verify(checkpoint(found.distinct())))
+    release(many, parts)
+    return out
 
 
 def _small(df: DataFrame) -> DataFrame:
