@@ -157,7 +157,7 @@ class GraphNet:
     head: tuple[np.ndarray, float]
     mean: np.ndarray
     std: np.ndarray
-    clip: float = 8.0
+    clip: float | None = None
 
     def scores(self, rows: DataFrame, edges: DataFrame) -> DataFrame:
         """(id, gnn_prob): each layer is two joins that bring neighbours' means, and one product by Arrow batches."""
@@ -181,12 +181,13 @@ def load_arrays(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
 
 def net_arrays(net: GraphNet) -> dict[str, np.ndarray]:
     arrays = {f"layer{k}_{n}": w for k, layer in enumerate(net.layers) for n, w in zip(("self", "in", "out", "bias"), layer, strict=True)}
-    return arrays | {"head": net.head[0], "head_bias": np.array([net.head[1]]), "mean": net.mean, "std": net.std, "clip": np.array([net.clip])}
+    return arrays | {"head": net.head[0], "head_bias": np.array([net.head[1]]), "mean": net.mean, "std": net.std, "clip": np.array([np.nan if net.clip is None else net.clip])}
 
 
 def net_of(a: dict[str, np.ndarray]) -> GraphNet:
     layers = [tuple(a[f"layer{k}_{n}"] for n in ("self", "in", "out", "bias")) for k in range(2)]
-    return GraphNet(layers, (a["head"], float(a["head_bias"][0])), a["mean"], a["std"], float(a["clip"][0]))
+    clip = float(a["clip"][0])
+    return GraphNet(layers, (a["head"], float(a["head_bias"][0])), a["mean"], a["std"], None if np.isnan(clip) else clip)
 
 
 def save_net(spark: SparkSession, net: GraphNet, path: str) -> None:
@@ -212,9 +213,13 @@ def _mean_of(h: np.ndarray, src: np.ndarray, dst: np.ndarray, n: int) -> tuple[n
     return _summed(h[src], dst, n) * scale[:, None], scale
 
 
+def clipped(z: np.ndarray, clip: float | None) -> np.ndarray:
+    return z if clip is None else np.clip(z, -clip, clip)
+
+
 def local_scores(net: GraphNet, x: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     """A network's scores over a graph that fits the driver, as training looks at them between steps."""
-    h = np.clip((x - net.mean) / net.std, -net.clip, net.clip)
+    h = clipped((x - net.mean) / net.std, net.clip)
     for own, into, out, bias in net.layers:
         h = np.maximum(h @ own + _mean_of(h, src, dst, len(h))[0] @ into + _mean_of(h, dst, src, len(h))[0] @ out + bias, 0)
     return 1 / (1 + np.exp(-np.clip(h @ net.head[0] + net.head[1], -60, 60)))
@@ -232,30 +237,52 @@ def local_graph(rows: DataFrame, edges: DataFrame) -> tuple[np.ndarray, np.ndarr
     return np.array(data["x"].tolist()).reshape(len(data), -1), src, dst, data["y"].to_numpy(float, na_value=np.nan)
 
 
-def train_graph_net(x: np.ndarray, src: np.ndarray, dst: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 300, lr: float = 0.01, l2: float = 1e-4, seed: int = 0, mask: np.ndarray | None = None, callback=None, clip: float = 8.0) -> GraphNet:
-    """Full-batch Adam on class-balanced cross-entropy with L2 on weights, for a graph whose features are at most TRAIN_CELLS
-    numbers. callback(step, loss, net) ends the training by returning true."""
-    if x.size > TRAIN_CELLS:
-        raise ValueError(f"train on at most {TRAIN_CELLS} feature values; draw a bounded subgraph first")
-    rng, n = np.random.default_rng(seed), len(x)
-    mask = np.ones(n, bool) if mask is None else mask
-    mean, std = x.mean(axis=0), x.std(axis=0)
-    std = np.where(std < 1e-9, 1.0, std)
-    z = np.clip((x - mean) / std, -clip, clip)
-    dims = [x.shape[1], hidden, hidden]
-    p = [rng.normal(0, np.sqrt(2 / (3 * dims[k])), (dims[k], dims[k + 1])) if j < 3 else np.zeros(dims[k + 1]) for k in range(2) for j in range(4)] + [rng.normal(0, 0.1, hidden), np.zeros(1)]
-    pos = max(1, int(y[mask].sum()))
-    weight = np.where(y == 1, 0.5 / pos, 0.5 / max(1, int(mask.sum()) - pos)) * mask
+def first_weights(dims: list[int], seed: int) -> list[np.ndarray]:
+    """Uniform Glorot weights of two layers of three matrices and a bias, and of the head."""
+    rng = np.random.default_rng(seed)
+    uniform = lambda a, b, *shape: rng.uniform(-1, 1, shape) * np.sqrt(6 / (a + b))
+    layers = [uniform(dims[k], dims[k + 1], dims[k], dims[k + 1]) if j < 3 else np.zeros(dims[k + 1]) for k in range(2) for j in range(4)]
+    return [*layers, uniform(dims[2], 1, dims[2]), np.zeros(1)]
+
+
+def net_with(p: list[np.ndarray], mean: np.ndarray, std: np.ndarray, clip: float | None) -> GraphNet:
+    return GraphNet([tuple(p[0:4]), tuple(p[4:8])], (p[8], float(p[9][0])), mean, std, clip)
+
+
+def adam(p: list[np.ndarray], gradient, epochs: int, lr: float, stop=None) -> list[np.ndarray]:
+    """p after at most so many steps along gradient(p) -> (loss, gradient); stop(step, loss, p) ends it by returning true."""
     m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     for step in range(1, epochs + 1):
-        loss, g = graph_net_gradient(p, z, src, dst, y, weight, l2)
+        loss, g = gradient(p)
+        p = list(p)
         for k in range(len(p)):
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
             p[k] = p[k] - lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        if callback and callback(step, loss, GraphNet([tuple(p[0:4]), tuple(p[4:8])], (p[8], float(p[9][0])), mean, std, clip)):
+        if stop and stop(step, loss, p):
             break
-    return GraphNet([tuple(p[0:4]), tuple(p[4:8])], (p[8], float(p[9][0])), mean, std, clip)
+    return p
+
+
+def train_graph_net(x: np.ndarray, src: np.ndarray, dst: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 300, lr: float = 0.01, l2: float = 1e-4, seed: int = 0, mask: np.ndarray | None = None, callback=None, clip: float | None = None) -> GraphNet:
+    """Full-batch Adam on class-balanced cross-entropy with L2 on weights, for a graph whose features are at most TRAIN_CELLS
+    numbers; operators.train takes larger ones. callback(step, loss, net) ends the training by returning true."""
+    if x.size > TRAIN_CELLS:
+        raise ValueError(f"train on at most {TRAIN_CELLS} feature values here; operators.train takes larger graphs")
+    mask = np.ones(len(x), bool) if mask is None else mask
+    mean, std = x.mean(axis=0), x.std(axis=0)
+    std = np.where(std < 1e-9, 1.0, std)
+    z = clipped((x - mean) / std, clip)
+    pos = max(1, int(y[mask].sum()))
+    weight = np.where(y == 1, 0.5 / pos, 0.5 / max(1, int(mask.sum()) - pos)) * mask
+    stop = (lambda step, loss, p: callback(step, loss, net_with(p, mean, std, clip))) if callback else None
+    p = adam(first_weights([x.shape[1], hidden, hidden], seed), lambda p: graph_net_gradient(p, z, src, dst, y, weight, l2), epochs, lr, stop)
+    return net_with(p, mean, std, clip)
+
+
+def penalty(p: list[np.ndarray], l2: float) -> float:
+    """The loss's share of weights, biases left out."""
+    return 0.5 * l2 * (sum(float((w * w).sum()) for w in p if w.ndim == 2) + float((p[8] ** 2).sum()))
 
 
 def graph_net_gradient(p: list[np.ndarray], z: np.ndarray, src: np.ndarray, dst: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float) -> tuple[float, list[np.ndarray]]:
@@ -269,7 +296,7 @@ def graph_net_gradient(p: list[np.ndarray], z: np.ndarray, src: np.ndarray, dst:
         h = np.maximum(a, 0)
     logit = h @ p[8] + p[9][0]
     prob = 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
-    loss = float((weight * (np.logaddexp(0, logit) - y * logit)).sum()) + 0.5 * l2 * sum(float((w * w).sum()) for w in p if w.ndim == 2) + 0.5 * l2 * float((p[8] ** 2).sum())
+    loss = float((weight * (np.logaddexp(0, logit) - y * logit)).sum()) + penalty(p, l2)
     d = weight * (prob - y)
     g: list[np.ndarray] = [np.zeros_like(a) for a in p]
     g[8], g[9] = h.T @ d + l2 * p[8], np.array([d.sum()])
