@@ -7,8 +7,8 @@ import pytest
 
 from txintel import __main__ as cli
 from txintel.operators import learn
-from txintel.plans import training
-from txintel.plans.analysis import analyse
+from txintel.plans import stacking, training
+from txintel.plans.analysis import analyse, evidence, prepare
 from txintel.sources import elliptic, files
 
 
@@ -103,3 +103,26 @@ def test_experiment_on_a_labelled_graph(spark):
     positives = int(sum(y[k] for k in range(n) if step[k] >= 5 and k % 5))
     assert all(r.tp + r.fn == positives for r in got.values())
     assert got["logistic"].roc_auc > 0.9 and got["graphsage"].f1 > 0.6
+
+
+def test_captures_in_one_pass_are_those_of_their_own_passes(spark, tmp_path):
+    """18 captures go through one plan; four of them are held against plans of their own, forests and all."""
+    loaded = [files.load(spark, write_capture(tmp_path / f"c{k}", 50 + k)[0]) for k in range(18)]
+    all_ = prepare(spark, stacking.stack(loaded), locate=stacking.name("origin_ip"), part=(stacking.number(), stacking.name()))
+    signals = ("peel_chain", "coinjoin", "velocity", "origin_burst", "anomaly", "confidence", "relay_ratio", "category", "burst")
+    got = {}
+    for r in stacking.bare(evidence(all_), "txid", "origin_ip").select("capture", "txid", "origin_ip", *signals).collect():
+        got.setdefault(r.capture, {})[r.txid] = tuple(r)[2:]
+    assert set(got) == set(range(18)) and all(len(v) == 58 for v in got.values())
+    for k in (0, 7, 11, 17):
+        want = {r.txid: tuple(r)[1:] for r in evidence(prepare(spark, loaded[k])).select("txid", "origin_ip", *signals).collect()}
+        assert got[k] == want
+
+
+def test_repeated_addresses_are_edges_each(spark):
+    tx = spark.createDataFrame([("t", ["a", "a"], [1.0, 1.0], ["b", "b", "c"], [1.0, 0.5, 0.5], 0.0)], "txid string, input_addresses array<string>, input_amounts array<double>, output_addresses array<string>, output_amounts array<double>, fee double")
+    seen = spark.createDataFrame([(1.0, "1.1.1.1", "s", "t", 0), (2.0, "1.1.1.2", "s", "t", 1), (3.0, "1.1.1.2", "s", "u", 2)], "timestamp double, src_ip string, dst_ip string, txid string, seq long")
+    result = analyse(spark, files.Capture(seen, tx, spark.createDataFrame([], "file string, sha256 string, records bigint")), anomaly=False)
+    s = result["stats"].first()
+    assert (s.graph_edges, s.graph_nodes, s.wallet_addresses, s.origin_ips, s.observations, s.observed_txids, s.uncorrelated_observations, s.unobserved_transactions) == (6, 5, 3, 1, 3, 2, 1, 0)
+    assert {r.severity: r.cases for r in result["case_severities"].collect()} == {"CRITICAL": 0, "HIGH": 0, "MEDIUM": 0}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txintel.functions.expressions import duration_text, exact_sum, fixed, severity
+from txintel.functions.expressions import SEVERITIES, duration_text, exact_sum, fixed, severity
 from txintel.operators.components import connected_components
 from txintel.operators.entities import MIXED, PEEL_HOPS
 from txintel.operators.ordered import numbered
@@ -101,6 +101,12 @@ def case_table(member: DataFrame, scored: DataFrame, links: DataFrame) -> DataFr
     return ranked.withColumn("case_id", F.format_string("CASE-%03d", "k")).drop("k")
 
 
+def by_severity(cases: DataFrame) -> DataFrame:
+    """(severity, cases) of every level that a case can have, those without any too."""
+    every = cases.sparkSession.createDataFrame([(n,) for _, n in SEVERITIES], "severity string")
+    return every.join(cases.groupBy("severity").agg(F.count("*").alias("cases")), "severity", "left").fillna(0, ["cases"])
+
+
 def typologies(cases: DataFrame) -> DataFrame:
     one = cases.withColumn("tag", F.explode(F.split("typology", r" \+ ")))
     return one.groupBy("tag").agg(F.count("*").alias("cases"), F.sum("tx_count").alias("transactions"), exact_sum("inflow").alias("inflow"))

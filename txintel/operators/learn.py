@@ -101,26 +101,37 @@ def grow_tree(x: np.ndarray, seed: int, height: int) -> list[tuple[int, float, i
     return nodes
 
 
-def fit_isolation_forest(rows: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = 0) -> tuple[list[np.ndarray], int]:
-    """Trees and their sample size. Each tree gets about sample rows by a hash of the id, so the forest is the same every time."""
+def fit_isolation_forests(rows: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = 0) -> dict[int, tuple[list[np.ndarray], int]]:
+    """For each part of rows (id, x, part int) its trees and their sample size, all in one pass. Each tree gets about sample rows
+    by a hash of the id, so a part's forest is the same every time and whatever other parts there are."""
     ship_package(rows.sparkSession)
-    n = rows.count()
-    size = min(sample, n)
-    if n < FEWEST:
-        return [], size
-    chance = min(1.0, 1.3 * size / n)
-    dealt = rows.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("id", t, F.lit(seed)), F.lit(1 << 30)) < F.lit(int(chance * (1 << 30))))))
-
-    def grow(group):
-        x = np.array(group.sort_values("id")["x"].tolist(), float)
-        pick = np.random.default_rng([seed, int(group["tree"].iloc[0])]).permutation(len(x))[:size]
-        nodes = grow_tree(x[pick], seed * 1000 + int(group["tree"].iloc[0]), int(np.ceil(np.log2(max(2, size)))))
-        import pandas as pd
+    counts = {r.part: r.n for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    sizes = {part: min(sample, n) for part, n in counts.items()}
+    grown = {part: [] for part in counts}
+    large = {part: n for part, n in counts.items() if n >= FEWEST}
+    if large:
+        limit = {part: int(min(1.0, 1.3 * sizes[part] / n) * (1 << 30)) for part, n in large.items()}
+        cut = F.create_map(*(F.lit(v) for kv in limit.items() for v in kv))[F.col("part")]
+        dealt = rows.filter(F.col("part").isin(*large)).withColumn("cut", cut)
+        dealt = dealt.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("id", t, F.lit(seed)), F.lit(1 << 30)) < F.col("cut"))))
+
+        def grow(group):
+            import pandas as pd
+
+            part, tree = int(group["part"].iloc[0]), int(group["tree"].iloc[0])
+            x, size = np.array(group.sort_values("id")["x"].tolist(), float), sizes[part]
+            pick = np.random.default_rng([seed, tree]).permutation(len(x))[:size]
+            nodes = grow_tree(x[pick], seed * 1000 + tree, int(np.ceil(np.log2(max(2, size)))))
+            return pd.DataFrame({"part": [part], "tree": [tree], "nodes": [np.array(nodes, float).ravel()]})
+
+        for r in dealt.groupBy("part", "tree").applyInPandas(grow, "part int, tree int, nodes array<double>").orderBy("part", "tree").collect():
+            grown[r.part].append(np.array(r.nodes).reshape(-1, 5))
+    return {part: (grown[part], sizes[part]) for part in counts}
 
-        return pd.DataFrame({"tree": [int(group["tree"].iloc[0])], "nodes": [np.array(nodes, float).ravel()]})
 
-    grown = dealt.groupBy("tree").applyInPandas(grow, "tree int, nodes array<double>").orderBy("tree").collect()
-    return [np.array(r.nodes).reshape(-1, 5) for r in grown], size
+def fit_isolation_forest(rows: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = 0) -> tuple[list[np.ndarray], int]:
+    """Trees and their sample size, over all rows (id, x)."""
+    return fit_isolation_forests(rows.withColumn("part", F.lit(0)), trees, sample, seed).get(0, ([], 0))
 
 
 def forest_score(x: np.ndarray, forest: list[np.ndarray], size: int) -> np.ndarray:
@@ -146,6 +157,20 @@ def isolation_scores(rows: DataFrame, forest: list[np.ndarray], size: int) -> Da
     return _mapped(rows, ["x"], lambda x: forest_score(x, *shared.value), "anomaly", "double", ["id"])
 
 
+def part_scores(rows: DataFrame, forests: dict[int, tuple[list[np.ndarray], int]]) -> DataFrame:
+    """(id, anomaly) of rows (id, x, part), each by the forest of its part. Forests are broadcast, some 3 MB each."""
+    shared = rows.sparkSession.sparkContext.broadcast(forests)
+
+    def score(x: np.ndarray, part: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x))
+        for k in np.unique(part):
+            own = part[:, 0] == k
+            out[own] = forest_score(x[own], *shared.value[int(k)])
+        return out
+
+    return _mapped(rows.select("id", "x", F.array("part").alias("part")), ["x", "part"], score, "anomaly", "double", ["id"])
+
+
 # --- graph network
 
 

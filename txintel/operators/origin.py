@@ -84,5 +84,9 @@ def attribute(obs: DataFrame, calibration: tuple[float, list[float]] | None = No
     first = checkpoint(first_seen(obs))
     rated = relay_ratio(obs, first).select("origin_ip", "relay_ratio")
     agreed = sensor_agreement(obs, first).drop("origin_ip")
-    out = first.join(agreed, "txid").join(rated, "origin_ip").withColumn("confidence", confidence(calibration))
-    return out.withColumn("resolved", F.col("confidence") >= RESOLVED)
+    return rated_by(first.join(agreed, "txid").join(rated, "origin_ip"), calibration)
+
+
+def rated_by(attributed: DataFrame, calibration: tuple[float, list[float]] | None = None) -> DataFrame:
+    """Attributions with the confidence of that calibration; their signals don't depend on it."""
+    return attributed.withColumn("confidence", confidence(calibration)).withColumn("resolved", F.col("confidence") >= RESOLVED)

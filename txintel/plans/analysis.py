@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,23 +39,52 @@ class Settings:
     means: dict[str, float] | None = None
 
 
-@dataclass
 class Prepared:
-    """A capture correlated and linked, before any model. tx: placed transactions with their origins; rows: (id, x) features."""
-
-    observations: DataFrame
-    transactions: DataFrame
-    attributed: DataFrame
-    tx: DataFrame
-    inputs: DataFrame
-    outputs: DataFrame
-    links: DataFrame
-    edges: DataFrame
-    entities: DataFrame
-    chains: DataFrame
-    chain_steps: DataFrame
-    delays: DataFrame
-    features: DataFrame
+    """A capture correlated and located, before any model; what is linked from it is worked out, and checkpointed, when it is
+    first asked for.
+
+    tx: placed transactions with their origins; rows: (id, x) features. part: for several captures in one (plans.stacking), the
+    number of a transaction's capture and its own name there, from txid.
+    """
+
+    def __init__(self, observations: DataFrame, transactions: DataFrame, attributed: DataFrame, tx: DataFrame, part: tuple[Column, Column] | None = None):
+        self.observations, self.transactions, self.attributed, self.tx, self.part = observations, transactions, attributed, tx, part
+
+    @cached_property
+    def inputs(self) -> DataFrame:
+        return flow.inputs(self.tx)
+
+    @cached_property
+    def outputs(self) -> DataFrame:
+        return flow.outputs(self.tx)
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return checkpoint(flow.spend_links(self.inputs, self.outputs))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return checkpoint(flow.flow_edges(self.links))
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        return checkpoint(E.entities(self.inputs, self.tx.filter(F.col("coinjoin") >= E.MIXED)))
+
+    @cached_property
+    def chain_steps(self) -> DataFrame:
+        return checkpoint(E.chains(E.remainder_hops(self.tx, self.links, E.peel_shaped()), self.tx))
+
+    @cached_property
+    def chains(self) -> DataFrame:
+        return checkpoint(E.chain_table(self.chain_steps, self.tx))
+
+    @cached_property
+    def delays(self) -> DataFrame:
+        return checkpoint(flow.delays(self.tx, self.edges))
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return checkpoint(X.tx_features(self.tx, flow.degrees(self.edges), self.delays))
 
     @property
     def rows(self) -> DataFrame:
@@ -75,24 +105,29 @@ class Result:
         return self.tables[name]
 
 
-def prepare(spark: SparkSession, capture: Capture, networks: DataFrame | None = None, calibration: tuple[float, list[float]] | None = None, locate: Column | None = None) -> Prepared:
-    """Correlates both layers and builds links, entities, chains and features. locate: the address of an origin_ip that is none."""
-    obs = checkpoint(capture.observations)
-    attributed = origin.attribute(obs, calibration).withColumn("address", locate if locate is not None else F.col("origin_ip"))
-    located = geo.enrich(attributed, geo.networks(networks if networks is not None else network_table(spark)), "address")
+def prepare(spark: SparkSession, capture: Capture, networks: DataFrame | None = None, calibration: tuple[float, list[float]] | None = None, locate: Column | None = None, attributed: DataFrame | None = None, part: tuple[Column, Column] | None = None) -> Prepared:
+    """Correlates both layers and locates origins. locate: the address of an origin_ip that is none; attributed: the attribution
+    of the observations where it is there already, rated by the calibration here."""
+    obs = checkpoint(capture.observations) if attributed is None else capture.observations
+    rated = origin.attribute(obs, calibration) if attributed is None else origin.rated_by(attributed, calibration)
+    placed = rated.withColumn("address", locate if locate is not None else F.col("origin_ip"))
+    located = geo.enrich(placed, geo.networks(networks if networks is not None else network_table(spark)), "address")
     known = capture.transactions
     sided = known.withColumns({n: F.coalesce(n, F.array().cast(known.schema[n].dataType)) for n in LISTS})
     joined = sided.drop("ts").join(located, "txid").withColumn("ts", F.col("first_ts"))  # what nobody announced has no time
     category = F.when(F.col("resolved"), F.col("category")).otherwise("unresolved")
     tx = checkpoint(joined.withColumns({"origin_category": category, "coinjoin": E.coinjoin_score()}))
-    inputs, outputs = flow.inputs(tx), flow.outputs(tx)
-    links = checkpoint(flow.spend_links(inputs, outputs))
-    edges = checkpoint(flow.flow_edges(links))
-    entities = checkpoint(E.entities(inputs, tx.filter(F.col("coinjoin") >= E.MIXED)))
-    steps = checkpoint(E.chains(E.remainder_hops(tx, links, E.peel_shaped()), tx))
-    delays = checkpoint(flow.delays(tx, edges))
-    feats = checkpoint(X.tx_features(tx, flow.degrees(edges), delays))
-    return Prepared(obs, known, attributed, tx, inputs, outputs, links, edges, entities, checkpoint(E.chain_table(steps, tx)), steps, delays, feats)
+    return Prepared(obs, known, placed, tx, part)
+
+
+def anomalies(p: Prepared) -> DataFrame:
+    """(id, anomaly) by an isolation forest of each capture."""
+    if p.part is None:
+        return learn.isolation_scores(p.rows, *learn.fit_isolation_forest(p.rows))
+    part, name = p.part
+    rows = p.features.select("txid", F.array(*X.FEATURES).alias("x"), part.cast("int").alias("part"), name.alias("name"))
+    forests = learn.fit_isolation_forests(rows.select(F.col("name").alias("id"), "x", "part"))
+    return learn.part_scores(rows.select(F.col("txid").alias("id"), "x", "part"), forests)
 
 
 def evidence(p: Prepared, net: learn.GraphNet | None = None, anomaly: bool = True) -> DataFrame:
@@ -101,7 +136,7 @@ def evidence(p: Prepared, net: learn.GraphNet | None = None, anomaly: bool = Tru
     burst = reports.origin_burst(p.tx.select("txid", "ts", F.col("origin_ip").alias("ip"))).select("txid", "burst")
     full = p.tx.join(hops, "txid", "left").join(p.delays, "txid").join(burst, "txid").fillna(0, ["peel_hops"])
     scores = {
-        "anomaly": learn.isolation_scores(p.rows, *learn.fit_isolation_forest(p.rows)) if anomaly else None,
+        "anomaly": anomalies(p) if anomaly else None,
         "gnn_prob": net.scores(p.rows, p.graph) if net is not None else None,
     }
     for name, found in scores.items():
@@ -110,24 +145,28 @@ def evidence(p: Prepared, net: learn.GraphNet | None = None, anomaly: bool = Tru
 
 
 def counters(p: Prepared, risk: DataFrame, cases: DataFrame) -> DataFrame:
-    """One row: what the capture holds and what was found in it."""
+    """One row: what the capture holds and what was found in it. Repeated inputs and outputs are edges each."""
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    nodes, edges = flow.hetero_graph(p.tx.select("txid", F.col("origin_ip").alias("src_ip")), p.inputs, p.outputs)
-    kinds = nodes.agg(*(F.count(F.when(F.col("type") == k, 1)).alias(n) for k, n in (("WALLET", "wallet_addresses"), ("IP", "origin_ips"))), F.count("*").alias("graph_nodes"))
-    observed = p.observations.select("txid").distinct()
+    if_ = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    sides = F.size("input_addresses") + F.least(F.size("output_addresses"), F.size("output_amounts"))
     tx = p.tx.agg(
-        F.count("*").alias("transactions"), F.count(F.when(F.col("resolved"), 1)).alias("origin_attributed"), F.count(F.when(~F.col("resolved"), 1)).alias("origin_unresolved"),
-        F.count(F.when(F.col("coinjoin") >= E.MIXED, 1)).alias("coinjoin_transactions"), F.min("ts").alias("capture_start"), F.max("ts").alias("capture_end"),
+        F.count("*").alias("transactions"), if_(F.col("resolved"), "origin_attributed"), if_(~F.col("resolved"), "origin_unresolved"), if_(F.col("coinjoin") >= E.MIXED, "coinjoin_transactions"),
+        F.min("ts").alias("capture_start"), F.max("ts").alias("capture_end"), (F.count("*") + F.coalesce(F.sum(sides), F.lit(0))).alias("graph_edges"), F.count_distinct("origin_ip").alias("origin_ips"),
+    )
+    seen = p.observations.groupBy("txid").agg(F.count("*").alias("seen"))
+    both = seen.join(p.transactions.select("txid", F.lit(True).alias("known")), "txid", "full").agg(
+        F.coalesce(F.sum("seen"), F.lit(0)).alias("observations"), F.count("seen").alias("observed_txids"), if_(F.col("seen").isNull(), "unobserved_transactions"),
+        F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("seen"))), F.lit(0)).alias("uncorrelated_observations"),
     )
+    wallets = p.tx.select(F.explode(F.concat("input_addresses", F.slice("output_addresses", F.lit(1), F.greatest(F.least(F.size("output_addresses"), F.size("output_amounts")), F.lit(0))))).alias("a")).distinct()
     parts = [
-        tx, one(p.observations, "observations"), one(p.transactions.join(observed, "txid", "left_anti"), "unobserved_transactions"), one(p.observations.join(p.transactions, "txid", "left_anti"), "uncorrelated_observations"),
-        one(observed, "observed_txids"), kinds, one(edges.distinct(), "graph_edges"), one(p.edges, "flow_edges"), one(p.entities.select("entity").distinct(), "entities"), one(p.chains, "peel_chains"),
-        risk.agg(F.count(F.when(F.col("risk") >= C.FLAGGED, 1)).alias("flagged_transactions")), one(cases, "cases"),
+        tx, both, one(wallets, "wallet_addresses"), one(p.edges, "flow_edges"), one(p.entities.select("entity").distinct(), "entities"), one(p.chains, "peel_chains"),
+        risk.agg(if_(F.col("risk") >= C.FLAGGED, "flagged_transactions")), one(cases, "cases"),
     ]
     out = parts[0]
     for x in parts[1:]:  # one row each
         out = out.crossJoin(F.broadcast(x))
-    return out
+    return out.withColumn("graph_nodes", F.col("transactions") + F.col("wallet_addresses") + F.col("origin_ips"))
 
 
 def documents(p: Prepared, scored: DataFrame, shap: DataFrame, member: DataFrame, weights: dict[str, float], drops: DataFrame | None) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -202,7 +241,7 @@ def analyse(spark: SparkSession, capture: Capture | str | list[str], settings: S
     return Result(tables | {
         "stats": counters(p, scored, tables["case_table"]), "sources": c.sources, "transactions": explained.drop(*(f"mean_{n}" for n in s.weights)), "cases": told, "members": member, "leads": leads,
         "origins": reports.origin_table(ranked), "timeline": reports.timeline(ranked), "networks": reports.networks(ranked.drop("category").join(scored.select("txid", F.col("origin_category").alias("category")), "txid")),
-        "severities": reports.severity_counts(ranked), "case_severities": tables["case_table"].groupBy("severity").agg(F.count("*").alias("cases")), "typologies": C.typologies(tables["case_table"]),
+        "severities": reports.severity_counts(ranked), "case_severities": C.by_severity(tables["case_table"]), "typologies": C.typologies(tables["case_table"]),
         "stream": stream, "entities": p.entities, "chains": p.chains,
     })
 

@@ -14,7 +14,9 @@ from txintel.operators import entities as E
 from txintel.operators import evaluate as M
 from txintel.operators import features as X
 from txintel.operators import learn, origin
-from txintel.plans.analysis import Prepared, Result, Settings, evidence, prepare
+from txintel.operators.train import fit_graph_net
+from txintel.plans.analysis import Result, Settings, evidence, prepare
+from txintel.plans.stacking import name, number, stack, under
 from txintel.runtime import checkpoint
 from txintel.sources.elliptic import FIT, TEST, TUNE, Graph
 from txintel.sources.files import Capture
@@ -49,30 +51,29 @@ def load(spark: SparkSession, path: str) -> Bundle:
     return Bundle((float(a["calibration"][0]), a["calibration"][1:].tolist()), learn.net_of(named("net_")), one("weight_"), float(a["bias"][0]), one("mean_"))
 
 
-def _stacked(parts: list[DataFrame], *keys: str) -> DataFrame:
-    """Tables of several captures under each other; their keys become k:key, so that captures share none."""
-    return reduce(DataFrame.unionByName, (df.withColumns({c: F.concat(F.lit(f"{k}:"), F.col(c).cast("string")) for c in keys}) for k, df in enumerate(parts)))
-
-
 def train(spark: SparkSession, captures: list[tuple[Capture, DataFrame]], fused: list[tuple[Capture, DataFrame]], networks: DataFrame | None = None, hidden: int = 24, epochs: int = 300) -> Bundle:
     """From captures with their truth (txid, label, origin_ip, ...): calibrates origins on all, fits the network on the first and
-    the fusion, on evidence that the network hasn't learned from, on the others."""
-    attributed = [(origin.attribute(c.observations), t) for c, t in (*captures, *fused)]
-    found = _stacked([a for a, _ in attributed], "txid")
-    truth = _stacked([t.select("txid", F.col("origin_ip").alias("true_ip")) for _, t in attributed], "txid")
-    calibration = origin.calibrate(found, truth)
-
-    prepared = [(prepare(spark, c, networks, calibration), t) for c, t in captures]
-    rows = _stacked([p.rows.join(t.select(F.col("txid").alias("id"), F.col("label").cast("double").alias("y")), "id") for p, t in prepared], "id")
-    known = checkpoint(rows)
-    edges = _stacked([p.graph for p, _ in prepared], "src", "dst")
-    inside = edges.join(known.select(F.col("id").alias("src")), "src", "left_semi").join(known.select(F.col("id").alias("dst")), "dst", "left_semi")
-    x, src, dst, y = learn.local_graph(known, inside)
-    net = learn.train_graph_net(x, src, dst, y, hidden, epochs)
+    the fusion, on evidence that the network hasn't learned from, on the others.
+
+    All captures of a kind go through one plan, keyed by capture. Labels may be null: such transactions are part of the graph,
+    but nothing is learned from them.
+    """
+    first = len(captures)
+    groups = [(stack([c for c, _ in captures]), 0), (stack([c for c, _ in fused], first), first)]
+    truth = under([t.select("txid", "label", F.col("origin_ip").alias("true_ip")) for _, t in (*captures, *fused)], "txid", "true_ip")
+    attributed = []
+    for c, _ in groups:
+        c.observations = checkpoint(c.observations)
+        attributed.append(checkpoint(origin.attribute(c.observations)))
+    calibration = origin.calibrate(attributed[0].unionByName(attributed[1]), truth.select("txid", "true_ip"))
+    ready = [prepare(spark, c, networks, calibration, name("origin_ip"), a, (number(), name())) for (c, _), a in zip(groups, attributed, strict=True)]
+
+    told = ready[0].rows.join(truth.select(F.col("txid").alias("id"), F.col("label").cast("double").alias("y")), "id")
+    net = fit_graph_net(checkpoint(told), ready[0].graph, hidden, epochs)
 
     names = list(X.EVIDENCE)
-    told = _stacked([evidence(prepare(spark, c, networks, calibration), net).select("txid", *names).join(t.select("txid", F.col("label").cast("int").alias("y")), "txid") for c, t in fused], "txid")
-    told = checkpoint(told.select(F.array(*(F.col(n).cast("double") for n in names)).alias("x"), "y"))
+    known = truth.filter("label is not null").select("txid", F.col("label").cast("int").alias("y"))
+    told = checkpoint(evidence(ready[1], net).join(known, "txid").select(F.array(*(F.col(n).cast("double") for n in names)).alias("x"), "y"))
     w, b = learn.fit_logistic(told, l2=1.0)
     means = told.agg(*(F.avg(F.col("x")[k]).alias(n) for k, n in enumerate(names))).first()
     return Bundle(calibration, net, dict(zip(names, w.tolist(), strict=True)), b, {n: means[n] for n in names})

@@ -76,7 +76,7 @@ used AS (SELECT address FROM ins UNION SELECT address FROM outs), one AS (SELECT
 SELECT transactions, (SELECT count(*) FROM obs) AS observations, (SELECT count(*) FROM conf JOIN tx USING (txid) WHERE confidence >= 0.5) AS origin_attributed, (SELECT count(*) FROM conf JOIN tx USING (txid) WHERE confidence < 0.5) AS origin_unresolved,
 (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT txid FROM obs)) AS unobserved_transactions, (SELECT count(*) FROM obs WHERE txid NOT IN (SELECT o_orderkey FROM orders)) AS uncorrelated_observations, (SELECT count(DISTINCT txid) FROM obs) AS observed_txids,
 (SELECT count(*) FROM edges) AS flow_edges, origin_ips, wallet_addresses, origin_ips + wallet_addresses + transactions AS graph_nodes,
-transactions + (SELECT count(*) FROM (SELECT DISTINCT txid, address FROM ins)) + (SELECT count(*) FROM (SELECT DISTINCT txid, address FROM outs)) AS graph_edges,
+transactions + (SELECT count(*) FROM ins) + (SELECT count(*) FROM outs) AS graph_edges,
 (SELECT count(*) FROM tx JOIN modes USING (txid) WHERE n_in >= 3 AND c >= 3 AND round(c::DOUBLE / n_out, 3) >= 0.5) AS coinjoin_transactions, (SELECT min(ts) FROM tx) AS capture_start, (SELECT max(ts) FROM tx) AS capture_end FROM one"""
 
 
