@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from txintel.runtime import checkpoint, release
 
 
+#: Edges up to which the rounds' tables are kept in FILES files, as most of their cost would be that of tasks without rows.
+FEW, FILES = 100_000, 8
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
@@ -41,10 +45,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     named = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
     named = checkpoint(named)
+    fit = (lambda df: df.coalesce(FILES)) if named.count() <= FEW else (lambda df: df)
     work = named.filter("u <> v").distinct()
     before = None
     for _ in range(max_rounds):
-        last, work = work, checkpoint(_small_star(_large_star(work)))
+        last, work = work, checkpoint(fit(_small_star(_large_star(work))))
         release(last)
         now = _state(work)
         if now == before:
@@ -55,6 +60,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     roots = work.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     members = work.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
     alone = named.filter("u = v").select(F.col("u").alias("node")).distinct().join(members, "node", "left_anti")
-    found = checkpoint(members.unionAll(alone.select("node", F.col("node").alias("component"))))
+    found = checkpoint(fit(members.unionAll(alone.select("node", F.col("node").alias("component")))))
     release(named, work)
     return found
