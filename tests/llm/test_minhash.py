@@ -77,7 +77,7 @@ def test_stars_and_blocks_find_the_same(spark, monkeypatch, rounds, block):
     docs = frame(spark, rows).selectExpr("doc_id", "text", "xxhash64(doc_id, text) AS key_")
     prints = M.checkpoint(M.signed(docs, "key_", "doc_id", "text"))
     nodes = M.checkpoint(prints.groupBy("node").agg(*(M.F.first(c).alias(c) for c in ("size", "bands", "bits")), M.F.min("key").alias("row"), M.F.min("id").alias("least")))
-    links = M.star_links(nodes, docs, "text", "key_", rounds=rounds)
+    _, links = M.set_components(nodes, docs, "text", "key_", rounds=rounds)
     name = {r.node: r.least for r in nodes.collect()}
     parent = {}
 

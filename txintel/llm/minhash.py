@@ -31,7 +31,7 @@ SHINGLE, SIMILAR = 4, 80
 BANDS, ROWS = 64, 8
 BINS = BANDS * ROWS
 #: Rounds of stars before blocks are compared, and nodes of a block.
-ROUNDS, BLOCK = 4, 1024
+ROUNDS, BLOCK = 2, 1024
 #: Standard deviations that one-bit signatures of a link may be off.
 SLACK = 6.0
 _SEED = 11
@@ -196,10 +196,10 @@ def block_pairs(met: DataFrame, percent: int) -> DataFrame:
     return both.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a bigint, b bigint")
 
 
-def star_links(nodes: DataFrame, docs: DataFrame, text_col: str, key_col: str, shingle: int = SHINGLE, percent: int = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
-    """Pairs (a < b) of nodes whose sets' similarity is percent or more: enough of them that the components are those of all
-    that share a bucket. nodes: (node, size, bands, bits, row), checkpointed; row is the key of a row of docs with that set."""
-    spark = nodes.sparkSession
+def set_components(nodes: DataFrame, docs: DataFrame, text_col: str, key_col: str, shingle: int = SHINGLE, percent: int = SIMILAR, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of all nodes with a link, and the links (a, b) confirmed: enough of them that the components are those of
+    all pairs that share a bucket and whose sets' similarity is percent or more. nodes: (node, size, bands, bits, row),
+    checkpointed; row is the key of a row of docs with that set."""
     words = _bit_words()
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,16 +211,15 @@ def star_links(nodes: DataFrame, docs: DataFrame, text_col: str, key_col: str, s
     keys = checkpoint(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"))
     met = checkpoint(rows.join(_small(keys), "bucket"))
     # the centre of a bucket is its node in most shared buckets: near copies gather around what they copy
-    often = met.groupBy("node").agg(F.count("*").alias("often"))
-    shared = checkpoint(met.join(often, "node"))
+    shared = checkpoint(met.join(met.groupBy("node").agg(F.count("*").alias("often")), "node"))
     release(keys, met)
     sketch = checkpoint(nodes.select("node", "size", "bits").join(shared.select("node"), "node", "left_semi").mapInArrow(unpacked, "node bigint, size int, " + ", ".join(f"{w} bigint" for w in words)))
     side = lambda p, as_: sketch.select(F.col("node").alias(as_), *(F.col(c).alias(p + c) for c in ("size", *words)))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among checkpointed pairs, by their sets."""
-        met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = checkpoint(met.join(nodes.select("node", "row", "size"), "node"))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = checkpoint(ends.join(nodes.select("node", "row", "size"), "node"))
         bytes_ = 8 * (wanted.agg(F.sum("size")).first()[0] or 0)
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,42 +232,42 @@ def star_links(nodes: DataFrame, docs: DataFrame, text_col: str, key_col: str, s
         release(wanted)
         return out
 
-    none = spark.createDataFrame([], "a bigint, b bigint")
-    links, tested, part, spent = none, none, None, None
+    links = nodes.sparkSession.createDataFrame([], "a bigint, b bigint")
+    part, spent = connected_components(links, "a", "b"), None
 
     def labelled() -> DataFrame:
         live = shared if spent is None else shared.join(spent, ["bucket", "node"], "left_anti")
-        if part is None:
-            return live.withColumn("component", F.col("node"))
         return live.join(_small(part), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
+    def joined(found: DataFrame) -> None:
+        nonlocal links, part
+        links = links.unionByName(found)
+        release(part)
+        part = connected_components(links, "a", "b")
+
     for _ in range(rounds):
         label = labelled()
         centre = F.max(F.struct("often", "node", "component")).alias("c")
         open_ = label.groupBy("bucket").agg(centre, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        centres = checkpoint(open_.select("bucket", F.col("c.node").alias("centre"), F.col("c.component").alias("around")))
-        stars = label.join(_small(centres), "bucket").filter("component <> around")
-        new = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        pairs = checkpoint(new.join(tested, ["a", "b"], "left_anti"))
-        if not pairs.head(1):
-            release(centres, pairs)
-            break
+        centres = checkpoint(open_.select("bucket", F.col("c.node").alias("node"), F.col("c.component").alias("around")))
+        met = label.join(_small(centres.withColumnRenamed("node", "centre")), "bucket").filter("component <> around")
+        pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         maybe = checkpoint(pairs.join(side("p_", "a"), "a").join(side("q_", "b"), "b").filter(possible("p_", "q_", percent)).select("a", "b"))
-        found = verified(maybe)
-        before = (links, tested, part, spent)
-        links = checkpoint(links.unionByName(found))
-        tested = checkpoint(tested.unionByName(pairs))
-        mine = centres.select("bucket", F.col("centre").alias("node"))
-        spent = checkpoint(mine if spent is None else spent.unionByName(mine))
-        part = connected_components(links, "a", "b")
-        release(centres, pairs, maybe, found, *(x for x in before if x is not None))
+        mine = centres.select("bucket", "node")
+        spent = mine if spent is None else spent.unionByName(mine)
+        if maybe.head(1):
+            joined(verified(maybe))
+        release(maybe)
     label = labelled()
     open_ = label.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
     left = checkpoint(label.join(_small(checkpoint(open_)), "bucket").select("bucket", "node", "component"))
     if left.head(1):
-        pairs = checkpoint(block_pairs(left.join(sketch, "node"), percent).distinct().join(tested, ["a", "b"], "left_anti"))
-        links = checkpoint(links.unionByName(verified(pairs)))
-    return links
+        pairs = checkpoint(block_pairs(left.join(sketch, "node"), percent).distinct())
+        if pairs.head(1):
+            joined(verified(pairs))
+        release(pairs)
+    release(shared, sketch, left)
+    return part, links
 
 
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILAR) -> DataFrame:
@@ -284,7 +283,7 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keyed = plain.withColumn("key_", F.xxhash64(*plain.columns))
     prints = checkpoint(signed(keyed, "key_", row_id, text, shingle))
     nodes = checkpoint(prints.filter("size > 0").groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "bands", "bits")), F.min("key").alias("row"), F.min("id").alias("least")))
-    part = connected_components(star_links(nodes, keyed, text, "key_", shingle, percent), "a", "b")
+    part, _ = set_components(nodes, keyed, text, "key_", shingle, percent)
     linked = nodes.select("node", "least").join(part, "node")
     named = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     reached = checkpoint(linked.join(named, "component").select("node", "component_id"))
