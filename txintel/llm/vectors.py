@@ -31,8 +31,8 @@ def usable(rows: DataFrame, id_col: str, vec_col: str, empty: bool = False) -> D
     """
     fine = finite(F.col(vec_col)) & F.col(id_col).isNotNull()
     if not empty:
-        fine &= F.size(v) > 0
-    return checkpoint(rows.filter(fine).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.transform(v, lambda x: x.cast("double")).alias("vec")))
+        fine &= F.size(vec_col) > 0
+    return checkpoint(rows.filter(fine).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("vec")))
 
 
 def home(row: str, number: int) -> Column:
