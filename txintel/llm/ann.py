@@ -2,10 +2,10 @@
 
 Every tree is a sorted array of long bit strings, one a row, from the signs of random projections: each tree takes its bits in
 an order of its own from one pool of directions. A query descends in all trees of a block of candidates to its longest prefix
-match, then ascends in all of them together, a bit at a time, until the rows under its prefixes, counted once a tree, are so
-many times the block's. The rows that most trees hold there are its candidates, a fixed share of the block, and these alone are
-verified by their exact cosine. Each block of candidates has its own forest, built once for many queries; all blocks are
-searched, and the best of all are kept, so no forest outgrows one task.
+match with another row, then ascends in all of them together, a bit at a time, until enough different rows stand under its
+prefixes. Of these, those that most trees hold, a fixed share of the block, are verified by their exact cosine, and no others.
+Each block of candidates has its own forest, built once for many queries; all blocks are searched, and the best of all are
+kept, so no forest outgrows one task.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ from txintel.llm.vectors import CANDIDATES, QUERIES, block_count, blocks, is_que
 from txintel.runtime import checkpoint, table
 
 TREES, BITS, POOL, SEED = 512, 24, 2048, 20
-#: An ascent ends when the slices of all trees together hold this many times the block's rows.
-TOUCHED = 8.0
-#: Of a block's rows, the share that is verified.
-SHARE = 0.12
+#: An ascent ends when the prefixes hold this share of the block's rows, or in a small block this many of them, but not nearly all.
+TOUCHED, TOUCHED_ROWS, NEARLY = 0.36, 1200, 0.8
+#: Of a block's rows, the share that is verified at most, or in a small block so many.
+SHARE, SHARE_ROWS = 0.12, 400
+#: Trees that ascend to the last depth together, until there are enough rows.
+TOGETHER = 16
 #: First bits whose slices are looked up in a table; beyond them they are searched for.
 _TABLE = 12
 
@@ -62,13 +64,16 @@ class Forest:
         counts = np.bincount(((np.arange(trees) * ((1 << self.table) + 1))[:, None] + first + 1).ravel(), minlength=trees * ((1 << self.table) + 1))
         self.starts = counts.reshape(trees, -1).cumsum(axis=1).astype(np.int32)
 
-    def longest(self, own: np.ndarray) -> np.ndarray:
-        """For each query, the length of the longest prefix that it shares with a row in some tree."""
-        best = np.zeros(own.shape[1], np.int64)
-        for s, c in zip(self.sorted, own, strict=True):
+    def longest(self, own: np.ndarray, but: np.ndarray) -> np.ndarray:
+        """For each query, the length of the longest prefix that it shares with a row in some tree. but: each query's own place
+        in the block, which doesn't count, or -1."""
+        best, n = np.zeros(own.shape[1], np.int64), len(self.x)
+        for s, rows, c in zip(self.sorted, self.order, own, strict=True):
             at = np.searchsorted(s, c)
-            apart = np.minimum(s[np.minimum(at, len(s) - 1)] ^ c, s[np.maximum(at - 1, 0)] ^ c)
-            best = np.maximum(best, self.bits - np.frexp(apart.astype(np.float64))[1])
+            for near in (at - 1, at, at + 1):  # where the middle one is the query itself, its neighbours come next
+                k = np.clip(near, 0, n - 1)
+                shared = self.bits - np.frexp((s[k] ^ c).astype(np.float64))[1]
+                best = np.maximum(best, np.where(rows[k] == but, 0, shared))
         return best
 
     def slices(self, own: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,36 +86,60 @@ class Forest:
         high = low + np.uint32((1 << (self.bits - depth)) - 1)
         return (np.stack([np.searchsorted(s, v, side) for s, v in zip(self.sorted, x, strict=True)]) for x, side in ((low, "left"), (high, "right")))
 
-    def ascend(self, q: np.ndarray, touched: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Slices of each tree and query where the query's ascent ends, and the depth there."""
+    def ascend(self, q: np.ndarray, but: np.ndarray, want: int) -> Iterator[tuple[np.ndarray, int]]:
+        """For each query, how many trees hold each row where its ascent ends, and the depth there: the greatest at which at
+        least want different rows other than its own are under its prefixes. To that depth trees come up TOGETHER at a time, and
+        those that aren't needed stay a bit below. but: as for longest."""
         own = codes(q, self.pool, len(self.sorted), self.bits)
-        want = touched * len(self.x)
-        low, high, ends = np.zeros(own.shape, np.int64), np.full(own.shape, len(self.x)), np.zeros(own.shape[1], np.int64)
-        depth = self.longest(own)
-        # a shorter prefix has all rows of a longer one: who hasn't enough at the table's depth needs no search below it
+        depth = self.longest(own, but)
+        # no prefix has more rows than all slices together: who hasn't enough of them at the table's depth ends above it
         a, b = self.slices(own, self.table)
-        depth = np.where((b - a).sum(axis=0) < want, np.minimum(depth, self.table), depth)
+        depth = np.where((b - a).sum(axis=0) < want, np.minimum(depth, self.table - 1), depth)
+        done: dict[int, tuple[np.ndarray, int]] = {}
         open_ = np.arange(own.shape[1])
-        for d in range(int(depth.max(initial=0)), 0, -1):
+        for d in range(int(depth.max(initial=0)), -1, -1):
             at = open_[depth[open_] >= d]
             if not len(at):
                 continue
             a, b = self.slices(own[:, at], d)
-            full = (b - a).sum(axis=0) >= want
-            low[:, at[full]], high[:, at[full]], ends[at[full]] = a[:, full], b[:, full], d
-            open_ = np.setdiff1d(open_, at[full])
-        return low, high, ends
-
-    def candidates(self, low: np.ndarray, high: np.ndarray, most: int) -> np.ndarray:
-        """The most rows that are in the most slices of one query; of those in as many, the first."""
+            for k in np.flatnonzero((b - a).sum(axis=0) >= want).tolist():
+                votes = self.votes(a[:, k], b[:, k], but[at[k]])
+                if not d or np.count_nonzero(votes) >= want:
+                    done[int(at[k])] = (self.as_many(own[:, [at[k]]], d, a[:, k], b[:, k], but[at[k]], want), d)
+            open_ = np.array([k for k in open_.tolist() if k not in done], np.int64)
+        for k in range(own.shape[1]):
+            yield done[k] if k in done else (self.votes(*(x[:, 0] for x in self.slices(own[:, [k]], 0)), but[k]), 0)
+
+    def as_many(self, own: np.ndarray, d: int, low: np.ndarray, high: np.ndarray, but: int, want: int) -> np.ndarray:
+        """Votes of slices at depth d + 1, and of those at d of the first trees that make it want rows."""
+        if d == self.bits:
+            return self.votes(low, high, but)
+        below = [x[:, 0] for x in self.slices(own, d + 1)]
+        votes = self.votes(*below, but)
+        for t in range(0, len(low), TOGETHER):
+            if np.count_nonzero(votes) >= want:
+                break
+            some = slice(t, t + TOGETHER)
+            votes = votes + self.votes(low[some], high[some], but, t) - self.votes(below[0][some], below[1][some], but, t)
+        return votes
+
+    def votes(self, low: np.ndarray, high: np.ndarray, but: int, first: int = 0) -> np.ndarray:
+        """In how many of one query's slices, one a tree from the first on, each row but its own is."""
         sizes = high - low
-        flat = np.arange(sizes.sum()) + np.repeat(low + np.arange(len(low)) * len(self.x) - np.cumsum(sizes) + sizes, sizes)
-        votes = np.bincount(self.order.ravel()[flat], minlength=len(self.x))
-        if most >= len(votes):
-            return np.arange(len(votes))
-        cut = np.partition(votes, len(votes) - most)[len(votes) - most]
-        above = np.flatnonzero(votes > cut)
-        return np.sort(np.concatenate((above, np.flatnonzero(votes == cut)[: most - len(above)])))
+        flat = np.arange(sizes.sum()) + np.repeat(low + (first + np.arange(len(low))) * len(self.x) - np.cumsum(sizes) + sizes, sizes)
+        out = np.bincount(self.order.ravel()[flat], minlength=len(self.x))
+        if but >= 0:
+            out[but] = 0
+        return out
+
+
+def chosen(votes: np.ndarray, most: int) -> np.ndarray:
+    """At most the most rows with votes: those with most of them, of equal ones the first."""
+    if np.count_nonzero(votes) <= most:
+        return np.flatnonzero(votes)
+    cut = np.partition(votes, len(votes) - most)[len(votes) - most]
+    above = np.flatnonzero(votes > cut)
+    return np.sort(np.concatenate((above, np.flatnonzero(votes == cut)[: most - len(above)])))
 
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -120,17 +149,20 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (b * a).sum(axis=1) / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum(axis=1)))
 
 
-def search(forest: Forest, q_rows: np.ndarray, q: np.ndarray, k: int, touched: float = TOUCHED, share: float = SHARE) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """(place of the query, rows found, their cosines, rows verified) for each query; at most k rows, nearest first."""
-    low, high, _ = forest.ascend(q, touched)
-    most = max(k + 1, int(np.ceil(share * len(forest.x))))
-    for i, own in enumerate(q_rows.tolist()):
-        found = forest.candidates(low[:, i], high[:, i], most)
+def search(forest: Forest, q_rows: np.ndarray, q: np.ndarray, k: int, touched: float = TOUCHED, share: float = SHARE) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int]]:
+    """(place of the query, rows found, their cosines, rows verified, rows under its prefixes) for each query; at most k rows,
+    nearest first."""
+    n = len(forest.x)
+    want = max(1, int(np.ceil(max(touched * n, min(TOUCHED_ROWS, NEARLY * n)))))
+    most = max(k, SHARE_ROWS, int(np.ceil(share * n)))
+    order = np.argsort(forest.rows, kind="stable")
+    at = np.minimum(np.searchsorted(forest.rows[order], q_rows), n - 1)
+    but = np.where(forest.rows[order[at]] == q_rows, order[at], -1)
+    for i, (votes, _) in enumerate(forest.ascend(q, but, want)):
+        found = chosen(votes, most)
         s = cosines(q[i], forest.x[found])
-        s[forest.rows[found] == own] = -np.inf
         best = np.lexsort((forest.ids[found], -s))[:k]
-        best = best[s[best] > -np.inf]
-        yield i, found[best], s[best], len(found)
+        yield i, found[best], s[best], len(found), int(np.count_nonzero(votes))
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", touched: float = TOUCHED, share: float = SHARE) -> DataFrame:
@@ -148,7 +180,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
 
     def found(forest, q_rows, q_ids, q, state) -> Iterator[pa.RecordBatch]:
         queries, ids, vecs, got = [], [], [], []
-        for i, at, s, _ in search(forest, q_rows, q, k, touched, share):
+        for i, at, s, _, _ in search(forest, q_rows, q, k, touched, share):
             queries.append(np.full(len(at), q_rows[i])), ids.append(np.full(len(at), q_ids[i])), vecs.append(forest.ids[at]), got.append(s)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (queries, ids, vecs, got)], names=["query_row", "query_id", "vec_id", "score"])
 
