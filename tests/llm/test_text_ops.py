@@ -1,7 +1,9 @@
 """BPE, licences, mixing and sharding against libraries and plain versions."""
 
 import hashlib
+import random
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -171,6 +173,40 @@ def test_long_file_is_read_whole():
     assert got["n_words"] == plain_base(text.decode())[0] and ("mit", 300_000) in got["places"] and "mit" in {x for x, *_ in got["spans"]}
 
 
+def test_a_text_that_repeats_a_phrase_takes_time_in_proportion():
+    s = licenses.Scanner(licenses.templates(), licenses.PHRASES, 4, 0.8)
+    phrase, took = "under the terms of the gnu general public license ", []
+    for n in (25_000, 200_000):
+        began = time.time()
+        got = s.scan((phrase * (n // 9)).encode())
+        took.append(time.time() - began)
+        assert got["n_words"] == n // 9 * 9 and len(got["places"]) == n // 9 and not got["spans"]
+    assert took[1] < 10 and took[1] < 16 * took[0] + 1
+    whole = next(t for x, t in licenses.templates() if x == "isc" and len(t) > 400)
+    spans = s.scan((phrase * 2000 + whole + " " + phrase * 2000).encode())["spans"]
+    assert [x for x, *_ in spans] == ["isc"] and abs(spans[0][1] - 18_000) < 10
+
+
+def test_templates_left_out_have_no_chain():
+    """possible() drops a template only where chaining all its matches finds nothing."""
+    rng = random.Random(8)
+    kept = dropped = 0
+    for _ in range(300):
+        words_ = [f"t{k}" for k in range(rng.randint(2, 6))]
+        known = [("x", " ".join(rng.choice(words_) for _ in range(rng.randint(3, 12)))) for _ in range(3)]
+        s = licenses.Scanner(known, licenses.PHRASES, 3, 0.8)
+        file = [s.ids[w] for w in (rng.choice(words_) for _ in range(rng.randint(3, 40))) if w in s.ids]
+        if rng.random() < 0.6:
+            near = list(rng.choice(s.tokens))
+            near[rng.randrange(len(near))] = rng.choice(near)
+            file[len(file) // 2 : len(file) // 2] = near
+        all_ = s.chains(list(s.matches(file, 0)))
+        only = s.possible([(file, 0)])
+        assert s.chains(list(s.matches(file, 0, only))) == all_
+        kept, dropped = kept + len(only), dropped + 3 - len(only)
+    assert kept > 50 and dropped > 50
+
+
 def test_mix_matches_sql(spark):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS FROM '{SF}/documents.parquet'")

@@ -154,9 +154,32 @@ class Scanner:
         self.lasts = {p[-1] for p, _ in self.phrases}
         self.before = max(len(p) for p, _ in self.phrases) - 1
 
-    def matches(self, tokens: list[int], at: int) -> Iterator[tuple[int, int, int, int]]:
+    def possible(self, runs: list[tuple[list[int], int]]) -> set[int]:
+        """Templates that chains of the runs could cover enough of: no chain has more of a template than all that its matches, at
+        whatever place of the file, have of it together. Takes the runs' tokens once and then each state of the automaton once,
+        however often a text repeats itself."""
+        a, most = self.automaton, {}
+        for tokens, _ in runs:
+            for state, length in a.statistics(tokens):
+                if length >= self.least and length > most.get(state, 0):
+                    most[state] = length
+        for state in list(most):
+            state = a.link[state]
+            while a.length[state] >= self.least and most.get(state, 0) < a.length[state]:
+                most[state] = a.length[state]
+                state = a.link[state]
+        marks: dict[int, np.ndarray] = {}
+        for state, length in most.items():
+            for template, end in a.ends[state]:
+                if template not in marks:
+                    marks[template] = np.zeros(self.sizes[template] + 1, np.int64)
+                marks[template][max(0, end - length)] += 1
+                marks[template][end] -= 1
+        return {k for k, m in marks.items() if np.count_nonzero(np.cumsum(m)) >= self.covered * self.sizes[k]}
+
+    def matches(self, tokens: list[int], at: int, only: set[int] | None = None) -> Iterator[tuple[int, int, int, int]]:
         """(template, start in file, start in template, tokens) of all runs of tokens, from place at on, that stand in a template
-        and can be made longer there at neither end."""
+        (of only, where given) and can be made longer there at neither end."""
         a = self.automaton
         for k, (state, length) in enumerate(a.statistics(tokens)):
             after, seen = tokens[k + 1] if k + 1 < len(tokens) else 0, set()
@@ -165,6 +188,8 @@ class Scanner:
                     if place not in seen:
                         seen.add(place)
                         template, end = place
+                        if only is not None and template not in only:
+                            continue
                         size = self.sizes[template]
                         if length >= min(self.shortest, size) and (end == size or self.tokens[template][end] != after):
                             yield template, at + k + 1 - length, end - length, length
@@ -210,16 +235,20 @@ class Scanner:
 
     def scan(self, text: bytes | None) -> dict:
         """Words, phrase places (label, first word) and covered template spans (label, first, last, coverage) of one text."""
-        n, places, found, spans, held, run, run_at = 0, [], [], [], [], [], 0
+        n, places, runs, spans, held, run, run_at = 0, [], [], [], [], [], 0
         apart = STRETCH * max(self.sizes)
 
+        def chained() -> None:
+            """Chains of the runs held, of templates that there can be any of."""
+            if only := self.possible(runs):
+                spans.extend(self.chains([m for tokens, at in runs for m in self.matches(tokens, at, only)]))
+            runs.clear()
+
         def closed(tokens: list[int], at: int) -> None:
-            """Matches of a run of known tokens; chains of what lies too far back to be chained with them."""
-            nonlocal found
-            if found and at - found[-1][1] > apart:
-                spans.extend(self.chains(found))
-                found = []
-            found += self.matches(tokens, at)
+            """Holds a run of known tokens, after chaining what lies too far back to be chained with it."""
+            if runs and at - runs[-1][1] - len(runs[-1][0]) > apart:
+                chained()
+            runs.append((tokens, at))
 
         for some in license_words(text):
             ids = np.fromiter((self.ids.get(w, 0) for w in some), np.int64, len(some))
@@ -242,7 +271,7 @@ class Scanner:
             held = (held + some)[-self.before :] if self.before else []
         if len(run) >= self.least:
             closed(run, run_at)
-        spans += self.chains(found)
+        chained()
         return {"n_words": n, "places": places, "spans": [(self.labels[t], a, b, c) for t, a, b, c in spans]}
 
 
