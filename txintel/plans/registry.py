@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from txintel.plans import learning, ledger, network, streams, whole
+from txintel.plans import learning, ledger, network, operations, streams, whole
 
-MODULES = (network, ledger, learning, streams, whole)
+MODULES = (network, ledger, learning, streams, whole, operations)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
