@@ -5,10 +5,11 @@ signature. An empty bin takes the value of the first filled one in an order of i
 two sets agree with about the chance of their similarity, each bin by itself. Bands of ROWS bins are the buckets; with BANDS of
 them a pair at the threshold shares none with a chance of (1 - 0.8 ** 8) ** 64, less than one in 100,000.
 
-Candidate edges are stars. In every bucket that still holds different components one set is the centre and meets all sets of
-other components; then it has met all it had to and leaves the bucket, components are found anew, and so on for ROUNDS rounds.
-A large group of near copies is settled by a few stars. What then is left in buckets in different components, where sets are
-alike but not enough, is compared in blocks, as arrays of one-bit signatures. Every link is confirmed on whole sets.
+Candidate edges are stars. In every bucket that still holds different components one set is the centre, and each set meets one
+centre of another component, that which most buckets hold; then components are found anew, other sets are centres, and so on
+for ROUNDS rounds. So a round has no more edges than sets, and a large group of near copies is settled by a few stars. What then
+is left in buckets in different components is compared in blocks, as arrays of one-bit signatures; so whatever stars were drawn,
+no pair that shares a bucket goes unseen. Every link is confirmed on whole sets.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txintel.llm.neardup import _node, kept_pairs, near_sets, shingle_set
+from txintel.llm.neardup import CELL_BYTES, _node, kept_pairs, near_sets, shingle_set
 from txintel.llm.simhash import _small
 from txintel.llm.text import forget, neutral, slices
 from txintel.operators.components import connected_components
@@ -31,9 +32,9 @@ SHINGLE, SIMILAR = 4, 80
 BANDS, ROWS = 64, 8
 BINS = BANDS * ROWS
 #: Rounds of stars before blocks are compared, and nodes of a block.
-ROUNDS, BLOCK = 2, 1024
-#: Standard deviations that one-bit signatures of a link may be off.
-SLACK = 6.0
+ROUNDS, BLOCK = 3, 1024
+#: Standard deviations that one-bit signatures of a link may be off, that of the share of bins that agree, and sets too small for either.
+SLACK, STRAY, FEW = 5.0, 0.015, 16
 _SEED = 11
 
 
@@ -90,12 +91,12 @@ class Signer:
 
 
 def most_apart(least: Column | np.ndarray, percent: int, bins: int = BINS) -> Column | np.ndarray:
-    """Bits in which one-bit signatures of linked sets differ at most, given the size of the smaller set: half of the bins that
-    disagree do, and a small set fills few bins, so that its share of agreeing ones strays further."""
+    """Bits in which one-bit signatures of linked sets differ at most, given the size of the smaller set. Of the bins that
+    disagree, whose share is that of a pair at the threshold, half differ in their bit; elements that share a bin hide each
+    other and let that share stray by STRAY. Sets of fewer than FEW elements may differ in all bits."""
     apart = 1 - percent / 100
-    own = F.least(least.cast("double"), F.lit(float(bins))) if isinstance(least, Column) else np.minimum(least, float(bins))
-    root = F.sqrt if isinstance(least, Column) else np.sqrt
-    return bins * apart / 2 + SLACK * ((bins * apart / 2) ** 0.5 + bins / 2 * root(apart * (1 - apart) * 2 / own))
+    limit = bins * apart / 2 + SLACK * (bins * apart / 2 * (1 - apart / 2) + (bins / 2 * STRAY) ** 2) ** 0.5
+    return F.when(least < FEW, bins).otherwise(F.lit(limit)) if isinstance(least, Column) else np.where(least < FEW, bins, limit)
 
 
 def signed(docs: DataFrame, key_col: str, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
@@ -141,23 +142,25 @@ def possible(p: str, q: str, percent: int) -> Column:
     return (F.least(m, n) * 100 >= F.greatest(m, n) * percent) & (off <= most_apart(F.least(m, n), percent))
 
 
-def block_pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of different components in a bucket that can be linked. met: (bucket, node, component, size, b0, ...).
+def block_links(met: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """Links (a < b) between different components in a bucket. met: (bucket, node, component, size, b0, ...); cells: (node, cells),
+    their sets.
 
-    A bucket's rows are dealt into blocks of about BLOCK, and each pair of blocks is compared as arrays by a task that holds no
-    more than these two.
+    A bucket's rows are dealt into blocks of about BLOCK rows and CELL_BYTES, and each pair of blocks is compared by a task that
+    holds no more than these two: signatures as arrays first, then the sets of pairs that they leave. Only links leave the task,
+    however many pairs a bucket has.
     """
-    words = _bit_words()
-    deal = met.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("number"))
+    words, exact = _bit_words(), near_sets(percent)
+    deal = met.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, 8 * F.sum("size") / CELL_BYTES)).cast("int").alias("number"))
     placed = met.join(deal, "bucket").withColumn("at", F.pmod(F.xxhash64("node"), F.col("number")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("number") - 1)))
-    both = placed.select("bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "node", "component", "size", *words)
+    both = placed.select("bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "node", "component", "size", *words).join(cells, "node")
 
     def compare(some: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         node, component, at, size, i, j = (some.column(c).to_numpy() for c in ("node", "component", "at", "size", "i", "j"))
         bits = np.stack([some.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
         group, members = np.unique(component, return_counts=True)
         largest = group[members.argmax()]
-        out = [(node[:0], node[:0])]
+        out = [(np.zeros(0, np.int64),) * 2]
         for p in np.array_split(rest := np.flatnonzero(component != largest), max(1, len(rest) // 256)):
             off = sum(np.bitwise_count(bits[p, k][:, None] ^ bits[None, :, k]).astype(np.int32) for k in range(len(words)))
             least, most = np.minimum(size[p][:, None], size[None]), np.maximum(size[p][:, None], size[None])
@@ -166,8 +169,10 @@ def block_pairs(met: DataFrame, percent: int) -> DataFrame:
             if i[0] != j[0]:  # pairs within one block meet where that block is compared with itself
                 good &= at[p][:, None] != at[None]
             x, y = np.nonzero(good)
-            out.append((node[p[x]], node[y]))
+            out.append((p[x], y))
         u, v = (np.concatenate(x) for x in zip(*out, strict=True))
+        kept = exact({"cells": some.column("cells")}, u, v) if len(u) else np.zeros(0, bool)
+        u, v = node[u[kept]], node[v[kept]]
         return np.minimum(u, v), np.maximum(u, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,28 +221,31 @@ def set_components(nodes: DataFrame, docs: DataFrame, text_col: str, key_col: st
     sketch = checkpoint(nodes.select("node", "size", "bits").join(shared.select("node"), "node", "left_semi").mapInArrow(unpacked, "node bigint, size int, " + ", ".join(f"{w} bigint" for w in words)))
     side = lambda p, as_: sketch.select(F.col("node").alias(as_), *(F.col(c).alias(p + c) for c in ("size", *words)))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The links among checkpointed pairs, by their sets."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = checkpoint(ends.join(nodes.select("node", "row", "size"), "node"))
-        bytes_ = 8 * (wanted.agg(F.sum("size")).first()[0] or 0)
+    def sets(wanted: DataFrame) -> DataFrame:
+        """(node, cells) of the nodes wanted, a checkpointed table with their rows."""
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, texts in slices(batches, text_col):
                 own = [shingle_set(t, shingle) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([_node(x) for x in own], np.uint64).view(np.int64)), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "cells"])
 
-        again = docs.join(_small(wanted.select(F.col("row").alias("__row"))), F.col(key_col) == F.col("__row"), "left_semi").select(text_col)
-        out = kept_pairs(pairs, again.mapInArrow(whole, "node bigint, cells binary"), bytes_, near_sets(percent))
+        again = docs.join(_small(wanted.select(F.col("row").alias("__row")).distinct()), F.col(key_col) == F.col("__row"), "left_semi").select(text_col)
+        # equal rows of docs give a set each
+        return again.mapInArrow(whole, "node bigint, cells binary").groupBy("node").agg(F.first("cells").alias("cells"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The links among checkpointed pairs, by their sets."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = checkpoint(ends.join(nodes.select("node", "row", "size"), "node"))
+        out = kept_pairs(pairs, sets(wanted), 8 * (wanted.agg(F.sum("size")).first()[0] or 0), near_sets(percent))
         release(wanted)
         return out
 
     links = nodes.sparkSession.createDataFrame([], "a bigint, b bigint")
-    part, spent = connected_components(links, "a", "b"), None
+    part, centres = connected_components(links, "a", "b"), nodes.select("node").limit(0)
 
     def labelled() -> DataFrame:
-        live = shared if spent is None else shared.join(spent, ["bucket", "node"], "left_anti")
-        return live.join(_small(part), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return shared.join(_small(part), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     def joined(found: DataFrame) -> None:
         nonlocal links, part
@@ -247,25 +255,31 @@ def set_components(nodes: DataFrame, docs: DataFrame, text_col: str, key_col: st
 
     for _ in range(rounds):
         label = labelled()
-        centre = F.max(F.struct("often", "node", "component")).alias("c")
-        open_ = label.groupBy("bucket").agg(centre, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        centres = checkpoint(open_.select("bucket", F.col("c.node").alias("node"), F.col("c.component").alias("around")))
-        met = label.join(_small(centres.withColumnRenamed("node", "centre")), "bucket").filter("component <> around")
-        pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        # who has been a centre is none again
+        free = label.join(_small(centres.select("node", F.lit(True).alias("was"))), "node", "left")
+        most = F.max(F.when(F.col("was").isNull(), F.struct("often", "node", "component"))).alias("c")
+        open_ = free.groupBy("bucket").agg(most, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi and c is not null")
+        around = checkpoint(open_.select("bucket", "c"))
+        met = label.join(_small(around), "bucket").filter(F.col("component") != F.col("c.component"))
+        stars = checkpoint(met.groupBy("node").agg(F.max("c").alias("c")).select("node", F.col("c.node").alias("centre")))
+        pairs = stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         maybe = checkpoint(pairs.join(side("p_", "a"), "a").join(side("q_", "b"), "b").filter(possible("p_", "q_", percent)).select("a", "b"))
-        mine = centres.select("bucket", "node")
-        spent = mine if spent is None else spent.unionByName(mine)
-        if maybe.head(1):
+        centres = centres.unionByName(checkpoint(stars.select(F.col("centre").alias("node")).distinct()))
+        found = maybe.head(1)
+        if found:
             joined(verified(maybe))
-        release(maybe)
+        release(around, stars, maybe)
+        if not found:
+            break
     label = labelled()
     open_ = label.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
     left = checkpoint(label.join(_small(checkpoint(open_)), "bucket").select("bucket", "node", "component"))
     if left.head(1):
-        pairs = checkpoint(block_pairs(left.join(sketch, "node"), percent).distinct())
-        if pairs.head(1):
-            joined(verified(pairs))
-        release(pairs)
+        wanted = checkpoint(left.select("node").distinct().join(nodes.select("node", "row"), "node"))
+        found = checkpoint(block_links(left.join(sketch, "node"), sets(wanted), percent).distinct())
+        release(wanted)
+        if found.head(1):
+            joined(found)
     release(shared, sketch, left)
     return part, links
 

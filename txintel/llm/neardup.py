@@ -162,9 +162,9 @@ def near_sets(percent: int) -> Callable[[dict[str, pa.Array], np.ndarray, np.nda
     up in its set together."""
 
     def near(held: dict[str, pa.Array], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        cells = held["cells"]
-        starts = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1] // 8
-        flat = np.frombuffer(cells.buffers()[2] or b"", np.uint64)
+        cells = held["cells"].to_pylist()
+        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, cells), np.int64, len(cells)) // 8)])
+        flat = np.frombuffer(b"".join(cells), np.uint64)
         out = np.zeros(len(a), bool)
         edges = [0, *(np.flatnonzero(np.diff(a)) + 1).tolist(), len(a)]
         for x, y in zip(edges[:-1], edges[1:], strict=True):
