@@ -124,14 +124,23 @@ def origins(member: DataFrame, located: DataFrame) -> DataFrame:
     return per.withColumn("resolved", F.col("mean_confidence") >= RESOLVED)
 
 
+def origin_facts(found: DataFrame) -> DataFrame:
+    """(case_root, origin_facts) of origins(): how many addresses the origin was resolved to, the best of them, whether a Tor exit
+    is among them, and the transactions whose origin wasn't resolved. Sums and extremes, so a case of any size has them."""
+    good = F.col("resolved")
+    item = F.struct("ip", "category_label", "country", "asn", "mean_confidence")
+    return found.groupBy("case_root").agg(F.struct(
+        F.count(F.when(good, 1)).alias("good"), F.min_by(item, F.when(good, F.struct(-F.col("transactions"), F.col("ip")))).alias("top"),
+        F.coalesce(F.max(F.when(good, F.col("category") == "tor_exit")), F.lit(False)).alias("tor"), F.coalesce(F.sum(F.when(~good, F.col("transactions"))), F.lit(0)).alias("lost"),
+    ).alias("origin_facts"))
+
+
 def narrative() -> Column:
-    """A case's sentences, from the columns of case_table and, where there are any, origins (best first) and terminal_outputs."""
+    """A case's sentences, from the columns of case_table and, where there are any, origin_facts and terminal_outputs."""
     has = lambda tag: F.col("typology").contains(TAGS[tag])
     plural = lambda n, one, many: F.when(n == 1, one).otherwise(many)
-    good = F.filter("origins", lambda o: o["resolved"])
-    lost = F.aggregate(F.filter("origins", lambda o: ~o["resolved"]), F.lit(0).cast("bigint"), lambda a, o: a + o["transactions"])
-    top, out = F.try_element_at(good, F.lit(1)), F.try_element_at("terminal_outputs", F.lit(1))
-    tor = F.exists(good, lambda o: o["category"] == "tor_exit")
+    good, top, lost = (F.col(f"origin_facts.{n}") for n in ("good", "top", "lost"))
+    out = F.try_element_at("terminal_outputs", F.lit(1))
     return F.concat_ws(
         " ",
         F.format_string(SENTENCES["lead"], "tx_count", plural(F.col("tx_count"), "", "s"), fixed("inflow", 4), "duration"),
@@ -139,24 +148,33 @@ def narrative() -> Column:
         F.when(has("peel"), F.format_string(SENTENCES["peel"], "peel_hops", fixed("peeled", 4))),
         F.when(has("fan"), SENTENCES["fan"]),
         F.when(has("sweep"), SENTENCES["sweep"]),
-        F.when(F.size(good) > 0, F.format_string(SENTENCES["origin"], F.size(good), plural(F.size(good), "", "es"), top["ip"].cast("string"), top["category_label"], top["country"], top["asn"], fixed(top["mean_confidence"], 2))),
-        F.when((F.size(good) > 0) & tor, SENTENCES["tor"]),
+        F.when(good > 0, F.format_string(SENTENCES["origin"], good, plural(good, "", "es"), top["ip"].cast("string"), top["category_label"], top["country"], top["asn"], fixed(top["mean_confidence"], 2))),
+        F.when((good > 0) & F.col("origin_facts.tor"), SENTENCES["tor"]),
         F.when(lost > 0, F.format_string(SENTENCES["lost"], lost, plural(lost, "", "s"))),
         F.when(F.size("terminal_outputs") > 0, F.format_string(SENTENCES["out"], fixed(out["amount"], 4), out["address"].cast("string"), out["status"])),
     )
 
 
+#: Parts of a document that are small by what they are: the largest outputs, one factor a signal, the first drivers.
+BOUNDED = ("terminal_outputs", "factors", "gnn_drivers")
+
+
 def documents(cases: DataFrame, member: DataFrame, parts: dict[str, tuple[DataFrame, list[Column], list[str]]], most: int = DOCUMENT_ROWS) -> DataFrame:
-    """cases with an array of structs for each part, its name: (rows with case_root, order, fields).
+    """cases with an array of structs for each part, its name: (rows with case_root, order, fields), and origin_facts where origins
+    are a part.
 
-    A document is one row, so parts are gathered for cases of at most `most` transactions; beyond, their arrays are null and the
-    parts' own tables, which have every case, take their place.
+    A document is one row, so parts that grow with a case are gathered for cases of at most `most` transactions; beyond, their
+    arrays are null and the parts' own tables, which have every case, take their place. BOUNDED parts and origin_facts, and with
+    them the narrative, are there for cases of every size.
     """
     fit = F.broadcast(cases.filter(F.col("tx_count") <= most).select("case_root")) if cases.count() <= BROADCAST else cases.filter(F.col("tx_count") <= most).select("case_root")
     out = cases
     for name, (rows, order, fields) in parts.items():
-        keyed = rows.join(fit, "case_root").select("case_root", F.struct(F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order))).alias("at"), F.struct(*fields).alias("item")).alias("x"))
+        some = rows if name in BOUNDED else rows.join(fit, "case_root")
+        keyed = some.select("case_root", F.struct(F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order))).alias("at"), F.struct(*fields).alias("item")).alias("x"))
         gathered = keyed.groupBy("case_root").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["item"]).alias(name))
-        empty = F.array().cast(gathered.schema[name].dataType)
-        out = out.join(gathered, "case_root", "left").withColumn(name, F.when(F.col("tx_count") <= most, F.coalesce(name, empty)))
+        empty = F.coalesce(name, F.array().cast(gathered.schema[name].dataType))
+        out = out.join(gathered, "case_root", "left").withColumn(name, empty if name in BOUNDED else F.when(F.col("tx_count") <= most, empty))
+    if "origins" in parts:
+        out = out.join(origin_facts(parts["origins"][0]), "case_root", "left")
     return out

@@ -33,6 +33,11 @@ def timeline(rows: DataFrame, bins: int = BINS) -> DataFrame:
     return every.join(counts, "bin", "left").fillna(0, ["total", "flagged"])
 
 
+def timeline_span(rows: DataFrame, bins: int = BINS) -> DataFrame:
+    """(t0, bucket_s), one row: when the timeline's first bin begins and how wide bins are."""
+    return rows.agg(F.min("ts").alias("t0"), F.greatest((F.max("ts") - F.min("ts")) / bins, F.lit(1.0)).alias("bucket_s"))
+
+
 def networks(rows: DataFrame) -> DataFrame:
     named = rows.withColumn("category", F.coalesce("category", F.lit("unresolved")))
     return named.groupBy("category").agg(F.count("*").alias("total"), _flagged()).withColumn("category_label", category_label("category"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txintel.functions.expressions import category_label, severity
+from txintel.functions.expressions import SEVERITIES, category_label, severity
 from txintel.operators import cases as C
 from txintel.operators import entities as E
 from txintel.operators import features as X
@@ -24,6 +28,9 @@ LISTS = {"input_addresses": "array<string>", "output_addresses": "array<string>"
 
 LEADS, DRIVERS = 25, 4
 SEEN = 0.01
+VERSION = "1.0"
+#: What every lead and case says about itself.
+NOTES = "A lead made by txintel from traffic metadata. Where a transaction came from is a statistical estimate and its risk the output of a model: both say where to look next, and neither is evidence until something else confirms it."
 
 
 @dataclass
@@ -38,6 +45,13 @@ class Settings:
     graph_net: learn.GraphNet | None = None
     means: dict[str, float] | None = None
 
+    def digest(self) -> str:
+        """SHA-256 over all that is learned: equal for equal models, however they were made or read."""
+        whole = hashlib.sha256(json.dumps([self.weights, self.bias, self.calibration, self.means], sort_keys=True).encode())
+        for name, cells in sorted(learn.net_arrays(self.graph_net).items()) if self.graph_net else ():
+            whole.update(name.encode() + np.ascontiguousarray(cells, np.float64).tobytes())
+        return whole.hexdigest()
+
 
 class Prepared:
     """A capture correlated and located, before any model; what is linked from it is worked out, and checkpointed, when it is
@@ -169,7 +183,7 @@ def counters(p: Prepared, risk: DataFrame, cases: DataFrame) -> DataFrame:
     return out.withColumn("graph_nodes", F.col("transactions") + F.col("wallet_addresses") + F.col("origin_ips"))
 
 
-def documents(p: Prepared, scored: DataFrame, shap: DataFrame, member: DataFrame, weights: dict[str, float], drops: DataFrame | None) -> tuple[DataFrame, dict[str, DataFrame]]:
+def documents(p: Prepared, scored: DataFrame, shap: DataFrame, member: DataFrame, weights: dict[str, float], drops: DataFrame | None, base: float, most: int = C.DOCUMENT_ROWS) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Cases as documents, and the tables behind their arrays. shap: scored with mean_ and shap_ columns."""
     value = F.aggregate("input_amounts", F.lit(0.0), lambda a, x: a + x)
     plain = checkpoint(scored.select("txid", "ts", "risk", value.alias("inflow"), F.size("output_addresses").alias("n_out"), F.array_min("output_amounts").alias("least_out"), "coinjoin", "peel_hops"))
@@ -200,8 +214,9 @@ def documents(p: Prepared, scored: DataFrame, shap: DataFrame, member: DataFrame
         top = mean.withColumns({"place": turn, "feature": named, "label": F.create_map(*(F.lit(x) for kv in X.FEATURE_LABELS.items() for x in kv))[named]}).filter(F.col("place") <= DRIVERS)
         parts["gnn_drivers"] = (top, [F.col("place")], ["feature", "label", "log_odds_drop"])
     counts = terminals.groupBy("case_root").agg(F.first("terminal_outputs").alias("terminal_output_count"))
-    told = C.documents(table.join(counts, "case_root", "left").fillna(0, ["terminal_output_count"]), member, parts)
-    return sealed(told.withColumn("narrative", C.narrative())), {f"case_{n}": x[0] for n, x in parts.items()} | {"case_table": table}
+    told = C.documents(table.join(counts, "case_root", "left").fillna(0, ["terminal_output_count"]), member, parts, most)
+    told = told.withColumns({"narrative": C.narrative(), "typology_tags": F.split("typology", r" \+ "), "base_value_log_odds": F.lit(round(base, 4)), "notes": F.lit(NOTES)}).drop("origin_facts")
+    return sealed(told), {f"case_{n}": x[0] for n, x in parts.items()} | {"case_table": table}
 
 
 def analyse(spark: SparkSession, capture: Capture | str | list[str], settings: Settings | None = None, anomaly: bool = True, locate: Column | None = None) -> Result:
@@ -215,23 +230,18 @@ def analyse(spark: SparkSession, capture: Capture | str | list[str], settings: S
     c = capture if isinstance(capture, Capture) else load(spark, capture)
     p = prepare(spark, c, s.networks, s.calibration, locate)
     scored = checkpoint(evidence(p, s.graph_net, anomaly).withColumn("risk", X.risk(s.weights, s.bias)).withColumn("severity", severity("risk")))
-    if s.means:
-        both = scored.withColumns({f"mean_{n}": F.lit(s.means[n]) for n in s.weights})
-    else:
-        both = scored.crossJoin(F.broadcast(scored.agg(*(F.avg(n).alias(f"mean_{n}") for n in s.weights))))  # one row
-    shap = checkpoint(both.withColumns(X.shap(s.weights, {n: F.col(f"mean_{n}") for n in s.weights})))
+    means = s.means or {n: v or 0.0 for n, v in scored.agg(*(F.avg(n).alias(n) for n in s.weights)).first().asDict().items()}
+    base = s.bias + sum(means[n] * w for n, w in s.weights.items())
+    shap = checkpoint(scored.withColumns(X.shap(s.weights, means)))
     member = checkpoint(C.members(scored, p.edges))
     drops = learn.occlusion(s.graph_net, p.rows, p.graph) if s.graph_net is not None else None
-    told, tables = documents(p, scored, shap, member, s.weights, drops)
+    told, tables = documents(p, scored, shap, member, s.weights, drops, base)
     told = checkpoint(told)
     explained = shap.withColumn("factors", X.factors(list(s.weights)))
-    base = s.bias
-    for n in s.weights:
-        base = base + F.col(f"mean_{n}") * s.weights[n]
     value = F.round(F.aggregate("input_amounts", F.lit(0.0), lambda a, x: a + x), 8)
     leads = explained.orderBy(F.desc("risk"), "txid").limit(LEADS).filter(F.col("risk") >= C.FLAGGED).select(
         "txid", "ts", F.round("risk", 1).alias("risk_score"), "severity", value.alias("value"), "origin_ip", F.col("confidence").alias("origin_confidence"), F.col("country").alias("origin_country"), F.col("asn").alias("origin_asn"),
-        F.col("category_label").alias("origin_network"), F.round(base, 4).alias("base_value_log_odds"), F.filter("factors", lambda f: F.abs(f["shap"]) >= SEEN).alias("factors"),
+        F.col("category_label").alias("origin_network"), F.lit(round(base, 4)).alias("base_value_log_odds"), F.filter("factors", lambda f: F.abs(f["shap"]) >= SEEN).alias("factors"), F.lit(NOTES).alias("notes"),
     )
     ranked = scored.select("txid", "ts", "risk", "severity", F.col("origin_ip").alias("ip"), "country", "asn", "org", "category", "category_label", "confidence")
     label = category_label("origin_category")
@@ -239,13 +249,31 @@ def analyse(spark: SparkSession, capture: Capture | str | list[str], settings: S
         F.col("ts").alias("t"), F.substring(F.col("txid").cast("string"), 1, 12).alias("id"), F.round(value, 4).alias("v"), F.round("risk", 1).alias("r"), label.alias("n"), F.when(F.col("resolved"), F.col("origin_ip")).alias("ip"), F.col("peer_hop_count").alias("o"), F.col("case_id").alias("c"),
     )
     return Result(tables | {
-        "stats": counters(p, scored, tables["case_table"]), "sources": c.sources, "transactions": explained.drop(*(f"mean_{n}" for n in s.weights)), "cases": told, "members": member, "leads": leads,
+        "stats": counters(p, scored, tables["case_table"]), "sources": c.sources, "transactions": explained, "cases": told, "members": member, "leads": leads,
         "origins": reports.origin_table(ranked), "timeline": reports.timeline(ranked), "networks": reports.networks(ranked.drop("category").join(scored.select("txid", F.col("origin_category").alias("category")), "txid")),
         "severities": reports.severity_counts(ranked), "case_severities": C.by_severity(tables["case_table"]), "typologies": C.typologies(tables["case_table"]),
-        "stream": stream, "entities": p.entities, "chains": p.chains,
+        "stream": stream, "entities": p.entities, "chains": p.chains, "timeline_span": reports.timeline_span(ranked), "meta": meta(spark, s), **model_card(spark, s, means, base),
     })
 
 
+def meta(spark: SparkSession, s: Settings) -> DataFrame:
+    """One row: version, time of the analysis, the model's digest and where networks come from."""
+    said = [(VERSION, datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), s.digest(), s.graph_net is not None, "bundled CIDR table" if s.networks is None else "given CIDR table")]
+    return spark.createDataFrame(said, "version string, generated_at string, model_sha256 string, graph_net boolean, geo_source string")
+
+
+def model_card(spark: SparkSession, s: Settings, means: dict[str, float], base: float) -> dict[str, DataFrame]:
+    """model_card: a row a signal with its wordings, weight and background; model: one row with base value, bias, features and
+    thresholds."""
+    rows = [(n, *X.EVIDENCE.get(n, (n, None)), round(w, 4), round(means[n], 4)) for n, w in s.weights.items()]
+    limits = {n.lower(): least for least, n in SEVERITIES}
+    one = [(round(base, 4), round(s.bias, 4), list(X.FEATURES), limits["critical"], limits["high"], limits["medium"], E.PEEL_HOPS)]
+    return {
+        "model_card": spark.createDataFrame(rows, "key string, label string, absent_label string, weight double, background double"),
+        "model": spark.createDataFrame(one, "base_value_log_odds double, bias double, tx_features array<string>, critical double, high double, medium double, peel_min_hops int"),
+    }
+
+
 def _in_order(c: Column, kind: T.DataType) -> Column:
     """The value with its structs' fields in order of their names, whatever order they came in."""
     if isinstance(kind, T.StructType):
@@ -262,7 +290,7 @@ def sealed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("evidence_hash", F.sha2(F.to_json(whole, {"ignoreNullFields": "false"}), 256))
 
 
-REPORTS = ("stats", "sources", "cases", "leads", "origins", "timeline", "networks", "severities", "case_severities", "typologies", "stream")
+REPORTS = ("meta", "model_card", "model", "timeline_span", "stats", "sources", "cases", "leads", "origins", "timeline", "networks", "severities", "case_severities", "typologies", "stream")
 
 
 def write(result: Result, folder: str, tables: tuple[str, ...] = REPORTS) -> None:

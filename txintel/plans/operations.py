@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from txintel.functions.expressions import severity, severity_sql
 from txintel.operators import cases as C
 from txintel.operators import features as X
+from txintel.operators import lookups as K
 from txintel.plans import captures as V
 from txintel.plans import ledger as L
 from txintel.plans import network as N
@@ -26,6 +27,8 @@ from txintel.sources.files import Capture
 #: Bias of the stand-in fusion on these data; without a network and a forest, it alone sets how many are flagged.
 BIAS = -1.9
 KINDS, SILENT, RELAYS, RELAY = 6, 11, 37, 10_000_000
+#: What operation_search asks for: part of addresses, of networks' names and of transactions' numbers.
+WANTED = "12"
 
 OPS_SQL = f"""ord AS (SELECT o_orderkey AS txid, o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders),
 sides AS (SELECT txid, c, k, c * 7200.0::DOUBLE + k * 60 + txid % 50 AS t0,
@@ -126,6 +129,41 @@ def operation_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _analysis(spark, sf)["stats"]
 
 
+def operation_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """The level of every transaction in its case's flow."""
+    p = prepare(spark, capture(spark, sf), locate=W._located())
+    member = checkpoint(C.members(evidence(p, anomaly=False).withColumn("risk", X.risk(WEIGHTS, BIAS)), p.edges))
+    return K.levels(member, C.case_flow(member, p.links))
+
+
+def operation_overview(spark: SparkSession, sf: str) -> DataFrame:
+    """The figures at the head of a report."""
+    r = _analysis(spark, sf)
+    return K.overview(r["stats"], r["case_table"])
+
+
+def operation_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Cases and what flowed into them, by severity and in all."""
+    return K.case_counts(_analysis(spark, sf)["case_table"])
+
+
+def operation_top(spark: SparkSession, sf: str) -> DataFrame:
+    return K.top_cases(_analysis(spark, sf)["case_table"]).select("case_id", "case_root", "risk_score", "severity", "typology", "inflow")
+
+
+def operation_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """The 40 newest transactions of cases, each with what its case is."""
+    r = _analysis(spark, sf)
+    named = r["members"].join(r["case_table"].select("case_root", "case_id"), "case_root").join(r["transactions"].select("txid", "ts", "risk"), "txid")
+    feed = K.newest(named.select(F.col("ts").alias("t"), F.col("txid").alias("id"), F.round("risk", 1).alias("r"), "case_id"))
+    return K.alerts_with_cases(feed, r["case_table"])
+
+
+def operation_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Cases of the two upper severities that hold a text in any of their fields."""
+    return K.search(_analysis(spark, sf)["cases"], WANTED, ("CRITICAL", "HIGH")).select("case_id", "case_root", "severity")
+
+
 _EV_SQL = W.EVIDENCE_SQL[: W.EVIDENCE_SQL.index("\nscored AS")].replace(V.OBS_SQL, OBS_SQL).replace(W._IO_SQL, IO_SQL).rstrip(",")
 _RISK_SQL = f"100.0::DOUBLE * (1.0::DOUBLE / (1.0::DOUBLE + exp(-greatest(least({BIAS}::DOUBLE {' '.join(f'+ {n} * {w}::DOUBLE' for n, w in WEIGHTS.items())}, 60.0), -60.0))))"
 _SCORED_SQL = f"{_EV_SQL},\nscored AS (SELECT ev.*, ts, total_in, n_out, least_out, {_RISK_SQL} AS risk FROM ev JOIN tx ON tx.txid = ev.txid)"
@@ -156,5 +194,24 @@ SELECT transactions, (SELECT count(*) FROM loc WHERE resolved) AS origin_attribu
 0::BIGINT AS unobserved_transactions, 0::BIGINT AS uncorrelated_observations, wallet_addresses, (SELECT count(*) FROM edges) AS flow_edges, (SELECT count(DISTINCT root) FROM ec) AS entities, (SELECT count(*) FROM lengths) AS peel_chains,
 (SELECT count(*) FROM scored WHERE risk >= 40) AS flagged_transactions, (SELECT count(*) FROM named) AS cases, transactions + wallet_addresses + origin_ips AS graph_nodes FROM one"""
 
-QUERIES = {"operation_evidence": operation_evidence, "operation_cases": operation_cases, "operation_documents": operation_documents, "operation_stats": operation_stats}
-ORACLE_SQL = {"operation_evidence": EVIDENCE_SQL, "operation_cases": CASES_SQL, "operation_documents": DOCUMENTS_SQL, "operation_stats": STATS_SQL}
+LEVELS_SQL = f"""{_CASE_SQL}, lw AS (WITH RECURSIVE go(txid, d) AS (SELECT txid, 0 FROM m UNION SELECT child, d + 1 FROM go JOIN cflow ON parent = go.txid) SELECT * FROM go)
+SELECT m.case_root, m.txid, max(d)::BIGINT AS depth FROM m JOIN lw ON lw.txid = m.txid GROUP BY 1, 2"""
+OVERVIEW_SQL = f"""WITH st AS ({STATS_SQL}), cs AS ({CASES_SQL}) SELECT observations, transactions, CASE WHEN transactions > 0 THEN round(100.0::DOUBLE * origin_attributed / transactions) ELSE 0 END::BIGINT AS resolved_pct, entities, flagged_transactions, cases,
+(SELECT count(*) FROM cs WHERE severity = 'CRITICAL') AS critical_cases, (SELECT count(*) FROM cs WHERE severity = 'HIGH') AS high_cases, (SELECT count(*) FROM cs WHERE severity = 'MEDIUM') AS medium_cases, (SELECT coalesce(sum(inflow::DECIMAL(28, 8)), 0)::DOUBLE FROM cs) AS inflow FROM st"""
+COUNTS_SQL = f"""WITH cs AS ({CASES_SQL}) SELECT v.severity, count(cs.case_id) AS cases, coalesce(sum(cs.inflow::DECIMAL(28, 8)), 0)::DOUBLE AS inflow
+FROM (VALUES ('ALL'), ('CRITICAL'), ('HIGH'), ('MEDIUM')) v(severity) LEFT JOIN cs ON v.severity = 'ALL' OR v.severity = cs.severity GROUP BY v.severity"""
+TOP_SQL = f"SELECT case_id, case_root, risk_score, severity, typology, inflow FROM ({CASES_SQL}) ORDER BY risk_score DESC, inflow DESC, first_ts, case_root LIMIT 6"
+FEED_SQL = f"""{_CASE_SQL} SELECT r.ts AS t, r.txid AS id, round(r.risk, 1) AS r, {_ID_SQL}, typology, risk_score, severity FROM r JOIN named ON named.case_root = r.case_root ORDER BY r.ts DESC, r.txid DESC LIMIT 40"""
+SEARCH_SQL = f"""{DOCUMENTS_SQL[: DOCUMENTS_SQL.index("good AS")]}
+hay AS (SELECT case_root, lower(concat_ws(' ', {_ID_SQL.removesuffix(' AS case_id')}, typology, (SELECT string_agg(concat_ws(' ', ip::VARCHAR, asn, category_label), ' ') FROM oi WHERE oi.case_root = named.case_root), (SELECT string_agg(m.txid::VARCHAR, ' ') FROM m WHERE m.case_root = named.case_root),
+  (SELECT string_agg(address, ' ') FROM placed WHERE placed.case_root = named.case_root AND place <= 6))) AS h FROM named)
+SELECT {_ID_SQL}, named.case_root, severity FROM named JOIN hay ON hay.case_root = named.case_root WHERE severity IN ('CRITICAL', 'HIGH') AND h LIKE '%{WANTED}%'"""
+
+QUERIES = {
+    "operation_evidence": operation_evidence, "operation_cases": operation_cases, "operation_documents": operation_documents, "operation_stats": operation_stats, "operation_levels": operation_levels,
+    "operation_overview": operation_overview, "operation_counts": operation_counts, "operation_top": operation_top, "operation_feed": operation_feed, "operation_search": operation_search,
+}
+ORACLE_SQL = {
+    "operation_evidence": EVIDENCE_SQL, "operation_cases": CASES_SQL, "operation_documents": DOCUMENTS_SQL, "operation_stats": STATS_SQL, "operation_levels": LEVELS_SQL,
+    "operation_overview": OVERVIEW_SQL, "operation_counts": COUNTS_SQL, "operation_top": TOP_SQL, "operation_feed": FEED_SQL, "operation_search": SEARCH_SQL,
+}

@@ -107,14 +107,17 @@ def detectors(rows: DataFrame) -> DataFrame:
 
 
 def evaluation_report(scored: DataFrame, members: DataFrame, truth: DataFrame) -> dict[str, DataFrame]:
-    """Tables of a report: detectors, typologies (recall of the fused risk), origin (accuracy by confidence), scenarios (the share
+    """Tables of a report: totals (transactions with truth, positives, and how many located origins are right), detectors, typologies (recall of the fused risk), origin (accuracy by confidence), scenarios (the share
     of each that its best case holds). members: (txid, case_id)."""
     rows = checkpoint(detector_rows(scored, truth))
     located = rows.filter("origin_ip is not null").select("confidence", (F.col("origin_ip") == F.col("true_ip")).alias("correct"))
     placed = truth.filter("scenario is not null").select("txid", "scenario").join(members.select("txid", "case_id"), "txid", "left")
     best = M.group_coverage(placed, "scenario", "case_id")
     found = F.col("case_id").isNotNull()
+    right = located.agg(F.count("*").alias("located"), F.count(F.when(F.col("correct"), 1)).alias("correct"))
+    totals = rows.agg(F.count("*").alias("transactions"), F.coalesce(F.sum("y"), F.lit(0)).alias("positives")).crossJoin(right)  # one row each
     return {
+        "totals": totals.withColumn("accuracy", F.when(F.col("located") > 0, F.round(F.col("correct") / F.col("located"), 4))),
         "detectors": detectors(rows),
         "typologies": M.group_recall(rows.withColumn("score", F.col("risk")), "typology", C.FLAGGED),
         "origin": M.bucket_accuracy(located),
