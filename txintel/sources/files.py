@@ -46,10 +46,11 @@ def _jsonl(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("_row", F.monotonically_increasing_id())
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
-    """A header names the fields. A record is a line, so large files are read by many tasks; a field of the header is there in
-    every record, with an empty cell as an empty text."""
-    rows = spark.read.csv(path, header=True, mode="FAILFAST")
+def _csv(spark: SparkSession, path: str, quoted_breaks: bool = False) -> DataFrame:
+    """A header names the fields. A record is a line, so large files are read by many tasks; with quoted_breaks a quoted field may
+    have line breaks, and a file is read by one task. A field of the header is there in every record, with an empty cell as an
+    empty text."""
+    rows = spark.read.csv(path, header=True, mode="FAILFAST", multiLine=quoted_breaks)
     known = [F.coalesce(F.col(n), F.lit("")).alias(n) if n in rows.columns else F.lit(None).cast("string").alias(n) for n in RAW.names]
     return rows.select(*known).withColumn("_row", F.monotonically_increasing_id())
 
@@ -91,12 +92,13 @@ def expand(spark: SparkSession, source: str | list[str]) -> list[str]:
     return out
 
 
-def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """The raw records of one file, by its suffix, each field as text."""
+def read_file(spark: SparkSession, path: str, quoted_breaks: bool = False) -> DataFrame:
+    """The raw records of one file, by its suffix, each field as text. quoted_breaks: for CSV files whose quoted fields have line
+    breaks."""
     suffix = "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
     if suffix not in READERS:
         raise ValueError(f"unsupported file type {suffix or path}")
-    return READERS[suffix](spark, path)
+    return _csv(spark, path, quoted_breaks) if suffix == ".csv" else READERS[suffix](spark, path)
 
 
 def normalise(raw: DataFrame) -> DataFrame:
@@ -109,14 +111,14 @@ def normalise(raw: DataFrame) -> DataFrame:
     })
 
 
-def load(spark: SparkSession, source: str | list[str]) -> Capture:
-    """Both layers of a source.
+def load(spark: SparkSession, source: str | list[str], quoted_breaks: bool = False) -> Capture:
+    """Both layers of a source. quoted_breaks: whether quoted fields of CSV files may have line breaks.
 
     A record without txid is only counted. With src_ip and timestamp it is an observation; with any input or output it adds to
     its transaction, whose fields each come from the first record, by file name and place, that has them.
     """
     files = expand(spark, source)
-    parts = [normalise(read_file(spark, f)).withColumn("_file", F.lit(k)).withColumn("_name", F.lit(f)) for k, f in enumerate(files)]
+    parts = [normalise(read_file(spark, f, quoted_breaks)).withColumn("_file", F.lit(k)).withColumn("_name", F.lit(f)) for k, f in enumerate(files)]
     rows = reduce(DataFrame.unionByName, parts).withColumn("seq", F.struct("_file", "_row"))
     named = rows.filter(F.coalesce(F.col("txid"), F.lit("")) != "")
     observations = named.filter((F.coalesce(F.col("src_ip"), F.lit("")) != "") & F.col("timestamp").isNotNull()).select(*NETWORK, "seq")
