@@ -202,7 +202,7 @@ def jaccard_links(nodes: DataFrame, docs: DataFrame, text_col: str, key_col: str
                 bits = _bits(some.column("fp").to_pylist())
                 checked = [pa.array(np.ascontiguousarray(np.packbits(bits[:, 64 * k : 64 * k + 64], axis=1)).view(np.int64).ravel()) for k in range(CHECKED)]
                 for key, own in bucket_rows(bits, parts, limits):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), some.column("node"), pa.array(np.full(len(key), own)), some.column("size"), *checked], names=["key", "node", "own", "size", *word])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), some.column("node"), pa.array(np.full(len(key), own)), some.column("size"), *checked, some.column("component"), some.column("grouped")], names=["key", "node", "own", "size", *word, "component", "grouped"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices(batches, text_col):
@@ -277,8 +277,8 @@ def jaccard_links(nodes: DataFrame, docs: DataFrame, text_col: str, key_col: str
         off = sum((F.bit_count(F.col(p + w).bitwiseXOR(F.col(q + w))) for w in word), F.lit(0))
         return (F.least(m, k) * 100 >= F.greatest(m, k) * percent) & (off <= limit)
 
-    rows = nodes.select("node", "size", "fp").mapInArrow(indexed, "key bigint, node bigint, own boolean, size int, " + ", ".join(f"{w} bigint" for w in word))
-    return bucket_links(rows, ("size", *word), near, crowd(parts, limits, n), verify, crowds)
+    index = lambda some: some.mapInArrow(indexed, "key bigint, node bigint, own boolean, size int, " + ", ".join(f"{w} bigint" for w in word) + ", component bigint, grouped boolean")
+    return bucket_links(nodes.select("node", "size", "fp"), index, ("size", *word), near, crowd(parts, limits, n), verify, crowds)
 
 
 def jaccard_components(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = SIMILAR) -> DataFrame:

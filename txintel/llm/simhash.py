@@ -169,15 +169,16 @@ def crowd(parts: list[list[int]], limits: list[int], n: int) -> float:
     return 32 + 8 * max((n / 2.0 ** len(p) for p, t in zip(parts, limits, strict=True) if t >= 0), default=0.0)
 
 
-def bucket_links(rows: DataFrame, payload: tuple[str, ...], near: Callable[[str, str], Column], crowded: float, verify: Callable[[DataFrame], DataFrame], crowds: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def bucket_links(nodes: DataFrame, index: Callable[[DataFrame], DataFrame], payload: tuple[str, ...], near: Callable[[str, str], Column], crowded: float, verify: Callable[[DataFrame], DataFrame], crowds: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Pairs (a < b) of nodes that are links: enough of them that the components are those of all links.
 
-    rows: (key, node, own, payload...), a node's own buckets and those it probes; near(p, q): a condition on the columns of two
+    nodes: (node, ...), one row each; index: their rows (key, node, own, payload..., component, grouped), a node's own buckets and
+    those it probes, from nodes with component and grouped, which it hands on; near(p, q): a condition on the columns of two
     rows, named with these prefixes, that every link fulfils; verify: keeps the links of a checkpointed table of pairs (a, b).
     crowds: where given, finds the possible pairs of different components in crowded buckets, from rows with their component and
     whether others share it; else they are joined like those of other buckets.
     """
-    cols = ("node", *payload)
+    cols, rows = ("node", *payload), index(nodes.withColumns({"component": F.col("node"), "grouped": F.lit(False)}))
     side = lambda df, p, *more: df.select("key", *(F.col(c).alias(p + c) for c in (*cols, *more)))
     pair = [F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")]
     homes = rows.filter("own")
@@ -194,8 +195,9 @@ def bucket_links(rows: DataFrame, payload: tuple[str, ...], near: Callable[[str,
 
     parts = connected_components(links, "a", "b")
     part = _small(parts)
-    label = lambda df: df.join(part, "node", "left").withColumn("grouped", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "node"))
-    told = label(rows if crowds is None else rows.join(keys, "key", "left_anti"))
+    # nodes are labelled, not their buckets, which are many times as many rows
+    labelled = index(nodes.join(part, "node", "left").withColumn("grouped", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "node")))
+    told = labelled if crowds is None else labelled.join(keys, "key", "left_anti")
     # left: all that a node probes, right: own buckets only; a pair within reach meets in either direction
     right = side(told.filter("own and not grouped"), "q_")
     one = side(told, "p_", "grouped").join(right, "key").filter((F.col("p_grouped") | (F.col("p_node") < F.col("q_node"))) & near("p_", "q_")).select(*pair)
@@ -207,7 +209,7 @@ def bucket_links(rows: DataFrame, payload: tuple[str, ...], near: Callable[[str,
     two = across.join(members, ["key", "u"]).join(others, ["key", "v"]).filter(near("p_", "q_")).select(*pair)
     found = one.unionByName(two)
     if crowds is not None:
-        found = found.unionByName(crowds(label(rows.join(keys, "key", "left_semi"))))
+        found = found.unionByName(crowds(labelled.join(keys, "key", "left_semi")))
     out = links.unionByName(verify(checkpoint(found.distinct())))
     release(many, parts)
     return out
@@ -230,14 +232,14 @@ def hamming_links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column("fp").to_numpy().view(np.uint64)
+            fp = batch.column("node").to_numpy().view(np.uint64)
             bits = ((fp[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
             for key, own in bucket_rows(bits, parts, limits):
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("fp"), pa.array(np.full(len(key), own))], names=["key", "node", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("node"), pa.array(np.full(len(key), own)), batch.column("component"), batch.column("grouped")], names=["key", "node", "own", "component", "grouped"])
 
     near = lambda p, q: F.bit_count(F.col(p + "node").bitwiseXOR(F.col(q + "node"))) <= radius
-    rows = fps.select("fp").mapInArrow(run, "key bigint, node bigint, own boolean")
-    return bucket_links(rows, (), near, crowd(parts, limits, n), lambda pairs: pairs)
+    index = lambda nodes: nodes.mapInArrow(run, "key bigint, node bigint, own boolean, component bigint, grouped boolean")
+    return bucket_links(fps.select(F.col("fp").alias("node")), index, (), near, crowd(parts, limits, n), lambda pairs: pairs)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
