@@ -35,7 +35,8 @@ PASSES, EXTRA = 3, 0.1
 HOT_WORDS, HOT_BYTES = 100_000, 40
 #: Bytes of a word beyond which it goes through the lattice by itself, in windows of as many bytes.
 LONG = 4096
-_DISTINCT, _PAIRS, _LATTICE = 200_000, 300_000, 60_000
+#: Words that go through the lattice together: its steps are as many for a few words of one length as for thousands.
+_DISTINCT, _PAIRS, _LATTICE = 200_000, 300_000, 32_768
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LN10 = float(np.log(10.0))
 
@@ -134,7 +135,7 @@ class Lattice:
         order = np.argsort(sizes, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else []:
             n = int(sizes[part[0]])
-            step = max(1, (1 << 21) // (n + 1))
+            step = max(1, (1 << 20) // (n + 1))
             for at in range(0, len(part), step):
                 own = part[at : at + step]
                 codes = np.frombuffer(b"".join([b" " + texts[k] for k in own.tolist()]), np.uint8)
@@ -185,15 +186,17 @@ class Lattice:
             alpha = self._forward(arcs, rows, width)
             beta = np.full((width + 1, rows), -np.inf)
             beta[width] = 0.0
+            pieces, uses = [], []
             for start in range(width - 1, -1, -1):
                 terms = []
                 for n in range(1, min(width - start, self.longest) + 1):
                     if (start, n) in arcs:
                         row, piece = arcs[start, n]
                         terms.append((row, beta[start + n][row] + self.log_p[piece]))
-                        use = np.exp(alpha[start][row] + terms[-1][1] - alpha[width][row]) * counts[own[row]]
-                        out += np.bincount(piece, use, len(out))
+                        pieces.append(piece), uses.append(np.exp(alpha[start][row] + terms[-1][1] - alpha[width][row]) * counts[own[row]])
                 beta[start] = self._sum(terms, rows)
+            if pieces:
+                out += np.bincount(np.concatenate(pieces), np.concatenate(uses), len(out))
         return out
 
 
@@ -203,9 +206,19 @@ def _probabilities(weights: np.ndarray, ends: float) -> tuple[np.ndarray, float]
     return np.log(weights / total), float(np.log(ends / total))
 
 
-def batched(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def batched(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in batches of that many, the last one smaller."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        while batch.num_rows:
+            room = rows - sum(b.num_rows for b in held)
+            held.append(batch.slice(0, room))
+            batch = batch.slice(held[-1].num_rows)
+            if held[-1].num_rows == room:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def word_ids(words_: list[bytes]) -> pa.Array:
@@ -248,9 +261,8 @@ def fit(counted: DataFrame, index: tuple[np.ndarray, np.ndarray, int], weights:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             lattice, total = Lattice(*shared.value), 0.0
-            for batch in batches:
-                for some in batched(batch, 4096):
-                    total = total + lattice.expected(some.column("word").to_pylist(), some.column("c").to_numpy().astype(float))
+            for some in batched(batches, _LATTICE):
+                total = total + lattice.expected(some.column("word").to_pylist(), some.column("c").to_numpy().astype(float))
             if not isinstance(total, float):
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["piece", "uses"])
 
@@ -286,14 +298,13 @@ def lattice_scores(docs: DataFrame, path: str, folds: int = 7, fold: int = 2, id
 
     def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*model.value)
-        for batch in batches:
-            for some in batched(batch, 4096):
-                ws, c = some.column("word").to_pylist(), some.column("c").to_numpy()
-                whole = (c - discount).clip(0) / max(1, tokens)
-                paths = lattice.scores(ws)
-                both = np.logaddexp(np.log(by_pieces) + paths, np.log(whole, out=np.full(len(whole), -np.inf), where=whole > 0))
-                hot_word = pa.array([w if len(w) <= HOT_BYTES else None for w in ws], pa.binary())
-                yield pa.RecordBatch.from_arrays([word_ids(ws), hot_word, some.column("c"), pa.array(paths / _LN10), pa.array(both / _LN10)], names=["word", "hot", "c", "p", "pw"])
+        for some in batched(batches, _LATTICE):
+            ws, c = some.column("word").to_pylist(), some.column("c").to_numpy()
+            whole = (c - discount).clip(0) / max(1, tokens)
+            paths = lattice.scores(ws)
+            both = np.logaddexp(np.log(by_pieces) + paths, np.log(whole, out=np.full(len(whole), -np.inf), where=whole > 0))
+            hot_word = pa.array([w if len(w) <= HOT_BYTES else None for w in ws], pa.binary())
+            yield pa.RecordBatch.from_arrays([word_ids(ws), hot_word, some.column("c"), pa.array(paths / _LN10), pa.array(both / _LN10)], names=["word", "hot", "c", "p", "pw"])
 
     scored = checkpoint(counted.mapInArrow(score_words, "word bigint, hot binary, c bigint, p double, pw double"))
     # the most frequent words, by steps of a quarter of a power of two, as many steps as HOT_WORDS has room for
