@@ -100,7 +100,7 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def capture(spark: SparkSession, sf: str) -> Capture:
-    return Capture(observations(spark, sf), ledger(spark, sf), spark.createDataFrame([], "file string, sha256 string, records bigint"))
+    return Capture(observations(spark, sf), ledger(spark, sf), spark.createDataFrame([], "file string, sha256 string, records bigint"), columnar=True)
 
 
 def operation_evidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,7 +132,7 @@ def operation_stats(spark: SparkSession, sf: str) -> DataFrame:
 def operation_levels(spark: SparkSession, sf: str) -> DataFrame:
     """The level of every transaction in its case's flow."""
     p = prepare(spark, capture(spark, sf), locate=W._located())
-    member = checkpoint(C.members(evidence(p, anomaly=False).withColumn("risk", X.risk(WEIGHTS, BIAS)), p.edges))
+    member = checkpoint(C.members(checkpoint(evidence(p, anomaly=False).withColumn("risk", X.risk(WEIGHTS, BIAS)).select("txid", "risk")), p.edges))
     return K.levels(member, C.case_flow(member, p.links))
 
 
