@@ -195,8 +195,9 @@ def bucket_links(nodes: DataFrame, index: Callable[[DataFrame], DataFrame], payl
 
     parts = connected_components(links, "a", "b")
     part = _small(parts)
-    # nodes are labelled, not their buckets, which are many times as many rows
-    labelled = index(nodes.join(part, "node", "left").withColumn("grouped", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "node")))
+    # nodes are labelled, not their buckets, which are many times as many rows, and once, as labelled is read by every search below
+    labels = checkpoint(nodes.join(part, "node", "left").withColumn("grouped", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "node")))
+    labelled = index(labels)
     told = labelled if crowds is None else labelled.join(keys, "key", "left_anti")
     # left: all that a node probes, right: own buckets only; a pair within reach meets in either direction
     right = side(told.filter("own and not grouped"), "q_")
