@@ -63,8 +63,8 @@ def _orders(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("at", F.col("c") * 7200.0 + F.col("k") * 60 + F.col("txid") % 50)
 
 
-def ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """V_OPS's transactions."""
+def ledger(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    """V_OPS's transactions. rows: _orders, if there."""
     c, k = F.col("c"), F.col("k")
     name = lambda p, i: F.concat(F.lit(p), c.cast("string"), F.lit(":"), (i if isinstance(i, Column) else F.lit(i)).cast("string"))
     one = lambda p, i, v: F.struct(name(p, i).alias("a"), (v if isinstance(v, Column) else F.lit(v)).alias("v"))
@@ -87,12 +87,12 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
         F.array(one("w", k + 1, (999 - k) / 10.0), one("p", k, 0.1)), (several("x", (1, 2, 3, 4), lambda i: 9.9), F.array(one("y", k, 9.8)), bare("z", 39.0)),
         (several("f", (1, 2, 3, 4, 5), lambda i: (90 + i) / 10.0), F.array(one("g", k, 8.9)), bare("h", 44.0)), F.array(one("b", k, 3.0), one("d", k, 1.9)),
     )
-    return _orders(spark, sf).withColumns({"i": ins, "o": outs}).select("txid", F.col("at").alias("ts"), F.lit(0.0).alias("fee"), *(F.col(s)[f].alias(f"{n}_{w}") for s, n in (("i", "input"), ("o", "output")) for f, w in (("a", "addresses"), ("v", "amounts"))))
+    return (rows if rows is not None else _orders(spark, sf)).withColumns({"i": ins, "o": outs}).select("txid", F.col("at").alias("ts"), F.lit(0.0).alias("fee"), *(F.col(s)[f].alias(f"{n}_{w}") for s, n in (("i", "input"), ("o", "output")) for f, w in (("a", "addresses"), ("v", "amounts"))))
 
 
-def observations(spark: SparkSession, sf: str) -> DataFrame:
-    """V_OPS's announcements."""
-    rows = checkpoint(_orders(spark, sf))
+def observations(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    """V_OPS's announcements. rows: _orders, if there."""
+    rows = rows if rows is not None else checkpoint(_orders(spark, sf))
     heard = lambda sensors: rows.withColumn("s", F.explode(F.array(*map(F.lit, range(sensors)))))
     own = heard(3).filter(F.col("txid") % SILENT != 0).select("txid", (F.col("at") + 0.05 * F.col("s")).alias("timestamp"), F.col("c").alias("src_ip"), F.col("s").alias("dst_ip"))
     relayed = heard(2).select("txid", (F.col("at") + 0.4 + 0.1 * F.col("s")).alias("timestamp"), (F.lit(RELAY) + F.col("txid") % RELAYS).alias("src_ip"), F.col("s").alias("dst_ip"))
@@ -100,7 +100,8 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def capture(spark: SparkSession, sf: str) -> Capture:
-    return Capture(observations(spark, sf), ledger(spark, sf), spark.createDataFrame([], "file string, sha256 string, records bigint"), columnar=True)
+    rows = checkpoint(_orders(spark, sf))
+    return Capture(observations(spark, sf, rows), ledger(spark, sf, rows), spark.createDataFrame([], "file string, sha256 string, records bigint"), columnar=True)
 
 
 def operation_evidence(spark: SparkSession, sf: str) -> DataFrame:
