@@ -49,3 +49,10 @@ def test_analysis_cases_need_no_documents(spark, monkeypatch):
     bounded(monkeypatch)
     got = whole.analysis_cases(spark, SF).collect()
     assert {tuple(r) for r in got} == want and all(r.n_transactions == r.tx_count for r in got) and max(r.tx_count for r in got) > 4
+
+
+def test_operation_documents_need_no_documents(spark, monkeypatch):
+    want = {tuple(r) for r in O.operation_documents(spark, SF).collect()}
+    bounded(monkeypatch)
+    got = O.operation_documents(spark, SF).collect()
+    assert {tuple(r) for r in got} == want and all(r.n_transactions == r.tx_count for r in got) and max(r.tx_count for r in got) > 4

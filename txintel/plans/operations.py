@@ -121,8 +121,9 @@ def operation_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 def operation_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The documents of those cases: sizes of their parts and their narratives."""
+    size = lambda p: F.size(p).cast("bigint").alias(f"n_{p}") if p in C.BOUNDED else f"n_{p}"
     parts = ("origins", "terminal_outputs", "factors", "transactions", "edges")
-    return _analysis(spark, sf)["cases"].select("case_id", "case_root", "typology", "severity", "tx_count", *(F.size(p).cast("bigint").alias(f"n_{p}") for p in parts), "narrative")
+    return _analysis(spark, sf)["case_sizes"].select("case_id", "case_root", "typology", "severity", "tx_count", *map(size, parts), "narrative")
 
 
 def operation_stats(spark: SparkSession, sf: str) -> DataFrame:
