@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from txintel.operators import cases as C
+from txintel.operators import lookups as K
 from txintel.plans import analysis, whole
 from txintel.plans import operations as O
 from txintel.plans.analysis import Settings, analyse
@@ -56,3 +57,32 @@ def test_operation_documents_need_no_documents(spark, monkeypatch):
     bounded(monkeypatch)
     got = O.operation_documents(spark, SF).collect()
     assert {tuple(r) for r in got} == want and all(r.n_transactions == r.tx_count for r in got) and max(r.tx_count for r in got) > 4
+
+
+def test_operation_search_needs_no_documents(spark, monkeypatch):
+    want = {tuple(r) for r in O.operation_search(spark, SF).collect()}
+    bounded(monkeypatch)
+    assert {tuple(r) for r in O.operation_search(spark, SF).collect()} == want
+
+
+def test_search_of_parts_finds_what_documents_hold(spark):
+    r = analyse(spark, O.capture(spark, SF), Settings(bias=O.BIAS), anomaly=False, locate=whole._located())
+    docs, every = r["cases"], ("CRITICAL", "HIGH", "MEDIUM")
+    large = docs.orderBy(F.desc("tx_count"), "case_root").first()
+    at, origin = [str(t.txid) for t in large.transactions], large.origins[-1]
+    held = ["", f"{at[0]} {at[1]} {at[2][:1]}", f"{origin.category_label[-3:]} {at[0]}".upper(), f"{at[-1]} {large.terminal_outputs[0].address[:2]}", f"{large.case_id} {large.typology[:3]}", f"{origin.asn} {origin.category_label}"]
+    for text in (*held, "12", " As2", "no such text", f"{at[1]} {at[0]}"):
+        want = {x.case_id for x in K.search(docs, text, every).collect()}
+        assert {x.case_id for x in K.search_parts(r["case_table"], r.parts(), text, every).collect()} == want
+        assert text not in held or large.case_id in want
+
+
+def test_a_large_case_is_searched_whole(spark):
+    """A text over the border of two rows, far behind what a document once held, in one case of 100,001 transactions."""
+    table, parts = drawn(spark)
+    cases = table.select("case_root", F.lit("HIGH").alias("severity"), F.concat(F.lit("CASE-"), F.col("case_root").cast("string")).alias("case_id"), F.lit("none").alias("typology"))
+    none = spark.createDataFrame([], "case_root long, ip string, asn string, category_label string, address string")
+    tx, _, fields = parts["transactions"]
+    looked = {"origins": (none, [F.col("ip")], ["ip", "asn", "category_label"]), "transactions": (tx, [F.col("txid")], fields), "terminal_outputs": (none, [F.col("address")], ["address"])}
+    find = lambda text: sorted(x.case_root for x in K.search_parts(cases, looked, text).collect())
+    assert find("99999 100000") == [7] == find("CASE-7 None 0 1 2") and find("100000 99999") == find("100000 100001") == [] and find("100002") == [8] and find("case") == [7, 8, 9]

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txintel.functions.expressions import SEVERITIES, exact_sum
+from txintel.operators import cases as C
 from txintel.runtime import checkpoint, release
 
 #: Cases and events that reports show; limits of the reports.
 TOP_CASES, FEED = 6, 40
+#: What a search looks at in documents beside their id and typology, in this order: parts and their fields.
+SEARCHED = {"origins": ("ip", "asn", "category_label"), "transactions": ("txid",), "terminal_outputs": ("address",)}
 
 
 def overview(stats: DataFrame, cases: DataFrame) -> DataFrame:
@@ -50,7 +55,7 @@ def matches(text: str) -> Column:
     """Whether a case's document holds the text, in whatever case: in its id, typology, its origins' addresses, systems and
     networks, its transactions or its terminal outputs' addresses. An empty text is in every document."""
     wanted = text.strip().lower()
-    said = [F.array("case_id", "typology"), _fields("origins", "ip", "asn", "category_label"), _fields("transactions", "txid"), _fields("terminal_outputs", "address")]
+    said = [F.array("case_id", "typology"), *(_fields(array, *names) for array, names in SEARCHED.items())]
     return F.lower(F.array_join(F.concat(*said), " ")).contains(wanted)
 
 
@@ -58,9 +63,12 @@ def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def _words(x: Callable[[str], Column], names: tuple[str, ...]) -> Column:
+    return F.concat_ws(" ", *(_text(x(n)) for n in names))
+
+
 def _fields(array: str, *names: str) -> Column:
-    one = lambda x: F.concat_ws(" ", *(_text(x[n]) for n in names))
-    return F.coalesce(F.transform(array, one), F.array().cast("array<string>"))
+    return F.coalesce(F.transform(array, lambda x: _words(lambda n: x[n], names)), F.array().cast("array<string>"))
 
 
 def search(documents: DataFrame, text: str, severities: tuple[str, ...] | None = None) -> DataFrame:
@@ -69,6 +77,53 @@ def search(documents: DataFrame, text: str, severities: tuple[str, ...] | None =
     return found.filter(F.col("severity").isin(*severities)) if severities else found
 
 
+def search_parts(cases: DataFrame, parts: dict[str, C.Part], text: str, severities: tuple[str, ...] | None = None) -> DataFrame:
+    """Cases of the severities whose documents hold the text, as search() finds them, looked up in the parts' tables: documents
+    aren't needed, so cases of any size are searched whole.
+
+    What a document says is joined by spaces, so a text without a space is within one row of a part, or nowhere. One with spaces
+    may run over several; a case's rows are then read in order, keeping no more than the text is long.
+    """
+    wanted = text.strip().lower()
+    some = cases.filter(F.col("severity").isin(*severities)) if severities else cases
+    heads = some.select("case_root", F.lower(F.concat_ws(" ", "case_id", "typology")).alias("piece"))
+    if " " in wanted:
+        own = some.select("case_root")
+        looked = [(n, (rows.join(own, "case_root", "left_semi"), order, list(names))) for n, (names, (rows, order, _)) in enumerate(((names, parts[name]) for name, names in SEARCHED.items()), 1)]
+        said = lambda x, kind: F.lower(_words(lambda n: x[n], tuple(kind.fieldNames())))
+        found = C.told(heads.withColumn("n", F.lit(0)), looked, said, _holding(wanted), f"case_root {heads.schema['case_root'].dataType.simpleString()}")
+    else:
+        found = heads.filter(F.col("piece").contains(wanted)).select("case_root")
+        for name, names in SEARCHED.items():
+            found = found.unionAll(parts[name][0].filter(F.lower(_words(F.col, names)).contains(wanted)).select("case_root"))
+        found = found.distinct()
+    return some.join(found, "case_root", "left_semi")
+
+
+def _holding(wanted: str) -> Callable[[Iterator], Iterator]:
+    """For cases.told: the cases whose pieces, joined by spaces, hold the text."""
+
+    def fold(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        case, seen, hit = None, None, False
+        for batch in batches:
+            found = []
+            for root, _, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if root != case or seen is None:
+                    case, seen, hit = root, piece, False
+                else:
+                    seen = f"{seen} {piece}"
+                if not hit and wanted in seen:
+                    hit = True
+                    found.append(root)
+                seen = seen[1 - len(wanted) :]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(found, batch.schema.field(0).type)], ["case_root"])
+
+    return fold
+
+
 def levels(member: DataFrame, flow: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(case_root, txid, depth): how many payments the longest way to a transaction within its case has.
 

@@ -163,7 +163,8 @@ def operation_feed(spark: SparkSession, sf: str) -> DataFrame:
 
 def operation_search(spark: SparkSession, sf: str) -> DataFrame:
     """Cases of the two upper severities that hold a text in any of their fields."""
-    return K.search(_analysis(spark, sf)["cases"], WANTED, ("CRITICAL", "HIGH")).select("case_id", "case_root", "severity")
+    r = _analysis(spark, sf)
+    return K.search_parts(r["case_table"], r.parts(), WANTED, ("CRITICAL", "HIGH")).select("case_id", "case_root", "severity")
 
 
 _EV_SQL = W.EVIDENCE_SQL[: W.EVIDENCE_SQL.index("\nscored AS")].replace(V.OBS_SQL, OBS_SQL).replace(W._IO_SQL, IO_SQL).rstrip(",")
